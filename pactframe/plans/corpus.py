@@ -9,7 +9,8 @@ from ..operators import assess, corpus
 from ..sources.logs import parse_log_lines
 from .registry import plan
 
-DOC = F.col("document_id")
+def _doc():
+    return F.col("document_id")
 
 
 def _hashed(docs):
@@ -18,8 +19,8 @@ def _hashed(docs):
 
 def _second_snapshot(docs):
     """A later delivery: some texts changed, some documents gone."""
-    text = F.when(DOC % 10 == 0, F.upper("text")).otherwise(F.col("text"))
-    return docs.where(DOC % 17 != 0).withColumn("text", text)
+    text = F.when(_doc() % 10 == 0, F.upper("text")).otherwise(F.col("text"))
+    return docs.where(_doc() % 17 != 0).withColumn("text", text)
 
 
 @plan("s1_source_listing", sql="""
@@ -27,8 +28,8 @@ SELECT DISTINCT path FROM (SELECT CASE WHEN document_id % 4 = 0 THEN concat('doc
   WHEN document_id % 4 = 1 THEN concat('doc/', document_id, '.docx') ELSE path END AS path FROM v_documents)
  WHERE lower(path) LIKE '%.txt' OR lower(path) LIKE '%.pdf'""")
 def s1(src):
-    path = F.when(DOC % 4 == 0, F.concat(F.lit("doc/"), DOC.cast("string"), F.lit(".PDF"))).when(
-        DOC % 4 == 1, F.concat(F.lit("doc/"), DOC.cast("string"), F.lit(".docx"))).otherwise(F.col("path"))
+    path = F.when(_doc() % 4 == 0, F.concat(F.lit("doc/"), _doc().cast("string"), F.lit(".PDF"))).when(
+        _doc() % 4 == 1, F.concat(F.lit("doc/"), _doc().cast("string"), F.lit(".docx"))).otherwise(F.col("path"))
     files = src.view("documents").select(path.alias("path"))
     return corpus.known_sources(files.unionByName(files), (".txt", ".pdf"))
 
@@ -45,7 +46,7 @@ SELECT b.document_id, b.path, CASE WHEN a.path IS NULL THEN 'ingested' WHEN a.h
   FROM b LEFT JOIN a USING (path)""")
 def s3(src):
     docs = src.view("documents")
-    stored = _hashed(docs.where(DOC % 13 != 0))
+    stored = _hashed(docs.where(_doc() % 13 != 0))
     return corpus.classify(_hashed(_second_snapshot(docs)), stored).select("document_id", "path", "status")
 
 
@@ -65,7 +66,7 @@ UNION ALL SELECT 'spans', count(*) FROM v_spans""")
 def s5(src):
     docs = src.view("documents")
     vectors = src.view("vectors").select(F.col("chunk_id").alias("document_id"))
-    gone = vectors.unionByName(docs.select("document_id")).where(DOC % 7 == 3).distinct()
+    gone = vectors.unionByName(docs.select("document_id")).where(_doc() % 7 == 3).distinct()
     left = corpus.delete_documents({"documents": docs, "vectors": vectors, "spans": src.view("spans")}, gone)
     counts = [t.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, t in left.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
@@ -75,8 +76,8 @@ def s5(src):
 SELECT document_id, path, CASE WHEN document_id % 6 = 0 THEN concat('Agreement ', document_id) ELSE filename END AS filename FROM v_documents""")
 def s6(src):
     docs = src.view("documents")
-    wanted = F.when(DOC % 6 == 0, F.concat(F.lit("  Agreement "), DOC.cast("string"))).otherwise("  ")
-    names = docs.where(DOC % 3 == 0).select("document_id", wanted.alias("filename"))
+    wanted = F.when(_doc() % 6 == 0, F.concat(F.lit("  Agreement "), _doc().cast("string"))).otherwise("  ")
+    names = docs.where(_doc() % 3 == 0).select("document_id", wanted.alias("filename"))
     return corpus.rename(docs, names).select("document_id", "path", "filename")
 
 
