@@ -19,7 +19,7 @@ def _hashed(docs):
 
 def _second_snapshot(docs):
     """A later delivery: some texts changed, some documents gone."""
-    text = F.when(_doc() % 10 == 0, F.upper("text")).otherwise(F.col("text"))
+    text = F.when(_doc() % 10 == 0, F.concat("text", F.lit(" amended"))).otherwise(F.col("text"))
     return docs.where(_doc() % 17 != 0).withColumn("text", text)
 
 
@@ -40,7 +40,7 @@ def s2(src):
 
 
 @plan("s3_classify", sql="""
-WITH b AS (SELECT document_id, path, sha256(CASE WHEN document_id % 10 = 0 THEN upper(text) ELSE text END) AS h FROM v_documents WHERE document_id % 17 <> 0),
+WITH b AS (SELECT document_id, path, sha256(CASE WHEN document_id % 10 = 0 THEN concat(text, ' amended') ELSE text END) AS h FROM v_documents WHERE document_id % 17 <> 0),
 a AS (SELECT path, sha256(text) AS h FROM v_documents WHERE document_id % 13 <> 0)
 SELECT b.document_id, b.path, CASE WHEN a.path IS NULL THEN 'ingested' WHEN a.h = b.h THEN 'skipped' ELSE 'replaced' END AS status
   FROM b LEFT JOIN a USING (path)""")
@@ -51,7 +51,7 @@ def s3(src):
 
 
 @plan("s4_replace", sql="""
-SELECT document_id, CASE WHEN document_id % 10 = 0 AND document_id % 17 <> 0 THEN upper(text) ELSE text END AS text FROM v_documents""")
+SELECT document_id, CASE WHEN document_id % 10 = 0 AND document_id % 17 <> 0 THEN concat(text, ' amended') ELSE text END AS text FROM v_documents""")
 def s4(src):
     docs = src.view("documents")
     incoming = _hashed(_second_snapshot(docs))

@@ -131,7 +131,7 @@ VIEWS["v_blocks"] = f"""
 SELECT doc_id, page, block_no, line_no, kind,
        CASE WHEN kind = 'header' THEN concat('Master agreement | page ', CAST(page + 1 AS STRING))
             WHEN kind = 'footer' THEN CAST(page + 1 AS STRING)
-            WHEN kind = 'caption' THEN concat(CASE WHEN line_no % 2 = 0 THEN 'Figure ' ELSE 'Table ' END,
+            WHEN kind = 'caption' THEN concat(CASE WHEN (page + block_no) % 2 = 0 THEN 'Figure ' ELSE 'Table ' END,
                  CAST(page + 1 AS STRING), '.', CAST(block_no AS STRING), ': ', substring(line, 1, 60))
             WHEN kind = 'heading' THEN concat(CAST(page + 1 AS STRING), '. Scope of ', substring(line, 1, 24))
             WHEN kind = 'clause' THEN concat(CAST(page + 1 AS STRING), '.', CAST(block_no - 1 AS STRING), ' ',
@@ -151,7 +151,7 @@ SELECT doc_id, page, block_no, line_no, kind,
        792.0 AS page_height
   FROM (SELECT doc_id, line_no, line, {_div('line_no', 12)} AS page, CAST(line_no % 12 AS INT) AS block_no,
                CASE WHEN line_no % 12 = 0 THEN 'header' WHEN line_no % 12 = 11 THEN 'footer'
-                    WHEN line_no % 12 = 5 THEN 'caption' WHEN line_no % 12 = 1 THEN 'heading'
+                    WHEN line_no % 12 = 5 OR line_no % 24 = 6 THEN 'caption' WHEN line_no % 12 = 1 THEN 'heading'
                     WHEN line_no % 12 IN (2, 3, 7) THEN 'clause' WHEN line_no % 12 = 8 THEN 'equation'
                     WHEN line_no % 36 = 10 THEN 'dots' ELSE 'text' END AS kind
           FROM v_lines) b"""
@@ -160,13 +160,54 @@ SELECT doc_id, page, block_no, line_no, kind,
 VIEWS["v_elements"] = f"""
 SELECT doc_id, line_no AS ord, page, CAST(page + 1 AS STRING) AS page_label,
        CASE WHEN kind IN ('header', 'footer') THEN 'furniture' WHEN kind = 'heading' THEN 'heading'
-            WHEN kind = 'equation' THEN 'equation' WHEN kind = 'caption' AND line_no % 2 = 0 THEN 'figure'
+            WHEN kind = 'equation' THEN 'equation' WHEN kind = 'caption' AND (page + block_no) % 2 = 0 THEN 'figure'
             WHEN kind = 'caption' THEN 'table' ELSE 'paragraph' END AS type,
        text, concat('Part ', CAST({_div('page', 2)} + 1 AS STRING)) AS part,
        CASE WHEN page % 4 = 3 THEN 'Contents' ELSE concat(CAST(page + 1 AS STRING), '. Scope') END AS section,
        CASE WHEN doc_id % 3 = 0 THEN 'outline' WHEN doc_id % 3 = 1 THEN 'headings' ELSE 'none' END AS spine_source
   FROM v_blocks"""
 
+#: Every longer line broken in two with a hyphen where it splits a word.
+VIEWS["v_wrapped"] = """
+SELECT doc_id, 2 * line_no AS line_no, CAST((line_no - line_no % 3) / 3 AS BIGINT) AS block,
+       CASE WHEN length(line) < 30 THEN line WHEN line_no % 4 = 3 THEN substring(line, 1, 20)
+            ELSE concat(substring(line, 1, 20), '-') END AS line FROM v_lines
+UNION ALL
+SELECT doc_id, 2 * line_no + 1, CAST((line_no - line_no % 3) / 3 AS BIGINT), substring(line, 21, 100000) FROM v_lines
+ WHERE length(line) >= 30"""
+
+#: Lines that open with, or contain, clause labels of every kind.
+VIEWS["v_labelled"] = f"""
+SELECT doc_id, line_no, CASE line_no % 9
+       WHEN 0 THEN concat('Exhibit ', chr(CAST(65 + n % 26 AS INT)), ' ', line)
+       WHEN 1 THEN concat(CAST(n + 1 AS STRING), '. ', line)
+       WHEN 2 THEN concat(CAST(n + 1 AS STRING), '.1 ', line, ' ', CAST(n + 1 AS STRING), '.2 Further terms.')
+       WHEN 3 THEN concat(CAST(n + 1 AS STRING), '.3. ', line)
+       WHEN 4 THEN concat('(', chr(CAST(97 + n % 26 AS INT)), ') ', line)
+       WHEN 5 THEN concat('(', CASE n % 3 WHEN 0 THEN 'ii' WHEN 1 THEN 'iii' ELSE 'iv' END, ') ', line)
+       WHEN 6 THEN concat('G', CAST(n % 40 AS STRING), CASE WHEN n % 2 = 0 THEN 'A' ELSE '' END, '. ', line)
+       WHEN 7 THEN concat(line, ' 7.7 See above.')
+       ELSE line END AS text
+  FROM (SELECT doc_id, line_no, line, {_div('line_no', 9)} AS n FROM v_lines) l"""
+
+#: One two-row table per even page run, some of them continued on the next page.
+VIEWS["v_tables"] = f"""
+SELECT doc_id, page, page AS ord,
+       CASE WHEN page % 3 = 2 OR doc_id % 4 = 0 THEN 60.0 ELSE 420.0 END AS y0,
+       CASE WHEN page % 3 = 2 OR doc_id % 4 = 0 THEN 700.0 ELSE 780.0 END AS y1, page_height,
+       CASE WHEN page % 5 = 4 THEN 'Ref|Control|Owner' ELSE 'Ref |Control' END AS header,
+       concat('R', CAST(page AS STRING), '|', replace(substring(text, 1, 24), '|', ' ')) AS row_text,
+       CASE WHEN page % 7 = 3 THEN 'text-fallback' WHEN page % 2 = 1 THEN 'recovered' ELSE 'ruled' END AS quality,
+       CASE WHEN page % 4 = 0 THEN 1 ELSE 0 END AS breaks_before
+  FROM v_blocks WHERE block_no = 4"""
+
+#: Grids of up to five words per row, with blank rows and columns.
+VIEWS["v_grids"] = """
+SELECT doc_id, page, block_no, CASE WHEN block_no = 7 THEN '||' WHEN page % 2 = 0 THEN concat(w1, '||', w2)
+       WHEN block_no % 3 = 0 THEN concat('|', w1) ELSE concat(w1, '|', w2, '|', w3) END AS cells
+  FROM (SELECT doc_id, page, block_no, substring(text, 1, 6) AS w1, substring(text, 8, 5) AS w2, substring(text, 14, 4) AS w3
+          FROM v_blocks WHERE kind IN ('text', 'clause', 'dots') AND text NOT LIKE '%|%') g"""
+
 _NAME = re.compile(r"\bv_[a-z_]+\b")
 _TABLE = re.compile(r"@([a-z]+)")
 
