@@ -56,10 +56,10 @@ def neighbour(
         .withColumn("_far", F.lag("_edge").over(across))
         .drop("_edge")
     )
-    joined = _attach(rows, carry, keys).withColumn("_n", F.coalesce("_near", "_far"))
+    joined = _attach(rows, carry, keys).withColumn("_hit", F.coalesce("_near", "_far"))
     for name in values:
-        joined = joined.withColumn(name, F.col("_n")[name])
-    return joined.drop("_n", "_near", "_far", SEG)
+        joined = joined.withColumn(name, F.col("_hit")[name])
+    return joined.drop("_hit", "_near", "_far", SEG)
 
 
 def running_sum(

@@ -10,8 +10,6 @@ The few sequential folds see the sections or the lines of one document.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -240,7 +238,7 @@ def pair_captions(regions: DataFrame, caps: DataFrame) -> DataFrame:
         "doc_id", "page", "region_id", "caption", "block_no",
         F.inline(F.array(
             F.struct(below.alias("hit"), F.when(F.col("kind") == "figure", 0).otherwise(1).alias("side"), (F.col("y0") - F.col("ry1")).alias("gap")),
-            F.struct(above, F.when(F.col("kind") == "figure", 1).otherwise(0), F.col("ry0") - F.col("y1")))))
+            F.struct(above.alias("hit"), F.when(F.col("kind") == "figure", 1).otherwise(0).alias("side"), (F.col("ry0") - F.col("y1")).alias("gap")))))
     best = sides.where("hit").groupBy("doc_id", "page", "region_id").agg(
         F.min_by("caption", F.struct("side", "gap", "block_no")).alias("caption"))
     return regions.join(best, ["doc_id", "page", "region_id"], "left")
@@ -297,10 +295,10 @@ def stitch_tables(tables: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(q) for q in QUALITY]), F.col("quality"))
     previous = {
         "_page": F.col("page"), "_y1": F.col("y1"), "_h": F.col("page_height"),
-        "_key": _header_key(F.col("rows")[0]), "_n": F.size("rows")}
+        "_key": _header_key(F.get("rows", F.lit(0))), "_n": F.size("rows")}
     same = (
         (F.col("breaks_before") == 0) & (F.col("_n") > 0) & (F.size("rows") > 0)
-        & (F.col("page") == F.col("_page") + 1) & (_header_key(F.col("rows")[0]) == F.col("_key"))
+        & (F.col("page") == F.col("_page") + 1) & (_header_key(F.get("rows", F.lit(0))) == F.col("_key"))
         & (F.col("_y1") > F.col("_h") / 2) & (F.col("y0") < F.col("page_height") / 2))
     runs = group_adjacent(tables, ["doc_id"], ["ord"], page_segment("page"), same, previous)
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("ord", "rows"))), lambda t: t["rows"])
@@ -325,7 +323,7 @@ def compact_grid(rows: Column) -> Column:
 
 
 def grid_is_valid(rows: Column) -> Column:
-    width = F.size(rows[0])
+    width = F.size(F.get(rows, F.lit(0)))
     cells = F.flatten(rows)
     filled = F.size(F.filter(cells, lambda c: c != ""))
     return F.coalesce(
@@ -339,8 +337,8 @@ def markdown(rows: Column) -> Column:
         cells = F.transform(r, lambda c: F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>")))
         return F.concat(F.lit("|"), F.array_join(cells, "|"), F.lit("|"))
 
-    rule = F.concat(F.lit("|"), F.array_join(F.transform(rows[0], lambda _: F.lit("---")), "|"), F.lit("|"))
-    lines = F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), line))
+    rule = F.concat(F.lit("|"), F.array_join(F.transform(F.get(rows, F.lit(0)), lambda _: F.lit("---")), "|"), F.lit("|"))
+    lines = F.concat(F.array(line(F.get(rows, F.lit(0))), rule), F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), line))
     return F.when(F.size(rows) == 0, "").otherwise(F.array_join(lines, "\n"))
 
 
@@ -524,6 +522,7 @@ _HEAD = re.compile(r"([A-Za-z0-9]+)-$")
 _TAIL = re.compile(r"([A-Za-z0-9]+)")
 _LAST = re.compile(r"([A-Za-z]+)$")
 _FIRST = re.compile(r"^([A-Za-z]+)")
+_DOTS = re.compile(DOT_LEADER)
 
 
 def weld(text: str, nxt: str, count: dict, compounds: dict, merges: bool) -> str:
@@ -543,94 +542,94 @@ def weld(text: str, nxt: str, count: dict, compounds: dict, merges: bool) -> str
     return f"{text} {nxt}"
 
 
-def _words_of(frame: pd.DataFrame) -> tuple[dict, dict]:
-    known = frame[frame["word"].notna()]
-    return dict(zip(known["word"], known["n"])), dict(zip(known["word"], known["hyphenated"]))
+def by_document(df: DataFrame) -> DataFrame:
+    """Spread documents over a fixed number of partitions, for Python folds that
+    cost far more per byte than the adaptive merge of small partitions assumes."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "doc_id")
+
+
+def _words_of(words: pd.DataFrame) -> tuple[dict, dict]:
+    keys = words["word"].tolist()
+    return dict(zip(keys, words["n"].tolist())), dict(zip(keys, words["hyphenated"].tolist()))
+
+
+def _squeeze(text: str) -> str:
+    return " ".join(text.split())
 
 
 def join_lines(lines: DataFrame, vocab: DataFrame, habits: DataFrame) -> DataFrame:
     """Paragraph text per (doc_id, block) from its lines.
 
     Each break needs the text built so far, so one document is folded in order;
-    a group is the lines and the words of that document.
+    a group is the lines of that document beside its words.
     """
-    words = vocab.select(
-        "doc_id", F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("line_no"),
-        F.lit(None).cast("string").alias("line"), "word", "n", "hyphenated", F.lit(False).alias("merges"))
     rows = lines.join(habits.select("doc_id", F.col("breaks_hyphenate").alias("merges")), "doc_id", "left").select(
-        "doc_id", "block", "line_no", tx.collapse(F.col("line")).alias("line"), F.lit(None).cast("string").alias("word"),
-        F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("hyphenated"), F.coalesce("merges", F.lit(False)).alias("merges"))
+        "doc_id", "block", "line_no", tx.collapse(F.col("line")).alias("line"), F.coalesce("merges", F.lit(False)).alias("merges"))
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        count, compounds = _words_of(frame)
-        body = frame[frame["line"].notna()].sort_values("line_no")
-        out = []
-        for block, part in body.groupby("block", sort=True):
-            text = None
-            for line, merges in zip(part["line"], part["merges"]):
-                text = line if text is None else weld(text, line, count, compounds, bool(merges))
-            out.append((frame["doc_id"].iloc[0], int(block), re.sub(r"\s+", " ", text or "").strip()))
-        return pd.DataFrame(out, columns=["doc_id", "block", "text"])
+    def fold(body: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        count, compounds = _words_of(words)
+        text: dict[int, str] = {}
+        for line_no, block, line, merges in sorted(zip(body["line_no"], body["block"], body["line"], body["merges"])):
+            text[block] = weld(text[block], line, count, compounds, merges) if block in text else line
+        doc = body["doc_id"].iloc[0] if len(body) else 0
+        return pd.DataFrame({"doc_id": doc, "block": list(text), "text": [_squeeze(t) for t in text.values()]})
 
-    return rows.unionByName(words).groupBy("doc_id").applyInPandas(fold, "doc_id long, block long, text string")
+    left, right = by_document(rows).groupBy("doc_id"), by_document(vocab).groupBy("doc_id")
+    return left.cogroup(right).applyInPandas(fold, "doc_id long, block long, text string")
+
+
+_FOLDED = ("ord", "type", "text", "page", "page_end", "x0", "y0", "x1", "y1")
 
 
 def join_wrapped_lines(elements: DataFrame, profiles: DataFrame, opens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Paragraphs rebuilt from lines a layout hands out as separate blocks.
 
-    What one line alone decides (flush left, full width, opens a proven clause,
-    dot leader) is computed as columns; only the running length, right edge and
-    box are folded, one document at a time. ``opens`` lists (doc_id, ord) that
-    start a clause.
+    What one line alone decides (flush left, indented, full width, opens a
+    proven clause, dot leader) is worked out as columns; only the running
+    length, right edge and box are folded, one document at a time. ``opens``
+    lists (doc_id, ord) that start a clause.
     """
     p = profiles.select("doc_id", "body_left", "body_right", "paragraph_indent", "breaks_hyphenate")
     lead = opens.select("doc_id", "ord", F.lit(True).alias("opens"))
+    offset = F.abs(F.col("x0") - F.col("body_left"))
+    slack = F.when(F.col("paragraph_indent") > 0, F.col("paragraph_indent") + INDENT_SLACK).otherwise(FLUSH)
+    in_text = (F.col("type") == "paragraph") & (F.col("body_left") != 0)
     rows = elements.join(p, "doc_id").join(lead, ["doc_id", "ord"], "left").select(
-        "doc_id", "ord", "type", "text", "page", "x0", "y0", "x1", "y1", "body_left", "body_right",
-        "paragraph_indent", "breaks_hyphenate", F.coalesce("opens", F.lit(False)).alias("opens"),
-        F.col("text").rlike(DOT_LEADER).alias("dots"),
-        F.lit(None).cast("string").alias("word"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("hyphenated"))
-    blanks = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields}
-    words = vocab.select(*[F.col(c) if c in ("doc_id", "word", "n", "hyphenated") else blanks[c] for c in rows.columns])
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        count, compounds = _words_of(frame)
-        body = frame[frame["ord"].notna()].sort_values("ord")
+        "doc_id", "ord", "type", "text", "page", "x0", "y0", "x1", "y1", "breaks_hyphenate",
+        (in_text & (offset <= slack)).alias("can_start"),
+        (in_text & (offset <= FLUSH) & F.col("opens").isNull()).alias("can_follow"),
+        ((F.col("body_right") != 0) & (F.abs(F.col("x1") - F.col("body_right")) <= TOLERANCE)).alias("full"),
+        F.col("text").rlike(DOT_LEADER).alias("dots"))
+
+    def fold(body: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        count, compounds = _words_of(words)
         out: list[dict] = []
-        right = 0.0
-        for e in body.to_dict("records"):
+        for e in sorted(body.to_dict("records"), key=lambda r: r["ord"]):
             prev = out[-1] if out else None
-            if prev is not None and _continues(prev, e, right):
-                prev["text"] = re.sub(r"\s+", " ", weld(prev["text"], e["text"], count, compounds, bool(e["breaks_hyphenate"]))).strip()
-                prev["dots"] = bool(re.search(DOT_LEADER, prev["text"]))
-                right = e["x1"]
-                if e["page"] != prev["last"]:
-                    prev["last"] = e["page"]
-                elif e["page"] == prev["page"]:
+            if prev is not None and _continues(prev, e):
+                prev["text"] = _squeeze(weld(prev["text"], e["text"], count, compounds, e["breaks_hyphenate"]))
+                prev["dots"], prev["full"] = bool(_DOTS.search(prev["text"])), e["full"]
+                if e["page"] != (prev["page_end"] or prev["page"]):
+                    prev["page_end"] = e["page"]
+                elif prev["page_end"] is None:
                     prev.update(x0=min(prev["x0"], e["x0"]), x1=max(prev["x1"], e["x1"]), y1=e["y1"])
                 continue
-            out.append({**e, "last": e["page"]})
-            right = e["x1"]
-        done = pd.DataFrame([
-            (r["doc_id"], int(r["ord"]), r["type"], r["text"], int(r["page"]),
-             int(r["last"]) if r["last"] != r["page"] else None, r["x0"], r["y0"], r["x1"], r["y1"]) for r in out],
-            columns=["doc_id", "ord", "type", "text", "page", "page_end", "x0", "y0", "x1", "y1"])
+            out.append({**e, "page_end": None})
+        done = pd.DataFrame({c: [r[c] for r in out] for c in _FOLDED})
+        done.insert(0, "doc_id", body["doc_id"].iloc[0] if len(body) else 0)
         done["page_end"] = done["page_end"].astype("Int64")
         return done
 
-    return rows.unionByName(words).groupBy("doc_id").applyInPandas(
+    left, right = by_document(rows).groupBy("doc_id"), by_document(vocab).groupBy("doc_id")
+    return left.cogroup(right).applyInPandas(
         fold, "doc_id long, ord long, type string, text string, page long, page_end long, x0 double, y0 double, x1 double, y1 double")
 
 
-def _continues(prev: dict, e: dict, right: float) -> bool:
+def _continues(prev: dict, e: dict) -> bool:
     """Whether a line goes on with the paragraph before it."""
-    if prev["type"] != "paragraph" or e["type"] != "paragraph" or e["opens"]:
-        return False
-    if not e["body_right"] or abs(right - e["body_right"]) > TOLERANCE or not e["body_left"]:
-        return False
-    slack = e["paragraph_indent"] + INDENT_SLACK if e["paragraph_indent"] else FLUSH
-    if abs(prev["x0"] - e["body_left"]) > slack or abs(e["x0"] - e["body_left"]) > FLUSH:
+    if not (e["can_follow"] and prev["can_start"] and prev["full"]) or prev["dots"] or e["dots"]:
         return False
-    if prev["dots"] or e["dots"] or len(prev["text"]) + len(e["text"]) > MAX_PARAGRAPH:
+    if len(prev["text"]) + len(e["text"]) > MAX_PARAGRAPH:
         return False
     return e["page"] != prev["page"] or e["y0"] - prev["y1"] <= MAX_LINE_GAP

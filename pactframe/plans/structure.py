@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..operators import structure as st
+from ..session import materialize
 from .registry import plan
 
 RIGHT = """r AS (SELECT doc_id, r AS body_right FROM (SELECT doc_id, round_even(x0, 0) AS l, round_even(x1, 0) AS r, count(*) AS n,
@@ -311,9 +312,9 @@ def _elements(src):
 @plan("p23_join_wrapped_lines")
 def p23(src):
     blocks = src.view("blocks")
-    elements = _elements(src)
+    elements = materialize(_elements(src), "elements")
     lines = src.view("lines")
-    vocab = st.vocabulary(lines)
+    vocab = materialize(st.vocabulary(lines), "vocabulary")
     habits = st.breaks_hyphenate(st.line_breaks(lines, ["doc_id"]), vocab)
     profiles = st.profile(blocks).join(habits.select("doc_id", "breaks_hyphenate"), "doc_id", "left").na.fill({"breaks_hyphenate": False})
     proven = st.corroborated(st.label_candidates(elements))
@@ -324,10 +325,12 @@ def p23(src):
 
 
 @plan("p24_spine", sql="""
-SELECT run_id AS doc_id, 0 AS ord, 1 AS level, concat(run_id, '. Order') AS title, concat(run_id, '. Order') AS path FROM (SELECT DISTINCT run_id FROM v_criterion_rows)
-UNION ALL SELECT run_id, line, 2, concat(run_id, '.', line, ' Part'), concat(run_id, '. Order > ', run_id, '.', line, ' Part') FROM v_criterion_rows WHERE l_partkey % 3 = 0
-UNION ALL SELECT run_id, line, 2, concat('9.', line, ' Note'), concat(run_id, '. Order > 9.', line, ' Note') FROM v_criterion_rows WHERE l_partkey % 3 = 1
-UNION ALL SELECT run_id, line, 1, 'Remarks', 'Remarks' FROM v_criterion_rows WHERE l_partkey % 3 = 2""")
+WITH a AS (SELECT run_id, 0 AS ord, 1 AS level, concat(run_id, '. Order') AS title, '' AS kind FROM (SELECT DISTINCT run_id FROM v_criterion_rows)
+UNION ALL SELECT run_id, line, 2, concat(run_id, '.', line, ' Part'), 'key' FROM v_criterion_rows WHERE l_partkey % 3 = 0
+UNION ALL SELECT run_id, line, 2, concat('9.', line, ' Note'), 'near' FROM v_criterion_rows WHERE l_partkey % 3 = 1
+UNION ALL SELECT run_id, line, 1, 'Remarks', '' FROM v_criterion_rows WHERE l_partkey % 3 = 2),
+b AS (SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near FROM a)
+SELECT run_id AS doc_id, ord, level, title, CASE WHEN level = 1 THEN title WHEN kind = 'key' THEN concat(run_id, '. Order > ', title) ELSE concat(near, ' > ', title) END AS path FROM b""")
 def p24(src):
     rows = src.view("criterion_rows")
     run, line, pick = F.col("run_id").cast("string"), F.col("line").cast("string"), F.col("l_partkey") % 3
@@ -343,7 +346,7 @@ def p24(src):
 
 @plan("p24_document_spine")
 def p24_documents(src):
-    elements = _elements(src)
+    elements = materialize(_elements(src), "elements")
     spine = st.synthesize_spine(elements, st.corroborated(st.label_candidates(elements)))
     return spine.select("doc_id", "ord", "level", "title", F.array_join("path", " > ").alias("path"))
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings every job relies on. Buckets and labels are UTC; the
 #: adaptive settings split skewed shuffle partitions and merge small ones.
@@ -61,3 +61,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where several later steps read the same costly result; unlike a cached
+    block it survives a lost executor.
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
