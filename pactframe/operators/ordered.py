@@ -7,6 +7,10 @@ ordinary window runs; each segment then contributes one summary row, a window
 over the summaries carries the state across segments, and the carry is joined
 back on (key, segment). No task sees more than one segment of rows plus one
 summary per segment.
+
+Where the rows of a key are known to come out of one source row (the lines and
+elements of a document, which the source holds in a single cell), ``segment``
+is ``None``: one ordinary window does the work and nothing is joined back.
 """
 
 from __future__ import annotations
@@ -19,6 +23,11 @@ from pyspark.sql import functions as F
 SEG = "_seg"
 
 
+def _whole(keys: Sequence[str], order: Sequence[str], descending: bool = False):
+    cols = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    return Window.partitionBy(*keys).orderBy(*cols)
+
+
 def _prepare(df: DataFrame, segment: Column) -> DataFrame:
     return df.withColumn(SEG, segment)
 
@@ -39,12 +48,15 @@ def neighbour(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    segment: Column,
+    segment: Column | None,
     values: dict[str, Column],
     *,
     following: bool = False,
 ) -> DataFrame:
     """Values of the previous (or following) row of the same key."""
+    if segment is None:
+        w = _whole(keys, order, following)
+        return df.withColumns({n: F.lag(v).over(w) for n, v in values.items()})
     base = _prepare(df, segment)
     inside, across = _windows(keys, order, following)
     packed = F.struct(*[v.alias(n) for n, v in values.items()])
@@ -66,11 +78,14 @@ def running_sum(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    segment: Column,
+    segment: Column | None,
     value: Column,
     out: str,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in order."""
+    if segment is None:
+        w = _whole(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out, F.sum(value).over(w))
     base = _prepare(df, segment).withColumn("_add", value)
     inside, across = _windows(keys, order, False)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -90,7 +105,7 @@ def running_sum(
 
 
 def row_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column | None, out: str
 ) -> DataFrame:
     """1-based position of a row inside its key."""
     return running_sum(df, keys, order, segment, F.lit(1).cast("long"), out)
@@ -100,11 +115,14 @@ def carry_forward(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    segment: Column,
+    segment: Column | None,
     value: Column,
     out: str,
 ) -> DataFrame:
     """The last non-null ``value`` at or before each row."""
+    if segment is None:
+        w = _whole(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
     base = _prepare(df, segment).withColumn("_val", value)
     inside, across = _windows(keys, order, False)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -128,7 +146,7 @@ def islands(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    segment: Column,
+    segment: Column | None,
     starts: Column,
     previous: dict[str, Column],
     out: str,

@@ -2,8 +2,8 @@
 
 A block row is (doc_id, page, block_no, x0, y0, x1, y1, page_height, n_lines,
 font, size, italic, text). Counting steps aggregate with a map-side combine;
-order-dependent steps run in page segments
-(:mod:`pactframe.operators.ordered`), so a very long document is not one task.
+order-dependent steps use windows over one document or page, whose rows all
+come out of one source row, so no window can grow past what a row may hold.
 The few sequential folds see the sections or the lines of one document.
 """
 
@@ -30,7 +30,6 @@ PANEL_GAP, CAPTION_GAP = 90.0, 80.0
 MIN_PIXELS, MIN_PAGE_SHARE = 100, 0.01
 MAX_PARAGRAPH, MAX_LINE_GAP, INDENT_SLACK = 4000, 36.0, 6.0
 MIN_ROWS, MIN_COLS, MIN_FILL = 2, 2, 0.6
-PAGES_PER_SEGMENT = 64
 # Patterns of captions, page numbers, mathematics and dot leaders.
 CAPTION = r"(?i)^\s*(Figure|Table)\s+(?:[A-Z]\.?)?\d+(?:\.\d+)*\s*[.:](?=\s|$)"
 ARABIC_PAGE = r"^\d{1,5}$"
@@ -43,10 +42,6 @@ QUALITY = ("ruled", "recovered", "text-fallback")
 BREAKS_TABLE = ("heading", "paragraph", "caption", "equation")
 
 
-def page_segment(column: str = "page") -> Column:
-    return F.floor(F.col(column) / PAGES_PER_SEGMENT)
-
-
 def reading_order(blocks: DataFrame) -> DataFrame:
     """1-based place of a block on its page: rows of 3 points, then left to right."""
     w = Window.partitionBy("doc_id", "page").orderBy(F.rint(F.col("y0") / 3), "x0", "block_no")
@@ -69,10 +64,24 @@ def body_size(blocks: DataFrame) -> DataFrame:
     return mode(blocks, ["doc_id"], F.round("size", 1), chars, "body_size")
 
 
+def extents(blocks: DataFrame) -> DataFrame:
+    """Blocks counted by rounded horizontal extent: the narrow table every edge
+    measurement reads, built in one pass with a map-side combine."""
+    tall = F.when(F.col("n_lines") >= 3, 3).otherwise(0)
+    return blocks.groupBy(
+        "doc_id", F.rint("x0").alias("x0"), F.rint("x1").alias("x1"), tall.alias("n_lines")
+    ).agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("page", "block_no")).alias("f")).select(
+        "doc_id", "x0", "x1", "n_lines", "weight", "f.page", "f.block_no")
+
+
+def _weight(blocks: DataFrame) -> Column:
+    return F.col("weight") if "weight" in blocks.columns else F.lit(1)
+
+
 def column_right(blocks: DataFrame) -> DataFrame:
     """Right edge of the commonest extent of blocks with three lines or more."""
     extent = F.struct(F.rint("x0").alias("l"), F.rint("x1").alias("r"))
-    return mode(blocks.where(F.col("n_lines") >= 3), ["doc_id"], extent, F.lit(1), "e").select(
+    return mode(blocks.where(F.col("n_lines") >= 3), ["doc_id"], extent, _weight(blocks), "e").select(
         "doc_id", F.col("e.r").alias("body_right"))
 
 
@@ -83,7 +92,7 @@ def full_width(blocks: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def text_left(blocks: DataFrame, right: DataFrame) -> DataFrame:
-    return mode(full_width(blocks, right), ["doc_id"], F.rint("x0"), F.lit(1), "body_left")
+    return mode(full_width(blocks, right), ["doc_id"], F.rint("x0"), _weight(blocks), "body_left")
 
 
 def margin_bands(blocks: DataFrame, right: DataFrame) -> DataFrame:
@@ -107,7 +116,7 @@ def paragraph_indent(blocks: DataFrame, right: DataFrame) -> DataFrame:
     shifted = full_width(blocks, right).join(left, "doc_id").withColumn(
         "_off", F.when((offset > FLUSH) & (offset <= room) & (F.col("body_left") != 0), offset))
     counts = shifted.groupBy("doc_id", "_off").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("page", "block_no")).alias("f"))
+        F.sum(_weight(blocks)).alias("n"), F.min(F.struct("page", "block_no")).alias("f"))
     best = F.max_by(F.struct("_off", "n"), F.when(F.col("_off").isNotNull(), F.struct(
         "n", (-F.col("f.page")).alias("a"), (-F.col("f.block_no")).alias("b"))))
     ok = (F.col("b.n") >= INDENT_MIN) & (F.col("b.n") / F.col("total") >= INDENT_SHARE)
@@ -151,7 +160,7 @@ def vocabulary(lines: DataFrame) -> DataFrame:
 def line_breaks(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(head, tail) of every line that ends in a hyphen and its successor."""
     pairs = ordered.neighbour(
-        lines, keys, ["line_no"], F.floor(F.col("line_no") / 4096), {"next_line": F.col("line")}, following=True)
+        lines, keys, ["line_no"], None, {"next_line": F.col("line")}, following=True)
     head = F.regexp_extract("line", r"([A-Za-z0-9]+)-$", 1)
     tail = F.regexp_extract("next_line", r"^([A-Za-z0-9]+)", 1)
     return pairs.select(*keys, "line_no", head.alias("head"), tail.alias("tail")).where(
@@ -171,10 +180,11 @@ def breaks_hyphenate(breaks: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def profile(blocks: DataFrame) -> DataFrame:
     """One row of measurements per document."""
-    right = column_right(blocks)
+    edges = extents(blocks)
+    right = column_right(edges)
     out = blocks.groupBy("doc_id").agg((F.max("page") + 1).alias("page_count"))
-    parts = (body_size(blocks), right, text_left(blocks, right), margin_bands(blocks, right),
-             paragraph_indent(blocks, right))
+    parts = (body_size(blocks), right, text_left(edges, right), margin_bands(blocks, right),
+             paragraph_indent(edges, right))
     for part in parts:
         out = out.join(part, "doc_id", "left")
     return out.na.fill({"body_size": 12.0, "body_right": 0.0, "body_left": 0.0, "paragraph_indent": 0.0})
@@ -256,7 +266,7 @@ def nearest_table_caption(tables: DataFrame, caps: DataFrame) -> DataFrame:
     return tables.join(best, ["doc_id", "page", "region_id"], "left")
 
 
-def group_adjacent(df: DataFrame, keys: list[str], order: list[str], segment: Column, same: Column,
+def group_adjacent(df: DataFrame, keys: list[str], order: list[str], segment: Column | None, same: Column,
                    previous: dict[str, Column], out: str = "group_no") -> DataFrame:
     """Number runs of neighbours for which ``same`` holds against the previous row."""
     starts = ~F.coalesce(same, F.lit(False))
@@ -266,7 +276,7 @@ def group_adjacent(df: DataFrame, keys: list[str], order: list[str], segment: Co
 def group_panels(panels: DataFrame) -> DataFrame:
     """Panels of one figure: the same caption and at most 90 points apart."""
     same = (F.col("_cap") == F.col("caption")) & (F.col("y0") - F.col("_y1") <= PANEL_GAP)
-    runs = group_adjacent(panels, ["doc_id", "page"], ["y0", "x0"], F.lit(0), same,
+    runs = group_adjacent(panels, ["doc_id", "page"], ["y0", "x0"], None, same,
                           {"_cap": F.col("caption"), "_y1": F.col("y1")})
     return runs.groupBy("doc_id", "page", "group_no").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
@@ -300,7 +310,7 @@ def stitch_tables(tables: DataFrame) -> DataFrame:
         (F.col("breaks_before") == 0) & (F.col("_n") > 0) & (F.size("rows") > 0)
         & (F.col("page") == F.col("_page") + 1) & (_header_key(F.get("rows", F.lit(0))) == F.col("_key"))
         & (F.col("_y1") > F.col("_h") / 2) & (F.col("y0") < F.col("page_height") / 2))
-    runs = group_adjacent(tables, ["doc_id"], ["ord"], page_segment("page"), same, previous)
+    runs = group_adjacent(tables, ["doc_id"], ["ord"], None, same, previous)
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("ord", "rows"))), lambda t: t["rows"])
     joined = F.concat(F.col("pieces")[0], F.flatten(F.transform(
         F.slice("pieces", 2, F.size("pieces")), lambda r: F.slice(r, 2, F.size(r)))))
@@ -331,14 +341,18 @@ def grid_is_valid(rows: Column) -> Column:
         & (filled / (F.size(rows) * width) >= MIN_FILL), F.lit(False))
 
 
+def markdown_line(row: Column) -> Column:
+    """One table row with its cells escaped."""
+    cells = F.transform(row, lambda c: F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>")))
+    return F.concat(F.lit("|"), F.array_join(cells, "|"), F.lit("|"))
+
+
 def markdown(rows: Column) -> Column:
     """A grid as a markdown table, its first row the header."""
-    def line(r: Column) -> Column:
-        cells = F.transform(r, lambda c: F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>")))
-        return F.concat(F.lit("|"), F.array_join(cells, "|"), F.lit("|"))
-
-    rule = F.concat(F.lit("|"), F.array_join(F.transform(F.get(rows, F.lit(0)), lambda _: F.lit("---")), "|"), F.lit("|"))
-    lines = F.concat(F.array(line(F.get(rows, F.lit(0))), rule), F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), line))
+    head = F.get(rows, F.lit(0))
+    rule = F.concat(F.lit("|"), F.array_join(F.transform(head, lambda _: F.lit("---")), "|"), F.lit("|"))
+    body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), markdown_line)
+    lines = F.concat(F.array(markdown_line(head), rule), body)
     return F.when(F.size(rows) == 0, "").otherwise(F.array_join(lines, "\n"))
 
 
@@ -355,7 +369,7 @@ def label_candidates(elements: DataFrame) -> DataFrame:
 def corroborated(found: DataFrame) -> DataFrame:
     """Labels whose neighbour in the same sequence is their predecessor or successor."""
     base = found.withColumn("parent", F.col("label.parent"))
-    segment = F.floor(F.col("ord") / 4096)
+    segment = None
     keys, order = ["doc_id", "parent"], ["ord", "offset"]
     near = ordered.neighbour(base, keys, order, segment, {"before": F.col("label")})
     near = ordered.neighbour(near, keys, order, segment, {"after": F.col("label")}, following=True)
@@ -456,7 +470,7 @@ def locate_headings(outline: DataFrame, elements: DataFrame) -> DataFrame:
     page, with and without a section number; the first offer of a title wins.
     """
     usable = elements.where(~F.col("type").isin("table", "figure", "furniture"))
-    pairs = ordered.neighbour(usable, ["doc_id", "page"], ["ord"], F.lit(0), {"next_text": F.col("text")}, following=True)
+    pairs = ordered.neighbour(usable, ["doc_id", "page"], ["ord"], None, {"next_text": F.col("text")}, following=True)
     text, nxt = F.col("text"), F.col("next_text")
     joined = F.when(text.endswith("-"), F.concat(F.regexp_replace(text, "-$", ""), nxt)).otherwise(F.concat_ws(" ", text, nxt))
     pair = F.when(nxt.isNotNull(), joined)
@@ -484,7 +498,7 @@ def assign_sections(elements: DataFrame, spine: DataFrame) -> DataFrame:
         "doc_id", "page", F.col("y0").alias("y"), F.lit(1).alias("after"), F.col("ord").cast("bigint").alias("tie"),
         F.lit(None).cast("struct<title:string,path:array<string>>").alias("section_row"), F.col("ord").cast("bigint").alias("ord"))
     carried = ordered.carry_forward(
-        marks.unionByName(rows), ["doc_id"], ["page", "y", "after", "tie"], page_segment(), F.col("section_row"), "found")
+        marks.unionByName(rows), ["doc_id"], ["page", "y", "after", "tie"], None, F.col("section_row"), "found")
     placed = carried.where(F.col("ord").isNotNull()).select(
         "doc_id", "ord", F.coalesce("found.title", F.lit("")).alias("section"),
         F.coalesce("found.path", F.array().cast("array<string>")).alias("section_path"))
@@ -575,7 +589,8 @@ def join_lines(lines: DataFrame, vocab: DataFrame, habits: DataFrame) -> DataFra
         doc = body["doc_id"].iloc[0] if len(body) else 0
         return pd.DataFrame({"doc_id": doc, "block": list(text), "text": [_squeeze(t) for t in text.values()]})
 
-    left, right = by_document(rows).groupBy("doc_id"), by_document(vocab).groupBy("doc_id")
+    fresh = vocab.select(*[F.col(c).alias(c) for c in ("doc_id", "word", "n", "hyphenated")])
+    left, right = by_document(rows).groupBy("doc_id"), by_document(fresh).groupBy("doc_id")
     return left.cogroup(right).applyInPandas(fold, "doc_id long, block long, text string")
 
 
@@ -621,7 +636,8 @@ def join_wrapped_lines(elements: DataFrame, profiles: DataFrame, opens: DataFram
         done["page_end"] = done["page_end"].astype("Int64")
         return done
 
-    left, right = by_document(rows).groupBy("doc_id"), by_document(vocab).groupBy("doc_id")
+    fresh = vocab.select(*[F.col(c).alias(c) for c in ("doc_id", "word", "n", "hyphenated")])
+    left, right = by_document(rows).groupBy("doc_id"), by_document(fresh).groupBy("doc_id")
     return left.cogroup(right).applyInPandas(
         fold, "doc_id long, ord long, type string, text string, page long, page_end long, x0 double, y0 double, x1 double, y1 double")
 

@@ -142,8 +142,9 @@ c AS (SELECT b.*, CASE WHEN trim(text) = '' THEN 'furniture'
 
 def _classified(src):
     blocks = src.view("blocks")
-    bands = st.margin_bands(blocks, st.column_right(blocks))
-    return st.classify(blocks, st.profile(blocks), st.furniture_patterns(blocks, bands))
+    profiles = materialize(st.profile(blocks), "profiles")
+    bands = profiles.select("doc_id", "header_band", "footer_band")
+    return st.classify(blocks, profiles, st.furniture_patterns(blocks, bands))
 
 
 @plan("p12_classify", sql=f"WITH {CLASSIFY_SQL} SELECT doc_id, line_no, type FROM c")
@@ -317,7 +318,7 @@ def p23(src):
     vocab = materialize(st.vocabulary(lines), "vocabulary")
     habits = st.breaks_hyphenate(st.line_breaks(lines, ["doc_id"]), vocab)
     profiles = st.profile(blocks).join(habits.select("doc_id", "breaks_hyphenate"), "doc_id", "left").na.fill({"breaks_hyphenate": False})
-    proven = st.corroborated(st.label_candidates(elements))
+    proven = materialize(st.corroborated(st.label_candidates(elements)), "labels")
     start = elements.withColumn("label", lb.label_at_start(F.col("text"))["label"])
     opens = start.join(proven, ["doc_id", "label"], "left_semi").select("doc_id", "ord")
     kinds = [F.col(c).cast("double").alias(c) for c in ("body_left", "body_right", "paragraph_indent")]
@@ -347,7 +348,8 @@ def p24(src):
 @plan("p24_document_spine")
 def p24_documents(src):
     elements = materialize(_elements(src), "elements")
-    spine = st.synthesize_spine(elements, st.corroborated(st.label_candidates(elements)))
+    proven = materialize(st.corroborated(st.label_candidates(elements)), "labels")
+    spine = st.synthesize_spine(elements, proven)
     return spine.select("doc_id", "ord", "level", "title", F.array_join("path", " > ").alias("path"))
 
 
