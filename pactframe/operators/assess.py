@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 # -- reports ----------------------------------------------------------------
 
 #: One stored result inside a report.
@@ -74,3 +76,402 @@ def trim_verdicts(reports: DataFrame, detail: str) -> DataFrame:
     states = F.map_from_entries(F.transform(names, lambda s: F.struct(
         s, F.size(F.filter("results", lambda r: r["compliance_state"] == s)))))
     return parsed.withColumns({"states": states, "verdicts": verdicts})
+
+
+# -- quotes -----------------------------------------------------------------
+
+# Length cap of a quote, confidence bounds, review cap, disagreement.
+MAX_QUOTE = 300
+FLOOR, CEILING, REVIEW_CAP, DISAGREEMENT = 0.05, 0.95, 0.5, 0.6
+MAX_ROUNDS = 1
+# States from best to worst, and the tool arguments that say what was searched.
+STATES = ("Fully Compliant", "Partially Compliant", "Non-Compliant")
+QUERY_ARGS = ("query", "section", "label", "prefix")
+GRAM = 3
+DRAFT = ["run_id", "criterion_id"]
+
+
+def quote_in(quote: Column, *passages: Column) -> Column:
+    """Whether the normal form of a quote lies in that of a passage; empty never."""
+    needle = tx.normal_quote(quote)
+    found = F.lit(False)
+    for passage in passages:
+        found = found | F.coalesce(F.contains(tx.normal_quote(passage), needle), F.lit(False))
+    return (needle != "") & found
+
+
+def verify_quotes(quotes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Quotes joined to the passage they cite: ``known`` and ``verified``."""
+    have = evidence.select("run_id", "evidence_id", F.col("text").alias("_passage"))
+    return quotes.join(have, ["run_id", "evidence_id"], "left").withColumns({
+        "known": F.col("_passage").isNotNull(),
+        "verified": F.coalesce(quote_in(F.col("text"), F.col("_passage")), F.lit(False))}).drop("_passage")
+
+
+def find_quotes(quotes: DataFrame, passages: DataFrame) -> DataFrame:
+    """(quote_id, passage_id) for quotes found anywhere in a table of passages.
+
+    The words strictly inside a quote must appear whole in any passage that
+    holds it, so a quote of five words or more is looked up by one run of three
+    inner words, the rarest in the passages, and only those candidates are
+    compared in full. A shorter quote has too few inner words: its first word
+    is a substring of some passage word, found over the distinct words by
+    letter trigrams. Nothing is paired without an equal key.
+    """
+    q = quotes.select("quote_id", tx.normal_quote(F.col("quote")).alias("needle")).where("needle != ''")
+    p = passages.select("passage_id", tx.normal_quote(F.col("passage")).alias("hay"))
+    split = F.split("needle", " ")
+    long_ = q.where(F.size(split) >= GRAM + 2)
+    short = q.where(F.size(split) < GRAM + 2)
+
+    def grams(words: Column, first: int, last_off: int) -> Column:
+        n = F.size(words)
+        at = F.when(n >= first + GRAM - 1 + last_off, F.sequence(F.lit(first), n - (GRAM - 1) - last_off))
+        return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.xxhash64(F.array_join(F.slice(words, i, GRAM), " ")))
+
+    wanted = long_.select("quote_id", F.explode(F.array_distinct(grams(split, 2, 1))).alias("gram"))
+    held = p.select("passage_id", F.explode(F.array_distinct(grams(F.split("hay", " "), 1, 0))).alias("gram")).join(
+        wanted.select("gram").distinct(), "gram", "left_semi")
+    spread = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(spread, "gram", "left").groupBy("quote_id").agg(
+        F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("r"))
+    pairs = rarest.where(F.col("r.n").isNotNull()).select("quote_id", F.col("r.gram").alias("gram")).join(held, "gram").select("quote_id", "passage_id")
+
+    first_word = short.select("quote_id", F.split("needle", " ")[0].alias("w"))
+    key = first_word.withColumn("g", F.substring("w", 1, GRAM))
+    tokens = p.select("passage_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("token"))
+    letters = tokens.select("token").distinct().select("token", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.char_length("token"), F.lit(1))),
+        lambda i: F.array(*[F.substr("token", i, F.lit(k)) for k in range(1, GRAM + 1)]))))).alias("g"))
+    hits = key.join(letters, "g").where(F.contains("token", "w")).select("quote_id", "token").distinct()
+    pairs = pairs.unionByName(hits.join(tokens, "token").select("quote_id", "passage_id")).distinct()
+    return pairs.join(q, "quote_id").join(p, "passage_id").where(F.contains("hay", "needle")).select("quote_id", "passage_id")
+
+
+def derived_state(met: Column, settled: Column, total: Column) -> Column:
+    """State implied by counts of met, of met or partial, and of all statuses."""
+    return (
+        F.when((total > 0) & (met == total), STATES[0]).when(settled > 0, STATES[1]).otherwise(STATES[2])
+    )
+
+
+def derived_states(subs: DataFrame) -> DataFrame:
+    met = F.count(F.when(F.col("status") == "met", 1))
+    settled = F.count(F.when(F.col("status").isin("met", "partial"), 1))
+    return subs.groupBy(*DRAFT).agg(derived_state(met, settled, F.count(F.lit(1))).alias("implied"))
+
+
+# -- structural checks ------------------------------------------------------
+
+
+def _violations(rows: DataFrame, keys: list[str], rules: list[tuple[Column, Column, str]]) -> DataFrame:
+    """One row (path, code) per rule that holds on a row."""
+    found = F.filter(
+        F.array(*[F.when(bad, F.struct(path.alias("path"), F.lit(code).alias("code"))) for bad, path, code in rules]),
+        lambda v: v.isNotNull())
+    return rows.select(*keys, F.inline(found))
+
+
+def _at(name: str, index: Column, field: str = "") -> Column:
+    return F.concat(F.lit(f"{name}["), index.cast("string"), F.lit(f"]{field}"))
+
+
+def validate_structure(
+    drafts: DataFrame, quotes: DataFrame, subs: DataFrame, evidence: DataFrame, criteria: DataFrame
+) -> DataFrame:
+    """Every structural violation of every draft as (run_id, criterion_id, path, code).
+
+    Quotes hold (idx, text, evidence_id), sub-requirements (pos, sub_id, status,
+    quote_indexes) and criteria (criterion_id, question, sub_ids).
+    """
+    checked = verify_quotes(quotes, evidence).withColumn("_norm", tx.normal_quote(F.col("text")))
+    first = checked.groupBy(*DRAFT, "_norm", "evidence_id").agg(F.min("idx").alias("_first"))
+    rows = checked.join(first, [*DRAFT, "_norm", "evidence_id"])
+    i, name = F.col("idx"), "relevant_quotes"
+    quote_errors = _violations(rows, DRAFT, [
+        (~F.col("known"), _at(name, i, ".evidence_id"), "unknown_evidence"),
+        (F.col("known") & ~F.col("verified"), _at(name, i, ".text"), "not_verbatim"),
+        (F.char_length("text") > MAX_QUOTE, _at(name, i, ".text"), "too_long"),
+        (tx.strip(F.col("text")) == "", _at(name, i, ".text"), "empty"),
+        (i > F.col("_first"), _at(name, i), "duplicate")])
+
+    counts = quotes.groupBy(*DRAFT).agg(F.count(F.lit(1)).alias("_n"))
+    cited = subs.join(counts, DRAFT, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    pos, used, status = F.col("pos"), F.size("quote_indexes") > 0, F.col("status")
+    path = _at("sub_requirements", pos, ".quote_indexes")
+    sub_errors = _violations(cited, DRAFT, [
+        (F.exists("quote_indexes", lambda q: (q < 0) | (q >= F.col("_n"))), path, "out_of_range"),
+        (status.isin("met", "partial") & ~used, path, "needs_quote"),
+        (status.isin("missing", "not_determined") & used, path, "unexpected_quote")])
+
+    got = subs.groupBy(*DRAFT).agg(
+        F.array_sort(F.collect_list("sub_id")).alias("got"), F.count(F.when(status == "met", 1)).alias("_met"),
+        F.count(F.when(status.isin("met", "partial"), 1)).alias("_set"), F.count(F.lit(1)).alias("_all"))
+    dims = criteria.select("criterion_id", F.col("question").alias("_question"), F.array_sort("sub_ids").alias("_want"))
+    whole = drafts.join(dims, "criterion_id").join(got, DRAFT, "left").withColumn(
+        "_same", F.coalesce(F.col("got") == F.col("_want"), F.lit(False)))
+    implied = derived_state(F.col("_met"), F.col("_set"), F.col("_all"))
+    draft_errors = _violations(whole, DRAFT, [
+        (F.col("question") != F.col("_question"), F.lit("compliance_question"), "not_verbatim"),
+        (~F.col("_same"), F.lit("sub_requirements"), "ids"),
+        (F.col("_same") & (F.col("state") != implied), F.lit("compliance_state"), "inconsistent"),
+        (tx.strip(F.col("rationale")) == "", F.lit("rationale"), "empty"),
+        (~F.col("raw_confidence").between(0, 1), F.lit("raw_confidence"), "range")])
+    return quote_errors.unionByName(sub_errors).unionByName(draft_errors)
+
+
+def keep_quotes(quotes: DataFrame, errors: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Quotes without a violation, renumbered from 0 in their draft."""
+    failed = errors.where(F.col("path").startswith("relevant_quotes[")).select(
+        *DRAFT, F.regexp_extract("path", r"\[(\d+)\]", 1).cast("int").alias("idx")).distinct()
+    kept = verify_quotes(quotes, evidence).join(failed, [*DRAFT, "idx"], "left_anti")
+    return kept.withColumn("new_idx", F.row_number().over(Window.partitionBy(*DRAFT).orderBy("idx")) - 1)
+
+
+def remap_indexes(subs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Sub-requirements pointing at the renumbered quotes; dropped ones vanish."""
+    cites = subs.select(*DRAFT, "pos", F.posexplode("quote_indexes").alias("slot", "idx"))
+    moved = cites.join(kept.select(*DRAFT, "idx", "new_idx"), [*DRAFT, "idx"]).groupBy(*DRAFT, "pos").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("slot", "new_idx"))), lambda x: x["new_idx"]).alias("quote_indexes"))
+    return subs.drop("quote_indexes").join(moved, [*DRAFT, "pos"], "left").withColumn(
+        "quote_indexes", F.coalesce("quote_indexes", F.array().cast("array<int>")))
+
+
+def undetermined(drafts: DataFrame, subs: DataFrame, expected: DataFrame) -> DataFrame:
+    """Statuses ``not_determined`` plus expected sub-requirements a draft left out."""
+    open_ = subs.groupBy(*DRAFT).agg(F.count(F.when(F.col("status") == "not_determined", 1)).alias("open"))
+    present = subs.join(expected, ["criterion_id", "sub_id"], "left_semi").groupBy(*DRAFT).agg(F.countDistinct("sub_id").alias("present"))
+    size = expected.groupBy("criterion_id").agg(F.count(F.lit(1)).alias("total"))
+    out = drafts.select(*DRAFT).join(size, "criterion_id").join(open_, DRAFT, "left").join(present, DRAFT, "left")
+    return out.select(*DRAFT, "total", (F.coalesce("open", F.lit(0)) + F.col("total") - F.coalesce("present", F.lit(0))).alias("not_determined"))
+
+
+# -- confidence -------------------------------------------------------------
+
+
+def confidence(
+    raw: Column, *, verified: Column, claimed: Column, not_determined: Column, total: Column, needs_review: Column,
+    ended_by: Column, critic: Column, support: Column, agreed: Column,
+) -> dict[str, Column]:
+    """The composed score and its parts; ``critic`` and ``support`` may be NULL."""
+    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    own = unit(raw)
+    quote_term = F.coalesce(support, F.when(claimed > 0, verified / claimed).otherwise(1.0))
+    coverage = F.when(total > 0, 1 - not_determined / total).otherwise(1.0)
+    estimate = F.when(critic.isNull(), own).otherwise(F.least(own, unit(critic)))
+    agreement = F.when(agreed, 1.0).otherwise(DISAGREEMENT)
+    value = estimate * quote_term * coverage * agreement
+    capped = needs_review | (ended_by == "cap")
+    held = F.when(capped, F.least(value, F.lit(REVIEW_CAP))).otherwise(value)
+    parts = F.map_from_arrays(
+        F.array(*[F.lit(n) for n in ("raw", "quote_term", "coverage", "cap")]),
+        F.array(own, F.round(quote_term, 3), F.round(coverage, 3), F.when(capped, REVIEW_CAP).otherwise(1.0)))
+    judged = F.map_from_arrays(F.array(F.lit("critic"), F.lit("agreement")), F.array(F.round(unit(critic), 3), agreement))
+    return {
+        "confidence": F.round(F.least(F.lit(CEILING), F.greatest(F.lit(FLOOR), held)), 3),
+        "components": F.when(critic.isNull(), parts).otherwise(F.map_concat(parts, judged)),
+    }
+
+
+def bucket(value: Column) -> Column:
+    return F.when(value >= 0.75, "High").when(value >= 0.5, "Medium").otherwise("Low")
+
+
+# -- terms ------------------------------------------------------------------
+
+
+def distinctive_terms(subs: DataFrame) -> DataFrame:
+    """Terms of each sub-requirement that neither siblings nor the criterion share.
+
+    ``subs`` hold (criterion_id, sub_id, requirement, criterion_requirement).
+    Sharing is a count per (criterion, term); a criterion with very many
+    sub-requirements is spread over its terms. Falls back to all terms.
+    """
+    terms = subs.select("criterion_id", "sub_id", "criterion_requirement", F.explode_outer(tx.content_terms(F.col("requirement"))).alias("term"))
+    shared = terms.groupBy("criterion_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    marked = terms.join(shared, ["criterion_id", "term"], "left")
+    own = (F.col("n") == 1) & ~F.array_contains(tx.content_terms(F.col("criterion_requirement")), F.col("term"))
+    return marked.groupBy("criterion_id", "sub_id").agg(
+        F.array_sort(F.collect_set(F.when(own, F.col("term")))).alias("own"), F.array_sort(F.collect_set("term")).alias("every"),
+    ).select("criterion_id", "sub_id", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("every")).alias("terms"))
+
+
+def unsearched(missing: DataFrame, terms: DataFrame, queries: DataFrame) -> DataFrame:
+    """Missing sub-requirements (run, criterion, sub) no query of the run looked for."""
+    gaps = missing.join(terms, ["criterion_id", "sub_id"]).where(F.size("terms") > 0)
+    asked = queries.select("run_id", F.explode(tx.content_terms(F.col("query"))).alias("term")).distinct()
+    covered = gaps.select(*DRAFT, "sub_id", F.explode("terms").alias("term")).join(asked, ["run_id", "term"], "left_semi")
+    return gaps.join(covered.select(*DRAFT, "sub_id").distinct(), [*DRAFT, "sub_id"], "left_anti").select(*DRAFT, "sub_id")
+
+
+def precheck(quotes: DataFrame, subs: DataFrame) -> DataFrame:
+    """Hedge terms of the quotes cited under a met or partial status; others none."""
+    cited = subs.where(F.col("status").isin("met", "partial")).select(*DRAFT, F.explode("quote_indexes").alias("idx")).distinct()
+    rows = quotes.join(cited.withColumn("_cited", F.lit(True)), [*DRAFT, "idx"], "left")
+    none = F.array().cast("array<string>")
+    return rows.withColumn("hedge_terms", F.when(F.col("_cited"), tx.hedge_terms(tx.normal_quote(F.col("text")))).otherwise(none)).drop("_cited")
+
+
+def search_queries(calls: DataFrame) -> DataFrame:
+    """Text arguments of tool calls (run_id, seq, args map) that say what was searched."""
+    names = F.array(*[F.lit(n) for n in QUERY_ARGS])
+    picked = calls.select("run_id", "seq", F.explode("args").alias("name", "query"))
+    return picked.where(F.array_contains(names, F.col("name")) & (tx.strip(F.coalesce("query", F.lit(""))) != ""))
+
+
+def cited_passages(quotes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Per draft only the passages its quotes cite."""
+    cites = quotes.select(*DRAFT, "evidence_id").distinct()
+    return cites.join(evidence, ["run_id", "evidence_id"])
+
+
+# -- findings and decisions -------------------------------------------------
+
+KEY = ["run_id", "criterion_id", "round"]
+
+
+def support_ratio(support: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Share of judged claims that carried: partial counts whole when partial was claimed."""
+    claimed = statuses.select(*DRAFT, "sub_id", F.col("status").alias("_claimed"))
+    score = (
+        F.when(F.col("support") == "supports", 1.0)
+        .when((F.col("support") == "partial") & (F.coalesce("_claimed", F.lit("")) == "partial"), 1.0)
+        .when(F.col("support") == "partial", 0.5).otherwise(0.0))
+    return support.join(claimed, [*DRAFT, "sub_id"], "left").groupBy(*KEY).agg(F.avg(score).alias("support_ratio"))
+
+
+def validate_findings(findings: DataFrame, support: DataFrame, agreements: DataFrame, missing: DataFrame,
+                      quote_counts: DataFrame, known_subs: DataFrame) -> DataFrame:
+    """Findings that refer to nothing: (run, criterion, round, path, code)."""
+    known = known_subs.select(*DRAFT, "sub_id", F.lit(True).alias("_known")).distinct()
+    judged = support.join(quote_counts, DRAFT, "left").join(known, [*DRAFT, "sub_id"], "left")
+    n, i, name = F.coalesce("n_quotes", F.lit(0)), F.col("pos"), "quote_support"
+    out_of_range = (F.col("quote_index") < 0) | (F.col("quote_index") >= n)
+    a = _violations(judged, KEY, [
+        (out_of_range, _at(name, i, ".quote_index"), "out_of_range"),
+        (F.col("_known").isNull(), _at(name, i, ".sub_requirement_id"), "unknown_sub_requirement")])
+    first = agreements.groupBy(*KEY, "sub_id").agg(F.min("pos").alias("_first"))
+    rated = agreements.join(first, [*KEY, "sub_id"]).join(known, [*DRAFT, "sub_id"], "left")
+    b = _violations(rated, KEY, [
+        (F.col("_known").isNull(), _at("status_agreement", i, ".sub_requirement_id"), "unknown_sub_requirement"),
+        (F.col("_known").isNotNull() & (i > F.col("_first")), _at("status_agreement", i), "duplicate")])
+    lost = missing.join(known, [*DRAFT, "sub_id"], "left_anti").select(*KEY).distinct()
+    c = lost.select(*KEY, F.lit("missing_searches").alias("path"), F.lit("unknown_sub_requirement").alias("code"))
+    d = findings.where(~F.col("critic_confidence").between(0, 1)).select(
+        *KEY, F.lit("critic_confidence").alias("path"), F.lit("range").alias("code"))
+    return a.unionByName(b).unionByName(c).unionByName(d)
+
+
+def merge_gaps(critic: Column, prechecked: Column) -> Column:
+    """Gaps of the critic and of the pre-check, sorted; none is ever removed."""
+    return F.array_sort(F.array_union(critic, prechecked))
+
+
+def disputed(support: DataFrame, agreements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (support.where(F.col("support").isin("irrelevant", "contradicts")),
+            agreements.where(F.col("agreement") != "agree"))
+
+
+def decide(findings: DataFrame, support: DataFrame, agreements: DataFrame, missing: DataFrame,
+           max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """accept, revise (research before redraft) or fallback, with ordered reason codes."""
+    quotes, statuses = disputed(support, agreements)
+    reasons = (
+        quotes.select(*KEY, F.lit(1).alias("o"), "pos", F.concat(F.lit("quote_"), "support").alias("reason"))
+        .unionByName(statuses.select(*KEY, F.lit(2).alias("o"), "pos", F.concat(F.lit("status_"), "agreement").alias("reason")))
+        .unionByName(findings.where("state_agreement = 'disagree'").select(*KEY, F.lit(3).alias("o"), F.lit(0).alias("pos"), F.lit("state_disagreement").alias("reason")))
+        .unionByName(missing.select(*KEY, F.lit(4).alias("o"), "pos", F.lit("unsearched_requirement").alias("reason"))))
+    listed = reasons.groupBy(*KEY).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("o", "pos", "reason"))), lambda r: r["reason"]).alias("reasons"))
+    out = findings.join(listed, KEY, "left")
+    none = F.col("reasons").isNull()
+    verdict = F.when(none, "accept").when(F.col("round") >= max_rounds, "fallback").otherwise("revise")
+    research = F.array_contains(F.coalesce("reasons", F.array().cast("array<string>")), "unsearched_requirement")
+    return out.withColumns({
+        "verdict": verdict, "reasons": F.coalesce("reasons", F.array().cast("array<string>")),
+        "mode": F.when(verdict == "revise", F.when(research, "research").otherwise("redraft"))})
+
+
+def instructions(support: DataFrame, agreements: DataFrame) -> DataFrame:
+    """What a revision is told about each disputed quote and status, defect only."""
+    quotes, statuses = disputed(support, agreements)
+    told = F.concat(
+        F.lit("relevant_quotes["), F.col("quote_index").cast("string"), F.lit("] does not carry sub-requirement "), "sub_id",
+        F.lit(": a reader of that passage alone found it "), "support")
+    rated = F.concat(F.lit("the status of sub-requirement "), "sub_id", F.lit(" is "), F.replace("agreement", F.lit("_"), F.lit(" ")), F.lit(" for the language quoted"))
+    return quotes.select(*KEY, "pos", told.alias("instruction")).unionByName(statuses.select(*KEY, "pos", rated.alias("instruction")))
+
+
+def best_round(candidates: DataFrame) -> DataFrame:
+    """Per draft the round with fewest open errors, then the higher critic, then the later."""
+    rest = [c for c in candidates.columns if c not in DRAFT]
+    order = F.struct(F.col("errors"), (-F.col("critic_confidence")).alias("c"), (-F.col("round")).alias("r"))
+    return candidates.groupBy(*DRAFT).agg(F.min_by(F.struct(*rest), order).alias("b")).select(*DRAFT, "b.*")
+
+
+def finalize(results: DataFrame) -> DataFrame:
+    """Close out results joined with their verdict, findings and evaluator cost."""
+    review = (F.col("needs_review") == 1) | (F.col("verdict") != "accept")
+    scored = confidence(
+        F.col("raw_confidence"), verified=F.col("verified"), claimed=F.col("claimed"), not_determined=F.col("not_determined"),
+        total=F.col("total"), needs_review=review, ended_by=F.col("ended_by"), critic=F.col("critic_confidence"),
+        support=F.col("support_ratio"), agreed=F.coalesce(F.col("state_agreement") == "agree", F.lit(True)))
+    return results.withColumns({
+        **scored, "needs_review": review, "cost_usd": F.round(F.col("cost_usd") + F.coalesce("evaluator_cost_usd", F.lit(0.0)), 6)})
+
+
+def cross_criterion(gaps: DataFrame, quotes: DataFrame) -> DataFrame:
+    """One note per gap: the first verified quote of another criterion that mentions it.
+
+    ``gaps`` are missing sub-requirements with their distinctive ``terms``. The
+    join is on (run, term), never all gaps against all quotes.
+    """
+    g = gaps.select("run_id", "criterion_id", "sub_id", F.explode("terms").alias("term"))
+    q = quotes.where("verified").select(
+        "run_id", F.col("criterion_id").alias("other"), "idx", "where", F.explode(tx.content_terms(F.col("text"))).alias("term"))
+    shared = g.join(q, ["run_id", "term"]).where(F.col("other") != F.col("criterion_id")).groupBy(
+        "run_id", "criterion_id", "sub_id", "other", "idx").agg(
+        F.array_join(F.array_sort(F.collect_set("term")), ", ").alias("mentions"), F.first("where").alias("where"))
+    return shared.groupBy("run_id", "criterion_id", "sub_id").agg(
+        F.min_by(F.struct("other", "where", "mentions"), F.struct("other", "idx")).alias("n")).select(
+        "run_id", "criterion_id", "sub_id", "n.*")
+
+
+# -- runs -------------------------------------------------------------------
+
+
+def totals(results: DataFrame) -> DataFrame:
+    """Sums, counts and mean confidence of each run's results."""
+    hit = lambda c: F.count(F.when(c, 1))
+    verdict = F.col("verdict")
+    return results.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("criteria"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.sum("tool_calls").alias("tool_calls"), hit(F.col("needs_review") == 1).alias("needs_review"),
+        hit(F.col("ended_by") == "cap").alias("capped"), F.round(F.avg("confidence"), 4).alias("mean_confidence"),
+        hit(F.col("rounds") > 0).alias("revised"), *[hit(verdict == v).alias(n) for v, n in (
+            ("accept", "accepted"), ("fallback", "fallback"), ("unevaluated", "unevaluated"))],
+        F.round(F.sum("evaluator_cost_usd"), 6).alias("evaluator_cost_usd"))
+
+
+def select_criteria(requests: DataFrame, criteria: DataFrame) -> DataFrame:
+    """Requested ids in definition order; unknown ids keep a NULL position."""
+    return requests.join(criteria.select("criterion_id", "position"), "criterion_id", "left")
+
+
+def skipped_criteria(selected: DataFrame, results: DataFrame) -> DataFrame:
+    done = results.select("run_id", "criterion_id")
+    return selected.where(F.col("position").isNotNull()).join(done, ["run_id", "criterion_id"], "left_anti")
+
+
+def overview(results: DataFrame) -> DataFrame:
+    """Worst state, quote counts and flagged results of each run."""
+    severity = F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col("state"))
+    return results.groupBy("run_id").agg(
+        F.max_by("state", severity).alias("overall_state"), F.sum("verified").alias("quotes_verified"), F.sum("claimed").alias("quotes_total"),
+        F.count(F.when(F.col("needs_review") == 1, 1)).alias("flagged"))
+
+
+def met_words(subs: DataFrame) -> DataFrame:
+    met = F.count(F.when(F.col("status") == "met", 1)).cast("string")
+    return subs.groupBy(*DRAFT).agg(F.concat_ws(" ", met, F.lit("of"), F.count(F.lit(1)).cast("string"), F.lit("met")).alias("words"))

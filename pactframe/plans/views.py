@@ -208,6 +208,56 @@ SELECT doc_id, page, block_no, CASE WHEN block_no = 7 THEN '||' WHEN page % 2 =
   FROM (SELECT doc_id, page, block_no, substring(text, 1, 6) AS w1, substring(text, 8, 5) AS w2, substring(text, 14, 4) AS w3
           FROM v_blocks WHERE kind IN ('text', 'clause', 'dots') AND text NOT LIKE '%|%') g"""
 
+#: Drafts of two criteria per run; every line of an order is one quote and one
+#: sub-requirement of the draft it falls in.
+VIEWS["v_draft_rows"] = """
+SELECT run_id, CAST(line % 2 AS INT) AS criterion_id, line, l_partkey, l_suppkey, l_shipdate, l_discount, l_tax, l_returnflag,
+       CAST(row_number() OVER (PARTITION BY run_id, line % 2 ORDER BY line) - 1 AS INT) AS idx,
+       coalesce(p_name, 'plain item') AS p_name
+  FROM v_criterion_rows LEFT JOIN @part ON p_partkey = l_partkey"""
+
+VIEWS["v_evidence"] = """
+SELECT run_id, concat('E', CAST(line AS STRING)) AS evidence_id, line AS entry, concat(CAST(line AS STRING), '. Section') AS section,
+       CAST(l_suppkey AS STRING) AS page,
+       concat('Item ', CAST(l_partkey AS STRING), ' | supplier – ', CAST(l_suppkey AS STRING), '  may ship   on time, ', p_name) AS text
+  FROM v_draft_rows"""
+
+VIEWS["v_draft_quotes"] = """
+SELECT run_id, criterion_id, idx,
+       CASE WHEN l_suppkey % 9 = 0 THEN 'E99' WHEN line >= 3 AND l_partkey % 6 = 0 THEN 'E1' ELSE concat('E', CAST(line AS STRING)) END AS evidence_id,
+       CASE WHEN l_suppkey % 37 = 0 THEN '   ' WHEN line >= 3 AND l_partkey % 6 = 0 THEN 'ITEM'
+            WHEN l_partkey % 31 = 0 THEN repeat(concat('item ', CAST(l_partkey AS STRING), ' and more '), 30)
+            WHEN l_partkey % 5 = 0 THEN concat('ITEM ', CAST(l_partkey AS STRING), ' supplier: none')
+            ELSE concat('ITEM ', CAST(l_partkey AS STRING), ' supplier - ', CAST(l_suppkey AS STRING), ' may  ship on time') END AS text
+  FROM v_draft_rows"""
+
+VIEWS["v_draft_subs"] = """
+SELECT run_id, criterion_id, idx AS pos, concat('s', CAST(idx AS STRING)) AS sub_id, p_name AS requirement,
+       CASE WHEN l_returnflag = 'A' THEN 'met' WHEN l_returnflag = 'N' THEN 'partial' WHEN l_partkey % 4 = 0 THEN 'not_determined' ELSE 'missing' END AS status,
+       CASE WHEN l_partkey % 8 = 0 THEN 2 WHEN l_returnflag IN ('A', 'N') AND l_partkey % 7 <> 0 THEN 1 WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END AS cites
+  FROM v_draft_rows"""
+
+VIEWS["v_drafts"] = """
+SELECT run_id, criterion_id, CASE WHEN max(l_suppkey) % 17 = 0 THEN 'Is it so?' ELSE concat('Question ', CAST(criterion_id AS STRING)) END AS question,
+       CASE WHEN max(l_returnflag) = 'A' THEN 'Fully Compliant' WHEN max(l_returnflag) = 'N' THEN 'Partially Compliant' ELSE 'Non-Compliant' END AS state,
+       CASE WHEN max(l_partkey) % 13 = 0 THEN ' ' ELSE 'because' END AS rationale,
+       1 - CAST(round(max(l_discount) * 100) AS INT) / 8 AS raw_confidence, count(*) AS n_quotes
+  FROM v_draft_rows GROUP BY run_id, criterion_id"""
+
+#: Up to three rounds of findings per draft.
+VIEWS["v_findings"] = """
+SELECT run_id, line AS criterion_id, CAST(l_suppkey % 3 AS INT) AS round, CAST(l_partkey % 4 AS INT) AS n_support,
+       CASE WHEN l_suppkey % 5 = 0 THEN 'disagree' ELSE 'agree' END AS state_agreement,
+       CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END AS n_missing, CAST(l_suppkey % 4 AS INT) AS n_status,
+       (l_partkey % 80) / 64 AS critic_confidence, l_partkey, l_suppkey
+  FROM v_criterion_rows"""
+
+VIEWS["v_subparts"] = """
+SELECT p_brand AS criterion_id, concat('p', CAST(p_partkey AS STRING)) AS sub_id, p_partkey,
+       concat(p_name, ' ', p_type, ' size', CAST(p_size AS STRING)) AS requirement,
+       concat(p_brand, ' must cover large items') AS criterion_requirement
+  FROM @part"""
+
 _NAME = re.compile(r"\bv_[a-z_]+\b")
 _TABLE = re.compile(r"@([a-z]+)")
 
