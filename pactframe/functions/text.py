@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -60,14 +61,30 @@ STOPWORDS = (
 CHARS_PER_TOKEN = 4
 
 
+def _suspects() -> str:
+    """Characters NFKC may change, as a class body: exact for Latin and general
+    punctuation, and every other character from Greek on."""
+    exact = [c for block in (range(0x80, 0x370), range(0x2000, 0x2070)) for c in block
+             if unicodedata.combining(chr(c)) or unicodedata.normalize("NFKC", chr(c)) != chr(c)]
+    return "".join(rf"\x{{{c:X}}}" for c in exact) + r"\x{370}-\x{1FFF}\x{2070}-\x{10FFFF}"
+
+
+SUSPECT = rf"(?=[^\x00-\x7F])[{_suspects()}]"
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once per row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 @F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility form; ASCII rows never leave the JVM as text."""
-    odd = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    """Unicode compatibility form; only rows it may change leave the JVM as text."""
+    odd = F.when(text.rlike(SUSPECT), text)
     return F.coalesce(_nfkc(odd), text)
 
 
@@ -131,21 +148,24 @@ SENTENCE_BREAK = _sentence_break()
 def sentences(text: Column) -> Column:
     """Sentences, not broken after an abbreviation or an initial."""
     parts = F.filter(F.transform(F.split(text, SENTENCE_BREAK, -1), strip), lambda s: s != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(strip(text)))
+    return bind(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(strip(text))))
 
 
 def hedge_terms(normal_text: Column) -> Column:
     """Hedges found on word boundaries of a normal form, in lexicon order."""
-    hit = [F.when(normal_text.rlike(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])"), F.lit(t)) for t in HEDGES]
-    return F.array_compact(F.array(*hit))
+    def found(text: Column) -> Column:
+        return F.array_compact(F.array(*[
+            F.when(F.contains(text, F.lit(t)) & text.rlike(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])"), F.lit(t))
+            for t in HEDGES]))
+
+    return bind(normal_text, found)
 
 
 def stem(word: Column) -> Column:
     """Four suffix rules: plural s, then ing / ion / ed, else a final e."""
-    singular = F.regexp_replace(word, r"^(.{3,}[^s])s$", "$1")
-    return F.when(
+    return bind(F.regexp_replace(word, r"^(.{3,}[^s])s$", "$1"), lambda singular: F.when(
         singular.rlike(r"^.{4,}(?:ing|ion|ed)$"), F.regexp_replace(singular, r"(?:ing|ion|ed)$", "")
-    ).otherwise(F.regexp_replace(singular, r"^(.{4,})e$", "$1"))
+    ).otherwise(F.regexp_replace(singular, r"^(.{4,})e$", "$1")))
 
 
 def content_terms(text: Column) -> Column:

@@ -93,11 +93,10 @@ DRAFT = ["run_id", "criterion_id"]
 
 def quote_in(quote: Column, *passages: Column) -> Column:
     """Whether the normal form of a quote lies in that of a passage; empty never."""
-    needle = tx.normal_quote(quote)
-    found = F.lit(False)
-    for passage in passages:
-        found = found | F.coalesce(F.contains(tx.normal_quote(passage), needle), F.lit(False))
-    return (needle != "") & found
+    forms = F.struct(
+        tx.normal_quote(quote).alias("needle"), F.array(*[tx.normal_quote(p) for p in passages]).alias("hay"))
+    return tx.bind(forms, lambda f: (f["needle"] != "") & F.exists(
+        f["hay"], lambda h: F.coalesce(F.contains(h, f["needle"]), F.lit(False))))
 
 
 def verify_quotes(quotes: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -124,13 +123,17 @@ def find_quotes(quotes: DataFrame, passages: DataFrame) -> DataFrame:
     long_ = q.where(F.size(split) >= GRAM + 2)
     short = q.where(F.size(split) < GRAM + 2)
 
-    def grams(words: Column, first: int, last_off: int) -> Column:
-        n = F.size(words)
-        at = F.when(n >= first + GRAM - 1 + last_off, F.sequence(F.lit(first), n - (GRAM - 1) - last_off))
-        return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.xxhash64(F.array_join(F.slice(words, i, GRAM), " ")))
+    def grams(text: str, first: int, last_off: int) -> Column:
+        def hashes(words: Column) -> Column:
+            n = F.size(words)
+            at = F.when(n >= first + GRAM - 1 + last_off, F.sequence(F.lit(first), n - (GRAM - 1) - last_off))
+            return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.xxhash64(
+                *[F.element_at(words, i + k) for k in range(GRAM)]))
 
-    wanted = long_.select("quote_id", F.explode(F.array_distinct(grams(split, 2, 1))).alias("gram"))
-    held = p.select("passage_id", F.explode(F.array_distinct(grams(F.split("hay", " "), 1, 0))).alias("gram")).join(
+        return F.array_distinct(tx.bind(F.split(F.col(text), " "), hashes))
+
+    wanted = long_.select("quote_id", F.explode(grams("needle", 2, 1)).alias("gram"))
+    held = p.select("passage_id", F.explode(grams("hay", 1, 0)).alias("gram")).join(
         wanted.select("gram").distinct(), "gram", "left_semi")
     spread = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = wanted.join(spread, "gram", "left").groupBy("quote_id").agg(

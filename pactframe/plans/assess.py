@@ -347,7 +347,7 @@ tn AS (SELECT *, count(*) OVER (PARTITION BY run_id, criterion_id, term) = 1 AS
 dt AS (SELECT run_id, criterion_id, sub_id, status, CASE WHEN count(*) FILTER (own) > 0 THEN list(term) FILTER (own) ELSE list(term) END AS terms FROM tn GROUP BY 1, 2, 3, 4),
 g AS (SELECT run_id, criterion_id, sub_id, unnest(terms) AS term FROM dt WHERE status = 'missing'),
 qt AS (SELECT q.run_id, q.criterion_id AS other, q.idx, s.p_name AS nm, unnest({_terms("concat(s.p_name, ' ', q.text)")}) AS term FROM q JOIN v_draft_rows s ON s.run_id = q.run_id AND s.criterion_id = q.criterion_id AND s.idx = q.idx WHERE verified),
-sh AS (SELECT g.run_id, criterion_id, sub_id, other, idx, any_value(nm) AS "where", string_agg(DISTINCT term, ', ' ORDER BY term) AS mentions FROM g JOIN qt ON qt.run_id = g.run_id AND qt.term = g.term AND other <> criterion_id GROUP BY 1, 2, 3, 4, 5)
+sh AS (SELECT g.run_id, criterion_id, sub_id, other, idx, any_value(nm) AS "where", string_agg(DISTINCT g.term, ', ' ORDER BY g.term) AS mentions FROM g JOIN qt ON qt.run_id = g.run_id AND qt.term = g.term AND other <> criterion_id GROUP BY 1, 2, 3, 4, 5)
 SELECT run_id, criterion_id, sub_id, other, "where", mentions FROM sh QUALIFY row_number() OVER (PARTITION BY run_id, criterion_id, sub_id ORDER BY other, idx) = 1""")
 def a22(src):
     subs = src.view("draft_subs")
