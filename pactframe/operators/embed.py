@@ -78,7 +78,7 @@ def embed_table(
 def embedding_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Dollars for billed tokens; an unknown model costs nothing."""
     cost = F.round(F.col("tokens") * F.coalesce("rate", F.lit(0.0)) / 1_000_000, 8)
-    return usage.join(F.broadcast(prices), "model", "left").withColumn(
+    return usage.join(prices, "model", "left").withColumn(
         "cost_usd", F.when(F.col("tokens") > 0, cost).otherwise(0.0)).drop("rate")
 
 

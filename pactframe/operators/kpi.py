@@ -98,10 +98,11 @@ def settled(runs: DataFrame) -> DataFrame:
 def run_percentiles(runs: DataFrame, *keys: str) -> DataFrame:
     """p50 and p95 of duration and cost over settled runs that carry the value.
 
-    Keys are buckets of a window or another dimension of bounded size.
+    Only the buckets of an axis have a bound of their own; the groups of any
+    other key are joined, not broadcast by force.
     """
     found = nearest_rank(
-        settled(runs), keys, ("job_duration_s", "cost_usd"), (50, 95), bounded_groups=True)
+        settled(runs), keys, ("job_duration_s", "cost_usd"), (50, 95), bounded_groups=keys == ("bucket",))
     return found.withColumnsRenamed({
         "job_duration_s_p50": "duration_p50", "job_duration_s_p95": "duration_p95",
         "cost_usd_p50": "cost_p50", "cost_usd_p95": "cost_p95"})
@@ -528,7 +529,7 @@ def price_calls(calls: DataFrame, prices: DataFrame, places: int = 6) -> DataFra
         + F.col("cache_write_tokens") * F.col("rate_in") * CACHE_WRITE
         + F.col("output_tokens") * F.col("rate_out")
     ) / 1_000_000
-    return calls.join(F.broadcast(prices), "model", "left").withColumns({
+    return calls.join(prices, "model", "left").withColumns({
         "is_priced": F.col("rate_in").isNotNull(),
         "call_cost_usd": F.coalesce(F.round(dollars, places), F.lit(0.0)),
     }).drop("rate_in", "rate_out")

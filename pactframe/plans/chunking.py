@@ -128,24 +128,24 @@ def c9(src):
 
 
 @plan("c10_table_parts", sql=r"""
-WITH RECURSIVE x AS (SELECT doc_id, CAST((line_no - line_no % 12) / 12 AS BIGINT) AS page, line_no, concat('|', line_no, '|', replace(substring(line, 1, 60), '|', '\|'), '|') AS l FROM v_lines),
+WITH RECURSIVE x AS (SELECT doc_id, CAST((line_no - line_no % 12) / 12 AS BIGINT) AS page, line_no, concat('|', line_no, '|', replace(line, '|', '\|'), '|') AS l FROM v_lines
+  UNION ALL SELECT DISTINCT doc_id, CAST((line_no - line_no % 12) / 12 AS BIGINT), -1, '|0|The parties to this schedule|' FROM v_lines),
 g AS (SELECT doc_id, page, string_agg(l, chr(10) ORDER BY line_no) AS body, count(*) AS n, concat('Table ', page) AS caption FROM x GROUP BY 1, 2),
 h AS (SELECT *, concat('|No|Text|', chr(10), '|---|---|') AS head FROM g),
 f AS (SELECT *, (length(concat(caption, chr(10), head, chr(10), body)) + 3) // 4 <= 100 AS fits FROM h),
-q AS (SELECT x.*, length(x.l) + 1 AS len, (length(caption) + 3) // 4 + 8 AS o, row_number() OVER (PARTITION BY x.doc_id, x.page ORDER BY line_no) AS i FROM x JOIN f USING (doc_id, page) WHERE NOT fits AND n >= 2),
+q AS (SELECT x.*, length(x.l) + 1 AS len, (length(caption) + 3) // 4 + 8 AS o, row_number() OVER (PARTITION BY x.doc_id, x.page ORDER BY line_no) AS i FROM x JOIN f USING (doc_id, page) WHERE NOT fits),
 r AS (SELECT doc_id, page, i, len AS chars, 0 AS part FROM q WHERE i = 1
   UNION ALL SELECT q.doc_id, q.page, q.i, CASE WHEN (19 + r.chars + q.len + 3) // 4 + o > 100 THEN q.len ELSE r.chars + q.len END, r.part + ((19 + r.chars + q.len + 3) // 4 + o > 100)::INT
    FROM r JOIN q ON q.doc_id = r.doc_id AND q.page = r.page AND q.i = r.i + 1),
 p AS (SELECT doc_id, page, part, max(chars) AS chars, max(part) OVER (PARTITION BY doc_id, page) + 1 AS n FROM r GROUP BY 1, 2, 3)
 SELECT doc_id, page, part, n AS n_parts, length(concat('Table ', page, ' (part ', part + 1, '/', n, ')', chr(10))) + 19 + chars AS chars FROM p
-UNION ALL SELECT doc_id, page, 0, 1, length(concat(caption, chr(10), head, chr(10), body)) FROM f WHERE fits
-UNION ALL SELECT doc_id, page, 0, 1, length(concat(caption, ' (part 1/1)', chr(10), caption, chr(10), head, chr(10), body)) FROM f WHERE NOT fits AND n < 2""")
+UNION ALL SELECT doc_id, page, 0, 1, length(concat(caption, chr(10), head, chr(10), body)) FROM f WHERE fits""")
 def c10(src):
     lines = src.view("lines").withColumn("page", F.expr("line_no div 12"))
-    row = F.array(F.col("line_no").cast("string"), F.substring("line", 1, 60))
+    row = F.array(F.col("line_no").cast("string"), F.col("line"))
     tables = lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", row.alias("r")))).alias("s")).select(
         "doc_id", "page", F.concat(F.lit("Table "), F.col("page").cast("string")).alias("caption"), F.array().cast("array<string>").alias("section_path"),
-        F.concat(F.array(F.array(F.lit("No"), F.lit("Text"))), F.transform("s", lambda x: x["r"])).alias("rows"))
+        F.concat(F.array(F.array(F.lit("No"), F.lit("Text")), F.array(F.lit("0"), F.lit("The parties to this schedule"))), F.transform("s", lambda x: x["r"])).alias("rows"))
     return ck.table_chunks(tables, 100).select("doc_id", "page", "part", "n_parts", F.char_length("body").alias("chars"))
 
 
@@ -159,10 +159,17 @@ def c11(src):
     return ck.mention_map(ck.select_elements(_elements(src))).select("doc_id", "key", "ord")
 
 
+SNIP = rf"""sp AS (SELECT doc_id, key, trim(text) AS t, {sentence_list('trim(text)')} AS s FROM mk),
+sq AS (SELECT doc_id, key, t, s, coalesce(list_position(list_transform(s, lambda x: list_contains(list_transform(regexp_extract_all(x, '(?i)\b(?:fig|figs|figure|figures|table|tables)\b\.?\s*[A-Za-z]?\d+(?:\.\d+)*'),
+    lambda h: concat(CASE WHEN lower(h) LIKE 'tab%' THEN 'table' ELSE 'figure' END, ':', lower(regexp_extract(h, '(?i)([A-Za-z]?\d+(?:\.\d+)*)$', 1)))), key)), true), 1) AS a FROM sp),
+sr AS (SELECT doc_id, key, t, s[a:] AS s FROM sq),
+sn AS (SELECT doc_id, key, CASE WHEN (length(t) + 3) // 4 <= 120 THEN t ELSE array_to_string(s[:greatest(1, len(list_filter(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[:i], lambda x: (length(x) + 3) // 4)) <= 120)))], ' ') END AS snippet FROM sr)"""
+
+
 @plan("c12_figure_chunks", sql=rf"""
-WITH {MENTIONS}, f AS (SELECT doc_id, ord, trim(text) AS text, concat('figure:', lower(regexp_extract(text, '(?i)^\s*figure\s*([A-Za-z]?\d+(?:\.\d+)*)', 1))) AS key FROM kept WHERE type = 'figure')
-SELECT f.doc_id, f.ord, mk.key IS NOT NULL AS referenced, CASE WHEN mk.key IS NULL THEN f.text ELSE concat(f.text, chr(10), 'Referenced in the text: ', trim(mk.text)) END AS body,
-  concat('img/', f.ord, '.png') AS asset_path FROM f LEFT JOIN mk USING (doc_id, key)""")
+WITH {MENTIONS}, {SNIP}, f AS (SELECT doc_id, ord, trim(text) AS text, concat('figure:', lower(regexp_extract(text, '(?i)^\s*figure\s*([A-Za-z]?\d+(?:\.\d+)*)', 1))) AS key FROM kept WHERE type = 'figure')
+SELECT f.doc_id, f.ord, sn.key IS NOT NULL AS referenced, CASE WHEN sn.key IS NULL THEN f.text ELSE concat(f.text, chr(10), 'Referenced in the text: ', snippet) END AS body,
+  concat('img/', f.ord, '.png') AS asset_path FROM f LEFT JOIN sn USING (doc_id, key)""")
 def c12(src):
     kept = ck.select_elements(_elements(src))
     figures = kept.where("type = 'figure'").withColumns({

@@ -210,8 +210,8 @@ def r13(src):
     label = F.rint("value").cast("long").cast("string")
     chunks = src.table("events").select(
         F.col("user_id").alias("document_id"), F.struct("ts", "event_id").alias("ordinal"), F.array("event_type").alias("section_path"),
-        label.alias("page_label"), F.lit(None).cast("string").alias("page_label_end"), F.hour("ts").alias("h"), F.to_date("ts").alias("d"))
-    out = rt.document_sections(chunks, F.struct("d", "h"))
+        label.alias("page_label"), F.lit(None).cast("string").alias("page_label_end"), F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("minute"))
+    out = rt.document_sections(chunks, F.col("minute"))
     return out.select("document_id", "entry", F.col("section_path")[0].alias("section"), "chunks", "page_display")
 
 
@@ -257,7 +257,7 @@ def _sightings(src):
 
 
 def _ledger(src):
-    return rt.evidence_ledger(_sightings(src), F.floor(F.col("us") / 3_600_000_000), cap=300, order=("us", "slot"))
+    return rt.evidence_ledger(_sightings(src), F.floor(F.col("us") / 60_000_000), cap=300, order=("us", "slot"))
 
 
 @plan("r15_evidence_ledger", sql=f"WITH {LEDGER} SELECT run_id, chunk_id, evidence_id, ledger_tokens FROM led")

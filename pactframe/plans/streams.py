@@ -140,9 +140,6 @@ def t7(src):
     table = _table(src, "runs", ["analysis_id"], [])
     for folder, part in ((early, events.where("seq < 2")), (late, events.where("seq >= 2"))):
         part.write.parquet(folder)
-    root = early.rsplit("/", 1)[0]
-    inbox = f"{root}/{{{early.rsplit('/', 1)[1]},{late.rsplit('/', 1)[1]}}}"
-    del inbox
     step = jobs.lifecycle_batch(table)
     for i, folder in enumerate((early, late)):
         stream = src.spark.readStream.schema(events.schema).parquet(folder)

@@ -92,10 +92,10 @@ def p7_corpus(src):
 
 
 @plan("p8_page_numbers", sql=r"""
-SELECT doc_id, line_no, text FROM (SELECT doc_id, line_no, CASE WHEN line_no % 5 = 0 THEN substring(trim(text), 1, 3) ELSE text END AS text FROM v_blocks)
+SELECT doc_id, line_no, text FROM (SELECT doc_id, line_no, CASE WHEN line_no % 5 = 0 THEN split_part(trim(text), ' ', 1) ELSE text END AS text FROM v_blocks)
  WHERE trim(text) <> '' AND (regexp_matches(trim(text), '^\d{1,5}$') OR regexp_matches(trim(text), '(?i)^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$'))""")
 def p8(src):
-    text = F.when(F.col("line_no") % 5 == 0, F.substring(F.trim("text"), 1, 3)).otherwise(F.col("text"))
+    text = F.when(F.col("line_no") % 5 == 0, F.split_part(F.trim("text"), F.lit(" "), F.lit(1))).otherwise(F.col("text"))
     rows = src.view("blocks").select("doc_id", "line_no", text.alias("text"))
     return rows.where(st.is_page_number(F.col("text")))
 
@@ -210,7 +210,7 @@ SELECT user_id, group_no, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n
 def p16(src):
     events = src.table("events").select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     runs = st.group_adjacent(
-        events, ["user_id"], ["us", "event_id"], F.floor(F.col("us") / 3_600_000_000),
+        events, ["user_id"], ["us", "event_id"], F.floor(F.col("us") / 60_000_000),
         F.col("us") - F.col("_us") <= 14_400_000_000, {"_us": F.col("us")})
     return runs.groupBy("user_id", "group_no").agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
@@ -355,14 +355,14 @@ def p24_documents(src):
 
 @plan("p25_outline_paths", sql="""
 WITH RECURSIVE o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i, line_no AS seq, CASE kind WHEN 'heading' THEN 1 WHEN 'clause' THEN 2 ELSE 4 END AS level,
-    trim(substring(text, 1, 12)) AS title, CASE WHEN line_no % 5 = 0 THEN 0 ELSE page + 1 END AS page FROM v_blocks WHERE kind IN ('heading', 'clause', 'caption') AND trim(substring(text, 1, 12)) <> ''),
+    trim(regexp_replace(text, '\\s+', ' ', 'g')) AS title, CASE WHEN line_no % 5 = 0 THEN 0 ELSE page + 1 END AS page FROM v_blocks WHERE kind IN ('heading', 'clause', 'caption') AND trim(text) <> ''),
 t AS (SELECT doc_id, i, seq, level, title, page, [title] AS path FROM o WHERE i = 1
   UNION ALL SELECT o.doc_id, o.i, o.seq, o.level, o.title, o.page, list_append(t.path[1:o.level - 1], o.title) FROM t JOIN o ON o.doc_id = t.doc_id AND o.i = t.i + 1)
 SELECT doc_id, seq, level, greatest(page - 1, 0) AS page, array_to_string(path, ' > ') AS path FROM t""")
 def p25(src):
     outline = src.view("blocks").where(F.col("kind").isin("heading", "clause", "caption")).select(
         "doc_id", F.col("line_no").alias("seq"), F.when(F.col("kind") == "heading", 1).when(F.col("kind") == "clause", 2).otherwise(4).alias("level"),
-        F.substring("text", 1, 12).alias("title"), F.when(F.col("line_no") % 5 == 0, 0).otherwise(F.col("page") + 1).alias("page"))
+        F.col("text").alias("title"), F.when(F.col("line_no") % 5 == 0, 0).otherwise(F.col("page") + 1).alias("page"))
     return st.outline_paths(outline).select("doc_id", "seq", "level", "page", F.array_join("path", " > ").alias("path"))
 
 

@@ -132,12 +132,12 @@ SELECT doc_id, page, block_no, line_no, kind,
        CASE WHEN kind = 'header' THEN concat('Master agreement | page ', CAST(page + 1 AS STRING))
             WHEN kind = 'footer' THEN CAST(page + 1 AS STRING)
             WHEN kind = 'caption' THEN concat(CASE WHEN (page + block_no) % 2 = 0 THEN 'Figure ' ELSE 'Table ' END,
-                 CAST(page + 1 AS STRING), '.', CAST(block_no AS STRING), ': ', substring(line, 1, 60))
-            WHEN kind = 'heading' THEN concat(CAST(page + 1 AS STRING), '. Scope of ', substring(line, 1, 24))
+                 CAST(page + 1 AS STRING), '.', CAST(block_no AS STRING), ': ', line)
+            WHEN kind = 'heading' THEN concat(CAST(page + 1 AS STRING), '. Scope of ', source)
             WHEN kind = 'clause' THEN concat(CAST(page + 1 AS STRING), '.', CAST(block_no - 1 AS STRING), ' ',
-                 upper(substring(line, 1, 1)), substring(line, 2, 400), ' See Figure ', CAST(page + 1 AS STRING), '.5.')
-            WHEN kind = 'equation' THEN concat('E = ', substring(line, 1, 12))
-            WHEN kind = 'dots' THEN concat(substring(line, 1, 20), ' ......... ', CAST(page AS STRING))
+                 upper(substring(line, 1, 1)), substring(line, 2), ' See Figure ', CAST(page + 1 AS STRING), '.5.')
+            WHEN kind = 'equation' THEN concat('E = ', CAST(length(line) AS STRING))
+            WHEN kind = 'dots' THEN concat(line, ' ......... ', CAST(page AS STRING))
             ELSE line END AS text,
        CASE WHEN kind = 'equation' THEN 'CMMI10' ELSE 'Times' END AS font,
        CASE WHEN kind = 'heading' THEN 14.5 ELSE 11.0 END AS size,
@@ -149,7 +149,7 @@ SELECT doc_id, page, block_no, line_no, kind,
        CASE WHEN kind = 'header' THEN 20.0 WHEN kind = 'footer' THEN 770.0 ELSE 60.0 + 58.0 * block_no END AS y0,
        CASE WHEN kind = 'header' THEN 32.0 WHEN kind = 'footer' THEN 782.0 ELSE 84.0 + 58.0 * block_no END AS y1,
        792.0 AS page_height
-  FROM (SELECT doc_id, line_no, line, {_div('line_no', 12)} AS page, CAST(line_no % 12 AS INT) AS block_no,
+  FROM (SELECT doc_id, line_no, line, source, {_div('line_no', 12)} AS page, CAST(line_no % 12 AS INT) AS block_no,
                CASE WHEN line_no % 12 = 0 THEN 'header' WHEN line_no % 12 = 11 THEN 'footer'
                     WHEN line_no % 12 = 5 OR line_no % 24 = 6 THEN 'caption' WHEN line_no % 12 = 1 THEN 'heading'
                     WHEN line_no % 12 IN (2, 3, 7) THEN 'clause' WHEN line_no % 12 = 8 THEN 'equation'
@@ -173,7 +173,7 @@ SELECT doc_id, 2 * line_no AS line_no, CAST((line_no - line_no % 3) / 3 AS BIGIN
        CASE WHEN length(line) < 30 THEN line WHEN line_no % 4 = 3 THEN substring(line, 1, 20)
             ELSE concat(substring(line, 1, 20), '-') END AS line FROM v_lines
 UNION ALL
-SELECT doc_id, 2 * line_no + 1, CAST((line_no - line_no % 3) / 3 AS BIGINT), substring(line, 21, 100000) FROM v_lines
+SELECT doc_id, 2 * line_no + 1, CAST((line_no - line_no % 3) / 3 AS BIGINT), substring(line, 21) FROM v_lines
  WHERE length(line) >= 30"""
 
 #: Lines that open with, or contain, clause labels of every kind.
@@ -196,7 +196,7 @@ SELECT doc_id, page, page AS ord,
        CASE WHEN page % 3 = 2 OR doc_id % 4 = 0 THEN 60.0 ELSE 420.0 END AS y0,
        CASE WHEN page % 3 = 2 OR doc_id % 4 = 0 THEN 700.0 ELSE 780.0 END AS y1, page_height,
        CASE WHEN page % 5 = 4 THEN 'Ref|Control|Owner' ELSE 'Ref |Control' END AS header,
-       concat('R', CAST(page AS STRING), '|', replace(substring(text, 1, 24), '|', ' ')) AS row_text,
+       concat('R', CAST(page AS STRING), '|', replace(text, '|', ' ')) AS row_text,
        CASE WHEN page % 7 = 3 THEN 'text-fallback' WHEN page % 2 = 1 THEN 'recovered' ELSE 'ruled' END AS quality,
        CASE WHEN page % 4 = 0 THEN 1 ELSE 0 END AS breaks_before
   FROM v_blocks WHERE block_no = 4"""
@@ -205,7 +205,7 @@ SELECT doc_id, page, page AS ord,
 VIEWS["v_grids"] = """
 SELECT doc_id, page, block_no, CASE WHEN block_no = 7 THEN '||' WHEN page % 2 = 0 THEN concat(w1, '||', w2)
        WHEN block_no % 3 = 0 THEN concat('|', w1) ELSE concat(w1, '|', w2, '|', w3) END AS cells
-  FROM (SELECT doc_id, page, block_no, substring(text, 1, 6) AS w1, substring(text, 8, 5) AS w2, substring(text, 14, 4) AS w3
+  FROM (SELECT doc_id, page, block_no, substring(text, 1, 6) AS w1, substring(text, 8, 5) AS w2, substring(text, 14) AS w3
           FROM v_blocks WHERE kind IN ('text', 'clause', 'dots') AND text NOT LIKE '%|%') g"""
 
 #: Drafts of two criteria per run; every line of an order is one quote and one
