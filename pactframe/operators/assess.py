@@ -188,8 +188,8 @@ def validate_structure(
     quote_indexes) and criteria (criterion_id, question, sub_ids).
     """
     checked = verify_quotes(quotes, evidence).withColumn("_norm", tx.normal_quote(F.col("text")))
-    first = checked.groupBy(*DRAFT, "_norm", "evidence_id").agg(F.min("idx").alias("_first"))
-    rows = checked.join(first, [*DRAFT, "_norm", "evidence_id"])
+    # The quotes of one draft are a model's single answer, so this window is small.
+    rows = checked.withColumn("_first", F.min("idx").over(Window.partitionBy(*DRAFT, "_norm", "evidence_id")))
     i, name = F.col("idx"), "relevant_quotes"
     quote_errors = _violations(rows, DRAFT, [
         (~F.col("known"), _at(name, i, ".evidence_id"), "unknown_evidence"),

@@ -122,7 +122,8 @@ def bm25(questions: DataFrame, chunks: DataFrame, *, k: int, scope: str | None =
     tf = phrase_frequencies(distinct, postings(chunks, stemmed=stemmed))
     lengths = chunk_lengths(chunks)
     stats = lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("len").alias("avg_len"))
-    df = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"), F.lit(1).alias("_k")).join(
+    # Reading tf keeps this branch on the same shuffle as the scores below.
+    df = tf.groupBy("phrase").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"), F.lit(1).alias("_k")).join(
         F.broadcast(stats.withColumn("_k", F.lit(1))), "_k").drop("_k")
     idf = F.greatest(F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     if scope:
@@ -154,17 +155,20 @@ def _nearest_in_partition(block, k: int, scoped: bool):
             groups = frame.groupby("scope").indices.items() if scoped else ((None, np.arange(len(frame))),)
             for scope, rows in groups:
                 asked = np.flatnonzero(scopes == scope) if scoped else np.arange(len(ids))
-                for q in asked:
-                    gap = vectors[rows] - matrix[q]
-                    dist = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                    known = best.get(q, (np.empty(0), np.empty(0, dtype=chunk.dtype)))
-                    d, c = np.concatenate([known[0], dist]), np.concatenate([known[1], chunk[rows]])
-                    if len(d) > k:
-                        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                        d, c = d[near], c[near]
-                        order = np.lexsort((c, np.round(d, 9)))[:k]
-                        d, c = d[order], c[order]
-                    best[q] = (d, c)
+                part = vectors[rows]
+                # Squared distances of the whole batch by one matrix product pick
+                # the candidates; only those are measured exactly.
+                rough = (part**2).sum(1)[:, None] + (matrix[asked] ** 2).sum(1)[None, :] - 2 * part @ matrix[asked].T
+                depth = min(k, len(rows)) - 1
+                limit = np.partition(rough, depth, axis=0)[depth] + 1e-6
+                for j, q in enumerate(asked):
+                    near = np.flatnonzero(rough[:, j] <= limit[j])
+                    gap = part[near] - matrix[q]
+                    d, c = np.sqrt(np.einsum("ij,ij->i", gap, gap)), chunk[rows[near]]
+                    if q in best:
+                        d, c = np.concatenate([best[q][0], d]), np.concatenate([best[q][1], c])
+                    order = np.lexsort((c, np.round(d, 9)))[:k]
+                    best[q] = (d[order], c[order])
         for q, (d, c) in best.items():
             yield pd.DataFrame({"query_id": ids[q], "chunk_id": c, "distance": d})
 
@@ -204,7 +208,8 @@ def nearest(vectors: DataFrame, questions: DataFrame, *, k: int, scope: str | No
 
 def similarity(distance: Column) -> Column:
     """Distance of unit vectors as a cosine, held to [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance * distance / 2))
+    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance * distance / 2))
+    return F.when(distance.isNotNull(), held)
 
 
 # -- fusion and hydration ---------------------------------------------------
@@ -214,11 +219,13 @@ def fuse(rankings: dict[str, DataFrame], *, k: int, rrf_k: int = RRF_K) -> DataF
     """Reciprocal rank fusion of (query_id, chunk_id, rank) lists; ids break ties."""
     both = None
     for name, df in rankings.items():
-        part = df.select("query_id", "chunk_id", F.lit(name).alias("retriever"), "rank")
+        far = F.col("distance") if "distance" in df.columns else F.lit(None)
+        part = df.select("query_id", "chunk_id", F.lit(name).alias("retriever"), "rank", far.cast("double").alias("distance"))
         both = part if both is None else both.unionByName(part)
     scored = both.groupBy("query_id", "chunk_id").agg(
         F.round(F.sum(1.0 / (rrf_k + F.col("rank"))), 12).alias("score"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("retriever", "rank")))).alias("ranks"))
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("retriever", "rank")))).alias("ranks"),
+        F.max("distance").alias("distance"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
@@ -244,8 +251,7 @@ def retrieve(
         lists["keyword"] = bm25(questions.drop("embedding"), chunks, k=pool, scope=scope, stemmed=stemmed)
     if mode == "hybrid":
         ranked = fuse(lists, k=top, rrf_k=rrf_k)
-        near = lists["vector"].select("query_id", "chunk_id", similarity(F.col("distance")).alias("similarity"))
-        return ranked.join(near, ["query_id", "chunk_id"], "left")
+        return ranked.withColumn("similarity", similarity(F.col("distance"))).drop("distance")
     only = lists[mode].where(F.col("rank") <= top)
     ranks = F.create_map(F.lit(mode), F.col("rank"))
     if mode == "vector":

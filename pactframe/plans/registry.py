@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
+from ..session import configure, work_dir
 from . import views
 
 Builder = Callable[["Source"], DataFrame]
@@ -18,6 +18,12 @@ PLANS: dict[str, Builder] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Tables whose rows are long texts, where a task's work is far out of
+#: proportion to its bytes.
+TEXTS = ("documents", "pages", "conversations")
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Source:
     """The given tables and the views derived from them, for one folder."""
 
@@ -30,19 +36,51 @@ class Source:
         return f"{self.folder}/{name}.parquet"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name))
+        return spread(df) if name in TEXTS else df
 
     def view(self, name: str) -> DataFrame:
-        text = views.spark_sql(f"v_{name}")
-        for table in views.base_tables(f"v_{name}", duck=False):
+        view = f"v_{name}"
+        return self._stored(view) if view in views.STORED else self._derive(view)
+
+    def _derive(self, view: str) -> DataFrame:
+        stored = {}
+        for kept in views.STORED:
+            if kept != view and kept in views.needed(view, duck=False):
+                stored[kept] = self._tag + kept
+                self._stored(kept).createOrReplaceTempView(stored[kept])
+        return self._sql(views.spark_sql(view, stored))
+
+    def _sql(self, text: str) -> DataFrame:
+        for table in sorted(set(views._TABLE.findall(text))):
             self.table(table).createOrReplaceTempView(self._tag + table)
         return self.spark.sql(views._TABLE.sub(lambda m: self._tag + m.group(1), text))
 
+    def _stored(self, view: str) -> DataFrame:
+        """A costly view, written to the shared folder once per application."""
+        key = (self.spark.sparkContext.applicationId, self.folder, view)
+        if key not in _STORED:
+            path = work_dir(self.spark, view)
+            self._derive(view).write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     def latest(self, df: DataFrame, column: str) -> datetime:
         """The newest time of a table: the clock of every windowed query."""
         return df.agg(F.max(column)).first()[0]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a table with fewer scan partitions than cores.
+
+    A small file is one partition whatever its texts cost to process. A table
+    of many files already has more partitions than cores and is left alone, so
+    nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def plan(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
     def register(fn: Builder) -> Builder:
         if name in PLANS:

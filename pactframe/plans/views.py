@@ -300,8 +300,26 @@ def duck_sql(body: str) -> str:
     return _TABLE.sub(r"\1", text)
 
 
-def spark_sql(name: str) -> str:
-    """A view as one Spark text over temporary views named ``pf_<tag>_<table>``."""
-    views = needed(name, duck=False)
-    ctes = ",\n".join(f"{n} AS ({_text(n, False).strip()})" for n in views)
-    return f"WITH {ctes}\nSELECT * FROM {name}"
+#: Views kept as tables of their own: a source of many others that costs a
+#: shuffle to derive.
+STORED = ("v_criterion_rows", "v_draft_rows", "v_blocks")
+
+
+def spark_sql(name: str, stored: dict[str, str] | None = None) -> str:
+    """A view as one Spark text; ``stored`` names tables standing in for views."""
+    stored = {k: v for k, v in (stored or {}).items() if k != name}
+    order: list[str] = []
+
+    def visit(view: str) -> None:
+        for other in _NAME.findall(_text(view, False)):
+            if other in VIEWS and other not in order and other not in stored:
+                visit(other)
+        if view not in order:
+            order.append(view)
+
+    visit(name)
+    ctes = ",\n".join(f"{n} AS ({_text(n, False).strip()})" for n in order)
+    text = f"WITH {ctes}\nSELECT * FROM {name}"
+    for view, table in stored.items():
+        text = re.sub(rf"\b{view}\b", table, text)
+    return text
