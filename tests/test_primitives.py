@@ -20,7 +20,7 @@ def skewed(spark):
 
 
 def pairs(df, *cols):
-    return sorted(tuple(r) for r in df.select("k", "o", *cols).collect())
+    return sorted((r[0], r[1], *(-1 if x is None else x for x in r[2:])) for r in df.select("k", "o", *cols).collect())
 
 
 @pytest.mark.parametrize("width", [1, 7, 100000])
@@ -31,14 +31,15 @@ def test_segments_equal_one_window(skewed, width):
     val = F.coalesce("v", F.lit(0)).cast("long")
     want = skewed.select("k", "o", F.lag("o").over(w).alias("a"), F.lead("o").over(w).alias("b"), F.sum(val).over(upto).alias("c"),
                          F.last("v", True).over(upto).alias("d"), F.row_number().over(w).alias("e"))
-    got = ordered.neighbour(skewed, ["k"], ["o"], seg, {"a": F.col("o")})
-    got = ordered.neighbour(got, ["k"], ["o"], seg, {"b": F.col("o")}, following=True)
-    got = ordered.running_sum(got, ["k"], ["o"], seg, val, "c")
-    got = ordered.carry_forward(got, ["k"], ["o"], seg, F.col("v"), "d")
-    got = ordered.row_index(got, ["k"], ["o"], seg, "e")
-    cols = ("a", "b", "c", "d", "e")
-    key = lambda rows: [tuple(-1 if x is None else x for x in r) for r in rows]
-    assert sorted(key(pairs(got, *cols))) == sorted(key(pairs(want, *cols)))
+    got = {
+        "a": ordered.neighbour(skewed, ["k"], ["o"], seg, {"a": F.col("o")}),
+        "b": ordered.neighbour(skewed, ["k"], ["o"], seg, {"b": F.col("o")}, following=True),
+        "c": ordered.running_sum(skewed, ["k"], ["o"], seg, val, "c"),
+        "d": ordered.carry_forward(skewed, ["k"], ["o"], seg, F.col("v"), "d"),
+        "e": ordered.row_index(skewed, ["k"], ["o"], seg, "e")}
+    want = want.cache()
+    for column, df in got.items():
+        assert pairs(df, column) == pairs(want, column)
 
 
 def rank_of(values, p):
