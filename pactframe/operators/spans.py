@@ -36,10 +36,14 @@ def span_tree(spans: DataFrame, *, max_rounds: int = 40) -> DataFrame:
         up = state.select(
             "run_id", F.col("span_id").alias("jump"), F.col("jump").alias("next"),
             F.col("path").alias("above"))
-        state = state.join(up, ["run_id", "jump"], "left").select(
-            "run_id", "span_id", F.col("next").alias("jump"),
-            F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"),
-        ).checkpoint()
+        joined = state.join(up, ["run_id", "jump"], "left")
+        # A path that meets a span twice runs in a circle; it and whatever hangs
+        # below it never reach a root.
+        whole = F.when(F.col("jump").isNull(), F.col("path")).otherwise(F.concat("above", "path"))
+        state = (
+            joined.where(F.col("jump").isNull() | F.col("above").isNotNull())
+            .select("run_id", "span_id", F.col("next").alias("jump"), whole.alias("path"))
+            .where(F.size("path") == F.size(F.array_distinct("path"))).checkpoint())
     return state.where(F.col("jump").isNull()).select(
         "run_id", "span_id", F.element_at("path", 1).alias("root_span_id"),
         (F.size("path") - 1).alias("depth"), "path")

@@ -82,7 +82,8 @@ def test_lifecycle(spark):
 
 @pytest.mark.parametrize("cut", [1, 2, 3])
 def test_lifecycle_goes_on_from_stored_rows(spark, cut):
-    first = jobs.fold_lifecycle(jobs.as_events(_events(spark, [e for e in EVENTS if e[1] < cut])))
+    folded = jobs.fold_lifecycle(jobs.as_events(_events(spark, [e for e in EVENTS if e[1] < cut])))
+    first = spark.createDataFrame(folded.collect(), folded.schema)  # the stored table
     rest = jobs.as_events(_events(spark, [e for e in EVENTS if e[1] >= cut])).unionByName(jobs.as_state(first))
     assert _state(jobs.fold_lifecycle(rest)) == WANT
 
