@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,11 +60,15 @@ class Source:
     def _stored(self, view: str) -> DataFrame:
         """A costly view, written to the shared folder once per application."""
         key = (self.spark.sparkContext.applicationId, self.folder, view)
-        if key not in _STORED:
-            path = work_dir(self.spark, view)
-            self._derive(view).write.parquet(path)
-            _STORED[key] = path
-        return self.spark.read.parquet(_STORED[key])
+        if key in _STORED:
+            try:
+                return self.spark.read.parquet(_STORED[key])
+            except AnalysisException:
+                pass  # the scratch folder was cleared: write it again
+        path = work_dir(self.spark, view)
+        self._derive(view).write.parquet(path)
+        _STORED[key] = path
+        return self.spark.read.parquet(path)
 
     def latest(self, df: DataFrame, column: str) -> datetime:
         """The newest time of a table: the clock of every windowed query."""
