@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, minhash, mixing, packing
+from . import exact, langid, minhash, mixing, neighbours, packing
 from .common import save, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(docs, digests=True).drop("text_hash")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_language_id, op2_mix_sources, op4_near_duplicates, op5_pack, op8_exact_dedup)}
+    op1_language_id, op2_mix_sources, op4_near_duplicates, op5_pack, op8_exact_dedup, op9_nearest)}
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": r"""
@@ -49,6 +54,18 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op9_nearest": r"""
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+              AND list_sum(list_transform(embedding, lambda x : x::DOUBLE * x::DOUBLE)) > 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 5""",
     # Two-word shingles, joined on the rarest ones: of two sets with a similarity
     # of 0.8 or more, the first tenths by rarity share a shingle.
     "op4_near_duplicates": r"""
