@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, minhash, mixing, neighbours, packing
+from . import chat, editcount, exact, langid, minhash, mixing, neighbours, packing
 from .common import save, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,21 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, extra={"ids_crc32": F.crc32("ids")})
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations and conversation -7, rebuilt from their event logs, formatted and read back."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], given.schema)
+    messages = chat.reconstruct(chat.events_of(given.unionByName(extra)))
+    return chat.read_back(chat.render(messages))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after a log of edits."""
+    docs = table(spark, sf_dir, "documents")
+    return editcount.apply_edits(editcount.index(docs), editcount.edits_of(docs), keep_text=False)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exact.exact_groups(docs, digests=True).drop("text_hash")
@@ -46,7 +61,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_language_id, op2_mix_sources, op4_near_duplicates, op5_pack, op8_exact_dedup, op9_nearest)}
+    op1_language_id, op2_mix_sources, op4_near_duplicates, op5_pack, op6_chat, op7_token_counts, op8_exact_dedup, op9_nearest)}
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": r"""
@@ -54,6 +69,20 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op6_chat": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+        e AS (
+            SELECT *, replace(replace(replace(text, '\', '\\'), '#', '\h'), '</turn>', '\/turn>') AS body,
+                   replace(replace(replace(replace(replace(role, '\', '\\'), '#', '\h'), '</turn>', '\/turn>'), ':', '\c'), chr(10), '\n') AS head
+            FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('### ' || head || ': ' || body || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
     "op9_nearest": r"""
         WITH v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
