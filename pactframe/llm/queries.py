@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, editcount, exact, langid, minhash, mixing, neighbours, packing
+from . import chat, editcount, exact, langid, minhash, mixing, neighbours, packing, pages
 from .common import save, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,12 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_language_id, op2_mix_sources, op4_near_duplicates, op5_pack, op6_chat, op7_token_counts, op8_exact_dedup, op9_nearest)}
+    op1_language_id, op2_mix_sources, op4_near_duplicates, op5_pack, op6_chat, op7_token_counts, op8_exact_dedup, op9_nearest, op10_html_text)}
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": r"""
