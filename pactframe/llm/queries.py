@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, editcount, exact, langid, minhash, mixing, neighbours, packing, pages
+from . import chat, editcount, exact, langid, minhash, mixing, neighbours, packing, pages, pii
 from .common import save, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,16 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", F.col("epoch").cast("long").alias("epoch"), "block", "block_order", "n_tokens")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    place = lambda kind, s: F.concat(kind, F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))
+    base = F.transform("spans", lambda s: place(s["kind"], s))
+    terms = F.transform("added", lambda s: place(F.lit(pii.TERM), s))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+                        F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("added").cast("long").alias("n_terms"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return minhash.near_duplicates(docs, width=2).drop("h")
@@ -65,7 +75,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_language_id, op2_mix_sources, op4_near_duplicates, op5_pack, op6_chat, op7_token_counts, op8_exact_dedup, op9_nearest, op10_html_text)}
+    op1_language_id, op2_mix_sources, op3_personal_data, op4_near_duplicates, op5_pack, op6_chat, op7_token_counts, op8_exact_dedup, op9_nearest, op10_html_text)}
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": r"""
