@@ -90,6 +90,11 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value)
 
 
+def count_of(kind: str) -> Column:
+    """How many base spans of a kind there are."""
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, k1, k2, text, spans`` with the base kinds in the order listed, each by start."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
