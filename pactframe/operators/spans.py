@@ -44,6 +44,9 @@ def span_tree(spans: DataFrame, *, max_rounds: int = 40) -> DataFrame:
             joined.where(F.col("jump").isNull() | F.col("above").isNotNull())
             .select("run_id", "span_id", F.col("next").alias("jump"), whole.alias("path"))
             .where(F.size("path") == F.size(F.array_distinct("path"))).checkpoint())
+    else:
+        if not state.where(F.col("jump").isNotNull()).isEmpty():
+            raise ValueError(f"span trees deeper than 2 ** {max_rounds} levels")
     return state.where(F.col("jump").isNull()).select(
         "run_id", "span_id", F.element_at("path", 1).alias("root_span_id"),
         (F.size("path") - 1).alias("depth"), "path")

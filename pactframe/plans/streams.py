@@ -47,6 +47,15 @@ def _cut(src, df, name: str, parts: int = 4):
     return jobs.folder_stream(src.spark, folder, df.schema, 2)
 
 
+def _newest_first(src, df, name: str, parts: int = 6):
+    """A table as a stream of one file per micro-batch, each older than the one before."""
+    folder = work_dir(src.spark, name)
+    days = F.pmod(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400), F.lit(parts))
+    for part in reversed(range(parts)):
+        df.where(days == part).coalesce(1).write.mode("append").parquet(folder)
+    return jobs.folder_stream(src.spark, folder, df.schema, 1)
+
+
 @plan("t2_keyed_replace", sql="""
 SELECT span_id, seq, value FROM (SELECT CAST((event_id - event_id % 3) / 3 AS BIGINT) AS span_id, event_id AS seq, value FROM @events)
  QUALIFY row_number() OVER (PARTITION BY span_id ORDER BY seq DESC) = 1""")
@@ -55,10 +64,7 @@ def t2(src):
     rows = src.table("events").select(((key - key % 3) / 3).cast("long").alias("span_id"), key.alias("seq"), "value")
     table = _table(src, "replayed", ["span_id"], ["seq"])
     run_to_end(_cut(src, rows, "cut"), table)
-    # Batches hold the rows in any order, so the sequence decides, not the batch.
-    from ..streaming.sink import newest
-
-    return newest(src.spark.read.parquet(table.rows).drop("batch_id"), ["span_id"], ["seq"]).select("span_id", "seq", "value")
+    return table.read().select("span_id", "seq", "value")
 
 
 @plan("t3_intake_counts", sql="""
@@ -80,24 +86,26 @@ def t4(src):
 SPAN = """SELECT ts, CASE event_type WHEN 'view' THEN 'retrieve' WHEN 'click' THEN 'agent.tool' ELSE 'other' END AS name, event_id % 7 = 0 AS bad, value FROM @events"""
 
 
-def _span_stream(src):
+def _spans(src):
     name = F.when(F.col("event_type") == "view", "retrieve").when(F.col("event_type") == "click", "agent.tool").otherwise("other")
     status = F.when(F.col("event_id") % 7 == 0, "error").otherwise("ok")
-    return jobs.table_stream(src.spark, src.folder, "events").select("ts", name.alias("name"), status.alias("status"), "value")
+    return src.table("events").select("ts", name.alias("name"), status.alias("status"), "value")
 
 
 @plan("t5_live_windows", sql=f"""
 WITH s AS ({SPAN}), w AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS i FROM s)
 SELECT strftime(make_timestamp((epoch_us(ts) // 60000000 - i) * 60000000), {o.LABEL}) AS start, name, count(*) AS n, count(*) FILTER (bad) AS errors FROM w GROUP BY 1, 2""")
 def t5(src):
-    table = run_to_end(jobs.sliding_counts(_span_stream(src)), _table(src, "live", ["start", "name"], ["n"]), "update")
-    return table.read().select(F.date_format("start", tl.LABEL).alias("start"), "name", "n", "errors")
+    table = _table(src, "live", ["start", "name"], [])
+    run_to_end(_newest_first(src, _spans(src), "spans"), table, each=jobs.partial_sums(table, jobs.sliding_counts))
+    return table.read_sums().select(F.date_format("start", tl.LABEL).alias("start"), "name", "n", "errors")
 
 
 @plan("t6_tumbling", sql=f"SELECT {o.bucket('ts', '6h')} AS start, count(*) AS n, round(sum(value), 4) AS value FROM @events GROUP BY 1")
 def t6(src):
-    table = run_to_end(jobs.tumbling_counts(_span_stream(src), "6 hours"), _table(src, "tumbling", ["start"], ["n"]), "update")
-    return table.read().select(F.date_format("start", tl.LABEL).alias("start"), "n", F.round("value", 4).alias("value"))
+    table = _table(src, "tumbling", ["start"], [])
+    run_to_end(_newest_first(src, _spans(src), "spans"), table, each=jobs.partial_sums(table, lambda batch: jobs.tumbling_counts(batch, "6 hours")))
+    return table.read_sums().select(F.date_format("start", tl.LABEL).alias("start"), "n", F.round("value", 4).alias("value"))
 
 
 def _lifecycle(src):
@@ -135,17 +143,12 @@ fin AS (SELECT * FROM r WHERE status IS NOT NULL QUALIFY row_number() OVER (PART
 @plan("t7_lifecycle", sql=f"WITH RECURSIVE {LIFE} SELECT k AS analysis_id, status, surface, coalesce(filename, '') AS filename, trace AS trace_id, error FROM fin")
 def t7(src):
     events = _lifecycle(src)
-    # Two batches in event order: the second folds onto the rows of the first.
-    early, late = work_dir(src.spark, "early"), work_dir(src.spark, "late")
-    table = _table(src, "runs", ["analysis_id"], [])
-    for folder, part in ((early, events.where("seq < 2")), (late, events.where("seq >= 2"))):
-        part.write.parquet(folder)
-    step = jobs.lifecycle_batch(table)
-    for i, folder in enumerate((early, late)):
-        stream = src.spark.readStream.schema(events.schema).parquet(folder)
-        part = KeyedTable(src.spark, f"{table.rows.rsplit('/', 1)[0]}/feed{i}", table.keys, [])
-        run_to_end(stream, part, each=lambda batch, _id, n=i: step(batch, n))
-    return table.read().select("analysis_id", "status", "surface", "filename", "trace_id", "error")
+    # The later events of every run arrive first; each file is a micro-batch.
+    folder = work_dir(src.spark, "lifecycle")
+    for part in ("seq >= 3", "seq = 1", "seq = 2", "seq = 0"):
+        events.where(part).coalesce(1).write.mode("append").parquet(folder)
+    table = run_to_end(jobs.folder_stream(src.spark, folder, events.schema, 1), _table(src, "runs", ["analysis_id"], []))
+    return jobs.read_lifecycle(table).select("analysis_id", "status", "surface", "filename", "trace_id", "error")
 
 
 @plan("t7_lifecycle_batch", sql=f"WITH RECURSIVE {LIFE} SELECT k AS analysis_id, status, surface, coalesce(filename, '') AS filename, trace AS trace_id, error FROM fin")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,21 +47,27 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach.
 
     On a cluster the session names it in ``spark.checkpoint.dir``. Only where
-    that is unset, as in tests, a temporary folder is made and recorded.
+    that is unset and everything runs on one machine, as in tests, a temporary
+    folder is made and recorded.
     """
+    return f"{shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", "") or None
     if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    return root
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point ``DataFrame.checkpoint`` at the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:

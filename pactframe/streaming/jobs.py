@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,23 +57,30 @@ def intake_counts(records: DataFrame) -> DataFrame:
     return records.select(F.when(F.col("bad").isNull(), "written").otherwise("unreadable").alias("outcome"))
 
 
-def sliding_counts(spans: DataFrame, size: str = "5 minutes", step: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Live view: calls and errors per name in sliding windows.
+def sliding_counts(spans: DataFrame, size: str = "5 minutes", step: str = "1 minute") -> DataFrame:
+    """Live view: calls and errors per name in sliding windows, of a table or a micro-batch.
 
-    The watermark only lets finished windows leave the state.
+    The counts of a micro-batch are partial sums: written under its batch id and
+    added up by ``KeyedTable.read_sums``, they need no watermark and lose no row.
     """
-    timed = spans.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    timed = spans.withColumn("ts", F.col("ts").cast("timestamp"))
     return timed.groupBy(F.window("ts", size, step).alias("w"), "name").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("status") == "error", 1)).alias("errors")
     ).select(F.col("w.start").alias("start"), "name", "n", "errors")
 
 
-def tumbling_counts(spans: DataFrame, size: str, late: str = "10 minutes") -> DataFrame:
-    timed = spans.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+def tumbling_counts(spans: DataFrame, size: str) -> DataFrame:
+    """Rows and values per tumbling window, of a table or a micro-batch; partial sums like ``sliding_counts``."""
+    timed = spans.withColumn("ts", F.col("ts").cast("timestamp"))
     return timed.groupBy(F.window("ts", size).alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "n", "value")
 
 
+def partial_sums(table: KeyedTable, count: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: the counts of each micro-batch, under its own id."""
+    return lambda batch, batch_id: table.write_batch(count(batch), batch_id)
+
+
 # -- lifecycle --------------------------------------------------------------
 
 
@@ -132,17 +141,16 @@ def as_events(events: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("status"), *[F.lit(None).cast(ts).alias(c) for c in ("created_at", "started_at", "completed_at")])
 
 
-def lifecycle_batch(table: KeyedTable):
-    """foreachBatch function: fold the new events onto the stored rows they touch."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        events = as_events(batch)
-        if batch_id > 0:
-            rows = table.spark.read.option("basePath", table.rows).parquet(table.rows).where(F.col("batch_id") < batch_id)
-            known = newest(rows, table.keys, ["batch_id"]).join(batch.select("analysis_id").distinct(), "analysis_id", "left_semi")
-            events = events.unionByName(as_state(known))
-        table.write_batch(fold_lifecycle(events), batch_id)
+def read_lifecycle(table: KeyedTable) -> DataFrame:
+    """The current row of every run from the events a stream has landed.
 
-    return write
+    Micro-batches only append their events, under their own ids. The fold runs
+    once, on reading, over all of them: no batch looks at stored rows, and an
+    event that arrives after later ones still takes its place.
+    """
+    rows = table.batches()
+    once = newest(rows, ["analysis_id", "seq", "event"], ["batch_id"]).drop("batch_id")
+    return fold_lifecycle(as_events(once))
 
 
 def reconcile(runs: DataFrame, now: Column) -> DataFrame:

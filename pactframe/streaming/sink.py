@@ -2,9 +2,11 @@
 
 Every micro-batch is written under its own batch folder in overwrite mode, so a
 batch that is run again after a lost driver or executor replaces itself and
-adds nothing. A row of any age may be replaced: the newest row per key is
-picked when the table is read, by a partial aggregate, and ``compact`` folds
-the batches into one when they grow many.
+adds nothing. A row of any age may be replaced: the newest row per key, by the
+table's order and then by batch, is picked when the table is read, by a partial
+aggregate. Counts land as partial sums per batch and are added up on reading,
+so rows may arrive in any order and none is late. ``compact`` folds the batches
+into one when they grow many.
 """
 
 from __future__ import annotations
@@ -28,9 +30,18 @@ class KeyedTable:
         batch.write.mode("overwrite").parquet(f"{self.rows}/{BATCH}={batch_id}")
 
     def read(self) -> DataFrame:
-        """The newest row of every key; later batches win over earlier ones."""
-        rows = self.spark.read.option("basePath", self.rows).parquet(self.rows)
-        return newest(rows, self.keys, [BATCH, *self.order]).drop(BATCH)
+        """The newest row of every key; of equally new ones, that of the later batch."""
+        return newest(self.batches(), self.keys, [*self.order, BATCH]).drop(BATCH)
+
+    def batches(self) -> DataFrame:
+        """Every row of every batch, with its batch."""
+        return self.spark.read.option("basePath", self.rows).parquet(self.rows)
+
+    def read_sums(self) -> DataFrame:
+        """Partial sums of all batches added up per key."""
+        rows = self.batches()
+        rest = [c for c in rows.columns if c not in (*self.keys, BATCH)]
+        return rows.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in rest])
 
     def compact(self, path: str) -> DataFrame:
         self.read().write.mode("overwrite").parquet(path)

@@ -11,7 +11,7 @@ from pactframe.sources.files import list_files, read_files
 from pactframe.sources.logs import read_log
 from pactframe.sources.versioned import VersionedTables
 from pactframe.streaming import jobs
-from pactframe.streaming.sink import KeyedTable
+from pactframe.streaming.sink import KeyedTable, run_to_end
 
 
 @pytest.mark.parametrize("raw,verified,claimed,nd,review,ended,critic,support,agreed,want", [
@@ -98,6 +98,33 @@ def test_keyed_table_replay(spark, tmp_path):
     assert table.compact(str(tmp_path / "one")).count() == 2
 
 
+def test_newest_row_wins_whatever_the_batch(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path), ["k"], ["seq"])
+    batch = lambda rows: spark.createDataFrame(rows, "k int, seq int, v string")
+    table.write_batch(batch([(1, 9, "new")]), 0)
+    table.write_batch(batch([(1, 3, "old"), (2, 1, "only")]), 1)
+    assert {r["k"]: r["v"] for r in table.read().collect()} == {1: "new", 2: "only"}
+
+
+def test_an_old_file_last_loses_no_row(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    rows = spark.range(400).select(F.timestamp_seconds(F.col("id") * 600).alias("ts"), F.lit("n").alias("name"), F.lit("ok").alias("status"), F.lit(1.0).alias("value"))
+    for part in (3, 2, 1, 0):  # the newest hundred rows come first
+        rows.where(F.floor(F.unix_timestamp("ts") / 60000) == part).coalesce(1).write.mode("append").parquet(folder)
+    for keys, count in ((["start"], lambda b: jobs.tumbling_counts(b, "6 hours")), (["start", "name"], lambda b: jobs.sliding_counts(b, "5 minutes", "5 minutes"))):
+        table = KeyedTable(spark, str(tmp_path / f"out{len(keys)}"), keys, [])
+        run_to_end(jobs.folder_stream(spark, folder, rows.schema, 1), table, each=jobs.partial_sums(table, count))
+        assert table.batches().select("batch_id").distinct().count() == 4
+        assert table.read_sums().agg(F.sum("n")).first()[0] == 400
+
+
+def test_lifecycle_events_in_any_order_of_batches(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path), ["analysis_id"], [])
+    for batch_id, seq in enumerate((3, 1, 0, 2, 2)):  # the last batch is delivered again
+        table.write_batch(_events(spark, [e for e in EVENTS if e[1] == seq] or EVENTS[:1]), batch_id)
+    assert _state(jobs.read_lifecycle(table)) == WANT
+
+
 def test_versioned_tables(spark, tmp_path):
     store = VersionedTables(spark, str(tmp_path))
     assert store.read("documents") is None

@@ -4,9 +4,12 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, duck
+from pactframe.plans import load
+from pactframe.plans.registry import PLANS
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = sorted(entry.queries())
+load()
+QUERIES = sorted(PLANS)
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +22,7 @@ def test_flagship(spark):
 
 
 def test_every_oracle_has_a_query():
+    assert set(PLANS) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
