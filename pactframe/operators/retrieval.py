@@ -7,7 +7,6 @@ keyword side stay global under a scope.
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,8 +26,10 @@ RRF_K, CANDIDATES, TOP_K = 60, 20, 6
 SECTION_LIMIT, HISTORY_TURNS, MAX_PANELS, EVIDENCE_CAP = 20, 8, 4, 12_000
 MODES = ("hybrid", "vector", "keyword")
 NEEDS_VECTORS = ("hybrid", "vector")
-#: Questions held by a task at once: 4,096 x 512 doubles are 16 MB.
-QUESTION_BLOCK = 4096
+#: Rows of a question block and of a vector block: 1,024 x 512 doubles are 4 MB.
+QUESTION_BLOCK, VECTOR_BLOCK = 1024, 2048
+#: Distances held at once while a tile is worked on.
+STRIP_BYTES = 8 << 20
 
 
 def _accents() -> dict[str, str]:
@@ -141,68 +142,78 @@ def bm25(questions: DataFrame, chunks: DataFrame, *, k: int, scope: str | None =
 # -- vectors ----------------------------------------------------------------
 
 
-def _nearest_in_partition(block, k: int, scoped: bool):
-    """A mapInPandas function keeping the best ``k`` rows per question."""
-    ids, scopes, matrix = block.value
+def _block_rows(df: DataFrame, key: str, scope: str | None, size: int) -> DataFrame:
+    """Rows of a table packed into arrays of at most ``size`` of one width: ``width, ids, scopes, matrix``."""
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, *([scope] if scope else []))}
+    side = df.where(F.col("embedding").isNotNull()).select(F.col(key).alias("id"), (F.col(scope) if scope else F.lit(None).cast("int")).alias("scope"), "embedding")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if frame.empty:
-                continue
-            chunk = frame["chunk_id"].to_numpy()
-            vectors = np.vstack(frame["embedding"].to_numpy()).astype(np.float64)
-            groups = frame.groupby("scope").indices.items() if scoped else ((None, np.arange(len(frame))),)
-            for scope, rows in groups:
-                asked = np.flatnonzero(scopes == scope) if scoped else np.arange(len(ids))
-                part = vectors[rows]
-                # Squared distances of the whole batch by one matrix product pick
-                # the candidates; only those are measured exactly.
-                rough = (part**2).sum(1)[:, None] + (matrix[asked] ** 2).sum(1)[None, :] - 2 * part @ matrix[asked].T
-                depth = min(k, len(rows)) - 1
-                limit = np.partition(rough, depth, axis=0)[depth] + 1e-6
-                for j, q in enumerate(asked):
-                    near = np.flatnonzero(rough[:, j] <= limit[j])
-                    gap = part[near] - matrix[q]
-                    d, c = np.sqrt(np.einsum("ij,ij->i", gap, gap)), chunk[rows[near]]
-                    if q in best:
-                        d, c = np.concatenate([best[q][0], d]), np.concatenate([best[q][1], c])
-                    order = np.lexsort((c, np.round(d, 9)))[:k]
-                    best[q] = (d[order], c[order])
-        for q, (d, c) in best.items():
-            yield pd.DataFrame({"query_id": ids[q], "chunk_id": c, "distance": d})
-
-    return run
+            widths = frame["embedding"].map(len).to_numpy()
+            for width in np.unique(widths):
+                same = frame[widths == width]
+                for at in range(0, len(same), size):
+                    part = same.iloc[at:at + size]
+                    matrix = np.vstack(part["embedding"].to_numpy()).astype(np.float64)
+                    yield pd.DataFrame({"width": [width], "ids": [part["id"].tolist()], "scopes": [part["scope"].astype(object).where(part["scope"].notna(), None).tolist()],
+                                        "matrix": [matrix.tobytes()]})
+
+    return side.mapInPandas(pack, f"width int, ids array<{kinds[key]}>, scopes array<{kinds.get(scope, 'int')}>, matrix binary")
+
+
+def _nearest_of(ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per question the ``k`` nearest vectors of one block: question row, ids, distances.
+
+    Squared distances by one matrix product pick the candidates; only those are
+    measured exactly. Questions are taken in strips of ``STRIP_BYTES``.
+    """
+    norms = (vectors**2).sum(1)
+    depth = min(k, len(ids)) - 1
+    step = max(1, STRIP_BYTES // (8 * len(ids)))
+    for at in range(0, len(asked), step):
+        rough = norms[:, None] + (asked[at:at + step] ** 2).sum(1)[None, :] - 2 * vectors @ asked[at:at + step].T
+        limit = np.partition(rough, depth, axis=0)[depth] + 1e-6
+        for j in range(rough.shape[1]):
+            near = np.flatnonzero(rough[:, j] <= limit[j])
+            gap = vectors[near] - asked[at + j]
+            d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+            order = np.lexsort((ids[near], np.round(d, 9)))[:k]
+            yield at + j, ids[near][order], d[order]
 
 
 def nearest(vectors: DataFrame, questions: DataFrame, *, k: int, scope: str | None = None) -> DataFrame:
     """Exact ``k`` nearest by Euclidean distance: (query_id, chunk_id, distance, rank).
 
-    Questions travel to the vectors in blocks of a fixed size, never the whole
-    table at once; each task keeps ``k`` rows per question while it streams its
-    vectors, so the shuffle carries tasks x questions x k rows and a document
-    holding most of the vectors is still spread over all tasks. ``scope`` names
-    a column both sides share and is applied before the k.
+    Both tables are packed into blocks of fixed size. Question blocks are sent
+    to every slot, each vector block to one of them, and a task works on one
+    block of either side at a time; neither table comes to the driver. Each
+    tile keeps ``k`` rows per question. ``scope`` names a column both sides share
+    and is applied before the k. No questions give no rows.
     """
-    spark = vectors.sparkSession
-    side = vectors.select("chunk_id", "embedding", *([F.col(scope).alias("scope")] if scope else []))
-    total = questions.count()
-    n_blocks = max(1, math.ceil(total / QUESTION_BLOCK * 1.2)) if total > QUESTION_BLOCK else 1
-    parts = []
-    for b in range(n_blocks):
-        mine = questions if n_blocks == 1 else questions.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        rows = mine.select("query_id", F.col(scope) if scope else F.lit(None).alias("_s"), "embedding").collect()
-        if not rows:
-            continue
-        block = spark.sparkContext.broadcast((
-            [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows], dtype=np.float64)))
-        kind = questions.schema["query_id"].dataType.simpleString()
-        chunk = vectors.schema["chunk_id"].dataType.simpleString()
-        parts.append(side.mapInPandas(
-            _nearest_in_partition(block, k, scope is not None), f"query_id {kind}, chunk_id {chunk}, distance double"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    slots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = _block_rows(questions, "query_id", scope, QUESTION_BLOCK).withColumnsRenamed({"ids": "q_ids", "scopes": "q_scopes", "matrix": "q_matrix"})
+    left = left.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    right = _block_rows(vectors, "chunk_id", scope, VECTOR_BLOCK).withColumn("slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)))
+    kinds = [questions.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()]
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                q_ids, ids = np.asarray(row.q_ids), np.asarray(row.ids)
+                asked = np.frombuffer(row.q_matrix).reshape(-1, row.width)
+                block = np.frombuffer(row.matrix).reshape(-1, row.width)
+                pairs = [(np.arange(len(ids)), np.arange(len(q_ids)))]
+                if scope:
+                    mine, theirs = pd.Series(row.scopes, dtype=object), pd.Series(row.q_scopes, dtype=object)
+                    pairs = [(np.flatnonzero(mine == v), np.flatnonzero(theirs == v)) for v in theirs.dropna().unique()]
+                found: list[tuple] = []
+                for rows, qs in pairs:
+                    if len(rows):
+                        found += [(q_ids[qs[j]], c, d) for j, near, gaps in _nearest_of(ids[rows], block[rows], asked[qs], k) for c, d in zip(near, gaps)]
+                yield pd.DataFrame(found, columns=["query_id", "chunk_id", "distance"])
+
+    tiles = left.join(right, ["slot", "width"]).select("width", "q_ids", "q_scopes", "q_matrix", "ids", "scopes", "matrix")
+    found = tiles.mapInPandas(compare, f"query_id {kinds[0]}, chunk_id {kinds[1]}, distance double")
     return top_k(found, ["query_id"], [F.round("distance", 9), F.asc("chunk_id")], k)
 
 

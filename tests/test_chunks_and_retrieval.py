@@ -103,6 +103,13 @@ def test_nearest_is_exact(spark, monkeypatch, block):
             assert [r["chunk_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
 
 
+def test_nearest_without_questions(spark):
+    _, _, vectors = vectors_of(spark, 40)
+    none = vectors.limit(0).withColumnRenamed("chunk_id", "query_id")
+    assert rt.nearest(vectors, none, k=3).collect() == []
+    assert rt.nearest(vectors.limit(0), vectors.withColumnRenamed("chunk_id", "query_id"), k=3).collect() == []
+
+
 CHUNKS = [(1, 1, "Passwords rotate every 90 days under GOV-01."), (2, 1, "Assets are listed each quarter."),
           (3, 2, "GOV-01 GOV-01 passwords passwords rotate rotate decoy."), (4, 2, "Other gov text 01 apart."), (5, 1, "TLS 1.2 or better.")]
 
