@@ -38,6 +38,7 @@ def nearest_rank(
     bounded_groups: bool = False,
     cells: int = 16384,
     bend: float = 1e6,
+    rounds: int = 2,
 ) -> DataFrame:
     """Exact nearest-rank percentiles per key: rank = ceil(n * p / 100).
 
@@ -45,8 +46,9 @@ def nearest_rank(
     Equal values are counted first (map-side combine); then the target rank is
     narrowed to one of ``cells`` monotone cells between the smallest and the
     largest value, spaced logarithmically because latencies and costs have long
-    right tails, and only that cell is sorted. No task holds a group, whatever
-    its size. ``bounded_groups`` says the number of groups has a bound of its
+    right tails. The next of ``rounds`` narrows between the smallest and the
+    largest value of that cell, so outliers that pressed everything into one
+    cell are gone from it, and only the last cell is sorted. ``bounded_groups`` says the number of groups has a bound of its
     own (the buckets of a window), which makes the targets safe to broadcast.
     """
     grp = [*keys, "_x"]
@@ -74,19 +76,21 @@ def nearest_rank(
 
     share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     cell = F.floor(F.log1p(share * bend) * (cells / math.log1p(bend)))
-    counted = (
-        scoped(targets)
-        .withColumn("_c", F.when(F.col("_hi") > F.col("_lo"), F.least(cell, F.lit(cells - 1))).otherwise(0))
-        .groupBy(*grp, "_p", "_rank", "_c")
-        .agg(F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    )
     cum = F.col("_cum")
     w = Window.partitionBy(*grp, "_p").orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = (
-        counted.withColumn("_cum", F.sum("_m").over(w))
-        .where((cum >= F.col("_rank")) & (cum - F.col("_m") < F.col("_rank")))
-        .select(*grp, "_p", "_rank", (cum - F.col("_m")).alias("_before"), "_lo", "_hi")
-    )
+    chosen = targets.withColumn("_before", F.lit(0).cast("long"))
+    for _ in range(rounds):
+        counted = (
+            scoped(chosen)
+            .withColumn("_c", F.when(F.col("_hi") > F.col("_lo"), F.least(cell, F.lit(cells - 1))).otherwise(0))
+            .groupBy(*grp, "_p", "_rank", "_before", "_c")
+            .agg(F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        )
+        chosen = (
+            counted.withColumn("_cum", F.col("_before") + F.sum("_m").over(w))
+            .where((cum >= F.col("_rank")) & (cum - F.col("_m") < F.col("_rank")))
+            .select(*grp, "_p", "_rank", (cum - F.col("_m")).alias("_before"), "_lo", "_hi")
+        )
     w = Window.partitionBy(*grp, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picked = (
         scoped(chosen)

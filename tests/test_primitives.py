@@ -83,3 +83,13 @@ def test_bad_window_specs(spec):
 
 def test_host_bucket():
     assert tl.host_bucket("1h", 30) == "30s" and tl.host_bucket("7d", 30) == "6h" and tl.host_bucket("30m", 0.2) == "1m"
+
+
+def test_nearest_rank_with_an_outlier(spark):
+    # One value of 1e12 presses the others into the first cell; narrowing again spreads them.
+    df = spark.range(20_000).select(F.when(F.col("id") == 0, 1e12).otherwise(F.col("id") / 200).alias("v"))
+    row = nearest_rank(df, [], ["v"], [50, 95]).first()
+    values = sorted([1e12, *[i / 200 for i in range(1, 20_000)]])
+    assert (row["v_p50"], row["v_p95"]) == (values[9_999], values[18_999])
+    plan = nearest_rank(df, [], ["v"], [50])._jdf.queryExecution().executedPlan().toString()
+    assert plan.lower().count("log1p") >= 2
