@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactframe.llm import exact, langid, minhash, mixing, packing
-from pactframe.llm.common import fresh, save
+from pactframe.llm.common import save
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,9 +16,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and letterless texts go; columns stay as they are.
     """
     found = langid.predict(docs, langid.fit(docs)).filter((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < langid.MIN_SCORE))
-    mark = fresh(docs, "rejected_id")
-    gone = save(found.select(F.col("doc_id").alias(mark)).distinct(), "rejected")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[mark]), "left_anti")
+    gone = save(found.select("doc_id", "text_hash").distinct(), "rejected")
+    return exact.drop_documents(docs, gone, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from ..session import configure, materialize
 
 #: Runs of ASCII white space, as every text contract here defines them.
 WHITE = r"[\x20\x09-\x0D]+"
+#: Rows and bytes of an Arrow batch; one longer text is a batch of its own.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 #: Bits of the fixed-size key filter: its broadcast never passes 4 MB.
 FILTER_BITS = 1 << 25
 
@@ -24,6 +26,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once: texts arrive in Arrow batches of few rows and bytes."""
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
+
+
 def save(df: DataFrame, purpose: str) -> DataFrame:
     """Write a narrow intermediate table to the shared folder and read it back."""
     return materialize(df, f"llm-{purpose}")

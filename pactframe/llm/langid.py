@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Bytes of a window, in training and in prediction.
 WINDOW = 256
-#: Bound of the training sample: documents per language, windows per document.
-DOCS_PER_LANG, WINDOWS_PER_DOC = 600, 6
+#: Bound of the training sample: languages (the most frequent ones), documents
+#: of each, windows of a document.
+MOST_LANGS, DOCS_PER_LANG, WINDOWS_PER_DOC = 200, 600, 6
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 16, 8
 UNKNOWN = "und"
@@ -143,16 +146,20 @@ def training_sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, per_doc
 
     Per language the ``docs_per_lang`` documents with the smallest id hashes, and
     of each ``per_doc`` windows at even distances: at most
-    ``languages * docs_per_lang * per_doc`` windows come to the driver.
+    ``MOST_LANGS * docs_per_lang * per_doc`` windows come to the driver.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (docs.select("doc_id", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-              .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_lang))
+    # A first cut by hash leaves about three times the documents wanted, so the
+    # ranking of a language never sees more, however many it has.
+    labelled = docs.select("doc_id", "lang", "text").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "lang").limit(MOST_LANGS)
+    rates = sizes.select("lang", F.least(F.lit(1.0), F.lit(3.0 * docs_per_lang) / F.col("docs")).alias("rate"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     step = F.length("text") / F.lit(float(per_doc))
     parts = F.array(*[F.substring("text", (F.lit(1) + F.floor(step * i)).cast("int"), F.lit(WINDOW)) for i in range(per_doc)])
-    texts = docs.select("doc_id", "lang", "text").filter(F.col("text").rlike(r"\p{L}"))
-    picked = texts.join(chosen, ["doc_id", "lang"]).select("lang", "n", "doc_id", parts.alias("parts"))
-    rows = picked.dropDuplicates(["lang", "n"]).orderBy("lang", "n").select("lang", "parts").collect()
+    picked = (labelled.join(F.broadcast(rates), "lang").filter((place < F.col("rate")) & F.col("text").rlike(r"\p{L}"))
+              .select("lang", place.alias("place"), "doc_id", parts.alias("parts")))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "parts")
+    rows = picked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_lang).orderBy("lang", "n").select("lang", "parts").collect()
     langs = sorted({r.lang for r in rows})
     texts = [(r.lang, p.encode()[:WINDOW]) for r in rows for p in dict.fromkeys(r.parts) if p.strip()]
     x = np.zeros((len(texts), WINDOW), np.uint8)
@@ -168,7 +175,7 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, epochs: int = 2) ->
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for every whole text.
+    """``doc_id, held_out, text_hash, lang_pred, score`` for every whole text.
 
     A text is all its windows; the score of a language is the mean of its window
     probabilities weighted by their bytes, and the best one is predicted. Null
@@ -176,17 +183,18 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     with score 0. Rows that repeat are predicted alike; ``lang`` and other columns
     are not looked at.
     """
-    given = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"),
+    small_batches(docs.sparkSession)
+    given = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"),
                         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if net is None:
-        return given.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    schema = T.StructType([given.schema["doc_id"], given.schema["held_out"], T.StructField("lang_pred", T.StringType()),
+        return given.select("doc_id", "held_out", "text_hash", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = T.StructType([given.schema["doc_id"], given.schema["held_out"], given.schema["text_hash"], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
     names = np.array([*net.langs, UNKNOWN], object)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(2).cast(pa.large_string())
+            text = batch.column(3).cast(pa.large_string())
             offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
             raw = text.buffers()[2]
             data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(1, np.uint8)
@@ -196,10 +204,10 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                 part = slice(at, at + (1 << 14))
                 np.add.at(total, owner[part], predict_windows(net, data, start[part], size[part]) * size[part, None])
             share = total / np.maximum(np.diff(offsets), 1)[:, None]
-            letters = np.array(batch.column(3).to_pylist(), bool)
+            letters = np.array(batch.column(4).to_pylist(), bool)
             best = np.where(letters, share.argmax(1), len(net.langs))
             score = np.where(letters, share.max(1), 0.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], schema.names)
+                [*batch.columns[:3], pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], schema.names)
 
     return given.mapInArrow(apply, schema)

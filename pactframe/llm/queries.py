@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return langid.predict(docs, langid.fit(docs))
+    return langid.predict(docs, langid.fit(docs)).drop("text_hash")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
