@@ -98,7 +98,7 @@ def main() -> int:
                 traceback.print_exc()
         flag = "ok " if diff is None else "BAD"
         failed += diff is not None
-        print(f"{flag} {name:32s} rows={n:<7d} spark={took:5.2f}s sql={sqls:5.2f}s {'(rows only)' if name not in ORACLES else ''} {'' if diff is None else diff[:1500]}", flush=True)
+        print(f"{flag} {name:32s} rows={n:<7d} spark={took:5.2f}s sql={sqls:5.2f}s {'untested: no SQL' if name not in ORACLES else ''} {'' if diff is None else diff[:1500]}", flush=True)
     print("failed", failed)
     spark.stop()
     return failed

@@ -325,20 +325,28 @@ def compact_grid(rows: Column) -> Column:
     """A grid without empty rows and columns, padded to one width."""
     clean = F.transform(rows, lambda r: F.transform(r, lambda c: F.coalesce(tx.collapse(c), F.lit(""))))
     full = F.filter(clean, lambda r: F.exists(r, lambda c: c != ""))
-    width = F.coalesce(F.array_max(F.transform(full, F.size)), F.lit(0))
-    padded = F.transform(full, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    keep = F.filter(F.sequence(F.lit(1), F.greatest(width, F.lit(1))),
-                    lambda i: F.exists(padded, lambda r: F.try_element_at(r, i) != ""))
-    return F.transform(padded, lambda r: F.transform(keep, lambda i: F.element_at(r, i)))
+
+    def pad(grid: Column) -> Column:
+        width = F.coalesce(F.array_max(F.transform(grid, F.size)), F.lit(0))
+        return tx.bind(width, lambda w: F.transform(grid, lambda r: F.concat(r, F.array_repeat(F.lit(""), w - F.size(r)))))
+
+    def columns_kept(padded: Column) -> Column:
+        width = F.greatest(F.coalesce(F.size(F.try_element_at(padded, F.lit(1))), F.lit(0)), F.lit(1))
+        keep = F.filter(F.sequence(F.lit(1), width), lambda i: F.exists(padded, lambda r: F.try_element_at(r, i) != ""))
+        return tx.bind(keep, lambda k: F.transform(padded, lambda r: F.transform(k, lambda i: F.element_at(r, i))))
+
+    return tx.bind(tx.bind(full, pad), columns_kept)
 
 
 def grid_is_valid(rows: Column) -> Column:
-    width = F.size(F.get(rows, F.lit(0)))
-    cells = F.flatten(rows)
-    filled = F.size(F.filter(cells, lambda c: c != ""))
-    return F.coalesce(
-        (F.size(rows) >= MIN_ROWS) & (width >= MIN_COLS) & F.forall(rows, lambda r: F.size(r) == width)
-        & (filled / (F.size(rows) * width) >= MIN_FILL), F.lit(False))
+    def judged(grid: Column) -> Column:
+        width = F.size(F.get(grid, F.lit(0)))
+        filled = F.size(F.filter(F.flatten(grid), lambda c: c != ""))
+        return F.coalesce(
+            (F.size(grid) >= MIN_ROWS) & (width >= MIN_COLS) & F.forall(grid, lambda r: F.size(r) == width)
+            & (filled / (F.size(grid) * width) >= MIN_FILL), F.lit(False))
+
+    return tx.bind(rows, judged)
 
 
 def markdown_line(row: Column) -> Column:

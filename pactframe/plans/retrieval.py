@@ -128,9 +128,10 @@ def r6(src):
 
 @plan("r7_top_k", sql="""
 SELECT document_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY document_id ORDER BY round(score, 9) DESC, chunk_id) AS rank
-  FROM (SELECT document_id, chunk_id, embedding[1]::DOUBLE AS score FROM v_vectors) QUALIFY rank <= 6""")
+  FROM (SELECT document_id, chunk_id, list_sum(list_transform(embedding, lambda x, i: x::DOUBLE / i)) AS score FROM v_vectors) QUALIFY rank <= 6""")
 def r7(src):
-    scored = src.view("vectors").select("document_id", "chunk_id", F.col("embedding")[0].cast("double").alias("score"))
+    scored = src.view("vectors").select("document_id", "chunk_id", F.aggregate(
+        F.transform("embedding", lambda x, i: x.cast("double") / (i + 1)), F.lit(0.0), lambda t, x: t + x).alias("score"))
     return rt.top_k(scored, ["document_id"], [F.desc(F.round("score", 9)), F.asc("chunk_id")], 6).withColumn("score", F.round("score", 6))
 
 

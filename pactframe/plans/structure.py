@@ -92,12 +92,13 @@ def p7_corpus(src):
 
 
 @plan("p8_page_numbers", sql=r"""
-SELECT doc_id, line_no, text FROM (SELECT doc_id, line_no, CASE WHEN line_no % 5 = 0 THEN split_part(trim(text), ' ', 1) ELSE text END AS text FROM v_blocks)
+SELECT doc_id, line_no, text FROM (SELECT doc_id, line_no, text FROM v_blocks UNION ALL SELECT doc_id, line_no, unnest(string_split(text, ' ')) FROM v_blocks)
  WHERE trim(text) <> '' AND (regexp_matches(trim(text), '^\d{1,5}$') OR regexp_matches(trim(text), '(?i)^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$'))""")
 def p8(src):
-    text = F.when(F.col("line_no") % 5 == 0, F.split_part(F.trim("text"), F.lit(" "), F.lit(1))).otherwise(F.col("text"))
-    rows = src.view("blocks").select("doc_id", "line_no", text.alias("text"))
-    return rows.where(st.is_page_number(F.col("text")))
+    blocks = src.view("blocks").select("doc_id", "line_no", "text")
+    # Whole blocks, and every word as a block of its own.
+    words = blocks.select("doc_id", "line_no", F.explode(F.split("text", " ")).alias("text"))
+    return blocks.unionByName(words).where(st.is_page_number(F.col("text")))
 
 
 @plan("p9_paragraph_indent", sql=f"WITH {INDENT} SELECT * FROM i")
@@ -394,10 +395,10 @@ def p27(src):
 
 def _grids(src):
     rows = src.view("grids").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("block_no", "cells"))).alias("r"))
-    return rows.select("doc_id", "page", F.transform("r", lambda x: F.split(x["cells"], r"\|")).alias("rows"))
+    return rows.select("doc_id", "page", F.transform("r", lambda x: x["cells"]).alias("rows"))
 
 
-GRID = """g AS (SELECT doc_id, page, list(string_split(cells, '|') ORDER BY block_no) AS rows FROM v_grids GROUP BY 1, 2),
+GRID = """g AS (SELECT doc_id, page, list(cells ORDER BY block_no) AS rows FROM v_grids GROUP BY 1, 2),
 f AS (SELECT doc_id, page, list_filter(list_transform(rows, lambda r: list_transform(r, lambda c: trim(regexp_replace(c, '\\s+', ' ', 'g')))), lambda r: len(list_filter(r, lambda c: c <> '')) > 0) AS rows FROM g),
 p AS (SELECT doc_id, page, rows, coalesce(list_max(list_transform(rows, lambda r: len(r))), 0) AS w FROM f),
 k AS (SELECT doc_id, page, rows, list_filter(range(1, w + 1), lambda i: len(list_filter(rows, lambda r: coalesce(r[i], '') <> '')) > 0) AS keep FROM p),
@@ -417,7 +418,7 @@ def p29(src):
 
 
 @plan("p30_markdown", sql=f"""
-WITH {GRID}, m AS (SELECT doc_id, page, list_transform(rows, lambda r: concat('|', array_to_string(r, '|'), '|')) AS l, rows FROM c)
+WITH {GRID}, m AS (SELECT doc_id, page, list_transform(rows, lambda r: concat('|', array_to_string(list_transform(r, lambda x: replace(x, '|', '\\|')), '|'), '|')) AS l, rows FROM c)
 SELECT doc_id, page, CASE WHEN len(rows) = 0 THEN '' ELSE array_to_string(list_concat([l[1], concat('|', array_to_string(list_transform(rows[1], lambda x: '---'), '|'), '|')], l[2:]), chr(10)) END AS md FROM m""")
 def p30(src):
     grid = _grids(src).select("doc_id", "page", st.compact_grid(F.col("rows")).alias("rows"))

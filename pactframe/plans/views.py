@@ -125,8 +125,13 @@ SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS B
   FROM @documents""",
 )
 
-#: Layout blocks: every line of a document is a block on a 12-block page whose
-#: geometry, font and decoration follow from its position and length.
+#: The four blocks a page has of itself, once for its first line.
+_PAGE_BLOCKS = " ".join(
+    f"UNION ALL SELECT doc_id, line, source, {_div('line_no', 8)}, {n} FROM v_lines WHERE line_no % 8 = 0" for n in (0, 1, 8, 11))
+
+#: Layout blocks: every line of a document is one of eight blocks of a page, with
+#: a header, a heading, an equation and a footer of the page beside them.
+#: Geometry, font and decoration follow from place and length.
 VIEWS["v_blocks"] = f"""
 SELECT doc_id, page, block_no, line_no, kind,
        CASE WHEN kind = 'header' THEN concat('Master agreement | page ', CAST(page + 1 AS STRING))
@@ -149,12 +154,14 @@ SELECT doc_id, page, block_no, line_no, kind,
        CASE WHEN kind = 'header' THEN 20.0 WHEN kind = 'footer' THEN 770.0 ELSE 60.0 + 58.0 * block_no END AS y0,
        CASE WHEN kind = 'header' THEN 32.0 WHEN kind = 'footer' THEN 782.0 ELSE 84.0 + 58.0 * block_no END AS y1,
        792.0 AS page_height
-  FROM (SELECT doc_id, line_no, line, source, {_div('line_no', 12)} AS page, CAST(line_no % 12 AS INT) AS block_no,
-               CASE WHEN line_no % 12 = 0 THEN 'header' WHEN line_no % 12 = 11 THEN 'footer'
+  FROM (SELECT *, CASE WHEN line_no % 12 = 0 THEN 'header' WHEN line_no % 12 = 11 THEN 'footer'
                     WHEN line_no % 12 = 5 OR line_no % 24 = 6 THEN 'caption' WHEN line_no % 12 = 1 THEN 'heading'
                     WHEN line_no % 12 IN (2, 3, 7) THEN 'clause' WHEN line_no % 12 = 8 THEN 'equation'
                     WHEN line_no % 36 = 10 THEN 'dots' ELSE 'text' END AS kind
-          FROM v_lines) b"""
+          FROM (SELECT doc_id, line, source, page, block_no, page * 12 + block_no AS line_no FROM (
+                  SELECT doc_id, line, source, {_div('line_no', 8)} AS page,
+                         CAST(CASE line_no % 8 WHEN 6 THEN 9 WHEN 7 THEN 10 ELSE 2 + line_no % 8 END AS INT) AS block_no FROM v_lines
+                  {_PAGE_BLOCKS}) l) n) b"""
 
 #: Sectioned elements of the same documents, as the chunker reads them.
 VIEWS["v_elements"] = f"""
@@ -192,21 +199,21 @@ SELECT doc_id, line_no, CASE line_no % 9
 
 #: One two-row table per even page run, some of them continued on the next page.
 VIEWS["v_tables"] = f"""
-SELECT doc_id, page, page AS ord,
+SELECT doc_id, page, line_no AS ord,
        CASE WHEN page % 3 = 2 OR doc_id % 4 = 0 THEN 60.0 ELSE 420.0 END AS y0,
        CASE WHEN page % 3 = 2 OR doc_id % 4 = 0 THEN 700.0 ELSE 780.0 END AS y1, page_height,
        CASE WHEN page % 5 = 4 THEN 'Ref|Control|Owner' ELSE 'Ref |Control' END AS header,
        concat('R', CAST(page AS STRING), '|', replace(text, '|', ' ')) AS row_text,
        CASE WHEN page % 7 = 3 THEN 'text-fallback' WHEN page % 2 = 1 THEN 'recovered' ELSE 'ruled' END AS quality,
        CASE WHEN page % 4 = 0 THEN 1 ELSE 0 END AS breaks_before
-  FROM v_blocks WHERE block_no = 4"""
-
-#: Grids of up to five words per row, with blank rows and columns.
-VIEWS["v_grids"] = """
-SELECT doc_id, page, block_no, CASE WHEN block_no = 7 THEN '||' WHEN page % 2 = 0 THEN concat(w1, '||', w2)
-       WHEN block_no % 3 = 0 THEN concat('|', w1) ELSE concat(w1, '|', w2, '|', w3) END AS cells
-  FROM (SELECT doc_id, page, block_no, substring(text, 1, 6) AS w1, substring(text, 8, 5) AS w2, substring(text, 14) AS w3
-          FROM v_blocks WHERE kind IN ('text', 'clause', 'dots') AND text NOT LIKE '%|%') g"""
+  FROM v_blocks"""
+
+#: Grids of three cells per block, whole texts in them, with blank rows and columns.
+_GRIDS = """
+SELECT doc_id, page, block_no, CASE WHEN page % 2 = 0 THEN {0}w1, '', concat(w2, w3){1} WHEN block_no % 3 = 0 THEN {0}'', text{1} ELSE {0}w1, w2, w3{1} END AS cells
+  FROM (SELECT doc_id, page, block_no, text, substring(text, 1, 6) AS w1, substring(text, 7, 6) AS w2, substring(text, 13) AS w3 FROM v_blocks) g
+UNION ALL SELECT doc_id, page, 12, {0}'', ' ', ''{1} FROM v_blocks WHERE kind = 'header'"""
+VIEWS["v_grids"] = (_GRIDS.format("array(", ")"), _GRIDS.format("[", "]"))
 
 #: Drafts of two criteria per run; every line of an order is one quote and one
 #: sub-requirement of the draft it falls in.
