@@ -8,6 +8,7 @@ and changes nothing.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,8 @@ class VersionedTables:
         version = f"v-{uuid.uuid4().hex[:12]}"
         for name, df in tables.items():
             bucketed = df.withColumn("doc_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")) if key in df.columns else df
+            if key in df.columns:
+                bucketed = bucketed.repartition("doc_bucket")  # one file per bucket, not one per bucket and task
             writer = bucketed.write.mode("overwrite")
             if key in df.columns:
                 writer = writer.partitionBy("doc_bucket")
@@ -56,6 +59,15 @@ class VersionedTables:
         if self.current() is not None:
             known = self.spark.read.schema("seq long, version string").json(
                 f"{self.root}/manifest").agg(F.max("seq")).first()[0]
-        row = self.spark.createDataFrame([(known + 1, version)], "seq long, version string")
-        row.coalesce(1).write.mode("append").json(f"{self.root}/manifest")
+        self._claim(known + 1, version)
         return version
+
+    def _claim(self, seq: int, version: str) -> None:
+        """Write the manifest entry of a number nobody has taken; a second writer fails."""
+        fs, jvm = self._fs()
+        entry = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/{seq:012d}.json")
+        if fs.exists(entry):
+            raise RuntimeError(f"version {seq} was published by another writer")
+        out = fs.create(entry, False)
+        out.write(bytearray(json.dumps({"seq": seq, "version": version}).encode()))
+        out.close()

@@ -135,6 +135,9 @@ def test_versioned_tables(spark, tmp_path):
     assert store.read("vectors").count() == 2
     store.publish({"documents": docs.where("document_id = 1")})
     assert [r["path"] for r in store.read("documents").collect()] == ["a"]
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._claim(2, "v-late")
+    assert [r["path"] for r in store.read("documents").collect()] == ["a"]
 
 
 def test_files_logs_criteria(spark, tmp_path):
