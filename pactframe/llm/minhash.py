@@ -8,11 +8,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, key_filter, may_contain, save, same, worker_cache
+from .common import WHITE, key_filter, may_contain, save, same, small_batches, worker_cache
 from .graph import components
 
 #: 40 bands of 6 coordinates: at a similarity of exactly 0.8 a pair shares no
@@ -21,8 +21,8 @@ BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
 #: Positions of the circulant permutation.
 CIRCLE = 1 << 20
-#: Hub orders tried before the remaining pairs of a bucket are all compared.
-HUB_ORDERS = 3
+#: Hub orders tried before the classes still apart are paired by rare shingles.
+HUB_ORDERS = 6
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Compact signature: two bits of each coordinate in two rows of four longs.
 SKETCH = 8
@@ -87,6 +87,7 @@ def describe(docs: DataFrame, width: int, seed: int = 11) -> DataFrame:
     ``h`` is a hash of the text, ``n`` the size of the shingle set, ``k1, k2`` 128 bits
     of the set itself, ``bands`` one hash per band, ``sketch`` two bits of each coordinate.
     """
+    small_batches(docs.sparkSession)
     given = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), word_hashes(F.col("text")).alias("w"))
     schema = T.StructType([given.schema["doc_id"], T.StructField("h", T.LongType()), T.StructField("n", T.LongType()),
                            T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
@@ -123,6 +124,7 @@ def describe(docs: DataFrame, width: int, seed: int = 11) -> DataFrame:
 
 def read_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``node, n, shingles`` of the ``wanted(node, doc_id, h)``; only their texts are worked on."""
+    small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).withColumn("k", F.xxhash64("doc_id", "h"))
     pages = key_filter(wanted.select(F.xxhash64("doc_id", "h").alias("k")))
     near = may_contain(keyed, pages, "k", "hit").filter("hit").select("doc_id", "h", word_hashes(F.col("text")).alias("w"))
@@ -171,11 +173,12 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     document that has it stays.
 
     Documents with equal sets are one class; only classes are compared. Inside
-    a bucket classes are compared with one hub, chosen anew ``HUB_ORDERS`` times and
-    only where the two are not connected yet; a group of near copies thus costs
-    a few links per class. Pairs of a bucket that are then still unconnected are
-    all compared, sizes and sketches first. Every link is confirmed on the whole
-    sets, so a component never joins what no chain of links joins.
+    a bucket classes are compared with hubs, chosen in ``HUB_ORDERS`` ways and only
+    where the two are not connected yet; a group of near copies thus costs a
+    few links per class. Classes with a possible partner outside their component
+    are then paired by their rarest shingles (``leftover``), which loses no link.
+    Every link is confirmed on the whole sets, so a component never joins what
+    no chain of links joins.
 
     Defined results: a text without words has ``n_shingles`` 0 and stays alone;
     fewer words than ``width`` are one shingle; a null id cannot be the smallest
@@ -191,17 +194,10 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]), "minhash-classes")
 
     banded = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("bucket")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     live = save(banded.join(shared, "bucket"), "minhash-live")
     facts = classes.select("node", "n", *[f"s{i}" for i in range(SKETCH)])
-
-    # Hub orders: of every bucket the class that comes first in another hash order.
-    pairs = None
-    for order in range(HUB_ORDERS):
-        hubs = live.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(order))).alias("hub"))
-        near = live.join(hubs, "bucket").filter("node <> hub").select(
-            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.lit(order).alias("round"))
-        pairs = near if pairs is None else pairs.unionByName(near)
+    pairs = hub_pairs(live)
     pairs = pairs.groupBy("a", "b").agg(F.min("round").alias("round"))
     pairs = save(sketched(pairs, facts), "minhash-hubs")
 
@@ -215,11 +211,10 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         labels = components(links)
 
-    rest = save(leftover(live, labels, facts).join(pairs, ["a", "b"], "left_anti"), "minhash-rest")
+    rest, more = leftover(docs, live, labels, facts, picks, width)
+    rest = save(rest.join(pairs, ["a", "b"], "left_anti"), "minhash-rest")
     if rest.limit(1).count():
-        ends = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node"))).distinct()
-        more = read_sets(docs, picks.join(ends, "node", "left_semi"), width)
-        links = links.unionByName(save(verify(rest, save(more, "minhash-sets")), "minhash-links"))
+        links = links.unionByName(save(verify(rest, more), "minhash-links"))
         labels = components(links)
 
     labelled = classes.select("node", "k1", "k2", "n", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -231,6 +226,25 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def hub_pairs(live: DataFrame, orders: int = HUB_ORDERS) -> DataFrame:
+    """Pairs ``a, b, round`` of every class with its first hub in each order.
+
+    In order 0 the class met most often comes first: in a group of variants of
+    one text that is the text itself. The other orders are random. A class
+    takes the first hub over all its buckets, so there are at most ``orders``
+    pairs per class, however large its buckets.
+    """
+    met = live.groupBy("node").agg(F.sum("classes").alias("met"))
+    ranks = [F.struct((-F.col("met")).alias("k"), F.xxhash64("node").alias("h"), F.col("node").alias("hub"))]
+    ranks += [F.struct(F.lit(0).cast("long").alias("k"), F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("hub")) for r in range(1, orders)]
+    placed = live.select("bucket", "node").join(met, "node")
+    hubs = placed.groupBy("bucket").agg(*[F.min(x).alias(f"h{r}") for r, x in enumerate(ranks)])
+    seen = live.select("bucket", "node").join(hubs, "bucket")
+    first = seen.groupBy("node").agg(*[F.min(F.when(F.col(f"h{r}.hub") != F.col("node"), F.col(f"h{r}"))).alias(f"h{r}") for r in range(orders)])
+    each = first.select("node", F.posexplode(F.array(*[F.col(f"h{r}.hub") for r in range(orders)])).alias("round", "hub")).filter(F.col("hub").isNotNull())
+    return each.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "round")
+
+
 def sketched(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that sizes and sketches leave possible."""
     first = facts.select(F.col("node").alias("a"), F.struct(*facts.columns[1:]).alias("fa"))
@@ -250,20 +264,49 @@ def unconnected(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
         F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def leftover(live: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs of a bucket not connected by the hub links and possible by size and sketch.
+def leftover(docs: DataFrame, live: DataFrame, labels: DataFrame, facts: DataFrame, picks: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a bucket that the hub links left unconnected and that can be links, and the sets of their classes.
 
-    Only buckets with more than one component are looked at. Of these, classes
-    outside the bucket's largest component meet all others; pairs inside that
-    component need no look.
+    Only buckets with more than one component are looked at, and which of their
+    classes have a possible partner outside their component, by size and sketch,
+    is found without listing pairs. The sets of these are ordered by rarity:
+    linked sets share one of their rarest fifths, and at the first shingle they
+    share both have enough left to reach the overlap a link needs. Pairs that
+    meet this at no shingle are no links, so heavily edited copies of one text
+    never pair up, and none is lost.
     """
-    placed = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = parts.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    split = save(placed.join(main, "bucket").join(facts, "node"), "minhash-split")
-    minor = split.filter("label <> main").select(*[F.col(c).alias(f"m_{c}") for c in split.columns])
-    m = {c: F.col(f"m_{c}") for c in split.columns}
-    every = {c: F.col(c) for c in split.columns}
-    met = minor.join(split, (m["bucket"] == every["bucket"]) & (m["label"] != every["label"])
-                     & ((every["label"] == every["main"]) | (m["node"] < every["node"])) & plausible(m, every))
-    return met.select(F.least("m_node", "node").alias("a"), F.greatest("m_node", "node").alias("b")).distinct()
+    placed = live.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = save(with_main(placed, "bucket").join(facts, "node"), "minhash-split")
+    m, x = {c: F.col(f"m_{c}") for c in [*split.columns, "shingle", "place"]}, {c: F.col(c) for c in [*split.columns, "shingle", "place"]}
+    meet = (m["bucket"] == x["bucket"]) & (m["label"] != x["label"]) & plausible(m, x)
+    outer = minor_of(split).join(split, meet, "left_semi").select(F.col("m_node").alias("node"))
+    inner = split.join(minor_of(split), meet, "left_semi").select("node")
+    nodes = save(outer.union(inner).distinct(), "minhash-open")
+    sets = save(read_sets(docs, picks.join(nodes, "node", "left_semi"), width), "minhash-sets")
+
+    items = sets.select("node", F.explode("shingles").alias("shingle"))
+    rare = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    # Shingles of one holder come first in any order by rarity; only their number counts.
+    shared = items.join(rare, "shingle").join(facts.select("node", "n"), "node")
+    by_rarity = Window.partitionBy("node").orderBy("holders", "shingle")
+    numbers = shared.withColumn("nth", F.row_number().over(by_rarity)).withColumn("kept", F.count(F.lit(1)).over(Window.partitionBy("node")))
+    place = (F.col("n") - F.col("kept") + F.col("nth")).alias("place")
+    prefix = numbers.select("node", "shingle", place).join(facts, "node").filter(F.expr("place <= n - (8 * n + 9) div 10 + 1"))
+    owned = prefix.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    left = save(with_main(owned, "shingle"), "minhash-prefix")
+    once = (x["label"] == x["main"]) | (m["node"] < x["node"])
+    enough = F.lit(180) * (F.least(m["n"] - m["place"], x["n"] - x["place"]) + 1) >= F.lit(80) * (m["n"] + x["n"])
+    met = minor_of(left).join(left, (m["shingle"] == x["shingle"]) & (m["label"] != x["label"]) & once & enough & plausible(m, x))
+    return met.select(F.least("m_node", "node").alias("a"), F.greatest("m_node", "node").alias("b")).distinct(), sets
+
+
+def with_main(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of keys that hold more than one component, with the largest of these as ``main``."""
+    parts = rows.groupBy(key, "label").agg(F.count(F.lit(1)).alias("size"))
+    main = parts.groupBy(key).agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    return rows.join(main, key)
+
+
+def minor_of(rows: DataFrame) -> DataFrame:
+    """The rows outside the largest component of their key, columns prefixed."""
+    return rows.filter("label <> main").select(*[F.col(c).alias(f"m_{c}") for c in rows.columns])
