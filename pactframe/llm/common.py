@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable
@@ -51,14 +52,17 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def worker_cache(key: Any, build: Callable[[], Any]) -> Any:
-    """A value built once per Python worker.
+    """A value built once per Python worker, until the worker turns to another one.
 
     Functions reach the workers by value, so module globals are new in every
-    task; the cache therefore sits in a module object of its own.
+    task; the cache therefore sits in a module object of its own. It holds one
+    value: workers outlive an operator, and what it cached must not stay.
     """
     holder = sys.modules.setdefault("_pactframe_llm_cache", types.ModuleType("_pactframe_llm_cache"))
     kept = holder.__dict__.setdefault("kept", {})
     if key not in kept:
+        kept.clear()
+        gc.collect()
         kept[key] = build()
     return kept[key]
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .tokens import tokenizer_path, word_ids
 
 #: Characters a leaf gathers before it ends at the next white space, and the
@@ -127,6 +128,7 @@ def index(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     A null text is empty and has no leaves. Rows that repeat are indexed alike.
     """
+    small_batches(docs.sparkSession)
     file = path or tokenizer_path()
     schema = T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("leaf_chars", T.ArrayType(T.IntegerType())),
                            T.StructField("leaf_tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
@@ -160,6 +162,7 @@ def apply_edits(state: DataFrame, edits: DataFrame, path: str | None = None, kee
     share an id the last by text takes the edits, the others and rows without an
     id stay as they are. ``keep_text=False`` leaves text and leaves out.
     """
+    small_batches(state.sparkSession)
     file = path or tokenizer_path()
     zero = lambda kind: F.lit(None).cast(kind)
     left = state.select("doc_id", F.lit(0).alias("kind"), zero("long").alias("seq"), zero("long").alias("start"), zero("long").alias("length"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, worker_cache
 
 #: Bytes of a window, in training and in prediction.
 WINDOW = 256
@@ -193,6 +193,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     names = np.array([*net.langs, UNKNOWN], object)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("langid", lambda: None)  # lets go of what an earlier operator cached
         for batch in batches:
             text = batch.column(3).cast(pa.large_string())
             offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]

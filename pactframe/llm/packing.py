@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save
+from .common import save, small_batches
 from .tokens import tokenizer_path, word_ids
 
 CAPACITY = 4096
@@ -29,6 +29,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 1, pat
     A null or empty text is the single id ``end_id``. Repeated rows give
     repeated pieces.
     """
+    small_batches(docs.sparkSession)
     file = path or tokenizer_path()
     tail = end_id.to_bytes(4, "little")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),

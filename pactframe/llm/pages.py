@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never shown.
 UNSEEN = frozenset("head title script style template noscript datalist object iframe audio video canvas svg math select textarea".split())
@@ -301,6 +303,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rendered alike; other columns are not looked at. Broken mark-up never fails:
     what a browser would show as text is text.
     """
+    small_batches(pages.sparkSession)
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

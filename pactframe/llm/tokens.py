@@ -10,8 +10,8 @@ TOKENIZER = "word_bpe_49k.json"
 _ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: White space to ``str.split`` but ordinary characters to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Entries after which a worker's caches start anew: about 100 MB each.
-CACHED_RUNS, CACHED_WORDS = 500_000, 600_000
+#: Entries after which a worker's caches start anew: about 80 MB each.
+CACHED_RUNS, CACHED_WORDS = 300_000, 400_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
