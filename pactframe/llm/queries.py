@@ -83,6 +83,36 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    # The exponent by plain bisection; the start of the last permutation by one
+    # running sum over a source.
+    "op2_mix_sources": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x : x <> '')) AS n_tokens,
+                   substring(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS block, md5('doc|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS doc_order
+            FROM documents),
+        s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source),
+        ends AS (SELECT min(tokens) / max(tokens) AS least FROM s WHERE tokens > 0),
+        b AS (
+            SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+            UNION ALL
+            SELECT i + 1, CASE WHEN pow(least, (lo + hi) / 2 - 1) > 2.0 THEN (lo + hi) / 2 ELSE lo END,
+                   CASE WHEN pow(least, (lo + hi) / 2 - 1) > 2.0 THEN hi ELSE (lo + hi) / 2 END
+            FROM b, ends WHERE i < 60),
+        x AS (SELECT round(hi, 6) AS e FROM b WHERE i = 60),
+        w AS (SELECT source, tokens, pow(tokens, e) AS p, tokens / pow(tokens, e) AS r FROM s, x WHERE tokens > 0),
+        t AS (SELECT sum(p) AS whole, sum(p) * max(r) AS budget FROM w),
+        q AS (SELECT source, tokens, CAST(round(p / whole * budget) AS BIGINT) AS quota FROM w, t),
+        plan AS (
+            SELECT s.source, coalesce(quota // q.tokens, 1) AS epochs, coalesce(quota % q.tokens, 0) AS rest
+            FROM s LEFT JOIN q ON s.source IS NOT DISTINCT FROM q.source),
+        k AS (
+            SELECT d.*, epochs, rest, md5(concat_ws('|', epochs, coalesce(d.source, ''), block)) AS cut_order
+            FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source),
+        c AS (
+            SELECT *, epochs + CASE WHEN sum(n_tokens) OVER (PARTITION BY source ORDER BY cut_order, doc_order RANGE UNBOUNDED PRECEDING)
+                   - sum(n_tokens) OVER (PARTITION BY source, cut_order, doc_order) < rest THEN 1 ELSE 0 END AS copies FROM k),
+        o AS (SELECT doc_id, source, block, n_tokens, unnest(range(CAST(copies AS BIGINT))) AS epoch FROM c)
+        SELECT doc_id, source, epoch, block, md5(concat_ws('|', epoch, coalesce(source, ''), block)) AS block_order, n_tokens FROM o""",
     "op6_chat": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
