@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import key_filter, may_contain, save
 
 # The patterns of the base kinds. A match may only start where a run of its
 # first class starts or where the match before it ended, and repetitions do not
@@ -144,7 +144,11 @@ def disclosures(docs: DataFrame, met: DataFrame, generalise_at: float = GENERALI
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"), "text")
     asked = pairs.select("term").distinct()
     seen = texts.select("k1", "k2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![\p{{L}}\p{{N}}]){WORD}(?![\p{{L}}\p{{N}}])"), F.lit(0)))).alias("term"))
-    counts = seen.join(asked, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # The asked terms reach the words as a bitmap of fixed size, so the corpus'
+    # words are not shuffled, however many terms there are.
+    pages = key_filter(asked.select(F.xxhash64("term").alias("k")))
+    near = may_contain(seen.withColumn("k", F.xxhash64("term")), pages, "k", "hit").filter("hit").select("k1", "k2", "term")
+    counts = near.join(asked, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = texts.select("k1", "k2").distinct().agg(F.count(F.lit(1)).alias("n"))
     told = pairs.join(entities, "entity").join(counts, "term").crossJoin(F.broadcast(total))
     share = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))
