@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -21,16 +22,24 @@ BLOCK = frozenset((
     "header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption tr td th tbody thead tfoot").split())
 #: Blocks with an empty line around them.
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir".split())
+SECTIONS = frozenset("tbody thead tfoot".split())
 #: An opening tag that closes these open elements, looked for up to a boundary.
 _P = frozenset(["p"])
 _CLOSES = {
     "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
     "dt": (frozenset("dt dd".split()), frozenset(["dl"])), "dd": (frozenset("dt dd".split()), frozenset(["dl"])),
-    "tr": (frozenset("tr td th caption colgroup".split()), frozenset(["table"])),
-    "td": (frozenset("td th caption colgroup".split()), frozenset("table tr".split())), "th": (frozenset("td th caption colgroup".split()), frozenset("table tr".split())),
-    **{t: (frozenset("tr td th tbody thead tfoot caption colgroup".split()), frozenset(["table"])) for t in ("tbody", "thead", "tfoot", "colgroup", "caption")},
     "option": (frozenset(["option"]), frozenset(["select"])), "body": (frozenset(["head"]), frozenset(["html"])),
 }
+#: Parts of a table: what each is put in, and what is opened for it where that is left out.
+_PLACE = {
+    **{t: (frozenset(["tr"]), "tr") for t in ("td", "th")}, "tr": (SECTIONS, "tbody"), "col": (frozenset(["colgroup"]), "colgroup"),
+    **{t: (frozenset(["table"]), "") for t in ("tbody", "thead", "tfoot", "colgroup", "caption")},
+}
+#: Open elements that only hold parts of a table; anything else inside them goes before the table.
+_GRID = frozenset("table tbody thead tfoot tr colgroup".split())
+_CELLS = frozenset("td th caption".split())
+#: A part of a table ends or finds its place inside the nearest of these.
+_TABLE = frozenset("table template".split())
 _ENDS_P = BLOCK - frozenset("html body li dd dt tr td th tbody thead tfoot caption legend".split())
 _SCOPE = frozenset("table td th caption html button".split())
 _HEAD = frozenset("base link meta noscript script style template title".split())
@@ -56,34 +65,72 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        #: Where the open elements of a tag are, outermost first.
+        self.at: dict[str, list[int]] = {}
 
     def close_up_to(self, depth: int) -> None:
+        for node in self.open[max(depth, 1):]:
+            self.at[node.tag].pop()
         del self.open[max(depth, 1):]
 
+    def nearest(self, tags: frozenset[str]) -> int:
+        """Depth of the innermost open element of ``tags``; 0 where none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
     def imply(self, tags: frozenset[str], bounds: frozenset[str]) -> None:
         """Close the outermost of ``tags`` that is open inside the nearest of ``bounds``."""
-        at = None
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag in bounds:
-                break
-            if self.open[depth].tag in tags:
-                at = depth
-        if at is not None:
-            self.close_up_to(at)
+        bound = self.nearest(bounds)
+        inside = [depths[bisect_right(depths, bound)] for t in tags if (depths := self.at.get(t)) and depths[-1] > bound]
+        if inside:
+            self.close_up_to(min(inside))
+
+    def place(self, tag: str) -> None:
+        """Close what is open beyond the place of a part of the innermost table, and open what it is put in."""
+        table = self.nearest(_TABLE)
+        if self.open[table].tag != "table":
+            return
+        within, implied = _PLACE[tag]
+        depth = self.nearest(within)
+        if depth < table:
+            self.place(implied)
+            self.add(Node(implied, {}), True)
+        else:
+            self.close_up_to(depth + 1)
+
+    def add(self, node: Node, opened: bool, fostered: bool = False) -> None:
+        if fostered:
+            self.foster(node)
+        else:
+            self.open[-1].children.append(node)
+        if opened and len(self.open) < DEEPEST:
+            self.at.setdefault(node.tag, []).append(len(self.open))
+            self.open.append(node)
+
+    def fosters(self) -> bool:
+        """Whether the current element is a table or a part of it that cannot hold other content."""
+        return self.open[-1].tag in _GRID and self.open[self.nearest(_TABLE)].tag == "table"
+
+    def foster(self, child: Node | str) -> None:
+        """Put a child before the innermost table, which is its parent's last child."""
+        self.open[self.nearest(_TABLE) - 1].children.insert(-1, child)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
             return
         if self.open[-1].tag == "head" and tag not in _HEAD:
             self.close_up_to(len(self.open) - 1)
+        if tag == "table" and self.open[at := self.nearest(_TABLE | _CELLS)].tag == "table":
+            self.close_up_to(at)
         if tag in _ENDS_P:
             self.imply(_P, _SCOPE)
         if tag in _CLOSES:
             self.imply(*_CLOSES[tag])
-        node = Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
-            self.open.append(node)
+        if tag in _PLACE:
+            self.place(tag)
+        node, opened = Node(tag, dict(attrs)), tag not in VOID
+        fostered = tag not in _PLACE and tag not in _HEAD and self.fosters()
+        # A form between the parts of a table is closed at once.
+        self.add(node, opened and not (fostered and tag == "form"), fostered)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -94,20 +141,20 @@ class TreeBuilder(HTMLParser):
             return
         if tag in ("html", "body"):
             return
-        if tag == "p" and not any(n.tag == "p" for n in self.open):
+        if tag == "p" and not self.at.get("p"):
             self.handle_starttag("p", [])
-        stop = frozenset() if tag in ("table", "form") else frozenset("td th table".split()) - {tag}
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                self.close_up_to(depth)
-                return
-            if self.open[depth].tag in stop:
-                return
+        depth = self.nearest(frozenset([tag]))
+        stop = _TABLE if tag in _PLACE or tag in _TABLE else _TABLE | _CELLS
+        if depth and depth >= self.nearest(stop):
+            self.close_up_to(depth)
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
             self.close_up_to(len(self.open) - 1)
-        self.open[-1].children.append(data)
+        if data.strip() and self.fosters():
+            self.foster(data)
+        else:
+            self.open[-1].children.append(data)
 
 
 def hidden(node: Node) -> bool:
@@ -242,17 +289,24 @@ def rows_of(node: Node) -> Iterator[Node]:
         if isinstance(child, Node) and not hidden(child):
             if child.tag == "tr":
                 yield child
-            elif child.tag in ("tbody", "thead", "tfoot"):
+            elif child.tag in SECTIONS:
                 yield from rows_of(child)
 
 
+def strays_of(node: Node) -> Iterator[Node | str]:
+    """What is in a table or a section of it and is no part of the grid."""
+    for child in node.children:
+        if isinstance(child, str) or child.tag not in ("tr", *SECTIONS, "colgroup", "col"):
+            yield child
+        elif child.tag in SECTIONS and not hidden(child):
+            yield from strays_of(child)
+
+
 def tabled(node: Node, out: Writer) -> None:
     """Cells padded to the width of their column; a cell of several lines takes several lines."""
     out.block(1)
     strays = Node("div", {})
-    for child in node.children:
-        if isinstance(child, str) and child.strip() or isinstance(child, Node) and child.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col"):
-            strays.children.append(child)
+    strays.children.extend(strays_of(node))
     write(strays, out)
     out.block(0)
     grid: list[list[list[str]]] = []

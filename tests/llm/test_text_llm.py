@@ -206,3 +206,27 @@ def test_pages_of_odd_rows(spark):
     assert got == sorted([("1", None, 0), ("2", "", 0), ("None", "a\n\nb", 3), ("3", "deep", 1), ("3", "deep", 1)], key=str)
     assert pages.extract(df.limit(0)).count() == 0
     assert pages.extract(df.select("page_id", "url", "html", F.lit(1).alias("n_lines"))).count() == 5
+
+
+TABLES = {
+    "<table><tbody><td>a</table>": "a",
+    "<table><td>a<td>b<tr><td>c</table>": "a  b\nc",
+    "<table><tbody><form><tr><td>a<tr><td>b</form></table>z": "a\nb\n\nz",
+    "<table><tbody><tr><td>a</tr>between<tr><td>b</table>": "between\n\na\nb",
+    "<table><tbody><div>x<tr><td>y</div>w</table>": "x\n\nyw",
+    "<table><tr><td>a</td></tr><table><tr><td>b</table>": "a\n\nb",
+    "<table><colgroup><col>x<tr><td>1</table>": "x\n\n1",
+    "<table hidden>seen<tr><td>no</table>": "seen",
+}
+
+
+@pytest.mark.parametrize("html", list(TABLES))
+def test_parts_of_a_table_are_implied_and_nothing_in_it_is_skipped(html):
+    assert pages.visible_text(html) == TABLES[html]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("table tbody thead tr td th caption form div ul li p b span colgroup /table /tbody /tr /td /form /div /p /ul".split()), max_size=30))
+def test_every_word_around_table_tags_is_kept(tags):
+    html = "".join(f"<{t}> w{n} " for n, t in enumerate(tags))
+    assert sorted(re.findall(r"w\d+", pages.visible_text(html))) == sorted(f"w{n}" for n in range(len(tags)))
