@@ -25,11 +25,10 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 #: Kind of the added spans, listed after the base kinds.
 TERM = "term"
-#: Characters on either side of an entity whose words are its context.
-CONTEXT_CHARS = 80
-#: A word of the corpus counts from this length on.
-WORD_LETTERS = 4
-WORD = rf"\p{{L}}{{{WORD_LETTERS},}}"
+#: A word of the corpus: a whole run of letters, their marks and digits, of any length.
+WORD = r"[\p{L}\p{M}\p{N}]++"
+#: Stands for the characters of base spans; a noncharacter, so no text needs it.
+MASK = "\U0010ffff"
 #: Share of an entity's information from which a term is generalised, or removed.
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
 #: Distinct texts in which a term must meet an entity before it is judged.
@@ -108,56 +107,117 @@ def base_spans(docs: DataFrame) -> DataFrame:
                         F.concat(*[F.filter(f"s_{k}", valid(k)) for k in KINDS]).alias("spans"))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """``k1, k2, entity, term, start, end, word`` of the words around the entities of each distinct text.
+def masked(text: Column, spans: Column) -> Column:
+    """The text with every character of a base span as ``MASK``; offsets stay."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    clear = F.translate(text, MASK, " ")
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, s: Column) -> Column:
+        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        piece = F.concat(F.substring(clear, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(MASK), end - start))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    def fold(acc: Column, block: Column) -> Column:
+        inner = F.aggregate(F.slice(ordered, block * FOLD + 1, F.lit(FOLD)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(inner["out"], ""))).alias("out"))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / FOLD).cast("int"))
+    whole = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), fold,
+                        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(clear, acc["at"] + 1, F.length(clear))))
+    return F.when(F.size(spans) > 0, whole).otherwise(clear)
+
+
+#: A word that touches no base span, in a masked text.
+_FREE = rf"(?<![\p{{L}}\p{{M}}\p{{N}}{MASK}]){WORD}(?!{MASK})"
+
+
+def words_of(scanned: DataFrame) -> DataFrame:
+    """``k1, k2, words`` of every row: its distinct words in lower case that touch no base span."""
+    runs = F.array_distinct(F.regexp_extract_all(masked(F.col("text"), F.col("spans")), F.lit(_FREE), F.lit(0)))
+    return scanned.select("k1", "k2", F.array_distinct(F.transform(runs, F.lower)).alias("words"))
+
+
+def holders(found: DataFrame) -> DataFrame:
+    """``entity, k1, k2``: the distinct texts that hold each entity."""
+    return found.select("k1", "k2", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).distinct().select("entity", "k1", "k2")
+
+
+def among(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``texts(k1, k2)``; the others are left where they are, by a bitmap of fixed size."""
+    return may_contain(rows, key_filter(texts.select(F.col("k1").alias("k"))), "k1", "hit").filter("hit").drop("hit").join(
+        texts.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), F.col("text"))})
+
+
+def contexts(found: DataFrame, held: DataFrame | None = None, least_texts: int = LEAST_TEXTS) -> DataFrame:
+    """``k1, k2, entity, term``: every word of each distinct text that holds an entity, wherever it stands.
 
     Exact copies of a text are one: copying a document teaches nothing new
-    about what a word gives away.
+    about what a word gives away. Entities in fewer than ``least_texts`` texts
+    are left out: no term can meet them often enough.
     """
-    near = found.filter(F.size("spans") > 0).select("k1", "k2", F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("t"), "spans", F.explode("spans").alias("s"))
-    sides = near.select("k1", "k2", "t", "spans", entity(F.col("s")).alias("entity"), F.explode(F.array(
-        F.struct(F.greatest(F.col("s.start") - CONTEXT_CHARS, F.lit(0)).alias("from"), (F.col("s.start") + 1).alias("to")),
-        F.struct(F.col("s.end").alias("from"), (F.col("s.end") + CONTEXT_CHARS).alias("to")))).alias("w"))
-    window = sides.select("k1", "k2", "spans", "entity", F.col("w.from").alias("from"),
-                          F.expr("substring(t, w.`from` + 1, w.to - w.`from` + 1)").alias("window"))
-    pattern = rf"(?<=[^\p{{L}}\p{{N}}]){WORD}(?=[^\p{{L}}\p{{N}}])"
-    words = window.select("k1", "k2", "spans", "entity", "from", "window", F.regexp_extract_all("window", F.lit(pattern), F.lit(0)).alias("m"))
-    each = words.select("k1", "k2", "spans", "entity", "from", F.explode(placed(F.col("window"), pattern, F.col("m"), TERM)).alias("x"))
-    # ``from`` counts in the text with a space before it.
-    at = each.select("k1", "k2", "spans", "entity", F.lower("x.value").alias("term"), F.col("x.value").alias("word"),
-                     (F.col("from") + F.col("x.start") - 1).alias("start"), (F.col("from") + F.col("x.end") - 1).alias("end"))
-    free = at.filter(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
-    return free.drop("spans").distinct()
-
-
-def disclosures(docs: DataFrame, met: DataFrame, generalise_at: float = GENERALISE_AT, least_texts: int = LEAST_TEXTS) -> DataFrame:
+    held = holders(found) if held is None else held
+    often = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= least_texts)
+    by_text = held.join(often, "entity", "left_semi").groupBy("k1", "k2").agg(F.collect_list("entity").alias("entities"))
+    words = words_of(found.filter(F.size("spans") > 0))
+    hit = may_contain(words, key_filter(by_text.select(F.col("k1").alias("k"))), "k1", "hit").filter("hit")
+    once = hit.groupBy("k1", "k2").agg(F.first("words").alias("words"))
+    each = once.join(by_text, ["k1", "k2"]).select("k1", "k2", "words", F.explode("entities").alias("entity"))
+    return each.select("k1", "k2", "entity", F.explode("words").alias("term"))
+
+
+def texts_with(scanned: DataFrame, found: DataFrame) -> DataFrame:
+    """``term, n_t``: in how many distinct texts a word stands.
+
+    Words of texts that occur once are counted where they are read, so only
+    partial counts are shuffled; of repeated texts one row each is counted.
+    """
+    twice = key_filter(found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("k1").alias("k")))
+    words = may_contain(words_of(scanned), twice, "k1", "hit")
+    once = words.filter("hit").groupBy("k1", "k2").agg(F.first("words").alias("words"))
+    every = words.filter("not hit").select("words").unionByName(once.select("words"))
+    return every.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+
+
+def disclosures(docs: DataFrame, met: DataFrame, generalise_at: float = GENERALISE_AT, least_texts: int = LEAST_TEXTS,
+                found: DataFrame | None = None) -> DataFrame:
     """``entity, term, share``: the part of an entity's information that a term gives away.
 
     With ``n`` texts, an entity in ``n_e`` of them, a term in ``n_t`` and both together
     in ``n_et``, the term reveals ``log(n * n_et / (n_e * n_t))`` of the entity's
-    ``log(n / n_e)``. All counts are of distinct texts over the whole corpus; only
-    terms that met one entity in ``least_texts`` of them are counted there.
+    ``log(n / n_e)``. All counts are of distinct whole texts over the whole corpus, a
+    term counting where it touches no base span; only terms that met one entity
+    in ``least_texts`` of them are counted there.
     """
-    pairs = met.groupBy("entity", "term", "k1", "k2").agg(F.first("start").alias("_")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
+    scanned = base_spans(docs)
+    found = scanned if found is None else found
+    pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
     pairs = save(pairs.filter(F.col("n_et") >= least_texts), "pii-pairs")
     entities = met.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"), "text")
-    asked = pairs.select("term").distinct()
-    seen = texts.select("k1", "k2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![\p{{L}}\p{{N}}]){WORD}(?![\p{{L}}\p{{N}}])"), F.lit(0)))).alias("term"))
-    # The asked terms reach the words as a bitmap of fixed size, so the corpus'
-    # words are not shuffled, however many terms there are.
-    pages = key_filter(asked.select(F.xxhash64("term").alias("k")))
-    near = may_contain(seen.withColumn("k", F.xxhash64("term")), pages, "k", "hit").filter("hit").select("k1", "k2", "term")
-    counts = near.join(asked, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = texts.select("k1", "k2").distinct().agg(F.count(F.lit(1)).alias("n"))
+    counts = texts_with(scanned, found).join(pairs.select("term").distinct(), "term", "left_semi")
+    total = found.select("k1", "k2").distinct().agg(F.count(F.lit(1)).alias("n"))
     told = pairs.join(entities, "entity").join(counts, "term").crossJoin(F.broadcast(total))
     share = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))
     return told.withColumn("share", F.when(F.col("n") > F.col("n_e"), share).otherwise(F.lit(0.0))).filter(
         F.col("share") >= generalise_at).select("entity", "term", "share")
 
 
+def occurrences(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``k1, k2, start, end, word, share``: everywhere that the marked terms ``k1, k2, term, share`` stand in their texts."""
+    texts = base_spans(among(keyed(docs), marks).select("doc_id", "text")).dropDuplicates(["k1", "k2"])
+    runs = texts.select("k1", "k2", masked(F.col("text"), F.col("spans")).alias("t"))
+    each = runs.select("k1", "k2", F.explode(placed(F.col("t"), _FREE, F.regexp_extract_all("t", F.lit(_FREE), F.lit(0)), TERM)).alias("x"))
+    at = each.select("k1", "k2", F.lower("x.value").alias("term"), F.col("x.value").alias("word"), "x.start", "x.end")
+    return at.join(marks, ["k1", "k2", "term"]).select("k1", "k2", "start", "end", "word", "share")
+
+
 def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, least_texts: int = LEAST_TEXTS) -> DataFrame:
-    """``doc_id, k1, k2, spans, added``: base spans, and the terms near them that give them away.
+    """``doc_id, k1, k2, spans, added``: base spans, and every occurrence of the terms that give an entity
+    of the same text away.
 
     ``k1, k2`` are 128 bits of the text; ``rewritten`` makes the sanitised text.
 
@@ -167,9 +227,10 @@ def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, least_texts: int
     """
     scanned = base_spans(docs)
     found = save(scanned.select("doc_id", "k1", "k2", "spans"), "pii-base")
-    met = save(contexts(scanned), "pii-contexts")
-    told = disclosures(docs, met, generalise_at, least_texts)
-    marks = met.join(told, ["entity", "term"]).groupBy("k1", "k2", "start", "end", "word").agg(F.max("share").alias("share"))
+    held = save(holders(found), "pii-holders")
+    told = save(disclosures(docs, contexts(scanned, held, least_texts), generalise_at, least_texts, found), "pii-told")
+    marks = save(held.join(told, "entity").groupBy("k1", "k2", "term").agg(F.max("share").alias("share")), "pii-marks")
+    marks = occurrences(docs, marks)
     added = save(marks.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "word", "share"))).alias("added")), "pii-added")
     kind = "array<struct<start:int,end:int,word:string,share:double>>"
     joined = found.join(added, ["k1", "k2"], "left").withColumn("added", F.coalesce("added", F.array().cast(kind)))

@@ -230,3 +230,25 @@ def test_parts_of_a_table_are_implied_and_nothing_in_it_is_skipped(html):
 def test_every_word_around_table_tags_is_kept(tags):
     html = "".join(f"<{t}> w{n} " for n, t in enumerate(tags))
     assert sorted(re.findall(r"w\d+", pages.visible_text(html))) == sorted(f"w{n}" for n in range(len(tags)))
+
+
+def test_terms_far_from_their_entity_and_short_ones(spark):
+    far = " ".join(f"the thing today w{n % 9}" for n in range(60))
+    rows = [f"Lee Quorl {i} {far} badge A1234 {far} lee@x.org, {i} {far} quorl" for i in range(3)]
+    texts = rows + [f"about {far} and more {i}x" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find(docs)
+    got = {r.doc_id: r.added for r in found.collect()}
+    for i in range(3):
+        assert [a.word for a in got[i]] == ["Lee", "Quorl", "badge", "A1234", "quorl"]
+        assert all(texts[i][a.start:a.end] == a.word for a in got[i])
+    assert not any(got[i] for i in range(3, len(texts)))
+    clean = {r.doc_id: r.sanitised.lower() for r in pii.rewritten(docs, found).collect()}
+    assert not any(word in clean[i] for i in range(3) for word in ("lee", "quorl", "badge", "a1234"))
+
+
+def test_words_that_touch_a_span_are_no_words(spark):
+    rows = [(1, "né x4111 1111 1111 1111y anna@x.org \U0010ffffb"), (2, "1.2.3.4 " * 600 + "end"), (3, "plain Words words"), (4, "")]
+    words = {r.doc_id: r.words for r in pii.words_of(pii.base_spans(spark.createDataFrame(rows, "doc_id long, text string"))).join(
+        pii.keyed(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "k1"), "k1").collect()}
+    assert words == {1: ["né", "b"], 2: ["end"], 3: ["plain", "words"], 4: []}
