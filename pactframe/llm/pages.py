@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -16,10 +17,22 @@ from .common import small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never shown.
-UNSEEN = frozenset("head title script style template noscript datalist object iframe audio video canvas svg math select textarea".split())
+UNSEEN = frozenset("head title script style template noscript datalist object iframe audio video canvas annotation annotation-xml".split())
 BLOCK = frozenset((
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption tr td th tbody thead tfoot").split())
+#: Parts of a drawing that are never shown as they stand; of the others only text and embedded HTML hold words.
+_UNDRAWN = frozenset("title desc metadata defs symbol clippath mask pattern marker".split())
+_DRAWN = frozenset("text foreignobject".split())
+_FOREIGN = frozenset("svg math".split())
+#: Inside these a drawing or formula holds HTML again.
+_HTML_INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: HTML elements that end a drawing or formula they open in.
+_BREAKS_OUT = frozenset((
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var").split())
+#: Parts of a formula set apart from each other.
+_APART = frozenset("mfrac mroot mtr mlabeledtr".split())
 #: Blocks with an empty line around them.
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir".split())
 SECTIONS = frozenset("tbody thead tfoot".split())
@@ -28,7 +41,7 @@ _P = frozenset(["p"])
 _CLOSES = {
     "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
     "dt": (frozenset("dt dd".split()), frozenset(["dl"])), "dd": (frozenset("dt dd".split()), frozenset(["dl"])),
-    "option": (frozenset(["option"]), frozenset(["select"])), "body": (frozenset(["head"]), frozenset(["html"])),
+    "option": (frozenset(["option"]), frozenset(["select"])), "optgroup": (frozenset("option optgroup".split()), frozenset(["select"])), "body": (frozenset(["head"]), frozenset(["html"])),
 }
 #: Parts of a table: what each is put in, and what is opened for it where that is left out.
 _PLACE = {
@@ -119,6 +132,10 @@ class TreeBuilder(HTMLParser):
             return
         if self.open[-1].tag == "head" and tag not in _HEAD:
             self.close_up_to(len(self.open) - 1)
+        if tag in _BREAKS_OUT and (at := self.nearest(_FOREIGN)) > self.nearest(_HTML_INSIDE):
+            self.close_up_to(at)
+        if tag == "select":
+            self.imply(frozenset([tag]), _SCOPE)
         if tag == "table" and self.open[at := self.nearest(_TABLE | _CELLS)].tag == "table":
             self.close_up_to(at)
         if tag in _ENDS_P:
@@ -131,9 +148,13 @@ class TreeBuilder(HTMLParser):
         fostered = tag not in _PLACE and tag not in _HEAD and self.fosters()
         # A form between the parts of a table is closed at once.
         self.add(node, opened and not (fostered and tag == "form"), fostered)
+        if opened and tag == "textarea":  # its tags are text
+            self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if self.open[-1].tag == tag and tag != "textarea" and (tag in _FOREIGN or self.nearest(_FOREIGN) > self.nearest(_HTML_INSIDE - {tag})):
+            self.close_up_to(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -149,6 +170,8 @@ class TreeBuilder(HTMLParser):
             self.close_up_to(depth)
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "textarea":
+            data = unescape(data)
         if self.open[-1].tag == "head" and data.strip():
             self.close_up_to(len(self.open) - 1)
         if data.strip() and self.fosters():
@@ -231,7 +254,21 @@ def write(node: Node, out: Writer) -> None:
             listed(child, out)
         elif tag == "table":
             tabled(child, out)
-        elif tag in BLOCK:
+        elif tag == "svg":
+            drawn(child, out)
+        elif tag == "textarea":
+            out.block(0)
+            for line in plain(child).removeprefix("\n").rstrip("\n").split("\n"):
+                out.put(line)
+            out.block(0)
+        elif tag in _APART:
+            if tag in ("mtr", "mlabeledtr"):
+                out.block(0)
+            for part in child.children:
+                out.space = True
+                write(wrapped(part), out)
+            out.space = True
+        elif tag in BLOCK or tag in ("option", "optgroup", "select", "mtable"):
             gap = 1 if tag in SPACED else 0
             out.block(gap)
             deeper = "    " if tag in ("blockquote", "dd") else ""
@@ -246,6 +283,21 @@ def write(node: Node, out: Writer) -> None:
             write(child, out)
 
 
+def drawn(node: Node, out: Writer) -> None:
+    """The texts of a drawing, each on lines of its own."""
+    for child in node.children:
+        if isinstance(child, str) or child.tag in _UNDRAWN or hidden(child):
+            continue
+        if child.tag in _DRAWN:
+            out.block(0)
+            inner = Node("div", {})
+            inner.children = [c for c in child.children if isinstance(c, str) or c.tag not in _UNDRAWN]
+            write(inner, out)
+            out.block(0)
+        else:
+            drawn(child, out)
+
+
 def plain(node: Node) -> str:
     return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else "" if hidden(c) else plain(c) for c in node.children)
 

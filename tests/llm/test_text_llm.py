@@ -252,3 +252,18 @@ def test_words_that_touch_a_span_are_no_words(spark):
     words = {r.doc_id: r.words for r in pii.words_of(pii.base_spans(spark.createDataFrame(rows, "doc_id long, text string"))).join(
         pii.keyed(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "k1"), "k1").collect()}
     assert words == {1: ["né", "b"], 2: ["end"], 3: ["plain", "words"], 4: []}
+
+
+SHOWN = {
+    "<p>let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> hold": "let x= 1 2 hold",
+    "<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3</mtd><mtd>4</mtd></mtr></mtable></math>": "1 2\n3 4",
+    "<svg><title>no</title><defs><text>no</text></defs><path d=''/><g><text>La<tspan>bel</tspan></text><text>two</text></g></svg>after": "Label\ntwo\nafter",
+    "a<svg/>b<svg><path/><p>out</p>c": "ab\n\nout\n\nc",
+    "<select><option>A<option selected>B</select>z": "A\nB\nz",
+    "<textarea>\n<b>x</b> &amp; y\n  z</textarea>end": "<b>x</b> & y\n  z\nend",
+}
+
+
+@pytest.mark.parametrize("html", list(SHOWN))
+def test_formulas_drawings_and_forms_are_shown(html):
+    assert pages.visible_text(html) == SHOWN[html]
