@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, editcount, exact, langid, minhash, mixing, neighbours, packing, pages, pii
+from . import chat, editcount, exact, hardneg, langid, minhash, mixing, neighbours, packing, pages, pii, quality, resampling
 from .common import save, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,8 +74,25 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the texts of ``benchmark``."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, seed=2024)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives between 30 and 90 percent of each positive's score, with the labels the contract moves."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_language_id, op2_mix_sources, op3_personal_data, op4_near_duplicates, op5_pack, op6_chat, op7_token_counts, op8_exact_dedup, op9_nearest, op10_html_text)}
+    op1_language_id, op2_mix_sources, op3_personal_data, op4_near_duplicates, op5_pack, op6_chat, op7_token_counts, op8_exact_dedup, op9_nearest, op10_html_text,
+    op11_resample, op12_hard_negatives, op13_quality)}
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": r"""
@@ -170,4 +187,55 @@ ORACLES: dict[str, str] = {
         SELECT w.doc_id, coalesce(len(sets.s), 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id,
                w.doc_id = coalesce(c.component_id, w.doc_id) AS kept
         FROM w LEFT JOIN sets ON w.doc_id = sets.doc_id LEFT JOIN reps ON sets.s = reps.s LEFT JOIN comp c ON reps.rep = c.rep""",
+    # The checksum's table from its rule, then word by word.
+    "op11_resample": r"""
+        WITH RECURSIVE bits AS (
+            SELECT range AS b, range AS v, 0 AS i FROM range(256)
+            UNION ALL
+            SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, i + 1 FROM bits WHERE i < 8),
+        steps AS (SELECT list(v ORDER BY b) AS tab FROM bits WHERE i = 8),
+        docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        items AS (
+            SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+        words AS (SELECT doc_id, unnest(ws) AS w FROM docs),
+        known AS (SELECT DISTINCT w FROM (SELECT w FROM words UNION ALL SELECT w FROM items)),
+        crc AS (
+            SELECT w, xor(list_reduce(list_transform(range(octet_length(encode(w))), lambda i : ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT),
+                   lambda c, b : xor(tab[(xor(c, b) & 255) + 1], c // 256), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+            FROM known, steps),
+        s AS (SELECT bucket, count(*) AS s FROM words JOIN crc USING (w) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS t FROM items JOIN crc USING (w) GROUP BY bucket),
+        whole AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS all_s, (SELECT coalesce(sum(t), 0) FROM t) AS all_t),
+        gain AS (
+            SELECT b.range AS bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE
+                   / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS BIGINT) AS g
+            FROM range(10000) b LEFT JOIN s ON s.bucket = b.range LEFT JOIN t ON t.bucket = b.range, whole),
+        weighed AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS weight FROM words JOIN crc USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+        scored AS (
+            SELECT docs.doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+                   (('0x' || substr(sha256('2024:' || docs.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+            FROM docs LEFT JOIN weighed USING (doc_id)),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+                   count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed""",
+    "op12_hard_negatives": r"""
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x : floor(256 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT alike AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+        QUALIFY row_number() OVER w <= 10""",
 }
