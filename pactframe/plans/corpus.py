@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import assess, corpus
+from ..session import work_dir
 from ..sources.logs import parse_log_lines
+from ..sources.tables import CorpusTables
 from .registry import plan
 
+
 def _doc():
     return F.col("document_id")
 
@@ -50,13 +53,42 @@ def s3(src):
     return corpus.classify(_hashed(_second_snapshot(docs)), stored).select("document_id", "path", "status")
 
 
+def _corpus(docs):
+    """The tables of one load: documents, their lines as chunks, a vector per chunk."""
+    chunks = docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "content"))
+    digest = F.md5("content")
+    vectors = chunks.select("document_id", "ordinal", F.array(*[
+        F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("double") / 65536 for i in range(4)]).alias("embedding"))
+    return {"documents": docs, "chunks": chunks, "vectors": vectors}
+
+
+def _loaded(src):
+    """The first delivery on disk, and the second one loaded over it."""
+    docs = src.view("documents")
+    tables = CorpusTables(src.spark, work_dir(src.spark, "corpus"))
+    tables.create(_corpus(docs))
+    stored = tables.read("documents")
+    changed = corpus.to_load(corpus.classify(_hashed(_second_snapshot(docs)), _hashed(stored)))
+    tables.load(_corpus(changed.select(*docs.columns)), changed, paired=("chunks", "vectors"))
+    return tables
+
+
 @plan("s4_replace", sql="""
 SELECT document_id, CASE WHEN document_id % 10 = 0 AND document_id % 17 <> 0 THEN concat(text, ' amended') ELSE text END AS text FROM v_documents""")
 def s4(src):
-    docs = src.view("documents")
-    incoming = _hashed(_second_snapshot(docs))
-    changed = corpus.to_load(corpus.classify(incoming, _hashed(docs)))
-    return corpus.replace_documents(docs, changed, changed.select(*docs.columns), "document_id").select("document_id", "text")
+    return _loaded(src).read("documents").select("document_id", "text")
+
+
+@plan("s4_load", sql="""
+WITH d AS (SELECT document_id, CASE WHEN document_id % 10 = 0 AND document_id % 17 <> 0 THEN concat(text, ' amended') ELSE text END AS text FROM v_documents),
+l AS (SELECT document_id, unnest(string_split(text, chr(10))) AS line FROM d)
+SELECT document_id, count(*) AS chunks, count(*) AS vectors, CAST(sum(length(line)) AS BIGINT) AS chars,
+  round(sum(('0x' || substr(md5(line), 1, 4))::INT / 65536), 6) AS first_dimension FROM l GROUP BY 1""")
+def s4_load(src):
+    tables = _loaded(src)
+    chunks = tables.read("chunks").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("content")).alias("chars"))
+    vectors = tables.read("vectors").groupBy("document_id").agg(F.count(F.lit(1)).alias("vectors"), F.round(F.sum(F.col("embedding")[0]), 6).alias("first_dimension"))
+    return chunks.join(vectors, "document_id").select("document_id", "chunks", "vectors", "chars", "first_dimension")
 
 
 @plan("s5_delete", sql="""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..operators import timeline as tl
 from ..session import work_dir
+from ..sources.follow import opened, stream_growing
 from ..sources.logs import parse_log_lines, stream_log
 from ..streaming import jobs
 from ..streaming.sink import KeyedTable, run_to_end
@@ -47,13 +50,20 @@ def _cut(src, df, name: str, parts: int = 4):
     return jobs.folder_stream(src.spark, folder, df.schema, 2)
 
 
-def _newest_first(src, df, name: str, parts: int = 6):
-    """A table as a stream of one file per micro-batch, each older than the one before."""
-    folder = work_dir(src.spark, name)
-    days = F.pmod(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400), F.lit(parts))
+def _newest_first(src, df, table, count, parts: int = 6):
+    """Land a table slice by slice of its time, the newest first, as one resumed stream.
+
+    Every slice is written by as many tasks as it has input for, and is one
+    micro-batch of many files.
+    """
+    folder = work_dir(src.spark, "slices")
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = df.agg(F.min(ts), F.max(ts)).first()
+    step = ((high or 0) - (low or 0)) // parts + 1
     for part in reversed(range(parts)):
-        df.where(days == part).coalesce(1).write.mode("append").parquet(folder)
-    return jobs.folder_stream(src.spark, folder, df.schema, 1)
+        df.where(F.floor((ts - F.lit(low)) / step) == part).write.parquet(f"{folder}/slice-{part}")
+        run_to_end(jobs.folder_stream(src.spark, f"{folder}/*", df.schema), table, each=jobs.partial_sums(table, count))
+    return table
 
 
 @plan("t2_keyed_replace", sql="""
@@ -96,15 +106,13 @@ def _spans(src):
 WITH s AS ({SPAN}), w AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS i FROM s)
 SELECT strftime(make_timestamp((epoch_us(ts) // 60000000 - i) * 60000000), {o.LABEL}) AS start, name, count(*) AS n, count(*) FILTER (bad) AS errors FROM w GROUP BY 1, 2""")
 def t5(src):
-    table = _table(src, "live", ["start", "name"], [])
-    run_to_end(_newest_first(src, _spans(src), "spans"), table, each=jobs.partial_sums(table, jobs.sliding_counts))
+    table = _newest_first(src, _spans(src), _table(src, "live", ["start", "name"], []), jobs.sliding_counts)
     return table.read_sums().select(F.date_format("start", tl.LABEL).alias("start"), "name", "n", "errors")
 
 
 @plan("t6_tumbling", sql=f"SELECT {o.bucket('ts', '6h')} AS start, count(*) AS n, round(sum(value), 4) AS value FROM @events GROUP BY 1")
 def t6(src):
-    table = _table(src, "tumbling", ["start"], [])
-    run_to_end(_newest_first(src, _spans(src), "spans"), table, each=jobs.partial_sums(table, lambda batch: jobs.tumbling_counts(batch, "6 hours")))
+    table = _newest_first(src, _spans(src), _table(src, "tumbling", ["start"], []), lambda batch: jobs.tumbling_counts(batch, "6 hours"))
     return table.read_sums().select(F.date_format("start", tl.LABEL).alias("start"), "n", F.round("value", 4).alias("value"))
 
 
@@ -143,11 +151,12 @@ fin AS (SELECT * FROM r WHERE status IS NOT NULL QUALIFY row_number() OVER (PART
 @plan("t7_lifecycle", sql=f"WITH RECURSIVE {LIFE} SELECT k AS analysis_id, status, surface, coalesce(filename, '') AS filename, trace AS trace_id, error FROM fin")
 def t7(src):
     events = _lifecycle(src)
-    # The later events of every run arrive first; each file is a micro-batch.
+    # The later events of every run arrive first; each slice is a micro-batch of one resumed stream.
     folder = work_dir(src.spark, "lifecycle")
-    for part in ("seq >= 3", "seq = 1", "seq = 2", "seq = 0"):
-        events.where(part).coalesce(1).write.mode("append").parquet(folder)
-    table = run_to_end(jobs.folder_stream(src.spark, folder, events.schema, 1), _table(src, "runs", ["analysis_id"], []))
+    table = _table(src, "runs", ["analysis_id"], [])
+    for n, part in enumerate(("seq >= 3", "seq = 1", "seq = 2", "seq = 0")):
+        events.where(part).write.parquet(f"{folder}/slice-{n}")
+        run_to_end(jobs.folder_stream(src.spark, f"{folder}/*", events.schema), table)
     return jobs.read_lifecycle(table).select("analysis_id", "status", "surface", "filename", "trace_id", "error")
 
 
@@ -173,8 +182,9 @@ SELECT run_id, count(*) AS total, count(*) FILTER (outcome = 2) AS done, count(*
 def t9(src):
     events = jobs.table_stream(src.spark, src.folder, "events")
     rows = events.select(F.col("user_id").alias("run_id"), (F.col("event_id") % 5).alias("criterion"), F.expr(KINDS).alias("type"), F.col("event_id").alias("seq"))
-    table = run_to_end(jobs.criterion_progress(rows), _table(src, "progress", ["run_id", "criterion"], ["seq"]), "update")
-    return jobs.run_progress(table.read())
+    table = _table(src, "progress", ["run_id", "criterion"], ["seq"])
+    run_to_end(rows, table, each=jobs.partial_sums(table, jobs.criterion_progress))
+    return jobs.run_progress(jobs.merged_progress(table.batches()))
 
 
 @plan("t10_rotated_log", sql="""
@@ -189,3 +199,39 @@ def t10(src):
         run_to_end(stream_log(src.spark, folder), table)
     rows = src.spark.read.parquet(table.rows)
     return rows.agg(F.count(F.lit(1)).alias("lines"), F.count("bad").alias("bad"))
+
+
+def _write_logs(lines, folder: str, *thirds: int) -> None:
+    """One log file per input partition, holding these thirds of its lines one after the other.
+
+    Files are written whole, so a task that runs again changes nothing.
+    """
+
+    def write(batches):
+        store, root = opened(folder)
+        store.create_dir(root)
+        path, n = f"{root}/app-{TaskContext.get().partitionId()}.log", 0
+        with store.open_output_stream(f"{path}.new") as out:
+            for batch in batches:
+                out.write("".join(f"{v}\n" for v in batch.column(0).to_pylist()).encode())
+                n += batch.num_rows
+        store.move(f"{path}.new", path)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    third = F.col("event_id") % 3
+    rows = lines.where(third.isin(*thirds)).sortWithinPartitions(third, "event_id").select("value")
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+@plan("t10_growing_log", sql="""
+SELECT CASE WHEN event_id % 50 = 0 THEN 'bad' ELSE event_type END AS span, count(*) AS lines, CAST(sum(CASE WHEN event_id % 50 <> 0 THEN event_id END) AS BIGINT) AS ids FROM @events GROUP BY 1""")
+def t10_growing(src):
+    folder = work_dir(src.spark, "growing")
+    table = _table(src, "grown", ["span_id"], [])
+    lines = _records(src.table("events"))
+    # Every file grows, then is truncated and starts again.
+    for thirds in ((0,), (0, 1), (2,)):
+        _write_logs(lines, folder, *thirds)
+        run_to_end(parse_log_lines(stream_growing(src.spark, folder)), table)
+    span = F.when(F.col("bad").isNotNull(), "bad").otherwise(F.try_element_at("extras", F.lit("span")))
+    return table.batches().groupBy(span.alias("span")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("span_id").cast("long")).alias("ids"))

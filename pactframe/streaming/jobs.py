@@ -20,17 +20,21 @@ CLOSES = ("failed", "interrupted")
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """One of the given tables as a file stream."""
+    """One of the given tables as a file stream, be it one file or a folder of part files.
+
+    A stream's path has to be a folder or a pattern; the pattern here names the
+    table alone, whichever of the two it is.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return folder_stream(spark, f"{folder}/{name}.parque[t]", schema, files_per_batch)
 
 
-def folder_stream(spark: SparkSession, folder: str, schema, files_per_batch: int) -> DataFrame:
-    """A folder of Parquet files, a bounded number of them per micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def folder_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Parquet files under a folder or pattern, all there are or a bounded number of them per micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def span_rows(records: DataFrame) -> DataFrame:
@@ -162,13 +166,24 @@ def reconcile(runs: DataFrame, now: Column) -> DataFrame:
 
 
 def criterion_progress(events: DataFrame) -> DataFrame:
-    """Latest stage and outcome per (run, criterion); a stream aggregate in update mode."""
+    """Latest stage and outcome per (run, criterion), of a table or a micro-batch.
+
+    The rows of a micro-batch are partial states: ``merged_progress`` folds
+    those of all batches in any order, so no run stays in a state store and an event
+    that comes long after its run ended still counts.
+    """
     at = F.struct("seq")
     return events.groupBy("run_id", "criterion").agg(
         F.max(F.when(F.col("type") == "result", 2).when(F.col("type") == "skipped", 1).otherwise(0)).alias("outcome"),
         F.max_by("type", at).alias("stage"), F.max("seq").alias("seq"))
 
 
+def merged_progress(parts: DataFrame) -> DataFrame:
+    """Partial states of (run, criterion) as one state each."""
+    return parts.groupBy("run_id", "criterion").agg(
+        F.max("outcome").alias("outcome"), F.max_by("stage", "seq").alias("stage"), F.max("seq").alias("seq"))
+
+
 def run_progress(criteria: DataFrame) -> DataFrame:
     """Done and skipped of all criteria seen, and the newest stage of each run."""
     return criteria.groupBy("run_id").agg(

@@ -47,6 +47,21 @@ class KeyedTable:
         self.read().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def compact_batches(self, merge: Callable[[DataFrame], DataFrame]) -> None:
+        """Fold what has landed into one batch; ``merge`` makes one partial row of several.
+
+        The folded rows replace the newest batch, which is written aside first;
+        then the older ones go. Run it between two runs of the stream.
+        """
+        ids = [r[0] for r in self.batches().select(BATCH).distinct().collect()]  # one row per batch
+        if len(ids) < 2:
+            return
+        aside = f"{self.rows}-folded"
+        merge(self.batches().drop(BATCH)).write.mode("overwrite").parquet(aside)
+        self.write_batch(self.spark.read.parquet(aside), max(ids))
+        for old in sorted(ids)[:-1]:
+            self.write_batch(self.spark.read.parquet(aside).limit(0), old)
+
 
 def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
@@ -56,9 +71,15 @@ def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def run_to_end(stream: DataFrame, table: KeyedTable, mode: str = "append",
                each: Callable[[DataFrame, int], None] | None = None) -> KeyedTable:
-    """Process everything available and stop; the checkpoint makes it resumable."""
+    """Process everything available and stop; the checkpoint makes it resumable.
+
+    An empty batch comes before the first one, so a table that nothing has
+    arrived for reads as an empty one.
+    """
+    land = each or table.write_batch
+    land(table.spark.createDataFrame([], stream.schema), -1)
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", table.checkpoint)
-        .trigger(availableNow=True).foreachBatch(each or table.write_batch).start())
+        .trigger(availableNow=True).foreachBatch(land).start())
     query.awaitTermination()
     return table

@@ -9,7 +9,7 @@ from pactframe.operators import assess, spans
 from pactframe.sources.criteria import read_criteria
 from pactframe.sources.files import list_files, read_files
 from pactframe.sources.logs import read_log
-from pactframe.sources.versioned import VersionedTables
+from pactframe.sources.tables import CorpusTables, RowCountMismatch
 from pactframe.streaming import jobs
 from pactframe.streaming.sink import KeyedTable, run_to_end
 
@@ -125,19 +125,30 @@ def test_lifecycle_events_in_any_order_of_batches(spark, tmp_path):
     assert _state(jobs.read_lifecycle(table)) == WANT
 
 
-def test_versioned_tables(spark, tmp_path):
-    store = VersionedTables(spark, str(tmp_path))
-    assert store.read("documents") is None
-    docs = spark.createDataFrame([(1, "a"), (2, "b")], "document_id long, path string")
-    store.publish({"documents": docs, "vectors": docs}, equal_counts=("documents", "vectors"))
-    with pytest.raises(RuntimeError):
-        store.publish({"documents": docs, "vectors": docs.limit(1)}, equal_counts=("documents", "vectors"))
-    assert store.read("vectors").count() == 2
-    store.publish({"documents": docs.where("document_id = 1")})
-    assert [r["path"] for r in store.read("documents").collect()] == ["a"]
-    with pytest.raises(RuntimeError, match="another writer"):
-        store._claim(2, "v-late")
-    assert [r["path"] for r in store.read("documents").collect()] == ["a"]
+def test_a_load_replaces_documents_in_all_tables(spark, tmp_path):
+    tables = CorpusTables(spark, str(tmp_path), buckets=4)
+    docs = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "document_id long, path string")
+    lines = lambda rows: spark.createDataFrame(rows, "document_id long, line string")
+    tables.create({"documents": docs, "chunks": lines([(i, "x") for i in range(40)]), "vectors": lines([(i, "v") for i in range(40)])})
+    before = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    change = docs.where("document_id = 7").withColumn("path", F.lit("new"))
+    fresh = {"documents": change, "chunks": lines([(7, "a"), (7, "b")]), "vectors": lines([(7, "c")])}
+    with pytest.raises(RowCountMismatch, match="7"):
+        tables.load(fresh, change, paired=("chunks", "vectors"))
+    assert {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")} == before
+    fresh["vectors"] = lines([(7, "c"), (7, "d")])
+    for _ in range(2):  # a load that is run again changes nothing more
+        assert tables.load(fresh, change, paired=("chunks", "vectors")) == {"documents": 1, "chunks": 2, "vectors": 2}
+        assert sorted(map(tuple, tables.read("documents").collect())) == [(i, "new" if i == 7 else f"p{i}") for i in range(40)]
+        assert sorted(r.line for r in tables.read("chunks").where("document_id = 7").collect()) == ["a", "b"]
+        assert tables.read("vectors").count() == 41
+    left = [f for f in before if f.exists()]
+    assert len(left) == len(before) * 3 // 4  # one bucket of four was written
+    everything = docs.select("document_id")
+    tables.load({n: tables.read(n).limit(0) for n in ("documents", "chunks", "vectors")}, everything)
+    assert all(tables.read(n).count() == 0 for n in ("documents", "chunks", "vectors"))
+    tables.load({n: f for n, f in fresh.items()}, everything)
+    assert tables.read("chunks").count() == 2
 
 
 def test_files_logs_criteria(spark, tmp_path):
