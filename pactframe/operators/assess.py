@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import materialize
 
 # -- reports ----------------------------------------------------------------
 
@@ -110,18 +111,69 @@ def verify_quotes(quotes: DataFrame, evidence: DataFrame) -> DataFrame:
 def find_quotes(quotes: DataFrame, passages: DataFrame) -> DataFrame:
     """(quote_id, passage_id) for quotes found anywhere in a table of passages.
 
-    The words strictly inside a quote must appear whole in any passage that
-    holds it, so a quote of five words or more is looked up by one run of three
-    inner words, the rarest in the passages, and only those candidates are
-    compared in full. A shorter quote has too few inner words: its first word
-    is a substring of some passage word, found over the distinct words by
-    letter trigrams. Nothing is paired without an equal key.
+    Passages and quotes are looked at once per distinct text. White space parts
+    both into words, so a quote of one word lies inside a word of the passage; of
+    a longer one, the first word ends a word of the passage, the last one begins
+    one, and those between stand whole. What may match is therefore decided over
+    the distinct words: a one-word quote's hits are exact; a quote of two to four
+    words is looked up by its rarest word, one of five or more by its rarest run
+    of three inner words, and only those candidates are compared in full. Nothing
+    is paired without an equal key.
     """
     q = quotes.select("quote_id", tx.normal_quote(F.col("quote")).alias("needle")).where("needle != ''")
-    p = passages.select("passage_id", tx.normal_quote(F.col("passage")).alias("hay"))
-    split = F.split("needle", " ")
-    long_ = q.where(F.size(split) >= GRAM + 2)
-    short = q.where(F.size(split) < GRAM + 2)
+    normal = passages.select("passage_id", tx.normal_quote(F.col("passage")).alias("hay")).where("hay IS NOT NULL")
+    keyed = normal.select("passage_id", F.sha2("hay", 256).alias("text_id"), "hay")
+    members = materialize(keyed.select("passage_id", "text_id"), "passage-texts")
+    first = members.groupBy("text_id").agg(F.min("passage_id").alias("passage_id"))
+    p = keyed.join(first, ["passage_id", "text_id"]).dropDuplicates(["text_id"]).select("text_id", "hay")
+    asked = q.select("needle").distinct().withColumn("words", F.split("needle", " "))
+    n = F.size("words")
+
+    tokens = p.select("text_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("token"))
+    vocabulary = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts")), "words-of-passages")
+    inside = _words_inside(asked.where(n == 1).select("needle", F.col("words")[0].alias("w")), vocabulary)
+    exact = inside.join(tokens, "token").select("needle", "text_id").distinct()
+
+    rarest = _rarest_word(asked.where((n > 1) & (n < GRAM + 2)), vocabulary)
+    maybe = rarest.join(tokens, "token").select("needle", "text_id").distinct()
+    maybe = maybe.unionByName(_rarest_run(asked.where(n >= GRAM + 2), p))
+    sure = maybe.join(p, "text_id").where(F.contains("hay", "needle")).select("needle", "text_id")
+    return exact.unionByName(sure).join(q, "needle").join(members, "text_id").select("quote_id", "passage_id")
+
+
+def _edges(word: Column, side: str) -> Column:
+    """The first or last one to ``GRAM`` letters of a word: keys that a shorter word at that end has among them."""
+    cut = (lambda k: F.left(word, F.lit(k))) if side == "first" else (lambda k: F.right(word, F.lit(k)))
+    return F.array_distinct(F.array(*[cut(k) for k in range(1, GRAM + 1)]))
+
+
+def _words_inside(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(needle, token) for the distinct words that hold ``w``, met by letter runs of up to ``GRAM``."""
+    runs = F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.char_length("token"), F.lit(1))),
+        lambda i: F.array(*[F.substr("token", i, F.lit(k)) for k in range(1, GRAM + 1)]))))
+    letters = vocabulary.select("token", F.explode(runs).alias("g"))
+    return asked.withColumn("g", F.left("w", F.lit(GRAM))).join(letters, "g").where(F.contains("token", "w")).select("needle", "token").distinct()
+
+
+def _rarest_word(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(needle, token) for the word of each quote that the fewest texts hold; none where a word is in no text."""
+    pieces = asked.select("needle", F.size("words").alias("m"), F.posexplode("words").alias("at", "w"))
+    last = F.col("at") == F.col("m") - 1
+    ends = vocabulary.select("token", "texts", F.explode(_edges(F.col("token"), "last")).alias("g"))
+    begins = vocabulary.select("token", "texts", F.explode(_edges(F.col("token"), "first")).alias("g"))
+    whole = pieces.where((F.col("at") > 0) & ~last).join(vocabulary.withColumnRenamed("token", "w"), "w").withColumn("token", F.col("w"))
+    head = pieces.where("at = 0").withColumn("g", F.right("w", F.lit(GRAM))).join(ends, "g").where(F.endswith("token", "w"))
+    tail = pieces.where(last).withColumn("g", F.left("w", F.lit(GRAM))).join(begins, "g").where(F.startswith("token", "w"))
+    columns = ["needle", "m", "at", "token", "texts"]
+    found = head.select(*columns).unionByName(whole.select(*columns)).unionByName(tail.select(*columns))
+    spread = found.groupBy("needle", "m", "at").agg(F.sum("texts").alias("texts"))
+    best = spread.groupBy("needle", "m").agg(F.min_by("at", F.struct("texts", "at")).alias("at"), F.count(F.lit(1)).alias("pieces"))
+    return found.join(best.where("pieces = m").select("needle", "at"), ["needle", "at"]).select("needle", "token")
+
+
+def _rarest_run(asked: DataFrame, p: DataFrame) -> DataFrame:
+    """(needle, text_id) for the texts that hold the quote's rarest run of three inner words."""
 
     def grams(text: str, first: int, last_off: int) -> Column:
         def hashes(words: Column) -> Column:
@@ -132,23 +184,12 @@ def find_quotes(quotes: DataFrame, passages: DataFrame) -> DataFrame:
 
         return F.array_distinct(tx.bind(F.split(F.col(text), " "), hashes))
 
-    wanted = long_.select("quote_id", F.explode(grams("needle", 2, 1)).alias("gram"))
-    held = p.select("passage_id", F.explode(grams("hay", 1, 0)).alias("gram")).join(
-        wanted.select("gram").distinct(), "gram", "left_semi")
+    wanted = asked.select("needle", F.explode(grams("needle", 2, 1)).alias("gram"))
+    held = p.select("text_id", F.explode(grams("hay", 1, 0)).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
     spread = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = wanted.join(spread, "gram", "left").groupBy("quote_id").agg(
+    rarest = wanted.join(spread, "gram", "left").groupBy("needle").agg(
         F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("r"))
-    pairs = rarest.where(F.col("r.n").isNotNull()).select("quote_id", F.col("r.gram").alias("gram")).join(held, "gram").select("quote_id", "passage_id")
-
-    first_word = short.select("quote_id", F.split("needle", " ")[0].alias("w"))
-    key = first_word.withColumn("g", F.substring("w", 1, GRAM))
-    tokens = p.select("passage_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("token"))
-    letters = tokens.select("token").distinct().select("token", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.char_length("token"), F.lit(1))),
-        lambda i: F.array(*[F.substr("token", i, F.lit(k)) for k in range(1, GRAM + 1)]))))).alias("g"))
-    hits = key.join(letters, "g").where(F.contains("token", "w")).select("quote_id", "token").distinct()
-    pairs = pairs.unionByName(hits.join(tokens, "token").select("quote_id", "passage_id")).distinct()
-    return pairs.join(q, "quote_id").join(p, "passage_id").where(F.contains("hay", "needle")).select("quote_id", "passage_id")
+    return rarest.where(F.col("r.n").isNotNull()).select("needle", F.col("r.gram").alias("gram")).join(held, "gram").select("needle", "text_id")
 
 
 def derived_state(met: Column, settled: Column, total: Column) -> Column:
@@ -167,10 +208,11 @@ def derived_states(subs: DataFrame) -> DataFrame:
 # -- structural checks ------------------------------------------------------
 
 
-def _violations(rows: DataFrame, keys: list[str], rules: list[tuple[Column, Column, str]]) -> DataFrame:
-    """One row (path, code) per rule that holds on a row."""
+def _violations(rows: DataFrame, keys: list[str], rules: list[tuple[Column, ...]]) -> DataFrame:
+    """One row (path, code and, where the rules have one, message) per rule that holds on a row."""
+    names = ("path", "code", "message")
     found = F.filter(
-        F.array(*[F.when(bad, F.struct(path.alias("path"), F.lit(code).alias("code"))) for bad, path, code in rules]),
+        F.array(*[F.when(bad, F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in zip(names, said)])) for bad, *said in rules]),
         lambda v: v.isNotNull())
     return rows.select(*keys, F.inline(found))
 
@@ -182,44 +224,56 @@ def _at(name: str, index: Column, field: str = "") -> Column:
 def validate_structure(
     drafts: DataFrame, quotes: DataFrame, subs: DataFrame, evidence: DataFrame, criteria: DataFrame
 ) -> DataFrame:
-    """Every structural violation of every draft as (run_id, criterion_id, path, code).
+    """Every structural violation of every draft as (run_id, criterion_id, path, code, message).
 
     Quotes hold (idx, text, evidence_id), sub-requirements (pos, sub_id, status,
-    quote_indexes) and criteria (criterion_id, question, sub_ids).
+    quote_indexes) and criteria (criterion_id, question, sub_ids). A message
+    names the offending id, length, indexes or status and what would be right.
     """
-    checked = verify_quotes(quotes, evidence).withColumn("_norm", tx.normal_quote(F.col("text")))
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    # What a run has retrieved: capped by its ledger, in the order of its numbers.
+    held = evidence.groupBy("run_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.char_length("evidence_id").alias("n"), "evidence_id"))), lambda e: e["evidence_id"]), ", ").alias("_held"))
+    checked = verify_quotes(quotes, evidence).join(held, "run_id", "left").withColumn("_norm", tx.normal_quote(F.col("text")))
     # The quotes of one draft are a model's single answer, so this window is small.
     rows = checked.withColumn("_first", F.min("idx").over(Window.partitionBy(*DRAFT, "_norm", "evidence_id")))
     i, name = F.col("idx"), "relevant_quotes"
+    cited_id, length = F.coalesce("evidence_id", F.lit("None")), F.char_length("text")
+    # The wording of every violation.
     quote_errors = _violations(rows, DRAFT, [
-        (~F.col("known"), _at(name, i, ".evidence_id"), "unknown_evidence"),
-        (F.col("known") & ~F.col("verified"), _at(name, i, ".text"), "not_verbatim"),
-        (F.char_length("text") > MAX_QUOTE, _at(name, i, ".text"), "too_long"),
-        (tx.strip(F.col("text")) == "", _at(name, i, ".text"), "empty"),
-        (i > F.col("_first"), _at(name, i), "duplicate")])
+        (~F.col("known"), _at(name, i, ".evidence_id"), "unknown_evidence",
+         said("'", cited_id, "' is not a retrieved passage; use one of ", F.coalesce("_held", F.lit("(none retrieved)")))),
+        (F.col("known") & ~F.col("verified"), _at(name, i, ".text"), "not_verbatim", said("not verbatim in ", cited_id, " -- copy the exact text")),
+        (length > MAX_QUOTE, _at(name, i, ".text"), "too_long", said(length, f" characters; at most {MAX_QUOTE}")),
+        (tx.strip(F.col("text")) == "", _at(name, i, ".text"), "empty", "empty quote"),
+        (i > F.col("_first"), _at(name, i), "duplicate", "duplicates an earlier quote")])
 
     counts = quotes.groupBy(*DRAFT).agg(F.count(F.lit(1)).alias("_n"))
     cited = subs.join(counts, DRAFT, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     pos, used, status = F.col("pos"), F.size("quote_indexes") > 0, F.col("status")
     path = _at("sub_requirements", pos, ".quote_indexes")
+    outside = F.filter("quote_indexes", lambda q: (q < 0) | (q >= F.col("_n")))
     sub_errors = _violations(cited, DRAFT, [
-        (F.exists("quote_indexes", lambda q: (q < 0) | (q >= F.col("_n"))), path, "out_of_range"),
-        (status.isin("met", "partial") & ~used, path, "needs_quote"),
-        (status.isin("missing", "not_determined") & used, path, "unexpected_quote")])
+        (F.size(outside) > 0, path, "out_of_range",
+         said("[", F.array_join(outside.cast("array<string>"), ", "), "] are not indexes into relevant_quotes (0..", F.col("_n") - 1, ")")),
+        (status.isin("met", "partial") & ~used, path, "needs_quote", said("status '", status, "' needs at least one supporting quote index")),
+        (status.isin("missing", "not_determined") & used, path, "unexpected_quote", said("status '", status, "' must have no quote indexes"))])
 
     got = subs.groupBy(*DRAFT).agg(
         F.array_sort(F.collect_list("sub_id")).alias("got"), F.count(F.when(status == "met", 1)).alias("_met"),
         F.count(F.when(status.isin("met", "partial"), 1)).alias("_set"), F.count(F.lit(1)).alias("_all"))
-    dims = criteria.select("criterion_id", F.col("question").alias("_question"), F.array_sort("sub_ids").alias("_want"))
+    dims = criteria.select("criterion_id", F.col("question").alias("_question"), F.array_join("sub_ids", ", ").alias("_ids"), F.array_sort("sub_ids").alias("_want"))
     whole = drafts.join(dims, "criterion_id").join(got, DRAFT, "left").withColumn(
         "_same", F.coalesce(F.col("got") == F.col("_want"), F.lit(False)))
     implied = derived_state(F.col("_met"), F.col("_set"), F.col("_all"))
     draft_errors = _violations(whole, DRAFT, [
-        (F.col("question") != F.col("_question"), F.lit("compliance_question"), "not_verbatim"),
-        (~F.col("_same"), F.lit("sub_requirements"), "ids"),
-        (F.col("_same") & (F.col("state") != implied), F.lit("compliance_state"), "inconsistent"),
-        (tx.strip(F.col("rationale")) == "", F.lit("rationale"), "empty"),
-        (~F.col("raw_confidence").between(0, 1), F.lit("raw_confidence"), "range")])
+        (F.col("question") != F.col("_question"), "compliance_question", "not_verbatim",
+         "must equal the question exactly as given -- copy it, do not paraphrase"),
+        (~F.col("_same"), "sub_requirements", "ids", said("must contain exactly these ids, once each: ", F.col("_ids"))),
+        (F.col("_same") & (F.col("state") != implied), "compliance_state", "inconsistent",
+         "does not follow from the sub-requirement statuses (all met = Fully; none met or partial = Non-Compliant; otherwise Partially)"),
+        (tx.strip(F.col("rationale")) == "", "rationale", "empty", "must not be empty"),
+        (~F.col("raw_confidence").between(0, 1), "raw_confidence", "range", "must be between 0 and 1")])
     return quote_errors.unionByName(sub_errors).unionByName(draft_errors)
 
 

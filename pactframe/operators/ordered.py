@@ -15,10 +15,14 @@ is ``None``: one ordinary window does the work and nothing is joined back.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 SEG = "_seg"
 
@@ -155,3 +159,36 @@ def islands(
     near = neighbour(df, keys, order, segment, previous)
     flag = F.when(starts, 1).otherwise(0).cast("long")
     return running_sum(near, keys, order, segment, flag, out).drop(*previous)
+
+
+def stepwise(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str | Column], start: Callable[[], Any],
+             step: Callable[..., tuple], out: dict[str, str]) -> DataFrame:
+    """Columns that depend on all rows of a key before this one, by one pass in order.
+
+    For what no window can say, because a row's value decides the next one's.
+    ``step`` takes the key's state, made by ``start``, and a row's ``inputs``; it
+    changes the state and returns the values of ``out``. Rows stream through in
+    Arrow batches and only the inputs become Python values: time is linear in the
+    rows, and memory holds a batch and the state of one key.
+    """
+    names = [f"_in{i}" for i in range(len(inputs))]
+    given = df.withColumns({n: F.col(c) if isinstance(c, str) else c for n, c in zip(names, inputs)})
+    kept = [*df.columns]
+    rows = given.repartition(*keys).sortWithinPartitions(*keys, *order)
+    added = StructType.fromDDL(", ".join(f"{n} {kind}" for n, kind in out.items()))
+    schema = StructType([*[given.schema[c] for c in kept], *added.fields])
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            at = {n: batch.column(n).to_pylist() for n in [*keys, *names]}
+            found: list[tuple] = []
+            for key, values in zip(zip(*[at[k] for k in keys]), zip(*[at[n] for n in names])):
+                if state is None or key != current:
+                    current, state = key, start()
+                found.append(step(state, *values))
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], schema.names)
+
+    return rows.mapInArrow(walk, schema)

@@ -8,28 +8,26 @@ keyword side stay global under a scope.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.stemmer import porter_stem
 from . import ordered
+from .neighbours import nearest
 from .ranks import top_k
 
+if TYPE_CHECKING:
+    from .keyword_index import KeywordIndex
+
 # BM25 and fusion constants, pool sizes, caps.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K, CANDIDATES, TOP_K = 60, 20, 6
 SECTION_LIMIT, HISTORY_TURNS, MAX_PANELS, EVIDENCE_CAP = 20, 8, 4, 12_000
 MODES = ("hybrid", "vector", "keyword")
 NEEDS_VECTORS = ("hybrid", "vector")
-#: Rows of a question block and of a vector block: 1,024 x 512 doubles are 4 MB.
-QUESTION_BLOCK, VECTOR_BLOCK = 1024, 2048
-#: Distances held at once while a tile is worked on.
-STRIP_BYTES = 8 << 20
 
 
 def _accents() -> dict[str, str]:
@@ -65,6 +63,14 @@ def stem_terms(rows: DataFrame) -> DataFrame:
     return rows.join(stems, "term").drop("term").withColumnRenamed("stem", "term")
 
 
+def stem_phrases(asked: DataFrame) -> DataFrame:
+    """Phrases with the stems of their words, worked out once per distinct phrase."""
+    each = asked.select(F.array_join("words", " ").alias("_said"), F.posexplode("words").alias("p", "term")).distinct()
+    back = stem_terms(each).groupBy("_said").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("p", "term"))), lambda x: x["term"]).alias("words"))
+    return asked.withColumn("_said", F.array_join("words", " ")).drop("words").join(back, "_said").drop("_said")
+
+
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(index_words(F.col("content"))).alias("len"))
 
@@ -112,10 +118,7 @@ def bm25(questions: DataFrame, chunks: DataFrame, *, k: int, scope: str | None =
     """
     asked = query_phrases(questions)
     if stemmed:
-        words = asked.withColumn("_q", F.monotonically_increasing_id()).select("_q", F.posexplode("words").alias("p", "term"))
-        back = stem_terms(words).groupBy("_q").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("p", "term"))), lambda x: x["term"]).alias("words"))
-        asked = asked.drop("words").withColumn("_q", F.monotonically_increasing_id()).join(back, "_q").drop("_q")
+        asked = stem_phrases(asked)
     keyed = asked.withColumn("phrase", F.array_join("words", " "))
     keys = ["query_id"] + ([scope] if scope else [])
     weights = keyed.groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("weight"))
@@ -142,81 +145,6 @@ def bm25(questions: DataFrame, chunks: DataFrame, *, k: int, scope: str | None =
 # -- vectors ----------------------------------------------------------------
 
 
-def _block_rows(df: DataFrame, key: str, scope: str | None, size: int) -> DataFrame:
-    """Rows of a table packed into arrays of at most ``size`` of one width: ``width, ids, scopes, matrix``."""
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, *([scope] if scope else []))}
-    side = df.where(F.col("embedding").isNotNull()).select(F.col(key).alias("id"), (F.col(scope) if scope else F.lit(None).cast("int")).alias("scope"), "embedding")
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            widths = frame["embedding"].map(len).to_numpy()
-            for width in np.unique(widths):
-                same = frame[widths == width]
-                for at in range(0, len(same), size):
-                    part = same.iloc[at:at + size]
-                    matrix = np.vstack(part["embedding"].to_numpy()).astype(np.float64)
-                    yield pd.DataFrame({"width": [width], "ids": [part["id"].tolist()], "scopes": [part["scope"].astype(object).where(part["scope"].notna(), None).tolist()],
-                                        "matrix": [matrix.tobytes()]})
-
-    return side.mapInPandas(pack, f"width int, ids array<{kinds[key]}>, scopes array<{kinds.get(scope, 'int')}>, matrix binary")
-
-
-def _nearest_of(ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per question the ``k`` nearest vectors of one block: question row, ids, distances.
-
-    Squared distances by one matrix product pick the candidates; only those are
-    measured exactly. Questions are taken in strips of ``STRIP_BYTES``.
-    """
-    norms = (vectors**2).sum(1)
-    depth = min(k, len(ids)) - 1
-    step = max(1, STRIP_BYTES // (8 * len(ids)))
-    for at in range(0, len(asked), step):
-        rough = norms[:, None] + (asked[at:at + step] ** 2).sum(1)[None, :] - 2 * vectors @ asked[at:at + step].T
-        limit = np.partition(rough, depth, axis=0)[depth] + 1e-6
-        for j in range(rough.shape[1]):
-            near = np.flatnonzero(rough[:, j] <= limit[j])
-            gap = vectors[near] - asked[at + j]
-            d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-            order = np.lexsort((ids[near], np.round(d, 9)))[:k]
-            yield at + j, ids[near][order], d[order]
-
-
-def nearest(vectors: DataFrame, questions: DataFrame, *, k: int, scope: str | None = None) -> DataFrame:
-    """Exact ``k`` nearest by Euclidean distance: (query_id, chunk_id, distance, rank).
-
-    Both tables are packed into blocks of fixed size. Question blocks are sent
-    to every slot, each vector block to one of them, and a task works on one
-    block of either side at a time; neither table comes to the driver. Each
-    tile keeps ``k`` rows per question. ``scope`` names a column both sides share
-    and is applied before the k. No questions give no rows.
-    """
-    slots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = _block_rows(questions, "query_id", scope, QUESTION_BLOCK).withColumnsRenamed({"ids": "q_ids", "scopes": "q_scopes", "matrix": "q_matrix"})
-    left = left.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    right = _block_rows(vectors, "chunk_id", scope, VECTOR_BLOCK).withColumn("slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)))
-    kinds = [questions.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()]
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                q_ids, ids = np.asarray(row.q_ids), np.asarray(row.ids)
-                asked = np.frombuffer(row.q_matrix).reshape(-1, row.width)
-                block = np.frombuffer(row.matrix).reshape(-1, row.width)
-                pairs = [(np.arange(len(ids)), np.arange(len(q_ids)))]
-                if scope:
-                    mine, theirs = pd.Series(row.scopes, dtype=object), pd.Series(row.q_scopes, dtype=object)
-                    pairs = [(np.flatnonzero(mine == v), np.flatnonzero(theirs == v)) for v in theirs.dropna().unique()]
-                found: list[tuple] = []
-                for rows, qs in pairs:
-                    if len(rows):
-                        found += [(q_ids[qs[j]], c, d) for j, near, gaps in _nearest_of(ids[rows], block[rows], asked[qs], k) for c, d in zip(near, gaps)]
-                yield pd.DataFrame(found, columns=["query_id", "chunk_id", "distance"])
-
-    tiles = left.join(right, ["slot", "width"]).select("width", "q_ids", "q_scopes", "q_matrix", "ids", "scopes", "matrix")
-    found = tiles.mapInPandas(compare, f"query_id {kinds[0]}, chunk_id {kinds[1]}, distance double")
-    return top_k(found, ["query_id"], [F.round("distance", 9), F.asc("chunk_id")], k)
-
-
 def similarity(distance: Column) -> Column:
     """Distance of unit vectors as a cosine, held to [0, 1]."""
     held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance * distance / 2))
@@ -243,12 +171,14 @@ def fuse(rankings: dict[str, DataFrame], *, k: int, rrf_k: int = RRF_K) -> DataF
 def retrieve(
     questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, *, mode: str = "hybrid",
     top: int = TOP_K, candidates: int = CANDIDATES, scope: str | None = None, rrf_k: int = RRF_K, stemmed: bool = False,
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
     """Ranked chunks per question with the mode's own score.
 
     Cosine for ``vector``, BM25 for ``keyword``, the fused score for
     ``hybrid``. Questions hold ``question`` and, for modes that need vectors,
-    ``embedding``. The pool is never narrower than the answer.
+    ``embedding``. The pool is never narrower than the answer. With an ``index``
+    of the chunks the keyword side reads that instead of the chunks.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
@@ -259,7 +189,13 @@ def retrieve(
     if mode in NEEDS_VECTORS:
         lists["vector"] = nearest(vectors, questions, k=pool, scope=scope)
     if mode in ("hybrid", "keyword"):
-        lists["keyword"] = bm25(questions.drop("embedding"), chunks, k=pool, scope=scope, stemmed=stemmed)
+        asked = questions.drop("embedding")
+        if index is not None:
+            from .keyword_index import search
+
+            lists["keyword"] = search(index, asked, k=pool, scope=scope)
+        else:
+            lists["keyword"] = bm25(asked, chunks, k=pool, scope=scope, stemmed=stemmed)
     if mode == "hybrid":
         ranked = fuse(lists, k=top, rrf_k=rrf_k)
         return ranked.withColumn("similarity", similarity(F.col("distance"))).drop("distance")

@@ -415,8 +415,8 @@ def split_welded(elements: DataFrame, found: DataFrame, proven: DataFrame) -> Da
 def synthesize_spine(elements: DataFrame, proven: DataFrame) -> DataFrame:
     """Sections from headings and proven clause labels, nested by label key.
 
-    The fold runs over the sections of one document, which are few, inside one
-    expression; nothing but those rows is grouped.
+    The sections of a document pass by in order once; what is kept of them is
+    the newest one of each key and of each level.
     """
     label = lb.label_at_start(F.col("text"))
     cand = elements.where(F.col("type").isin("heading", "paragraph")).withColumn("lab", label)
@@ -433,25 +433,32 @@ def synthesize_spine(elements: DataFrame, proven: DataFrame) -> DataFrame:
     return _fold_sections(rows)
 
 
+class _Outline:
+    """The newest section of every key and of every level of one document, as (number, level, path)."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self.of_key: dict[str, tuple[int, int, list[str]]] = {}
+        self.of_level: dict[int, tuple[int, int, list[str]]] = {}
+
+    def place(self, title: str, key: str | None, parent: str | None, depth: int) -> tuple[int, list[str]]:
+        """A section hangs below the newest one its label names, else below the newest of a lesser level than its depth."""
+        above = self.of_key.get(parent) if parent is not None else None
+        if above is None and depth > 1:
+            above = max((self.of_level[k] for k in range(1, depth) if k in self.of_level), default=None)
+        level, path = (above[1] + 1, [*above[2], title]) if above else (1, [title])
+        self.n += 1
+        self.of_level[level] = (self.n, level, path)
+        if key is not None:
+            self.of_key[key] = self.of_level[level]
+        return level, path
+
+
 def _fold_sections(rows: DataFrame) -> DataFrame:
-    item = "struct<ord:bigint,page:bigint,y0:double,title:string,key:string,level:int,path:array<string>>"
-    ready = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("ord").cast("bigint").alias("ord"), F.col("page").cast("bigint").alias("page"),
-        F.col("y0").cast("double").alias("y0"), "title", "key", "parent", "depth"))).alias("s"))
-
-    def add(done: Column, x: Column) -> Column:
-        by_key = F.filter(done, lambda d: d["key"] == x["parent"])
-        shallower = F.filter(done, lambda d: d["level"] < x["depth"])
-        parent = F.coalesce(
-            F.try_element_at(by_key, F.lit(-1)),
-            F.when(x["depth"] > 1, F.try_element_at(shallower, F.lit(-1))))
-        return F.concat(done, F.array(F.struct(
-            x["ord"].alias("ord"), x["page"].alias("page"), x["y0"].alias("y0"), x["title"].alias("title"),
-            x["key"].alias("key"), (F.coalesce(parent["level"], F.lit(0)) + 1).alias("level"),
-            F.concat(F.coalesce(parent["path"], F.array().cast("array<string>")), F.array(x["title"])).alias("path"))))
-
-    folded = F.aggregate("s", F.array().cast(f"array<{item}>"), add)
-    return ready.select("doc_id", F.inline(folded))
+    """``doc_id, ord, page, y0, title, key, level, path`` of sections with ``key``, ``parent`` and ``depth``; linear in them."""
+    typed = rows.select("doc_id", *[F.col(c).cast(t).alias(c) for c, t in (("ord", "bigint"), ("page", "bigint"), ("y0", "double"))], "title", "key", "parent", "depth")
+    return ordered.stepwise(typed, ["doc_id"], ["ord", "page", "y0", "title"], ["title", "key", "parent", "depth"], _Outline, _Outline.place, {
+        "level": "int", "path": "array<string>"}).drop("parent", "depth")
 
 
 def outline_paths(outline: DataFrame) -> DataFrame:

@@ -31,23 +31,27 @@ def _criteria(src):
 VERIFIED = f"""q AS (SELECT d.*, e.evidence_id IS NOT NULL AS known, coalesce({_norm('d.text')} <> '' AND contains({_norm('e.text')}, {_norm('d.text')}), false) AS verified
   FROM v_draft_quotes d LEFT JOIN v_evidence e ON e.run_id = d.run_id AND e.evidence_id = d.evidence_id)"""
 ERRORS = f"""{VERIFIED}, qq AS (SELECT *, min(idx) OVER (PARTITION BY run_id, criterion_id, {_norm('text')}, evidence_id) AS f FROM q),
+hd AS (SELECT run_id, string_agg(evidence_id, ', ' ORDER BY length(evidence_id), evidence_id) AS held FROM v_evidence GROUP BY 1),
 s AS (SELECT d.*, (SELECT n_quotes FROM v_drafts x WHERE x.run_id = d.run_id AND x.criterion_id = d.criterion_id) AS n FROM v_draft_subs d),
 g AS (SELECT run_id, criterion_id, list(sub_id ORDER BY sub_id) = ['s0', 's1'] AS same, count(*) FILTER (status = 'met') AS met, count(*) FILTER (status IN ('met', 'partial')) AS st, count(*) AS al FROM v_draft_subs GROUP BY 1, 2),
 e AS (
- SELECT run_id, criterion_id, concat('relevant_quotes[', idx, '].evidence_id') AS path, 'unknown_evidence' AS code FROM qq WHERE NOT known
- UNION ALL SELECT run_id, criterion_id, concat('relevant_quotes[', idx, '].text'), 'not_verbatim' FROM qq WHERE known AND NOT verified
- UNION ALL SELECT run_id, criterion_id, concat('relevant_quotes[', idx, '].text'), 'too_long' FROM qq WHERE length(text) > 300
- UNION ALL SELECT run_id, criterion_id, concat('relevant_quotes[', idx, '].text'), 'empty' FROM qq WHERE trim(text) = ''
- UNION ALL SELECT run_id, criterion_id, concat('relevant_quotes[', idx, ']'), 'duplicate' FROM qq WHERE idx > f
- UNION ALL SELECT run_id, criterion_id, concat('sub_requirements[', pos, '].quote_indexes'), 'out_of_range' FROM s WHERE cites = 2
- UNION ALL SELECT run_id, criterion_id, concat('sub_requirements[', pos, '].quote_indexes'), 'needs_quote' FROM s WHERE cites = 0 AND status IN ('met', 'partial')
- UNION ALL SELECT run_id, criterion_id, concat('sub_requirements[', pos, '].quote_indexes'), 'unexpected_quote' FROM s WHERE cites > 0 AND status IN ('missing', 'not_determined')
- UNION ALL SELECT run_id, criterion_id, 'compliance_question', 'not_verbatim' FROM v_drafts WHERE question <> concat('Question ', criterion_id)
- UNION ALL SELECT run_id, criterion_id, 'sub_requirements', 'ids' FROM g WHERE NOT same
- UNION ALL SELECT d.run_id, d.criterion_id, 'compliance_state', 'inconsistent' FROM v_drafts d JOIN g USING (run_id, criterion_id)
+ SELECT run_id, criterion_id, concat('relevant_quotes[', idx, '].evidence_id') AS path, 'unknown_evidence' AS code,
+   concat('''', evidence_id, ''' is not a retrieved passage; use one of ', coalesce(held, '(none retrieved)')) AS message FROM qq LEFT JOIN hd USING (run_id) WHERE NOT known
+ UNION ALL SELECT run_id, criterion_id, concat('relevant_quotes[', idx, '].text'), 'not_verbatim', concat('not verbatim in ', evidence_id, ' -- copy the exact text') FROM qq WHERE known AND NOT verified
+ UNION ALL SELECT run_id, criterion_id, concat('relevant_quotes[', idx, '].text'), 'too_long', concat(length(text), ' characters; at most 300') FROM qq WHERE length(text) > 300
+ UNION ALL SELECT run_id, criterion_id, concat('relevant_quotes[', idx, '].text'), 'empty', 'empty quote' FROM qq WHERE trim(text) = ''
+ UNION ALL SELECT run_id, criterion_id, concat('relevant_quotes[', idx, ']'), 'duplicate', 'duplicates an earlier quote' FROM qq WHERE idx > f
+ UNION ALL SELECT run_id, criterion_id, concat('sub_requirements[', pos, '].quote_indexes'), 'out_of_range',
+   concat('[', CASE WHEN pos >= n THEN concat(pos, ', ') ELSE '' END, '7] are not indexes into relevant_quotes (0..', n - 1, ')') FROM s WHERE cites = 2
+ UNION ALL SELECT run_id, criterion_id, concat('sub_requirements[', pos, '].quote_indexes'), 'needs_quote', concat('status ''', status, ''' needs at least one supporting quote index') FROM s WHERE cites = 0 AND status IN ('met', 'partial')
+ UNION ALL SELECT run_id, criterion_id, concat('sub_requirements[', pos, '].quote_indexes'), 'unexpected_quote', concat('status ''', status, ''' must have no quote indexes') FROM s WHERE cites > 0 AND status IN ('missing', 'not_determined')
+ UNION ALL SELECT run_id, criterion_id, 'compliance_question', 'not_verbatim', 'must equal the question exactly as given -- copy it, do not paraphrase' FROM v_drafts WHERE question <> concat('Question ', criterion_id)
+ UNION ALL SELECT run_id, criterion_id, 'sub_requirements', 'ids', 'must contain exactly these ids, once each: s0, s1' FROM g WHERE NOT same
+ UNION ALL SELECT d.run_id, d.criterion_id, 'compliance_state', 'inconsistent',
+   'does not follow from the sub-requirement statuses (all met = Fully; none met or partial = Non-Compliant; otherwise Partially)' FROM v_drafts d JOIN g USING (run_id, criterion_id)
    WHERE same AND state <> CASE WHEN met = al THEN 'Fully Compliant' WHEN st > 0 THEN 'Partially Compliant' ELSE 'Non-Compliant' END
- UNION ALL SELECT run_id, criterion_id, 'rationale', 'empty' FROM v_drafts WHERE trim(rationale) = ''
- UNION ALL SELECT run_id, criterion_id, 'raw_confidence', 'range' FROM v_drafts WHERE raw_confidence < 0 OR raw_confidence > 1)"""
+ UNION ALL SELECT run_id, criterion_id, 'rationale', 'empty', 'must not be empty' FROM v_drafts WHERE trim(rationale) = ''
+ UNION ALL SELECT run_id, criterion_id, 'raw_confidence', 'range', 'must be between 0 and 1' FROM v_drafts WHERE raw_confidence < 0 OR raw_confidence > 1)"""
 
 
 def _errors(src):

@@ -239,6 +239,18 @@ def k17(src):
                       F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "name", "latency_ms")
 
 
+@plan("k17_preorder", sql="""
+WITH RECURSIVE e AS (
+  SELECT c.run_id, c.span_id, p.span_id AS parent FROM v_spans c
+    LEFT JOIN v_spans p ON p.run_id = c.run_id AND p.span_id = c.parent_span_id AND p.span_id <> c.span_id),
+t AS (SELECT run_id, span_id, span_id AS root_span_id, 0 AS depth, [span_id] AS path FROM e WHERE parent IS NULL
+  UNION ALL
+  SELECT e.run_id, e.span_id, t.root_span_id, t.depth + 1, list_append(t.path, e.span_id) FROM e JOIN t ON e.run_id = t.run_id AND e.parent = t.span_id)
+SELECT run_id, span_id, root_span_id, depth, row_number() OVER (PARTITION BY run_id ORDER BY path) - 1 AS position FROM t""")
+def k17_preorder(src):
+    return span_ops.preorder(src.view("spans"))
+
+
 @plan("k18_attributes", sql="""
 SELECT span_id, CASE WHEN attrs IS NULL OR span_id % 31 = 0 OR span_id % 37 = 0 THEN 0 ELSE 1 END AS n_attrs,
   CASE WHEN attrs IS NULL OR span_id % 31 = 0 OR span_id % 37 = 0 THEN NULL ELSE json_extract_string(attrs, '$.k') END AS k

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import embed, ordered
+from ..operators import embed, keyword_index, ordered
 from ..operators import retrieval as rt
+from ..session import work_dir
 from .registry import plan
 
 DIM = 64
@@ -87,6 +88,39 @@ def r4_scoped(src):
     return rt.bm25(_scoped(src), _chunks(src), k=5, scope="document_id").withColumn("score", F.round("score", 6))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(src):
+    """The keyword index of the corpus, written once per application and opened after that."""
+    key = (src.spark.sparkContext.applicationId, src.folder)
+    if key not in _INDEXES:
+        path = work_dir(src.spark, "keyword-index")
+        keyword_index.build(_chunks(src), path, keep=("document_id",))
+        _INDEXES[key] = path
+    return keyword_index.opened(src.spark, _INDEXES[key])
+
+
+@plan("r1_index_terms", sql=f"WITH {POST} SELECT term, count(DISTINCT chunk_id) AS chunks, count(*) AS postings, max(pos) AS last_pos FROM post GROUP BY 1")
+def r1_index(src):
+    blocks = _index(src).table("blocks")
+    return blocks.groupBy("term").agg(
+        F.sum("n").cast("long").alias("chunks"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda t, x: t + x)).alias("postings"),
+        F.max(F.array_max(F.flatten("places"))).alias("last_pos"))
+
+
+@plan("r4_indexed", sql=f"WITH {SCORES} SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 20")
+def r4_indexed(src):
+    return keyword_index.search(_index(src), _questions(src), k=20).withColumn("score", F.round("score", 6))
+
+
+@plan("r4_indexed_scoped", sql=f"""
+WITH {SCORES} SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc
+ WHERE document_id = concat('src', query_id % 20) QUALIFY rank <= 5""")
+def r4_indexed_scoped(src):
+    return keyword_index.search(_index(src), _scoped(src), k=5, scope="document_id").withColumn("score", F.round("score", 6))
+
+
 @plan("r4_bm25_stemmed")
 def r4_stemmed(src):
     return rt.bm25(_questions(src), _chunks(src), k=20, stemmed=True).withColumn("score", F.round("score", 6))
@@ -153,7 +187,7 @@ def _retrieve(src, mode: str, top: int = 6):
     vectors = embed.hashed_vectors(chunks, "chunk_id", "content", DIM)
     asked = _questions(src)
     asked = asked.join(embed.hashed_vectors(asked, "query_id", "question", DIM), "query_id")
-    return rt.retrieve(asked, chunks, vectors, mode=mode, top=top)
+    return rt.retrieve(asked, chunks, vectors, mode=mode, top=top, index=_index(src) if mode != "vector" else None)
 
 
 @plan("r8_fusion", sql=f"WITH {HYBRID} SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM hy")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pactframe.operators import assess, chunking as ck, corpus, embed
+from pactframe.operators import assess, chunking as ck, corpus, embed, neighbours
 from pactframe.operators import retrieval as rt
 
 
@@ -92,7 +92,7 @@ def vectors_of(spark, n, dim=8, seed=1):
 
 @pytest.mark.parametrize("block", [4096, 5])
 def test_nearest_is_exact(spark, monkeypatch, block):
-    monkeypatch.setattr(rt, "QUESTION_BLOCK", block)
+    monkeypatch.setattr(neighbours, "QUESTION_BLOCK", block)
     m, rows, vectors = vectors_of(spark, 400)
     asked = spark.createDataFrame([(q, q % 3, m[q * 7].tolist()) for q in range(12)], "query_id long, document_id int, embedding array<float>")
     for scope in (None, "document_id"):
