@@ -21,8 +21,8 @@ MOST_LANGS, DOCS_PER_LANG, WINDOWS_PER_DOC = 200, 600, 6
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 16, 8
 UNKNOWN = "und"
-#: Least score of a document that the filtering stage keeps.
-MIN_SCORE = 0.4
+#: How far from chance (one of all languages) to certainty a text's windows have to be on average for the filtering stage.
+CERTAIN = 0.2
 
 
 def held_out(doc_id: Column) -> Column:
@@ -174,22 +174,31 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, epochs: int = 2) ->
     return train(x, y, langs, epochs) if langs else None
 
 
+def least_confidence(net: Network | None) -> float:
+    """Below this confidence a text is in no language the network knows; it falls with the number of languages."""
+    return CERTAIN if net is None else 1 / len(net.langs) + (1 - 1 / len(net.langs)) * CERTAIN
+
+
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """``doc_id, held_out, text_hash, lang_pred, score`` for every whole text.
+    """``doc_id, held_out, text_hash, lang_pred, score, confidence`` for every whole text.
 
     A text is all its windows; the score of a language is the mean of its window
-    probabilities weighted by their bytes, and the best one is predicted. Null
-    texts, texts without a letter, and everything under no network are ``und``
-    with score 0. Rows that repeat are predicted alike; ``lang`` and other columns
-    are not looked at.
+    probabilities weighted by their bytes, and the best one is predicted.
+    ``confidence`` is the mean of each window's own best probability, so a text in
+    several languages is as sure as one in a single one. Null texts, texts
+    without a letter, and everything under no network are ``und`` with score 0;
+    confidence is 0 without a letter, and 1 with one where there is no network:
+    nothing speaks against the text. Rows that repeat are predicted alike;
+    ``lang`` and other columns are not looked at.
     """
     small_batches(docs.sparkSession)
     given = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"),
                         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if net is None:
-        return given.select("doc_id", "held_out", "text_hash", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return given.select("doc_id", "held_out", "text_hash", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
+                            F.col("letters").cast("double").alias("confidence"))
     schema = T.StructType([given.schema["doc_id"], given.schema["held_out"], given.schema["text_hash"], T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+                           T.StructField("score", T.DoubleType()), T.StructField("confidence", T.DoubleType())])
     names = np.array([*net.langs, UNKNOWN], object)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,15 +209,17 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             raw = text.buffers()[2]
             data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(1, np.uint8)
             start, owner, size = windows_of(data, offsets)
-            total = np.zeros((len(text), len(net.langs)))
+            total, sure = np.zeros((len(text), len(net.langs))), np.zeros(len(text))
             for at in range(0, len(start), 1 << 14):
                 part = slice(at, at + (1 << 14))
-                np.add.at(total, owner[part], predict_windows(net, data, start[part], size[part]) * size[part, None])
-            share = total / np.maximum(np.diff(offsets), 1)[:, None]
+                found = predict_windows(net, data, start[part], size[part]) * size[part, None]
+                np.add.at(total, owner[part], found)
+                np.add.at(sure, owner[part], found.max(1))
+            share, sure = total / np.maximum(np.diff(offsets), 1)[:, None], sure / np.maximum(np.diff(offsets), 1)
             letters = np.array(batch.column(4).to_pylist(), bool)
             best = np.where(letters, share.argmax(1), len(net.langs))
-            score = np.where(letters, share.max(1), 0.0)
+            score, sure = np.where(letters, share.max(1), 0.0), np.where(letters, sure, 0.0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], schema.names)
+                [*batch.columns[:3], pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.clip(sure, 0, 1))], schema.names)
 
     return given.mapInArrow(apply, schema)

@@ -168,9 +168,11 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    Returns ``doc_id, h, n_shingles, component_id, kept``, one row per row of
+    Returns ``doc_id, h, n_shingles, component_id, kept, keeper``, one row per row of
     ``docs``; ``component_id`` is the smallest ``doc_id`` reachable over links, and the
-    document that has it stays.
+    document that has it is ``kept``. ``keeper`` names one text per component even
+    where ids are null or shared by different texts: that of the smallest id,
+    null last, and then of the smallest text hash ``h``.
 
     Documents with equal sets are one class; only classes are compared. Inside
     a bucket classes are compared with hubs, chosen in ``HUB_ORDERS`` ways and only
@@ -188,9 +190,9 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     rows = save(describe(docs, width), "minhash-rows")
     full = rows.filter("n > 0")
     classes = full.groupBy("k1", "k2", "n").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("h", "doc_id")).alias("member"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        F.min("doc_id").alias("least"), F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "h")).alias("head"), F.min(F.struct("h", "doc_id")).alias("member"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = save(classes.select(
-        F.monotonically_increasing_id().alias("node"), "k1", "k2", "n", "least", "member.h", "member.doc_id", "bands",
+        F.monotonically_increasing_id().alias("node"), "k1", "k2", "n", "least", "head", "member.h", "member.doc_id", "bands",
         *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]), "minhash-classes")
 
     banded = classes.select("node", F.explode("bands").alias("bucket"))
@@ -217,13 +219,14 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         links = links.unionByName(save(verify(rest, more), "minhash-links"))
         labels = components(links)
 
-    labelled = classes.select("node", "k1", "k2", "n", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = save(labelled.join(smallest, "label").select("k1", "k2", "n", "component_id"), "minhash-named")
+    labelled = classes.select("node", "k1", "k2", "n", "least", "head").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.min("head").alias("head"))
+    named = save(labelled.drop("head").join(smallest, "label").select("k1", "k2", "n", "component_id", "head"), "minhash-named")
     out = rows.select("doc_id", "h", "k1", "k2", "n").join(named, ["k1", "k2", "n"], "left")
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                      ((F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("h") == F.col("head.h")))).alias("keeper")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "h", "n_shingles", "component_id", "kept", "keeper")
 
 
 def hub_pairs(live: DataFrame, orders: int = HUB_ORDERS) -> DataFrame:

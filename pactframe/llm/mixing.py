@@ -61,7 +61,8 @@ def fit_exponent(sources: DataFrame, max_repeats: float | None = None, entropy:
         if last == GRID:
             return 1.0
         low, high = points[last], points[last + 1]
-    return round(high, 6)
+    # Six digits, away from the limit: a higher exponent repeats less. What the search left open is far less than the slack.
+    return math.ceil(high * 1e6 - 1e-3) / 1e6
 
 
 def plan(docs: DataFrame, n_tokens: Column, max_repeats: float | None = 2.0, entropy: float | None = None,
@@ -71,8 +72,8 @@ def plan(docs: DataFrame, n_tokens: Column, max_repeats: float | None = 2.0, ent
     ``weight`` is the normalised power of the token share, ``quota`` the source's
     part of the token budget: ``epochs`` whole permutations and ``rest`` tokens of
     one more. Without a ``budget`` it is the smallest that shows every document
-    at least once, so mixing repeats and drops nothing. Sources without a
-    single token take one epoch.
+    at least once, so mixing repeats and drops nothing. No quota passes
+    ``max_repeats`` times its source. Sources without a single token take one epoch.
     """
     sources = save(source_tokens(docs, n_tokens), "sources")
     exponent = fit_exponent(sources, None if entropy is not None else max_repeats, entropy)
@@ -81,8 +82,11 @@ def plan(docs: DataFrame, n_tokens: Column, max_repeats: float | None = 2.0, ent
     whole = total[0] or 1.0
     tokens = float(budget) if budget is not None else whole * (total[1] or 0.0)
     weight = F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(exponent)) / F.lit(whole)).otherwise(F.lit(0.0))
+    quota = F.round(F.col("weight") * F.lit(tokens)).cast("long")
+    if entropy is None and max_repeats is not None:
+        quota = F.least(quota, F.floor(F.col("tokens") * F.lit(float(max_repeats))).cast("long"))
     return (sources.withColumn("weight", weight)
-            .withColumn("quota", F.round(F.col("weight") * F.lit(tokens)).cast("long"))
+            .withColumn("quota", quota)
             .withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(F.lit(1)).cast("int"))
             .withColumn("rest", F.when(F.col("tokens") > 0, F.col("quota") % F.col("tokens")).otherwise(F.lit(0)).cast("long")))
 

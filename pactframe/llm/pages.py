@@ -56,8 +56,11 @@ _TABLE = frozenset("table template".split())
 _ENDS_P = BLOCK - frozenset("html body li dd dt tr td th tbody thead tfoot caption legend".split())
 _SCOPE = frozenset("table td th caption html button".split())
 _HEAD = frozenset("base link meta noscript script style template title".split())
-#: Deeper elements are read as children of the deepest one; no text is lost.
-DEEPEST = 200
+#: The white space that HTML collapses; a no-break space is a character like any other.
+SPACE = " \t\n\f\r"
+_SPACES = re.compile(f"[{SPACE}]+")
+#: Columns a line is indented by at most: deeper lists and quotes stay there.
+WIDEST_INDENT = 240
 _CUT_TAG = re.compile(r"</?[a-zA-Z][^>]*\Z")
 
 
@@ -115,7 +118,7 @@ class TreeBuilder(HTMLParser):
             self.foster(node)
         else:
             self.open[-1].children.append(node)
-        if opened and len(self.open) < DEEPEST:
+        if opened:
             self.at.setdefault(node.tag, []).append(len(self.open))
             self.open.append(node)
 
@@ -172,35 +175,127 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "textarea":
             data = unescape(data)
-        if self.open[-1].tag == "head" and data.strip():
+        if self.open[-1].tag == "head" and data.strip(SPACE):
             self.close_up_to(len(self.open) - 1)
-        if data.strip() and self.fosters():
+        if data.strip(SPACE) and self.fosters():
             self.foster(data)
         else:
             self.open[-1].children.append(data)
 
 
-def hidden(node: Node) -> bool:
-    if node.tag in UNSEEN or "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs):
-        return True
-    style = (node.attrs.get("style") or "").replace(" ", "").lower()
-    return "display:none" in style or "visibility:hidden" in style
+# -- what is shown -----------------------------------------------------------
+
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: A type or *, then ids and classes: the selectors that are looked at, alone or in lists.
+_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_PART = re.compile(r"[.#][\w-]+")
+_STYLED = frozenset("display visibility white-space".split())
+
+
+def declarations(text: str) -> dict[str, tuple[bool, str]]:
+    """The last value of each property that matters here, and whether it is important."""
+    found: dict[str, tuple[bool, str]] = {}
+    for item in _COMMENT.sub("", text).split(";"):
+        name, colon, value = item.partition(":")
+        name, value = name.strip(SPACE).lower(), value.strip(SPACE).lower()
+        if colon and name in _STYLED:
+            important = value.endswith("important") and value[:-9].rstrip(SPACE).endswith("!")
+            value = value[:-9].rstrip(SPACE)[:-1].rstrip(SPACE) if important else value
+            if important or name not in found or not found[name][0]:
+                found[name] = important, value
+    return found
+
+
+def rules_of(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of the plain rules of a style sheet; at-rules and what they hold are left out."""
+    sheet = _COMMENT.sub("", sheet)
+    at = 0
+    while (open_ := sheet.find("{", at)) >= 0:
+        head = sheet[at:open_].rpartition(";")[2].strip(SPACE)
+        if head.startswith("@"):
+            depth, end = 1, open_ + 1
+            while depth and end < len(sheet):
+                depth += (sheet[end] == "{") - (sheet[end] == "}")
+                end += 1
+            at = end
+            continue
+        close = sheet.find("}", open_)
+        close = len(sheet) if close < 0 else close
+        yield head, sheet[open_ + 1:close]
+        at = close + 1
+
+
+class Styles:
+    """The style sheets of a page: rules by the id, class or type that their selector needs."""
+
+    def __init__(self, sheets: list[str]) -> None:
+        self.rules: dict[str, list[tuple[tuple[int, int, int, int], str, frozenset[str], dict[str, tuple[bool, str]]]]] = {}
+        n = 0
+        for sheet in sheets:
+            for selectors, body in rules_of(sheet):
+                said = declarations(body)
+                for selector in selectors.split(",") if said else ():
+                    if not (match := _SELECTOR.fullmatch(selector.strip(SPACE))) or not match[0]:
+                        continue
+                    kind, parts = (match[1] or "*").lower(), frozenset(_PART.findall(match[2]))
+                    n += 1
+                    weight = (sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), int(kind != "*"), n)
+                    self.rules.setdefault(min(parts, default=kind), []).append((weight, kind, parts, said))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """The winning values of an element's own properties: important ones, its style attribute, then the heaviest rule."""
+        best: dict[str, tuple[tuple, str]] = {}
+        if self.rules:
+            names = {f".{c}" for c in _SPACES.split(node.attrs.get("class") or "") if c}
+            if node.attrs.get("id"):
+                names.add(f"#{node.attrs['id']}")
+            for key in (node.tag, "*", *names):
+                for weight, kind, parts, said in self.rules.get(key, ()):
+                    if kind in ("*", node.tag) and parts <= names:
+                        for name, (important, value) in said.items():
+                            rank = (important, False, weight)
+                            if name not in best or best[name][0] < rank:
+                                best[name] = rank, value
+        if node.attrs.get("style"):
+            for name, (important, value) in declarations(node.attrs["style"]).items():
+                rank = (important, True, ())
+                if name not in best or best[name][0][:2] <= rank[:2]:
+                    best[name] = rank, value
+        return {name: value for name, (_, value) in best.items()}
+
+
+#: A step of the rendering: it yields the steps it has to wait for.
+Step = Iterator["Step"]
+
+
+def run(step: Step) -> None:
+    """Carry a step out with all it waits for, on a stack of its own: pages may nest as deep as they like."""
+    stack = [step]
+    while stack:
+        deeper = next(stack[-1], None)
+        if deeper is None:
+            stack.pop()
+        else:
+            stack.append(deeper)
 
 
 class Writer:
     """Lines of text with pending breaks and collapsed white space."""
 
-    def __init__(self) -> None:
+    def __init__(self, styles: Styles, shown: bool = True) -> None:
+        self.styles, self.shown = styles, shown
         self.lines: list[str] = []
         self.words: list[str] = []
         self.space = False
         self.gap = 0
-        self.indent = ""
+        self.indent = 0
         self.mark = ""
 
     def text(self, data: str) -> None:
-        parts = data.split()
-        if data[:1].isspace() or not parts:
+        if not self.shown:
+            return
+        parts = [p for p in _SPACES.split(data) if p]
+        if data[:1] in SPACE or not parts:
             self.space = True
         for part in parts:
             if self.words and not self.space:
@@ -209,7 +304,7 @@ class Writer:
                 self.words.append(part)
             self.space = True
         if parts:
-            self.space = data[-1:].isspace()
+            self.space = data[-1:] in SPACE
 
     def flush(self) -> None:
         if self.words:
@@ -221,8 +316,8 @@ class Writer:
         if self.lines and self.gap:
             self.lines.extend([""] * self.gap)
         self.gap = 0
-        first = self.mark
-        self.lines.append((self.indent[:len(self.indent) - len(first)] + first if first else self.indent) + line)
+        before = " " * (min(self.indent, WIDEST_INDENT) - len(self.mark)) + self.mark
+        self.lines.append(before + line)
         self.mark = ""
 
     def block(self, gap: int) -> None:
@@ -231,153 +326,251 @@ class Writer:
 
     def done(self) -> str:
         self.flush()
-        return "\n".join(line.rstrip() for line in self.lines)
-
-
-def write(node: Node, out: Writer) -> None:
+        return "\n".join(line.rstrip(SPACE) for line in self.lines)
+
+    def style(self, node: Node) -> dict[str, str] | None:
+        """An element's own style; None where neither it nor anything in it is shown."""
+        if node.tag in UNSEEN or node.tag == "dialog" and "open" not in node.attrs:
+            return None
+        found = self.styles.of(node)
+        if found.get("display", "none" if "hidden" in node.attrs else "") == "none":
+            return None
+        return found
+
+    def show(self, style: dict[str, str]) -> bool:
+        """Take over an element's visibility, which its content inherits; returns what was before."""
+        was = self.shown
+        said = style.get("visibility")
+        if said in ("hidden", "collapse"):
+            self.shown = False
+        elif said == "visible" or said == "initial":
+            self.shown = True
+        return was
+
+
+def write(node: Node, out: Writer) -> Step:
     """Append an element's visible text to the writer."""
     for child in node.children:
         if isinstance(child, str):
             out.text(child)
             continue
-        tag = child.tag
-        if hidden(child):
+        style = out.style(child)
+        if style is None:
             continue
-        if tag == "br":
-            if out.words:
-                out.flush()
-            elif out.lines:
-                out.gap = max(out.gap, 1)
-        elif tag == "pre":
-            preformatted(child, out)
-        elif tag in ("ul", "ol", "menu", "dir"):
-            listed(child, out)
-        elif tag == "table":
-            tabled(child, out)
-        elif tag == "svg":
-            drawn(child, out)
-        elif tag == "textarea":
+        was = out.show(style)
+        yield element(child, style, out)
+        out.shown = was
+
+
+def element(child: Node, style: dict[str, str], out: Writer) -> Step:
+    tag = child.tag
+    if tag == "br":
+        if out.words:
+            out.flush()
+        elif out.lines:
+            out.gap = max(out.gap, 1)
+    elif tag == "pre" or tag in BLOCK and tag not in ("table", "ul", "ol", "menu", "dir") and style.get("white-space") in ("pre", "pre-wrap", "break-spaces"):
+        preformatted(child, out, 1 if tag in SPACED else 0)
+    elif tag in ("ul", "ol", "menu", "dir"):
+        yield listed(child, out)
+    elif tag == "table":
+        yield tabled(child, out)
+    elif tag == "svg":
+        yield drawn(child, out)
+    elif tag == "textarea":
+        preformatted(child, out, 0)
+    elif tag == "details" and "open" not in child.attrs:
+        out.block(0)
+        first = next((c for c in child.children if isinstance(c, Node) and c.tag == "summary"), None)
+        if first is not None:
+            yield write(wrapped(first), out)
+        out.block(0)
+    elif tag in _APART:
+        if tag in ("mtr", "mlabeledtr"):
             out.block(0)
-            for line in plain(child).removeprefix("\n").rstrip("\n").split("\n"):
-                out.put(line)
-            out.block(0)
-        elif tag in _APART:
-            if tag in ("mtr", "mlabeledtr"):
-                out.block(0)
-            for part in child.children:
-                out.space = True
-                write(wrapped(part), out)
+        for part in child.children:
             out.space = True
-        elif tag in BLOCK or tag in ("option", "optgroup", "select", "mtable"):
-            gap = 1 if tag in SPACED else 0
-            out.block(gap)
-            deeper = "    " if tag in ("blockquote", "dd") else ""
-            out.indent += deeper
-            if tag == "hr":
-                out.block(0)
-                out.put("---")
-            write(child, out)
-            out.block(gap)
-            out.indent = out.indent[:len(out.indent) - len(deeper)]
-        else:
-            write(child, out)
-
-
-def drawn(node: Node, out: Writer) -> None:
+            yield write(wrapped(part), out)
+        out.space = True
+    elif tag in BLOCK or tag in ("option", "optgroup", "select", "mtable"):
+        gap = 1 if tag in SPACED else 0
+        out.block(gap)
+        deeper = 4 if tag in ("blockquote", "dd") else 0
+        out.indent += deeper
+        if tag == "hr" and out.shown:
+            out.put("---")
+        yield write(child, out)
+        out.block(gap)
+        out.indent -= deeper
+    else:
+        yield write(child, out)
+
+
+def drawn(node: Node, out: Writer) -> Step:
     """The texts of a drawing, each on lines of its own."""
     for child in node.children:
-        if isinstance(child, str) or child.tag in _UNDRAWN or hidden(child):
+        if isinstance(child, str) or child.tag in _UNDRAWN or (style := out.style(child)) is None:
             continue
+        was = out.show(style)
         if child.tag in _DRAWN:
             out.block(0)
             inner = Node("div", {})
             inner.children = [c for c in child.children if isinstance(c, str) or c.tag not in _UNDRAWN]
-            write(inner, out)
+            yield write(inner, out)
             out.block(0)
         else:
-            drawn(child, out)
+            yield drawn(child, out)
+        out.shown = was
 
 
-def plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else "" if hidden(c) else plain(c) for c in node.children)
+def plain(node: Node, out: Writer) -> str:
+    """The shown text below an element, white space as it stands."""
+    parts: list[str] = []
+    stack: list[tuple[Node | str, bool]] = [(c, out.shown) for c in reversed(node.children)]
+    was = out.shown
+    while stack:
+        child, out.shown = stack.pop()
+        if isinstance(child, str):
+            parts.append(child if out.shown else "")
+        elif child.tag == "br":
+            parts.append("\n")
+        elif (style := out.style(child)) is not None:
+            out.show(style)
+            stack.extend((c, out.shown) for c in reversed(child.children))
+    out.shown = was
+    return "".join(parts)
+
+
+def preformatted(node: Node, out: Writer, gap: int) -> None:
+    """Lines as they stand; an element without any leaves only its spacing."""
+    out.block(gap)
+    text = plain(node, out).removeprefix("\n").rstrip("\n")
+    for line in text.split("\n") if text or out.shown else ():
+        out.put(line)
+    out.block(gap)
 
 
-def preformatted(node: Node, out: Writer) -> None:
-    out.block(1)
-    for line in plain(node).removeprefix("\n").rstrip("\n").split("\n"):
-        out.put(line)
-    out.block(1)
+def whole(value: str | None, most: int = 9) -> int | None:
+    """An attribute's integer, if it is one of at most ``most`` digits."""
+    text = (value or "").strip(SPACE)
+    digits = text[1:] if text[:1] == "-" else text
+    return int(text) if digits.isascii() and digits.isdecimal() and len(digits) <= most else None
 
 
-def listed(node: Node, out: Writer) -> None:
+def listed(node: Node, out: Writer) -> Step:
     """Items with bullets or numbers, nested lists indented below their item."""
     out.flush()
-    inside = out.indent != "" and out.mark == "" and node.tag in ("ul", "ol", "menu", "dir")
+    inside = out.indent > 0 and out.mark == ""
     out.block(0 if inside else 1)
-    start = node.attrs.get("start") or ""
-    number = int(start) if node.tag == "ol" and start.isdecimal() and len(start) < 10 else 1
-    rest = Node("div", {})
-    for child in node.children:
-        if isinstance(child, Node) and child.tag == "li" and not hidden(child):
+    items = [out.style(c) if isinstance(c, Node) and c.tag == "li" else None for c in node.children]
+    step = -1 if "reversed" in node.attrs else 1
+    start = whole(node.attrs.get("start"))
+    number = start if start is not None else sum(i is not None for i in items) if step < 0 else 1
+    for child, style in zip(node.children, items):
+        if style is not None:
+            if (own := whole(child.attrs.get("value"))) is not None:
+                number = own
             mark = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
-            was = out.mark
+            number += step
+            was, before, above = out.mark, out.show(style), out.indent
             out.block(0)
-            out.indent += " " * len(mark)
-            out.mark = was + mark
-            write(child, out)
+            if out.shown:
+                out.indent = min(above, WIDEST_INDENT) + len(mark)
+                out.mark = was + mark if out.indent <= WIDEST_INDENT else mark
+                out.indent = min(out.indent, WIDEST_INDENT)
+            yield write(child, out)
             out.block(0)
-            if out.mark:
+            if out.mark and out.shown:
                 out.put("")
-            out.indent = out.indent[:len(out.indent) - len(mark)]
-        elif not isinstance(child, str) or child.strip():
-            rest.children = [child]
-            write(rest, out)
+            out.indent, out.shown = above, before
+        elif isinstance(child, str) and child.strip(SPACE) or isinstance(child, Node) and child.tag != "li":
+            yield write(wrapped(child), out)
     out.block(0 if inside else 1)
 
 
-def rows_of(node: Node) -> Iterator[Node]:
+def groups_of(node: Node, out: Writer) -> list[list[tuple[Node, bool]]]:
+    """The rows of a table by row group, each with its visibility."""
+    groups: list[list[tuple[Node, bool]]] = []
+    loose: list[tuple[Node, bool]] = []
     for child in node.children:
-        if isinstance(child, Node) and not hidden(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in SECTIONS:
-                yield from rows_of(child)
-
-
-def strays_of(node: Node) -> Iterator[Node | str]:
+        if isinstance(child, str) or child.tag not in ("tr", *SECTIONS) or (style := out.style(child)) is None:
+            continue
+        was = out.show(style)
+        if child.tag == "tr":
+            if not loose:
+                groups.append(loose)
+            loose.append((child, out.shown))
+        else:
+            loose = []
+            rows = []
+            for row in child.children:
+                if isinstance(row, Node) and row.tag == "tr" and (own := out.style(row)) is not None:
+                    before = out.show(own)
+                    rows.append((row, out.shown))
+                    out.shown = before
+            groups.append(rows)
+        out.shown = was
+    return groups
+
+
+def strays_of(node: Node, out: Writer) -> Iterator[Node | str]:
     """What is in a table or a section of it and is no part of the grid."""
     for child in node.children:
         if isinstance(child, str) or child.tag not in ("tr", *SECTIONS, "colgroup", "col"):
             yield child
-        elif child.tag in SECTIONS and not hidden(child):
-            yield from strays_of(child)
+        elif child.tag in SECTIONS and out.style(child) is not None:
+            yield from (c for c in child.children if isinstance(c, str) or c.tag not in ("tr", *SECTIONS))
+
 
+def tabled(node: Node, out: Writer) -> Step:
+    """Cells padded to the width of their column; a cell of several lines takes several lines.
 
-def tabled(node: Node, out: Writer) -> None:
-    """Cells padded to the width of their column; a cell of several lines takes several lines."""
+    A cell that spans columns or rows keeps the places it spans empty, so what
+    follows stands in its own column.
+    """
     out.block(1)
     strays = Node("div", {})
-    strays.children.extend(strays_of(node))
-    write(strays, out)
+    strays.children.extend(strays_of(node, out))
+    yield write(strays, out)
     out.block(0)
-    grid: list[list[list[str]]] = []
-    for row in rows_of(node):
-        cells: list[list[str]] = []
-        for cell in row.children:
-            if isinstance(cell, str) and not cell.strip() or isinstance(cell, Node) and hidden(cell):
-                continue
-            inner = Writer()
-            write(cell if isinstance(cell, Node) and cell.tag in ("td", "th") else wrapped(cell), inner)
-            cells.append(inner.done().split("\n"))
-            span = (cell.attrs.get("colspan") or "") if isinstance(cell, Node) else ""
-            cells.extend([[""]] * (min(int(span), 1000) - 1 if span.isdecimal() and len(span) < 6 and int(span) else 0))
-        grid.append(cells)
-    wide = max(map(len, grid), default=0)
-    widths = [max((len(line) for row in grid if i < len(row) for line in row[i]), default=0) for i in range(wide)]
-    for row in grid:
-        for n in range(max((len(c) for c in row), default=0)):
-            line = "  ".join((c[n] if n < len(c) else "").ljust(widths[i]) for i, c in enumerate(row)).rstrip()
+    grid: list[dict[int, list[str]]] = []
+    for group in groups_of(node, out):
+        taken: dict[int, int] = {}  # column to the rows that a cell above still spans
+        for n, (row, shown) in enumerate(group):
+            cells: dict[int, list[str]] = {}
+            spans: dict[int, int] = {}
+            at = 0
+            for cell in row.children:
+                style = {} if isinstance(cell, str) else out.style(cell)
+                if style is None or isinstance(cell, str) and not cell.strip(SPACE):
+                    continue
+                while at in taken:
+                    at += 1
+                own = isinstance(cell, Node) and cell.tag in ("td", "th")
+                inner = Writer(out.styles, shown)
+                if own:
+                    inner.show(style)
+                yield write(cell if own else wrapped(cell), inner)
+                cells[at] = inner.done().split("\n")
+                attrs = cell.attrs if own else {}
+                wide, deep = whole(attrs.get("colspan"), 5) or 1, whole(attrs.get("rowspan"), 5)
+                deep = len(group) - n if deep == 0 else min(max(deep or 1, 1), len(group) - n)
+                for _ in range(min(max(wide, 1), 1000)):
+                    if deep > 1:
+                        spans[at] = deep
+                    at += 1
+            for c, deep in spans.items():
+                taken[c] = max(taken.get(c, 1), deep)
+            taken = {c: left - 1 for c, left in taken.items() if left > 1}
+            grid.append(cells)
+    widths: dict[int, int] = {}
+    for cells in grid:
+        for i, lines in cells.items():
+            widths[i] = max(widths.get(i, 0), *map(len, lines))
+    order = sorted(widths)
+    for cells in grid:
+        for n in range(max(map(len, cells.values()), default=0)):
+            line = "  ".join((cells[i][n] if i in cells and n < len(cells[i]) else "").ljust(widths[i]) for i in order).rstrip(SPACE)
             if line:
                 out.put(line)
     out.block(1)
@@ -389,6 +582,19 @@ def wrapped(child: Node | str) -> Node:
     return node
 
 
+def sheets_of(root: Node) -> list[str]:
+    """The texts of all style elements in order; those in templates and scripts' fallbacks do not count."""
+    found: list[str] = []
+    stack: list[Node] = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "style":
+            found.append("".join(c for c in node.children if isinstance(c, str)))
+        elif node.tag not in ("template", "noscript"):
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    return found
+
+
 def visible_text(html: str) -> str:
     """All visible text of a page, laid out in lines."""
     builder = TreeBuilder()
@@ -396,8 +602,8 @@ def visible_text(html: str) -> str:
     if _CUT_TAG.match(builder.rawdata):  # the page ends inside a tag
         builder.rawdata = ""
     builder.close()
-    out = Writer()
-    write(builder.root, out)
+    out = Writer(Styles(sheets_of(builder.root)))
+    run(write(builder.root, out))
     return out.done()
 
 
@@ -407,7 +613,9 @@ def extract(pages: DataFrame) -> DataFrame:
     Defined results: a null page has a null text and no lines; an empty page,
     or one without visible text, an empty text and no lines; repeated rows are
     rendered alike; other columns are not looked at. Broken mark-up never fails:
-    what a browser would show as text is text.
+    what a browser would show as text is text, however deep it is nested. Of style
+    sheets, rules whose selector is a type with ids and classes decide what is
+    shown; rules with combinators or inside at-rules are not looked at.
     """
     small_batches(pages.sparkSession)
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType())])

@@ -153,21 +153,37 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), F.col("text"))})
 
 
-def contexts(found: DataFrame, held: DataFrame | None = None, least_texts: int = LEAST_TEXTS) -> DataFrame:
-    """``k1, k2, entity, term``: every word of each distinct text that holds an entity, wherever it stands.
+def often_held(held: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
+    """``entity, n_e``: the entities in enough distinct texts for a term to meet them often enough."""
+    return held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= least_texts)
+
+
+def most_texts(n: Column, n_e: Column, share: float) -> Column:
+    """In how many texts a term may stand at most to give away ``share`` of an entity.
+
+    It meets the entity in ``n_e`` texts at most, so ``log(n / n_t)`` has to reach
+    ``share * log(n / n_e)``. A little more, since logarithms are rounded.
+    """
+    return F.exp((F.log(n) * (1 - share) + F.log(n_e) * share) * (1 + 1e-12)) + 1e-6
+
+
+def contexts(found: DataFrame, held: DataFrame, often: DataFrame, words_in: DataFrame) -> DataFrame:
+    """``k1, k2, entity, n_e, term, n_t``: words of each distinct text that holds an entity, wherever they stand.
 
     Exact copies of a text are one: copying a document teaches nothing new
-    about what a word gives away. Entities in fewer than ``least_texts`` texts
-    are left out: no term can meet them often enough.
+    about what a word gives away. Only entities of ``often(entity, n_e, most)`` and words
+    of ``words_in(term, n_t)`` with ``n_t`` up to the entity's ``most`` are paired; no
+    other pair can reach the threshold.
     """
-    held = holders(found) if held is None else held
-    often = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= least_texts)
-    by_text = held.join(often, "entity", "left_semi").groupBy("k1", "k2").agg(F.collect_list("entity").alias("entities"))
+    by_text = held.join(often, "entity").groupBy("k1", "k2").agg(
+        F.max("most").alias("most"), F.collect_list(F.struct("entity", "n_e", F.col("most").alias("upto"))).alias("entities"))
     words = words_of(found.filter(F.size("spans") > 0))
     hit = may_contain(words, key_filter(by_text.select(F.col("k1").alias("k"))), "k1", "hit").filter("hit")
     once = hit.groupBy("k1", "k2").agg(F.first("words").alias("words"))
-    each = once.join(by_text, ["k1", "k2"]).select("k1", "k2", "words", F.explode("entities").alias("entity"))
-    return each.select("k1", "k2", "entity", F.explode("words").alias("term"))
+    terms = once.select("k1", "k2", F.explode("words").alias("term")).join(words_in, "term")
+    met = terms.join(by_text, ["k1", "k2"]).filter(F.col("n_t") <= F.col("most"))
+    each = met.select("k1", "k2", "term", "n_t", F.explode("entities").alias("e"))
+    return each.filter(F.col("n_t") <= F.col("e.upto")).select("k1", "k2", "e.entity", "e.n_e", "term", "n_t")
 
 
 def texts_with(scanned: DataFrame, found: DataFrame) -> DataFrame:
@@ -183,24 +199,29 @@ def texts_with(scanned: DataFrame, found: DataFrame) -> DataFrame:
     return every.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
-def disclosures(docs: DataFrame, met: DataFrame, generalise_at: float = GENERALISE_AT, least_texts: int = LEAST_TEXTS,
-                found: DataFrame | None = None) -> DataFrame:
+def disclosures(docs: DataFrame, generalise_at: float = GENERALISE_AT, least_texts: int = LEAST_TEXTS,
+                found: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
     """``entity, term, share``: the part of an entity's information that a term gives away.
 
     With ``n`` texts, an entity in ``n_e`` of them, a term in ``n_t`` and both together
     in ``n_et``, the term reveals ``log(n * n_et / (n_e * n_t))`` of the entity's
     ``log(n / n_e)``. All counts are of distinct whole texts over the whole corpus, a
     term counting where it touches no base span; only terms that met one entity
-    in ``least_texts`` of them are counted there.
+    in ``least_texts`` of them are counted there. Words in fewer texts than that,
+    or in more than any entity's bound, never meet an entity at all.
     """
     scanned = base_spans(docs)
     found = scanned if found is None else found
-    pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
-    pairs = save(pairs.filter(F.col("n_et") >= least_texts), "pii-pairs")
-    entities = met.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    counts = texts_with(scanned, found).join(pairs.select("term").distinct(), "term", "left_semi")
+    held = holders(found) if held is None else held
     total = found.select("k1", "k2").distinct().agg(F.count(F.lit(1)).alias("n"))
-    told = pairs.join(entities, "entity").join(counts, "term").crossJoin(F.broadcast(total))
+    often = often_held(held, least_texts).crossJoin(F.broadcast(total))
+    often = save(often.withColumn("most", most_texts(F.col("n"), F.col("n_e"), generalise_at)), "pii-entities")
+    widest = often.agg(F.max("most").alias("widest"))  # one row
+    words_in = texts_with(scanned, found).filter(F.col("n_t") >= least_texts)
+    words_in = save(words_in.crossJoin(F.broadcast(widest)).filter(F.col("n_t") <= F.col("widest")).select("term", "n_t"), "pii-words")
+    met = contexts(scanned, held, often.select("entity", "n_e", "most"), words_in)
+    pairs = met.groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= least_texts)
+    told = pairs.crossJoin(F.broadcast(total))
     share = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))
     return told.withColumn("share", F.when(F.col("n") > F.col("n_e"), share).otherwise(F.lit(0.0))).filter(
         F.col("share") >= generalise_at).select("entity", "term", "share")
@@ -228,7 +249,7 @@ def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, least_texts: int
     scanned = base_spans(docs)
     found = save(scanned.select("doc_id", "k1", "k2", "spans"), "pii-base")
     held = save(holders(found), "pii-holders")
-    told = save(disclosures(docs, contexts(scanned, held, least_texts), generalise_at, least_texts, found), "pii-told")
+    told = save(disclosures(docs, generalise_at, least_texts, found, held), "pii-told")
     marks = save(held.join(told, "entity").groupBy("k1", "k2", "term").agg(F.max("share").alias("share")), "pii-marks")
     marks = occurrences(docs, marks)
     added = save(marks.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "word", "share"))).alias("added")), "pii-added")
@@ -238,21 +259,24 @@ def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, least_texts: int
 
 
 def rewritten(docs: DataFrame, found: DataFrame, remove_at: float = REMOVE_AT) -> DataFrame:
-    """``doc_id, sanitised``: the texts with the spans of ``find`` replaced.
+    """``doc_id, k1, k2, sanitised``: the texts with the spans of ``find`` replaced.
 
     Base spans become their kind in brackets. A term that gives away ``remove_at``
     of an entity's information or more is removed; the others become ``[NAME]`` or
     ``[WORD]`` by their first letter. Of overlapping spans the first is replaced
     and the rest of the others goes with it.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), F.col("text"))})
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
     terms = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] >= remove_at, F.lit(""))
                                                     .when(F.substring(s["word"], 1, 1) != F.lower(F.substring(s["word"], 1, 1)), F.lit("[NAME]")).otherwise(F.lit("[WORD]")).alias("by")))
     by_text = found.select("k1", "k2", F.array_sort(F.concat(base, terms)).alias("cuts")).filter(F.size("cuts") > 0).dropDuplicates(["k1", "k2"])
-    joined = texts.join(by_text, ["k1", "k2"], "left")
+    by_text = save(by_text, "pii-cuts")
+    # Texts without a span stay where they are.
+    split = may_contain(keyed(docs), key_filter(by_text.select(F.col("k1").alias("k"))), "k1", "hit")
+    joined = split.filter("hit").drop("hit").join(by_text, ["k1", "k2"], "left")
     before = lambda i: F.when(i > 0, F.array_max(F.transform(F.slice("cuts", F.lit(1), i), lambda c: c["end"]))).otherwise(F.lit(0))
     piece = lambda c, i: F.when(c["start"] >= before(i), F.concat(F.substring("text", before(i) + 1, c["start"] - before(i)), c["by"])).otherwise(F.lit(""))
     rest = F.substring(F.col("text"), F.array_max(F.transform("cuts", lambda c: c["end"])) + 1, F.length("text"))
-    return joined.select("doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(
+    cut = joined.select("doc_id", "k1", "k2", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(
         F.concat(F.array_join(F.transform("cuts", piece), ""), rest)).alias("sanitised"))
+    return cut.unionByName(split.filter("not hit").select("doc_id", "k1", "k2", F.col("text").alias("sanitised")))

@@ -26,18 +26,22 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents"))
+    """Spans of every text, and the digest of the text with its spans generalised or removed."""
+    docs = table(spark, sf_dir, "documents")
+    found = save(pii.find(docs), "pii-found")
+    clean = pii.rewritten(docs, found).groupBy("k1", "k2").agg(F.first(F.sha2("sanitised", 256)).alias("sanitised_sha256"))
     place = lambda kind, s: F.concat(kind, F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))
     base = F.transform("spans", lambda s: place(s["kind"], s))
     terms = F.transform("added", lambda s: place(F.lit(pii.TERM), s))
     counts = [pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-                        F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("added").cast("long").alias("n_terms"))
+    return found.join(clean, ["k1", "k2"]).select(
+        "doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("added").cast("long").alias("n_terms"), "sanitised_sha256")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return minhash.near_duplicates(docs, width=2).drop("h")
+    return minhash.near_duplicates(docs, width=2).drop("h", "keeper")
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,10 +119,10 @@ ORACLES: dict[str, str] = {
             SELECT i + 1, CASE WHEN pow(least, (lo + hi) / 2 - 1) > 2.0 THEN (lo + hi) / 2 ELSE lo END,
                    CASE WHEN pow(least, (lo + hi) / 2 - 1) > 2.0 THEN hi ELSE (lo + hi) / 2 END
             FROM b, ends WHERE i < 60),
-        x AS (SELECT round(hi, 6) AS e FROM b WHERE i = 60),
+        x AS (SELECT ceil(hi * 1000000 - 0.001) / 1000000 AS e FROM b WHERE i = 60),
         w AS (SELECT source, tokens, pow(tokens, e) AS p, tokens / pow(tokens, e) AS r FROM s, x WHERE tokens > 0),
         t AS (SELECT sum(p) AS whole, sum(p) * max(r) AS budget FROM w),
-        q AS (SELECT source, tokens, CAST(round(p / whole * budget) AS BIGINT) AS quota FROM w, t),
+        q AS (SELECT source, tokens, least(CAST(round(p / whole * budget) AS BIGINT), CAST(floor(2.0 * tokens) AS BIGINT)) AS quota FROM w, t),
         plan AS (
             SELECT s.source, coalesce(quota // q.tokens, 1) AS epochs, coalesce(quota % q.tokens, 0) AS rest
             FROM s LEFT JOIN q ON s.source IS NOT DISTINCT FROM q.source),

@@ -29,13 +29,13 @@ def mixture(rows, max_repeats):
         mid = (low + high) / 2
         over = max((n / max(live.values())) ** (mid - 1) for n in live.values()) > max_repeats
         low, high = (mid, high) if over else (low, mid)
-    exponent = round(high, 6)
+    exponent = math.ceil(high * 1e6 - 1e-3) / 1e6
     whole = sum(n ** exponent for n in live.values())
     budget = whole * max(n / n ** exponent for n in live.values())
     copies = Counter()
     for source, ids in members.items():
         n = tokens[source]
-        quota = round(n ** exponent / whole * budget) if n else 0
+        quota = min(round(n ** exponent / whole * budget), math.floor(n * max_repeats)) if n else 0
         epochs, rest = divmod(quota, n) if n else (1, 0)
         for i in ids:
             copies[i] += epochs
@@ -62,6 +62,28 @@ def test_mixture_matches_a_walk_through_the_blocks(spark, repeats):
     assert again.columns == docs.columns and Counter(r.doc_id for r in again.collect()) == got
 
 
+def test_no_document_is_shown_more_often_than_the_limit(spark):
+    rng = np.random.default_rng(4)
+    for limit in (1.5, 2.0, 3.0):
+        for _ in range(3):
+            sizes = [int(10 ** x) for x in rng.uniform(0.5, 3, 3)]
+            docs = spark.createDataFrame([(i * 10_000 + j, f"s{i}", "w") for i, n in enumerate(sizes) for j in range(n)], "doc_id long, source string, text string")
+            plan = mixing.plan(docs.withColumn("n_tokens", F.lit(1).cast("long")), F.col("n_tokens"), max_repeats=limit).collect()
+            assert all(r.epochs * r.tokens + r.rest <= limit * r.tokens for r in plan)
+            copies = Counter(r.doc_id for r in mixing.mix(docs, max_repeats=limit, keep_text=False).collect())
+            assert len(copies) == sum(sizes) and max(copies.values()) <= math.ceil(limit)
+
+
+def test_limits_of_large_sources_hold(spark):
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        rows = [(f"s{i}", int(10 ** x), 1) for i, x in enumerate(rng.uniform(6, 11, 3))]
+        sources = spark.createDataFrame(rows, "source string, tokens long, docs long")
+        exponent = mixing.fit_exponent(sources, max_repeats=2.0)
+        big = max(n for _, n, _ in rows)
+        assert all((n / big) ** (exponent - 1) <= 2.0 + 1e-9 for _, n, _ in rows)
+
+
 def test_exponent_meets_an_entropy(spark):
     sources = spark.createDataFrame([("a", 9000), ("b", 900), ("c", 100), (None, 0)], "source string, tokens long")
     exponent = mixing.fit_exponent(sources, entropy=1.0)
@@ -170,3 +192,27 @@ def test_pipeline_of_odd_and_empty_tables(spark):
             docs = stage(spark, docs, SMALL)
             assert docs.columns == columns, name
         corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count()
+
+
+def test_pipeline_keeps_mixed_and_unlabelled_documents(spark):
+    steps = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
+    long_ = {}
+    for r in docs.filter("length(text) > 2000 and lang is not null").orderBy("doc_id").collect():
+        long_.setdefault(r.lang, r.text[:1500])
+    mixed = spark.createDataFrame([(900_001, " ".join(long_.values()), None, "s", 1)], docs.schema)
+    kept = steps["language"](spark, docs.unionByName(mixed), SMALL)
+    assert len(long_) >= 3 and kept.filter("doc_id = 900001").count() == 1
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    letters = unlabelled.filter(F.col("text").rlike(r"\p{L}"))
+    assert sorted(r.doc_id for r in steps["language"](spark, unlabelled, SMALL).collect()) == sorted(r.doc_id for r in letters.collect())
+
+
+def test_near_copies_with_null_and_shared_ids_leave_one(spark):
+    body = " ".join(f"word{i}" for i in range(120))
+    other = " ".join(f"term{i}" for i in range(120))
+    rows = [(7, body), (7, body + " more"), (None, other), (None, other + " end"), (None, other + " last words"), (3, "alone here"), (3, "apart from it"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, SMALL).collect()]
+    assert len(kept) == 5 and sum(i == 7 for i, _ in kept) == 1 and sum(t is not None and t.startswith(other) for _, t in kept) == 1
+    assert {(3, "alone here"), (3, "apart from it"), (None, None)} <= set(kept)

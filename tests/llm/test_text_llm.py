@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -62,9 +63,12 @@ def test_terms_that_give_an_entity_away(spark):
 
 def test_shares_match_brute_force(spark):
     texts = revealing() + ["mail bob@y.org about Quimby", "other bob@y.org Quimby thing", "Quimby alone here"]
+    texts += [f"10.0.0.{i} anna@x.org" for i in range(20)]  # bare values: texts that hold an entity and no word
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    met = pii.contexts(pii.base_spans(docs)).cache()
-    got = {(r.entity, r.term): r.share for r in pii.disclosures(docs, met, generalise_at=-99.0).collect()}
+    every = {(r.entity, r.term): r.share for r in pii.disclosures(docs, generalise_at=-99.0).collect()}
+    got = dict(every)
+    for least in (0.1, 0.5, 0.8):  # the bound before pairing loses nothing
+        assert {(r.entity, r.term): r.share for r in pii.disclosures(docs, generalise_at=least).collect()} == {k: v for k, v in every.items() if v >= least}
     distinct = sorted(set(texts))
     words = {t: set(re.findall(r"(?<!\w)[^\W\d_]{4,}(?!\w)", t.lower())) for t in distinct}
     for entity, mark in (("email:anna@x.org", "anna@x.org"), ("email:bob@y.org", "bob@y.org")):
@@ -77,6 +81,15 @@ def test_shares_match_brute_force(spark):
                 assert got[(entity, term)] == pytest.approx(share)
 
 
+def test_bare_values_count_for_their_entity(spark):
+    texts = [f"192.168.1.9 {'x' * (i + 4)}" for i in range(3)] + ["192.168.1.9 zorblatt here", "192.168.1.9 there zorblatt", "zorblatt alone", "zorblatt again"]
+    texts += [f"{i} 192.168.1.9" for i in range(50)] + [f"words of text {'ab' * i}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    share = {r.term: r.share for r in pii.disclosures(docs, generalise_at=-99.0).collect()}["zorblatt"]
+    n, n_e, n_t, both = len(set(texts)), 55, 4, 2
+    assert share == pytest.approx(np.log(n * both / (n_e * n_t)) / np.log(n / n_e)) and share < 0.8
+
+
 def test_personal_data_of_odd_rows(spark):
     assert pii.find(odd(spark)).count() == len(TEXTS)
     assert pii.find(odd(spark, empty=True)).count() == 0
@@ -267,3 +280,57 @@ SHOWN = {
 @pytest.mark.parametrize("html", list(SHOWN))
 def test_formulas_drawings_and_forms_are_shown(html):
     assert pages.visible_text(html) == SHOWN[html]
+
+
+DEEP = "<div>" * 10_000
+
+
+@pytest.mark.parametrize("html,text", [
+    (DEEP + "<script>var secret=1</script><p style='display:none'>HIDDEN</p>shown", "shown"),
+    (DEEP + "<style>.a{}</style><span hidden>no</span><b>one</b> two", "one two"),
+    ("<b><p>" * 5_000 + "x", "x"), ("<table><tr><td>" * 1_000 + "x", "x"), ("<svg><g>" * 3_000 + "<text>x", "x"),
+    ("<select><optgroup>" * 1_000 + "<option>x", "x"), ("<blockquote>" * 3_000 + "x", " " * 240 + "x"),
+])
+def test_pages_nested_without_end(html, text):
+    assert pages.visible_text(html) == text
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<table><tr><td rowspan=2>A<td>B<td>C<tr><td>D<td>E</table>", "A  B  C\n   D  E"),
+    ("<table><tr><td>A<td rowspan=0>B<tr><td>C<tr><td>D<td>E</table>", "A  B\nC\nD     E"),
+    ("<table><tbody><tr><td rowspan=9>A<td>B<tbody><tr><td>C<td>D</table>", "A  B\nC  D"),
+    ("<style>.x{display:none} p#a.b, #q{visibility:hidden}</style><p class='y x'>no<p id=a class='c b'>no<b style='visibility:visible'>shown</b>", "shown"),
+    ("<style>@media print{p{display:none}} /* b{display:none} */ i{display:none}</style><p>one<b>two</b><i>no</i>", "onetwo"),
+    ("<style>p{display:none}.s{display:block}</style><p>no<p class=s>yes<p style='display:inline'>yes", "yes\n\nyes"),
+    ("<style>p{display:none!important}</style><p style='display:block'>no<div>yes", "yes"),
+    ("<p style='display:nonexistent'>a<p style='--x: display:none'>b<p style='color:red;DISPLAY : none'>no", "a\n\nb"),
+    ("<div style='visibility:hidden'>no<ul><li>no<li style='visibility:visible'>yes</ul>no</div>", "- yes"),
+    ("<p hidden>no<p hidden style='display:block'>yes", "yes"), ("a   b", "a   b"),
+    ("<div style='white-space:pre'>x  y\n z</div>", "x  y\n z"), ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"),
+    ("<ol start=-1><li>a<li value=7>b<li>c</ol>", "-1. a\n7. b\n8. c"), ("<details><summary>S</summary>no</details><details open><summary>T</summary>yes</details>", "S\nT\nyes"),
+])
+def test_pages_as_a_browser_shows_them(html, text):
+    assert pages.visible_text(html) == text
+
+
+def test_spanning_cells_stand_in_their_columns():
+    rng = random.Random(6)
+    for _ in range(200):
+        rows = [[(rng.randrange(1, 4), rng.randrange(1, 4)) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 6))]
+        filled, place, n = set(), {}, 0
+        html = "<table>"
+        for r, cells in enumerate(rows):
+            html += "<tr>"
+            c = 0
+            for wide, deep in cells:
+                while (r, c) in filled:
+                    c += 1
+                place[f"w{n}"] = r, c
+                filled |= {(r + i, c + k) for i in range(deep) for k in range(wide)}
+                html += f"<td colspan={wide} rowspan={deep}>w{n}"
+                c, n = c + wide, n + 1
+        lines = pages.visible_text(html).split("\n")
+        columns = sorted({c for _, c in place.values()})
+        widths = {c: max(len(w) for w, (_, x) in place.items() if x == c) for c in columns}
+        want = ["  ".join(next((w for w, at in place.items() if at == (r, c)), "").ljust(widths[c]) for c in columns).rstrip() for r in range(len(rows))]
+        assert lines == [line for line in want if line]
