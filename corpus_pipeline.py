@@ -10,12 +10,15 @@ from pactframe.llm.common import save
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the network knows: not ``und``, and scored at least ``langid.MIN_SCORE``.
+    """Documents whose windows are, on average, surely enough in some language the network knows.
 
-    The network learns from the labelled training folds of ``docs``. Null, empty
-    and letterless texts go; columns stay as they are.
+    The network learns from the labelled training folds of ``docs``. A text in
+    several of its languages stays. Where nothing is labelled no language can be
+    ruled out, and all texts with a letter stay. Null, empty and letterless texts
+    go; columns stay as they are.
     """
-    found = langid.predict(docs, langid.fit(docs)).filter((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < langid.MIN_SCORE))
+    net = langid.fit(docs)
+    found = langid.predict(docs, net).filter(F.col("confidence") < langid.least_confidence(net))
     gone = save(found.select("doc_id", "text_hash").distinct(), "rejected")
     return exact.drop_documents(docs, gone, F.xxhash64(F.coalesce("text", F.lit(""))))
 
@@ -26,9 +29,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word shingle similarity of 0.8 or more."""
+    """One document of each group linked by a five-word shingle similarity of 0.8 or more, whatever its ids."""
     found = minhash.near_duplicates(docs, width=5)
-    return exact.drop_documents(docs, found.filter("not kept").select("doc_id", F.col("h").alias("text_hash")),
+    return exact.drop_documents(docs, found.filter("not keeper").select("doc_id", F.col("h").alias("text_hash")),
                                 F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
