@@ -122,10 +122,11 @@ def find_quotes(quotes: DataFrame, passages: DataFrame) -> DataFrame:
     """
     q = quotes.select("quote_id", tx.normal_quote(F.col("quote")).alias("needle")).where("needle != ''")
     normal = passages.select("passage_id", tx.normal_quote(F.col("passage")).alias("hay")).where("hay IS NOT NULL")
-    keyed = normal.select("passage_id", F.sha2("hay", 256).alias("text_id"), "hay")
-    members = materialize(keyed.select("passage_id", "text_id"), "passage-texts")
+    # The normal form is costly: worked out once, and each distinct text written once for the steps below.
+    keyed = materialize(normal.select("passage_id", F.sha2("hay", 256).alias("text_id"), "hay"), "normal-passages")
+    members = keyed.select("passage_id", "text_id")
     first = members.groupBy("text_id").agg(F.min("passage_id").alias("passage_id"))
-    p = keyed.join(first, ["passage_id", "text_id"]).dropDuplicates(["text_id"]).select("text_id", "hay")
+    p = materialize(keyed.join(first, ["passage_id", "text_id"], "left_semi").select("text_id", "hay"), "passages")
     asked = q.select("needle").distinct().withColumn("words", F.split("needle", " "))
     n = F.size("words")
 
@@ -137,7 +138,7 @@ def find_quotes(quotes: DataFrame, passages: DataFrame) -> DataFrame:
     rarest = _rarest_word(asked.where((n > 1) & (n < GRAM + 2)), vocabulary)
     maybe = rarest.join(tokens, "token").select("needle", "text_id").distinct()
     maybe = maybe.unionByName(_rarest_run(asked.where(n >= GRAM + 2), p))
-    sure = maybe.join(p, "text_id").where(F.contains("hay", "needle")).select("needle", "text_id")
+    sure = maybe.join(p, "text_id").where(F.contains("hay", "needle")).select("needle", "text_id").distinct()
     return exact.unionByName(sure).join(q, "needle").join(members, "text_id").select("quote_id", "passage_id")
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import retrieval as rt
 from .ranks import top_k
 
@@ -98,7 +99,8 @@ class Search:
        chunk into the answer by themselves. Only the others' blocks are read, and
        of these only blocks that can reach the bound with all other terms added.
        Chunks whose partial score and the left-out terms' greatest scores stay
-       below the bound go; the rest look the left-out terms up by chunk.
+       below the bound go. The k-th partial score of the others is a better
+       bound; what still reaches that looks the left-out terms up by chunk.
 
     Phrases of several words are worked out whole first and count as terms that
     are always read. The answer is exact.
@@ -118,8 +120,10 @@ class Search:
         down = Window.partitionBy("query_id").orderBy(F.desc("most"), "term")
         up = Window.partitionBy("query_id").orderBy("most", F.desc("term"))
         seen = F.coalesce(F.sum("df").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        self.terms = terms.withColumns({"seen": seen, "below": F.sum("most").over(up), "all": F.sum("most").over(Window.partitionBy("query_id"))})
-        self.phrases = self._phrases(asked.where(F.size("words") > 1))
+        ordered = terms.withColumns({"seen": seen, "below": F.sum("most").over(up), "all": F.sum("most").over(Window.partitionBy("query_id"))})
+        # Both are read by every phase: a row per word of a question, and the hits of whole phrases.
+        self.terms = materialize(ordered, "asked-terms")
+        self.phrases = materialize(self._phrases(asked.where(F.size("words") > 1)), "phrase-hits")
 
     def _phrases(self, asked: DataFrame) -> DataFrame:
         """``query_id, chunk_id, part``: scores of the phrases of several words."""
@@ -168,12 +172,23 @@ class Search:
         bound = terms.groupBy("query_id").agg(F.max("bound").alias("bound"))
         kept = rows.join(rest, "query_id", "left").join(bound, "query_id", "left").where(
             F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("bound", F.lit(0.0)))
-        return kept.select("query_id", "chunk_id", "part"), terms.where(~read).select("query_id", "term", "factor")
+        rest = F.coalesce("rest", F.lit(0.0)).alias("rest")
+        return kept.select("query_id", "chunk_id", "part", rest), terms.where(~read).select("query_id", "term", "factor")
+
+    def finalists(self) -> tuple[DataFrame, DataFrame]:
+        """Of the candidates, those that still reach the bound which their own partial scores set."""
+        kept, left_out = self.candidates()
+        kept = materialize(kept, "candidates")
+        best = top_k(kept, ["query_id"], [F.desc("part"), F.asc("chunk_id")], self.k)
+        bound = best.where(F.col("rank") == self.k).select("query_id", (F.col("part") - SLACK).alias("bound"))
+        final = kept.join(bound, "query_id", "left").where(F.col("bound").isNull() | (F.col("part") + F.col("rest") >= F.col("bound")))
+        return materialize(final.select("query_id", "chunk_id", "part"), "finalists"), left_out
 
     def answer(self) -> DataFrame:
         """``query_id, chunk_id, score, rank``."""
-        kept, left_out = self.candidates()
-        each = self.index.table("blocks").select("term", F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("p")).select(
+        kept, left_out = self.finalists()
+        looked_up = self.index.table("blocks").join(left_out.select("term").distinct(), "term", "left_semi")
+        each = looked_up.select("term", F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("p")).select(
             "term", F.col("p.ids").alias("chunk_id"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("len"))
         found = kept.select("query_id", "chunk_id").join(left_out, "query_id").join(each, ["chunk_id", "term"]).join(F.broadcast(self.stats))
         more = found.select("query_id", "chunk_id", (F.col("factor") * gain(F.col("tf"), F.col("len"), self.avg)).alias("part"))
