@@ -10,12 +10,13 @@ The few sequential folds see the sections or the lines of one document.
 from __future__ import annotations
 
 import re
-import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions import text as tx
+from ..session import materialize
 from . import ordered
 
 # Thresholds of the layout rules.
@@ -545,80 +546,165 @@ def page_label(printed: Column, page: Column) -> Column:
     return F.coalesce(F.nullif(printed, F.lit("")), (page + 1).cast("string"))
 
 
-# -- sequential folds over the lines of one document ------------------------
+# -- lines into text ---------------------------------------------------------
 
-_HEAD = re.compile(r"([A-Za-z0-9]+)-$")
-_TAIL = re.compile(r"([A-Za-z0-9]+)")
-_LAST = re.compile(r"([A-Za-z]+)$")
-_FIRST = re.compile(r"^([A-Za-z]+)")
+_WHOLE_RUN = re.compile(r"[A-Za-z0-9]+-?")
+_END_RUN = re.compile(r"[A-Za-z0-9]+(?=-?\Z)")
 _DOTS = re.compile(DOT_LEADER)
+#: How two lines meet: one word, a compound, one word without a hyphen between, or two words.
+_MERGED, _COMPOUND, _GLUED = "m", "k", "g"
+
 
+class _Ends:
+    """The runs of letters and digits that the text of a block may end in so far.
 
-def weld(text: str, nxt: str, count: dict, compounds: dict, merges: bool) -> str:
-    """Two lines as one, the break settled by the document's own words."""
-    head, tail = _HEAD.search(text), _TAIL.match(nxt)
-    if head and tail:
-        left, right = head[1], tail[1]
-        whole = count.get((left + right).lower(), 0)
-        attested = compounds.get(f"{left}-{right}".lower(), 0)
-        keep = (attested and not whole) or left[-1].isdigit() != right[0].isdigit() or not (whole or merges)
-        return text[: head.start()] + (f"{left}-{right}" if keep else left + right) + nxt[tail.end():]
-    last, first = _LAST.search(text), _FIRST.match(nxt)
-    if last and first:
-        longer = last[1] if len(last[1]) >= len(first[1]) else first[1]
-        if count.get((last[1] + first[1]).lower(), 0) > count.get(longer.lower(), 0):
-            return text + nxt
-    return f"{text} {nxt}"
+    A line of more than one run decides its end alone. A line that is a single
+    run may have been joined to what stood before, so all joins are possible ends.
+    """
+
+    def __init__(self) -> None:
+        self.runs: list[str] = []
+        self.hyphen = False
 
+    def before(self, line: str, longest: int) -> tuple[list[str], bool]:
+        found = self.runs, self.hyphen
+        own = end_run(line)
+        longer = [r + own for r in self.runs if len(r) + len(own) <= longest] if own and _WHOLE_RUN.fullmatch(line) else []
+        self.runs, self.hyphen = ([own, *longer] if own else []), line.endswith("-")
+        return found
 
-def by_document(df: DataFrame) -> DataFrame:
-    """Spread documents over a fixed number of partitions, for Python folds that
-    cost far more per byte than the adaptive merge of small partitions assumes."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "doc_id")
 
+def end_run(line: str) -> str:
+    found = _END_RUN.search(line)
+    return found[0] if found else ""
 
-def _words_of(words: pd.DataFrame) -> tuple[dict, dict]:
-    keys = words["word"].tolist()
-    return dict(zip(keys, words["n"].tolist())), dict(zip(keys, words["hyphenated"].tolist()))
 
+class _Text:
+    """The end of the text built so far."""
 
-def _squeeze(text: str) -> str:
-    return " ".join(text.split())
+    def __init__(self) -> None:
+        self.run = ""
+
+    def join(self, line: str, verdicts: list[tuple[str, str]] | None) -> str | None:
+        """How ``line`` meets the text, None for a space; the text then ends as the line does."""
+        told = dict(verdicts or ())
+        how = told.get(self.run) or (told.get("-0" if self.run[-1].isdigit() else "-a") if self.run else None)
+        own = end_run(line)
+        self.run = self.run + own if how in (_MERGED, _GLUED) and _WHOLE_RUN.fullmatch(line) else own
+        return how
+
+
+def line_verdicts(lines: DataFrame, vocab: DataFrame, keys: list[str], order: list[str], line: str, merges: Column) -> DataFrame:
+    """``lines`` with ``how``: for each run the text before may end in, how the line meets it (-0 and -a: any other
+    run ending in a digit or a letter).
+
+    A hyphen at the break is kept where the document writes the compound and not
+    the word, between a digit and a letter, or where neither the word nor the
+    document's habit speaks for merging. Without a hyphen two halves are one word
+    where the document has that word more often than the longer half. Each word
+    asked for is one look-up in the document's vocabulary, an equi-join.
+    """
+    longest = vocab.groupBy("doc_id").agg(F.max(F.char_length("word")).alias("_longest"))
+    given = lines.join(longest, "doc_id", "left").withColumn("_longest", F.coalesce("_longest", F.lit(0)))
+    ends = ordered.stepwise(given, keys, order, [line, "_longest"], _Ends, _Ends.before, {"_ends": "array<string>", "_hyphen": "boolean"})
+    ends = materialize(ends.drop("_longest").withColumn("_row", F.monotonically_increasing_id()), "line-ends")
+
+    left, right = F.col("left"), F.regexp_extract(line, "^[A-Za-z0-9]+", 0)
+    tail, head = F.regexp_extract("left", "[A-Za-z]+$", 0), F.regexp_extract(line, "^[A-Za-z]+", 0)
+    breaks = ends.select("_row", "doc_id", line, merges.alias("merges"), "_hyphen", F.explode("_ends").alias("left"))
+    asked = breaks.select("_row", "doc_id", "left", "merges", "_hyphen", right.alias("right"), tail.alias("tail"), head.alias("head")).where(
+        F.when(F.col("_hyphen"), F.col("right") != "").otherwise((F.col("tail") != "") & (F.col("head") != "")))
+    longer = F.when(F.char_length("tail") >= F.char_length("head"), F.col("tail")).otherwise(F.col("head"))
+    word = lambda role, w: F.struct(F.lit(role).alias("role"), F.lower(w).alias("word"))
+    words = F.when(F.col("_hyphen"), F.array(word("word", F.concat("left", "right")), word("compound", F.concat(left, F.lit("-"), F.col("right"))))).otherwise(
+        F.array(word("word", F.concat("tail", "head")), word("half", longer)))
+    known = vocab.select("doc_id", "word", "n", "hyphenated")
+    counted = asked.withColumn("w", F.explode(words)).select("*", "w.role", "w.word").drop("w").join(known, ["doc_id", "word"], "left")
+    of = lambda role, column: F.coalesce(F.max(F.when(F.col("role") == role, F.col(column))), F.lit(0))
+    each = counted.groupBy("_row", "left", "right", "merges", "_hyphen").agg(
+        of("word", "n").alias("whole"), of("compound", "hyphenated").alias("written"), of("half", "n").alias("half"))
+    digit = lambda c: c.rlike("[0-9]")
+    mixed = digit(F.substring("left", -1, 1)) != digit(F.substring("right", 1, 1))
+    compound = ((F.col("written") > 0) & (F.col("whole") == 0)) | mixed | ((F.col("whole") == 0) & ~F.col("merges"))
+    how = F.when(F.col("_hyphen"), F.when(compound, _COMPOUND).otherwise(_MERGED)).when(F.col("whole") > F.col("half"), _GLUED)
+    told = each.withColumn("how", how).where(F.col("how").isNotNull()).groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("left", "how"))).alias("how"))
+    # A run longer than any word of the document is none of its words: its last character and the habit decide.
+    unknown = lambda digit_left: F.when((digit(F.substring(right, 1, 1)) != F.lit(digit_left)) | ~merges, _COMPOUND).otherwise(_MERGED)
+    none = F.create_map().cast("map<string,string>")
+    rest = F.when(F.col("_hyphen") & (right != ""), F.create_map(F.lit("-0"), unknown(True), F.lit("-a"), unknown(False))).otherwise(none)
+    joined = ends.join(told, "_row", "left")
+    return joined.withColumn("how", F.map_concat(F.coalesce("how", none), rest)).drop("_ends", "_hyphen", "_row")
+
+
+def joined_text(rows: DataFrame, keys: list[str], order: list[str], line: str, met: str, **more: Column) -> DataFrame:
+    """The text of each key from its lines and how each one meets the text before; ``more`` are further aggregates."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    body = F.when(F.lead(met).over(w) == _MERGED, F.regexp_replace(line, "-$", "")).otherwise(F.col(line))
+    gap = F.when((F.row_number().over(w) == 1) | F.col(met).isNotNull(), "").otherwise(" ")
+    pieces = rows.withColumns({"_piece": F.concat(gap, body), "_at": F.struct(*order)})
+    return pieces.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_piece"))), lambda p: p["_piece"]), "").alias("text"),
+        F.count(F.lit(1)).alias("_lines"), *[c.alias(n) for n, c in more.items()])
 
 
 def join_lines(lines: DataFrame, vocab: DataFrame, habits: DataFrame) -> DataFrame:
     """Paragraph text per (doc_id, block) from its lines.
 
-    Each break needs the text built so far, so one document is folded in order;
-    a group is the lines of that document beside its words.
+    What each break can be is worked out from the neighbouring lines and the
+    vocabulary; one pass in order then only follows which end the text really has.
     """
     rows = lines.join(habits.select("doc_id", F.col("breaks_hyphenate").alias("merges")), "doc_id", "left").select(
         "doc_id", "block", "line_no", tx.collapse(F.col("line")).alias("line"), F.coalesce("merges", F.lit(False)).alias("merges"))
+    keys = ["doc_id", "block"]
+    told = line_verdicts(rows, vocab, keys, ["line_no"], "line", F.col("merges"))
+    met = ordered.stepwise(told, keys, ["line_no"], ["line", "how"], _Text, lambda text, line, how: (text.join(line, how),), {"met": "string"})
+    return joined_text(met, keys, ["line_no"], "line", "met").select("doc_id", "block", tx.collapse(F.col("text")).alias("text"))
 
-    def fold(body: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        count, compounds = _words_of(words)
-        text: dict[int, str] = {}
-        for line_no, block, line, merges in sorted(zip(body["line_no"], body["block"], body["line"], body["merges"])):
-            text[block] = weld(text[block], line, count, compounds, merges) if block in text else line
-        doc = body["doc_id"].iloc[0] if len(body) else 0
-        return pd.DataFrame({"doc_id": doc, "block": list(text), "text": [_squeeze(t) for t in text.values()]})
-
-    fresh = vocab.select(*[F.col(c).alias(c) for c in ("doc_id", "word", "n", "hyphenated")])
-    left, right = by_document(rows).groupBy("doc_id"), by_document(fresh).groupBy("doc_id")
-    return left.cogroup(right).applyInPandas(fold, "doc_id long, block long, text string")
 
+class _Paragraph(_Text):
+    """The paragraph that lines are being added to."""
 
-_FOLDED = ("ord", "type", "text", "page", "page_end", "x0", "y0", "x1", "y1")
+    def __init__(self) -> None:
+        super().__init__()
+        self.no, self.starts, self.full, self.dots = -1, False, False, False
+        self.size, self.tail, self.first = 0, "", None
+        self.opened, self.page, self.bottom, self.box = None, None, 0.0, True
+
+    def place(self, text: str, line: str, verdicts: list | None, page: int, y0: float, y1: float, starts: bool, follows: bool, full: bool, dots: bool) -> tuple:
+        """Whether a line goes on with the paragraph, how it meets it, and whether it is on the page the paragraph's box is on."""
+        near = page != self.opened or y0 - self.bottom <= MAX_LINE_GAP
+        goes_on = (self.no >= 0 and follows and self.starts and self.full and not (self.dots or dots) and near
+                   and self.size + len(text) <= MAX_PARAGRAPH)
+        if not goes_on:
+            self.no += 1
+            self.starts, self.full, self.dots = starts, full, dots
+            self.size, self.tail, self.run = len(text), text[-8:], end_run(text)
+            self.opened, self.page, self.bottom, self.box, self.first = page, page, y1, True, line
+            return self.no, None, True
+        how = self.join(line, verdicts)
+        if self.first is not None:  # the first line's own white space counts until it is joined
+            self.size, self.tail, self.first = len(self.first), self.first[-8:], None
+        kept = self.tail[:-1] if how == _MERGED else self.tail
+        self.size += len(line) + (how is None) - (how == _MERGED)
+        self.dots = bool(_DOTS.search(kept + ("" if how else " ") + line))
+        self.tail = (kept + ("" if how else " ") + line)[-8:]
+        self.full = full
+        if page != self.page:
+            self.page, self.box = page, False
+        elif self.box:
+            self.bottom = y1
+        return self.no, how, self.box
 
 
 def join_wrapped_lines(elements: DataFrame, profiles: DataFrame, opens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Paragraphs rebuilt from lines a layout hands out as separate blocks.
 
-    What one line alone decides (flush left, indented, full width, opens a
-    proven clause, dot leader) is worked out as columns; only the running
-    length, right edge and box are folded, one document at a time. ``opens``
-    lists (doc_id, ord) that start a clause.
+    What a line and its break decide by themselves (flush left, indented, full
+    width, opens a proven clause, dot leader, how it meets the line before) are
+    columns; one pass in order keeps the paragraph's length and last edge, and
+    paragraphs are aggregates of their lines. ``opens`` lists (doc_id, ord) that
+    start a clause.
     """
     p = profiles.select("doc_id", "body_left", "body_right", "paragraph_indent", "breaks_hyphenate")
     lead = opens.select("doc_id", "ord", F.lit(True).alias("opens"))
@@ -626,41 +712,22 @@ def join_wrapped_lines(elements: DataFrame, profiles: DataFrame, opens: DataFram
     slack = F.when(F.col("paragraph_indent") > 0, F.col("paragraph_indent") + INDENT_SLACK).otherwise(FLUSH)
     in_text = (F.col("type") == "paragraph") & (F.col("body_left") != 0)
     rows = elements.join(p, "doc_id").join(lead, ["doc_id", "ord"], "left").select(
-        "doc_id", "ord", "type", "text", "page", "x0", "y0", "x1", "y1", "breaks_hyphenate",
+        "doc_id", "ord", "type", "text", "page", "x0", "y0", "x1", "y1", "breaks_hyphenate", tx.collapse(F.col("text")).alias("line"),
         (in_text & (offset <= slack)).alias("can_start"),
         (in_text & (offset <= FLUSH) & F.col("opens").isNull()).alias("can_follow"),
         ((F.col("body_right") != 0) & (F.abs(F.col("x1") - F.col("body_right")) <= TOLERANCE)).alias("full"),
         F.col("text").rlike(DOT_LEADER).alias("dots"))
-
-    def fold(body: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        count, compounds = _words_of(words)
-        out: list[dict] = []
-        for e in sorted(body.to_dict("records"), key=lambda r: r["ord"]):
-            prev = out[-1] if out else None
-            if prev is not None and _continues(prev, e):
-                prev["text"] = _squeeze(weld(prev["text"], e["text"], count, compounds, e["breaks_hyphenate"]))
-                prev["dots"], prev["full"] = bool(_DOTS.search(prev["text"])), e["full"]
-                if e["page"] != (prev["page_end"] or prev["page"]):
-                    prev["page_end"] = e["page"]
-                elif prev["page_end"] is None:
-                    prev.update(x0=min(prev["x0"], e["x0"]), x1=max(prev["x1"], e["x1"]), y1=e["y1"])
-                continue
-            out.append({**e, "page_end": None})
-        done = pd.DataFrame({c: [r[c] for r in out] for c in _FOLDED})
-        done.insert(0, "doc_id", body["doc_id"].iloc[0] if len(body) else 0)
-        done["page_end"] = done["page_end"].astype("Int64")
-        return done
-
-    fresh = vocab.select(*[F.col(c).alias(c) for c in ("doc_id", "word", "n", "hyphenated")])
-    left, right = by_document(rows).groupBy("doc_id"), by_document(fresh).groupBy("doc_id")
-    return left.cogroup(right).applyInPandas(
-        fold, "doc_id long, ord long, type string, text string, page long, page_end long, x0 double, y0 double, x1 double, y1 double")
-
-
-def _continues(prev: dict, e: dict) -> bool:
-    """Whether a line goes on with the paragraph before it."""
-    if not (e["can_follow"] and prev["can_start"] and prev["full"]) or prev["dots"] or e["dots"]:
-        return False
-    if len(prev["text"]) + len(e["text"]) > MAX_PARAGRAPH:
-        return False
-    return e["page"] != prev["page"] or e["y0"] - prev["y1"] <= MAX_LINE_GAP
+    told = line_verdicts(rows, vocab, ["doc_id"], ["ord"], "line", F.coalesce("breaks_hyphenate", F.lit(False)))
+    placed = ordered.stepwise(
+        told, ["doc_id"], ["ord"], ["text", "line", "how", "page", "y0", "y1", "can_start", "can_follow", "full", "dots"], _Paragraph, _Paragraph.place,
+        {"_no": "int", "_met": "string", "_box": "boolean"})
+    own = F.struct("ord", "type", "text", "page", "x0", "y0", "x1", "y1")
+    in_box = lambda c: F.when(F.col("_box"), F.col(c))
+    folded = joined_text(
+        placed, ["doc_id", "_no"], ["ord"], "line", "_met", first=F.min_by(own, "ord"), last_page=F.max_by("page", "ord"),
+        left=F.min(in_box("x0")), right=F.max(in_box("x1")), bottom=F.max_by("y1", F.when(F.col("_box"), F.col("ord"))), over=F.min(F.col("_box").cast("int")))
+    one = F.col("_lines") == 1
+    return folded.select(
+        "doc_id", "first.ord", "first.type", F.when(one, F.col("first.text")).otherwise(tx.collapse(F.col("text"))).alias("text"), F.col("first.page").cast("long").alias("page"),
+        F.when(F.col("over") == 0, F.col("last_page")).cast("long").alias("page_end"),
+        F.col("left").cast("double").alias("x0"), F.col("first.y0").cast("double").alias("y0"), F.col("right").cast("double").alias("x1"), F.col("bottom").cast("double").alias("y1"))

@@ -1,5 +1,7 @@
 """Text, labels, joins of lines and layout rules on literal rows."""
 
+import itertools
+import random
 import re
 
 import pytest
@@ -106,12 +108,53 @@ def test_split_welded(spark):
 WORDS = {"building": 2, "pass": 1, "alerting": 8, "alertin": 2, "special": 5, "handling": 5, "again": 9, "gain": 9}
 
 
-@pytest.mark.parametrize("a,b,merges,want", [
+BREAKS = [
     ("the build-", "ing stands", False, "the building stands"), ("a single-", "family home", True, "a single-family home"),
     ("see GOV-", "01 here", True, "see GOV-01 here"), ("an unknown-", "word", True, "an unknownword"), ("an unknown-", "word", False, "an unknown-word"),
-    ("Monitoring/Alertin", "g", False, "Monitoring/Alerting"), ("Special", "Handling", False, "Special Handling"), ("a", "gain", False, "a gain")])
-def test_weld(a, b, merges, want):
-    assert st.weld(a, b, WORDS, {"single-family": 1}, merges) == want
+    ("Monitoring/Alertin", "g", False, "Monitoring/Alerting"), ("Special", "Handling", False, "Special Handling"), ("a", "gain", False, "a gain")]
+
+
+def vocabulary_of(spark, words, compounds, docs):
+    rows = [(d, w, words.get(w, 0), compounds.get(w, 0)) for d in docs for w in {**words, **compounds}]
+    return spark.createDataFrame(rows, "doc_id long, word string, n long, hyphenated long")
+
+
+def test_line_breaks(spark):
+    docs = range(len(BREAKS))
+    lines = spark.createDataFrame([(d, 0, k, BREAKS[d][k]) for d in docs for k in (0, 1)], "doc_id long, block long, line_no long, line string")
+    habits = spark.createDataFrame([(d, BREAKS[d][2]) for d in docs], "doc_id long, breaks_hyphenate boolean")
+    got = st.join_lines(lines, vocabulary_of(spark, WORDS, {"single-family": 1}, docs), habits)
+    assert {r.doc_id: r.text for r in got.collect()} == {d: BREAKS[d][3] for d in docs}
+
+
+def read_on(lines, words, compounds, merges):
+    """A block's text by joining one line after the other to all that stands before."""
+    text = lines[0]
+    for line in lines[1:]:
+        left, right = re.search(r"([A-Za-z0-9]+)-$", text), re.match(r"[A-Za-z0-9]+", line)
+        a, b = re.search(r"[A-Za-z]+$", text), re.match(r"[A-Za-z]+", line)
+        if left and right:
+            x, y = left[1], right[0]
+            merged = words.get((x + y).lower(), 0) > 0
+            apart = compounds.get(f"{x}-{y}".lower(), 0) > 0 and not merged or x[-1].isdigit() != y[0].isdigit() or not merged and not merges
+            text = text + line if apart else text[:-1] + line
+        elif a and b and words.get((a[0] + b[0]).lower(), 0) > words.get(max(a[0], b[0], key=len).lower(), 0):
+            text += line
+        else:
+            text = f"{text} {line}"
+    return " ".join(text.split())
+
+
+def test_chains_of_fragments_match_reading_on(spark):
+    rng = random.Random(5)
+    parts = ["ab", "cd", "e", "x1", "2", "ab-", "cd-", "e-", "x1-", "2-", "one ab-", "ab two", "e.", "-", "", "(cd", "ab-cd-", "de-ab"]
+    words = {"".join(c): rng.randrange(0, 4) for c in itertools.product(["ab", "cd", "e", "x1", "2"], repeat=2)} | {"abcde": 3, "abcd2": 2, "ab": 1, "e": 2, "cde": 4}
+    compounds = {f"{a}-{b}": 1 for a in ("ab", "cd", "e") for b in ("cd", "e", "2") if rng.random() < 0.5}
+    blocks = [(d, k, [" ".join(rng.choice(parts).split()) for _ in range(rng.randrange(1, 9))]) for d in range(2) for k in range(200)]
+    lines = spark.createDataFrame([(d, k, i, x) for d, k, b in blocks for i, x in enumerate(b)], "doc_id long, block long, line_no long, line string")
+    habits = spark.createDataFrame([(0, True), (1, False)], "doc_id long, breaks_hyphenate boolean")
+    got = {(r.doc_id, r.block): r.text for r in st.join_lines(lines, vocabulary_of(spark, words, compounds, range(2)), habits).collect()}
+    assert got == {(d, k): read_on(b, words, compounds, d == 0) for d, k, b in blocks}
 
 
 def test_chain_of_broken_words(spark):
