@@ -107,20 +107,38 @@ def p9(src):
     return st.paragraph_indent(blocks, st.column_right(blocks))
 
 
-@plan("p10_breaks_hyphenate", sql="""
-WITH b AS (SELECT doc_id, head, regexp_extract(nl, '^([A-Za-z0-9]+)', 1) AS tail FROM (SELECT doc_id, regexp_extract(line, '([A-Za-z0-9]+)-$', 1) AS head,
+HABITS = """b AS (SELECT doc_id, head, regexp_extract(nl, '^([A-Za-z0-9]+)', 1) AS tail FROM (SELECT doc_id, regexp_extract(line, '([A-Za-z0-9]+)-$', 1) AS head,
   lead(line) OVER (PARTITION BY doc_id, block ORDER BY line_no) AS nl FROM v_wrapped) WHERE head <> '' AND regexp_extract(nl, '^([A-Za-z0-9]+)', 1) <> ''),
 v AS (SELECT doc_id, word, sum(1 - h) AS n, sum(h) AS hy FROM (SELECT doc_id, unnest(regexp_extract_all(lower(line), '[A-Za-z0-9]+')) AS word, 0 AS h FROM v_wrapped
-  UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(line), '[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+')), 1 FROM v_wrapped) GROUP BY 1, 2)
-SELECT b.doc_id, count(m.word) AS merged, count(c.word) AS compound, count(m.word) > count(c.word) AS breaks_hyphenate FROM b
+  UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(line), '[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+')), 1 FROM v_wrapped) GROUP BY 1, 2)"""
+HABIT = """SELECT b.doc_id, count(m.word) AS merged, count(c.word) AS compound, count(m.word) > count(c.word) AS breaks_hyphenate FROM b
   LEFT JOIN v m ON m.doc_id = b.doc_id AND m.word = lower(head || tail) AND m.n > 0
-  LEFT JOIN v c ON c.doc_id = b.doc_id AND c.word = lower(head || '-' || tail) AND c.hy > 0 GROUP BY 1""")
+  LEFT JOIN v c ON c.doc_id = b.doc_id AND c.word = lower(head || '-' || tail) AND c.hy > 0 GROUP BY 1"""
+
+
+@plan("p10_breaks_hyphenate", sql=f"WITH {HABITS} {HABIT}")
 def p10(src):
     lines = src.view("wrapped")
     return st.breaks_hyphenate(st.line_breaks(lines, ["doc_id", "block"]), st.vocabulary(lines))
 
 
-@plan("p11_join_lines")
+# A block's text line by line, each line joined to all of the text before it.
+JOINED = rf"""WITH RECURSIVE {HABITS}, h AS ({HABIT}),
+l AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id, block ORDER BY line_no) AS i, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM v_wrapped),
+r AS (SELECT doc_id, block, i, line AS text FROM l WHERE i = 1
+ UNION ALL SELECT x.doc_id, x.block, x.i, CASE
+   WHEN lft <> '' AND rgt <> '' THEN CASE WHEN (coalesce(c.hy, 0) > 0 AND coalesce(w.n, 0) = 0) OR regexp_matches(right(lft, 1), '\d') <> regexp_matches(left(rgt, 1), '\d')
+     OR (coalesce(w.n, 0) = 0 AND NOT coalesce(h.breaks_hyphenate, false)) THEN text || line ELSE left(text, length(text) - 1) || line END
+   WHEN tl <> '' AND hd <> '' AND coalesce(g.n, 0) > coalesce(k.n, 0) THEN text || line ELSE text || ' ' || line END
+ FROM (SELECT r.doc_id, r.block, l.i, r.text, l.line, regexp_extract(r.text, '([A-Za-z0-9]+)-$', 1) AS lft, regexp_extract(l.line, '^([A-Za-z0-9]+)', 1) AS rgt,
+     regexp_extract(r.text, '([A-Za-z]+)$', 1) AS tl, regexp_extract(l.line, '^([A-Za-z]+)', 1) AS hd FROM r JOIN l ON l.doc_id = r.doc_id AND l.block = r.block AND l.i = r.i + 1) x
+ LEFT JOIN v w ON w.doc_id = x.doc_id AND w.word = lower(lft || rgt) LEFT JOIN v c ON c.doc_id = x.doc_id AND c.word = lower(lft || '-' || rgt)
+ LEFT JOIN v g ON g.doc_id = x.doc_id AND g.word = lower(tl || hd) LEFT JOIN v k ON k.doc_id = x.doc_id AND k.word = lower(CASE WHEN length(tl) >= length(hd) THEN tl ELSE hd END)
+ LEFT JOIN h ON h.doc_id = x.doc_id)
+SELECT doc_id, block, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, block ORDER BY i DESC) = 1"""
+
+
+@plan("p11_join_lines", sql=JOINED)
 def p11(src):
     lines = src.view("wrapped")
     vocab = st.vocabulary(lines)
