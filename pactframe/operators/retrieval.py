@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.stemmer import porter_stem
+from ..session import materialize
 from . import ordered
 from .neighbours import nearest
 from .ranks import top_k
@@ -71,10 +72,6 @@ def stem_phrases(asked: DataFrame) -> DataFrame:
     return asked.withColumn("_said", F.array_join("words", " ")).drop("words").join(back, "_said").drop("_said")
 
 
-def chunk_lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.size(index_words(F.col("content"))).alias("len"))
-
-
 def query_phrases(questions: DataFrame) -> DataFrame:
     """(query_id, words): each white-space token is one phrase of its words."""
     tokens = F.split(F.col("question"), f"[{tx.SPACE}]+")
@@ -108,13 +105,59 @@ def phrase_frequencies(phrases: DataFrame, post: DataFrame) -> DataFrame:
     return single.unionByName(multi)
 
 
+def _parts(phrases: DataFrame, chunks: DataFrame, stemmed: bool) -> DataFrame:
+    """(unit, off, phrase, need): what of a phrase is looked up in a chunk, and how many make it whole.
+
+    A word is its own unit, a longer phrase its pairs of neighbours: far fewer
+    places than those of its words. Stems are looked up as the words of the
+    chunks that have them, worked out once per distinct word.
+    """
+    n = F.size("words")
+    pairs = F.transform(F.slice("words", 1, n - 1), lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1)))
+    units = F.col("words") if stemmed else F.when(n == 1, F.col("words")).otherwise(pairs)
+    each = phrases.where(n > 0).select("phrase", units.alias("units")).select("phrase", F.size("units").alias("need"), F.posexplode("units").alias("off", "unit"))
+    if stemmed:
+        said = chunks.select(F.explode(index_words(F.col("content"))).alias("word")).distinct().withColumn("unit", porter_stem("word"))
+        each = said.join(each, "unit").drop("unit").withColumnRenamed("word", "unit")
+    return materialize(each, "asked-parts")
+
+
+def phrase_hits(phrases: DataFrame, chunks: DataFrame, *, stemmed: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, kept columns, len, phrase, tf) for distinct phrases (phrase, words), and one row without a phrase for every chunk.
+
+    A chunk's text is cut into words once and only units that were asked for
+    leave the task. A longer phrase is whole where as many of its units as it
+    has agree on its start.
+    """
+    parts = _parts(phrases, chunks, stemmed)
+    paired = not stemmed and not parts.where(F.contains("unit", F.lit(" "))).isEmpty()
+    none = F.array(F.lit(None).cast("string"))
+
+    def units(words: Column) -> Column:
+        found = F.concat(none, words)
+        if paired:
+            head = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+            found = F.concat(found, F.transform(head, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1))))
+        return F.struct(F.size(words).alias("len"), found.alias("units"))
+
+    words = F.coalesce(index_words(F.col("content")), F.array().cast("array<string>"))
+    cut = chunks.select("chunk_id", *keep, tx.bind(words, units).alias("u"))
+    each = cut.select("chunk_id", *keep, F.col("u.len").alias("len"), F.posexplode("u.units").alias("pos", "unit"))
+    met = each.join(parts, "unit", "left").where(F.col("phrase").isNotNull() | F.col("unit").isNull())
+    keys = ["chunk_id", *keep, "len", "phrase"]
+    start = F.when(F.col("need") > 1, F.col("pos") - F.col("off")).alias("start")
+    whole = met.groupBy(*keys, "need", start).agg(F.count(F.lit(1)).alias("hit")).where(
+        F.col("phrase").isNull() | (F.col("need") == 1) | (F.col("hit") == F.col("need")))
+    return whole.groupBy(*keys).agg(F.sum(F.when(F.col("need") > 1, 1).otherwise(F.col("hit"))).alias("tf"))
+
+
 def bm25(questions: DataFrame, chunks: DataFrame, *, k: int, scope: str | None = None, stemmed: bool = False) -> DataFrame:
     """The ``k`` best chunks per question: (query_id, chunk_id, score, rank).
 
-    Query terms are joined to per-chunk counts; Spark broadcasts them while
-    they are small and shuffles on the term beyond that, splitting a term that
-    is in most chunks. All words of a chunk sit in one map task, so the sum per
-    (question, chunk) combines before it is shuffled.
+    The counts of the asked phrases are written once, dealt by chunk and scored
+    there against all questions, so a (question, chunk) pair is added up where
+    it arises and only a task's best rows per question are shuffled. Question
+    words are broadcast while they are small.
     """
     asked = query_phrases(questions)
     if stemmed:
@@ -123,20 +166,14 @@ def bm25(questions: DataFrame, chunks: DataFrame, *, k: int, scope: str | None =
     keys = ["query_id"] + ([scope] if scope else [])
     weights = keyed.groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("weight"))
     distinct = keyed.select("phrase", "words").dropDuplicates(["phrase"])
-    tf = phrase_frequencies(distinct, postings(chunks, stemmed=stemmed))
-    lengths = chunk_lengths(chunks)
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("len").alias("avg_len"))
-    # Reading tf keeps this branch on the same shuffle as the scores below.
-    df = tf.groupBy("phrase").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"), F.lit(1).alias("_k")).join(
-        F.broadcast(stats.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    counts = materialize(phrase_hits(distinct, chunks, stemmed=stemmed, keep=(scope,) if scope else ()), "phrase-hits")
+    stats = counts.where("phrase IS NULL").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("len").alias("avg_len"))
+    tf = counts.where("phrase IS NOT NULL")
+    df = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    if scope:
-        lengths = chunks.select("chunk_id", scope).join(lengths, "chunk_id")
-    hits = (
-        tf.join(weights, "phrase").join(df.withColumn("idf", idf), "phrase")
-        .join(lengths, ["chunk_id"] + ([scope] if scope else []))
-    )
-    gain = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (
+    asked = materialize(weights.join(df, "phrase").select(*keys, "phrase", (F.col("weight") * idf).alias("factor"), "avg_len"), "asked-phrases")
+    hits = tf.repartition("chunk_id").join(asked, ["phrase"] + ([scope] if scope else []))
+    gain = F.col("factor") * F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain), 9).alias("score"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

@@ -67,7 +67,7 @@ def r3(src):
     words = rt.index_words(F.col("question"))
     grams = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.array(w, F.get(words, i + 1)))
     phrases = _questions(src).select(F.explode(grams).alias("words")).distinct().withColumn("phrase", F.array_join("words", " "))
-    return rt.phrase_frequencies(phrases, rt.postings(_chunks(src))).select("phrase", "chunk_id", "tf")
+    return rt.phrase_hits(phrases, _chunks(src)).where("phrase IS NOT NULL").select("phrase", "chunk_id", "tf")
 
 
 @plan("r4_bm25", sql=f"WITH {SCORES} SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 20")
