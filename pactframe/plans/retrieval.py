@@ -103,10 +103,10 @@ def _index(src):
 
 @plan("r1_index_terms", sql=f"WITH {POST} SELECT term, count(DISTINCT chunk_id) AS chunks, count(*) AS postings, max(pos) AS last_pos FROM post GROUP BY 1")
 def r1_index(src):
-    blocks = _index(src).table("blocks")
+    blocks = _index(src).blocks()
     return blocks.groupBy("term").agg(
         F.sum("n").cast("long").alias("chunks"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda t, x: t + x)).alias("postings"),
-        F.max(F.array_max(F.flatten("places"))).alias("last_pos"))
+        F.max(F.array_max("places")).alias("last_pos"))
 
 
 @plan("r4_indexed", sql=f"WITH {SCORES} SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 20")
