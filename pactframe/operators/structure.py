@@ -41,6 +41,8 @@ DOT_LEADER = r"\.\s?\.\s?\."
 QUALITY = ("ruled", "recovered", "text-fallback")
 # Element types that end a stitched table.
 BREAKS_TABLE = ("heading", "paragraph", "caption", "equation")
+# The most Latin letters that a section number in front of a title has, as in "appendix A.1".
+NUMBER_LETTERS = 9
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
@@ -484,9 +486,19 @@ def locate_headings(outline: DataFrame, elements: DataFrame) -> DataFrame:
 
     Titles are offered by every element and by every neighbouring pair on a
     page, with and without a section number; the first offer of a title wins.
+    A normal form keeps every Latin letter and a number in front holds at most
+    nine, so a text with more letters than that and the longest title wanted on
+    its page is no title, alone or in a pair, and is not put into normal form.
     """
-    usable = elements.where(~F.col("type").isin("table", "figure", "furniture"))
-    pairs = ordered.neighbour(usable, ["doc_id", "page"], ["ord"], None, {"next_text": F.col("text")}, following=True)
+    title = F.col("title")
+    wanted = outline.select("doc_id", "seq", "page", F.posexplode(F.array(
+        tx.normal_title(title), tx.normal_title(tx.without_number(title)))).alias("form", "key"))
+    room = wanted.groupBy("doc_id", "page").agg((F.max(F.char_length("key")) + NUMBER_LETTERS).alias("_room"))
+    usable = elements.where(~F.col("type").isin("table", "figure", "furniture")).join(room, ["doc_id", "page"])
+    begin = F.col("text").substr(F.lit(1), 2 * F.col("_room"))
+    short = F.coalesce(F.char_length(F.regexp_replace(begin, "[^A-Za-z]+", "")) <= F.col("_room"), F.lit(True))
+    texts = usable.select("doc_id", "page", "ord", "y0", short.alias("_short"), F.when(short, F.col("text")).alias("text"))
+    pairs = ordered.neighbour(texts, ["doc_id", "page"], ["ord"], None, {"next_text": F.col("text")}, following=True).where("_short")
     text, nxt = F.col("text"), F.col("next_text")
     joined = F.when(text.endswith("-"), F.concat(F.regexp_replace(text, "-$", ""), nxt)).otherwise(F.concat_ws(" ", text, nxt))
     pair = F.when(nxt.isNotNull(), joined)
@@ -495,9 +507,6 @@ def locate_headings(outline: DataFrame, elements: DataFrame) -> DataFrame:
         tx.normal_title(pair), tx.normal_title(tx.without_number(pair)))).alias("variant", "key"))
     first = offered.where(F.col("key").isNotNull()).groupBy("doc_id", "page", "key").agg(
         F.min_by(F.struct("ord", "y0", "variant"), F.struct("ord", "variant")).alias("hit"))
-    title = F.col("title")
-    wanted = outline.select("doc_id", "seq", "page", F.posexplode(F.array(
-        tx.normal_title(title), tx.normal_title(tx.without_number(title)))).alias("form", "key"))
     found = wanted.join(first, ["doc_id", "page", "key"]).groupBy("doc_id", "seq").agg(
         F.min_by("hit", "form").alias("hit"))
     return outline.join(found, ["doc_id", "seq"], "left").select(
