@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 # The shapes of labels and what must follow one that opens a clause.
 OPENER = r'(?=[A-Z“"(\[])'
 EXHIBIT = r"(Exhibit|Schedule|Annex|Appendix|Attachment)\s+([A-Z]|\d{1,2})\b"
@@ -45,7 +47,16 @@ def _letter(c: Column, base: str) -> Column:
 
 
 def label_at_start(text: Column) -> Column:
-    """The label a text opens with, or NULL."""
+    """The label a text opens with, or NULL.
+
+    One pattern takes the label and the character behind it off the text; only
+    these few characters are then looked at by kind, the whole text once.
+    """
+    return bind(F.regexp_extract(text, rf"^{ANY}(?s:.?)", 0), lambda head: F.when(head != "", _label(head)))
+
+
+def _label(text: Column) -> Column:
+    """The label that opens a text, by kind."""
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(text, "^" + pattern, group)
