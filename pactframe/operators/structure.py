@@ -10,6 +10,7 @@ The few sequential folds see the sections or the lines of one document.
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,12 +153,18 @@ def boilerplate_lines(lines: DataFrame, least: int = REPEAT_MIN) -> DataFrame:
 
 
 def vocabulary(lines: DataFrame) -> DataFrame:
-    """(doc_id, word, n, hyphenated): tokens and hyphenated compounds, case folded."""
-    low = F.lower("line")
-    words = lines.select("doc_id", F.explode(F.regexp_extract_all(low, F.lit(f"({tx.TOKEN})"), F.lit(1))).alias("word"), F.lit(0).alias("h"))
-    compounds = lines.select("doc_id", F.explode(F.regexp_extract_all(low, F.lit(f"({tx.COMPOUND})"), F.lit(1))).alias("word"), F.lit(1).alias("h"))
-    return words.unionByName(compounds).groupBy("doc_id", "word").agg(
-        F.sum(1 - F.col("h")).alias("n"), F.sum("h").alias("hyphenated"))
+    """(doc_id, word, n, hyphenated): tokens and hyphenated compounds, case folded.
+
+    The lines are searched once, for tokens and compounds together; the tokens of
+    a compound are its parts.
+    """
+    found = F.regexp_extract_all(F.lower("line"), F.lit(f"({tx.TOKEN}(?:-{tx.TOKEN})*)"), F.lit(1))
+    entry = lambda w, h: F.struct(w.alias("word"), F.lit(h).alias("h"))
+    run = F.col("run")
+    parts = F.concat(F.array(entry(run, 1)), F.transform(F.split(run, "-"), lambda w: entry(w, 0)))
+    entries = F.when(F.contains(run, F.lit("-")), parts).otherwise(F.array(entry(run, 0)))
+    words = lines.select("doc_id", F.explode(found).alias("run")).select("doc_id", F.explode(entries).alias("w")).select("doc_id", "w.word", "w.h")
+    return words.groupBy("doc_id", "word").agg(F.sum(1 - F.col("h")).alias("n"), F.sum("h").alias("hyphenated"))
 
 
 def line_breaks(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,13 +178,11 @@ def line_breaks(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def breaks_hyphenate(breaks: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Whether a document hyphenates at line ends: merged words beat compounds."""
-    word = vocab.select("doc_id", F.col("word").alias("_w"), (F.col("n") > 0).alias("_a"), (F.col("hyphenated") > 0).alias("_h"))
-    forms = breaks.select("doc_id", F.lower(F.concat("head", "tail")).alias("m"), F.lower(F.concat_ws("-", "head", "tail")).alias("c"))
-    merged = forms.join(word.where("_a").select("doc_id", F.col("_w").alias("m"), F.lit(1).alias("is_m")), ["doc_id", "m"], "left")
-    both = merged.join(word.where("_h").select("doc_id", F.col("_w").alias("c"), F.lit(1).alias("is_c")), ["doc_id", "c"], "left")
-    total = both.groupBy("doc_id").agg(
-        F.count("is_m").alias("merged"), F.count("is_c").alias("compound"))
+    """Whether a document hyphenates at line ends: merged words beat compounds. Both are looked up in one join."""
+    form = lambda w, h: F.struct(F.lower(w).alias("word"), F.lit(h).alias("h"))
+    forms = breaks.select("doc_id", F.explode(F.array(form(F.concat("head", "tail"), 0), form(F.concat_ws("-", "head", "tail"), 1))).alias("f")).select("doc_id", "f.*")
+    total = forms.join(vocab.select("doc_id", "word", "n", "hyphenated"), ["doc_id", "word"], "left").groupBy("doc_id").agg(
+        F.count(F.when((F.col("h") == 0) & (F.col("n") > 0), 1)).alias("merged"), F.count(F.when((F.col("h") == 1) & (F.col("hyphenated") > 0), 1)).alias("compound"))
     return total.withColumn("breaks_hyphenate", F.col("merged") > F.col("compound"))
 
 
@@ -207,15 +212,17 @@ def classify(blocks: DataFrame, profiles: DataFrame, furniture: DataFrame) -> Da
     ``math_share`` is the share of characters set in a mathematics font; with
     one font per block it is 0 or 1.
     """
-    joined = tx.collapse(F.col("text"))
+    text = F.col("text")
+    joined = tx.collapse(text)
     share = F.col("math_share") if "math_share" in blocks.columns else F.col("font").rlike(MATH_FONT).cast("double")
-    known = furniture.select("doc_id", F.col("pattern").alias("_mask"), F.lit(True).alias("_known"))
-    rows = blocks.join(profiles, "doc_id").withColumn("_mask", masked(F.col("text"))).join(known, ["doc_id", "_mask"], "left")
+    # A pattern is seen on a fifth of the pages, so a document has few; only texts of the margins are masked.
+    known = furniture.groupBy("doc_id").agg(F.collect_set("pattern").alias("_known"))
+    rows = blocks.join(profiles, "doc_id").join(known, "doc_id", "left")
     margin = in_band(F.col("y0") / F.col("page_height"))
     kind = (
-        F.when(joined == "", "furniture")
-        .when(margin & (is_page_number(joined) | F.col("_known").isNotNull()), "furniture")
-        .when(joined.rlike(CAPTION), "caption")
+        F.when(~text.rlike(f"[^{tx.SPACE}]"), "furniture")
+        .when(margin & (is_page_number(joined) | F.coalesce(F.array_contains("_known", masked(text)), F.lit(False))), "furniture")
+        .when(text.rlike(rf"(?i)^[{tx.SPACE}]*(?:Figure|Table)") & joined.rlike(CAPTION), "caption")
         .when(share >= MATH_SHARE, "equation")
         .when((F.col("size") > F.col("body_size") + HEADING_MARGIN) & (F.col("italic") == 0), "heading")
         .otherwise("paragraph")
@@ -421,18 +428,18 @@ def synthesize_spine(elements: DataFrame, proven: DataFrame) -> DataFrame:
     The sections of a document pass by in order once; what is kept of them is
     the newest one of each key and of each level.
     """
-    label = lb.label_at_start(F.col("text"))
-    cand = elements.where(F.col("type").isin("heading", "paragraph")).withColumn("lab", label)
-    ok = proven.select("doc_id", F.col("label").alias("_l"), F.lit(True).alias("_ok"))
-    cand = cand.withColumn("_l", F.col("lab.label")).join(ok, ["doc_id", "_l"], "left")
-    clause = (F.col("type") == "paragraph") & F.col("_ok").isNotNull() & F.col("lab.kind").isin(*lb.PARAGRAPH_SECTIONS)
-    rows = cand.where((F.col("type") == "heading") | clause)
-    title = F.when(F.col("type") == "heading", F.col("text")).otherwise(lb.clause_title(F.col("text"), F.col("lab")))
+    heading = F.col("type") == "heading"
+    cand = elements.where(F.col("type").isin("heading", "paragraph")).withColumn("lab", lb.label_at_start(F.col("text"))).where(
+        heading | F.col("lab.kind").isin(*lb.PARAGRAPH_SECTIONS))
+    title = F.when(heading, F.col("text")).otherwise(lb.clause_title(F.col("text"), F.col("lab")))
     sectional = F.coalesce(F.col("lab.kind").isin(*lb.SECTIONAL), F.lit(False))
-    rows = rows.select(
+    rows = cand.select(
         "doc_id", "ord", "page", "y0", title.alias("title"),
         F.when(sectional, F.col("lab.key")).alias("key"), F.col("lab.parent").alias("parent"),
-        F.when(sectional, lb.depth(F.col("lab"))).otherwise(1).alias("depth"))
+        F.when(sectional, lb.depth(F.col("lab"))).otherwise(1).alias("depth"), heading.alias("_heading"), F.col("lab.label").alias("_l"))
+    # A heading needs no proof; the titles, not the texts, meet the proven labels.
+    ok = proven.select("doc_id", F.col("label").alias("_l"), F.lit(True).alias("_ok"))
+    rows = rows.join(ok, ["doc_id", "_l"], "left").where(F.col("_heading") | F.col("_ok").isNotNull()).drop("_heading", "_ok", "_l")
     return _fold_sections(rows)
 
 
@@ -558,7 +565,7 @@ def page_label(printed: Column, page: Column) -> Column:
 # -- lines into text ---------------------------------------------------------
 
 _WHOLE_RUN = re.compile(r"[A-Za-z0-9]+-?")
-_END_RUN = re.compile(r"[A-Za-z0-9]+(?=-?\Z)")
+_RUN = string.ascii_letters + string.digits
 _DOTS = re.compile(DOT_LEADER)
 #: How two lines meet: one word, a compound, one word without a hyphen between, or two words.
 _MERGED, _COMPOUND, _GLUED = "m", "k", "g"
@@ -584,8 +591,9 @@ class _Ends:
 
 
 def end_run(line: str) -> str:
-    found = _END_RUN.search(line)
-    return found[0] if found else ""
+    """The run a line ends in, a last hyphen aside; looked for from the end, so that long lines cost no more."""
+    body = line.removesuffix("-")
+    return body[len(body.rstrip(_RUN)):]
 
 
 class _Text:

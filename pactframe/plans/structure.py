@@ -140,8 +140,8 @@ SELECT doc_id, block, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM r
 
 @plan("p11_join_lines", sql=JOINED)
 def p11(src):
-    lines = src.view("wrapped")
-    vocab = st.vocabulary(lines)
+    lines = materialize(src.view("wrapped"), "wrapped")
+    vocab = materialize(st.vocabulary(lines), "vocabulary")
     return st.join_lines(lines, vocab, st.breaks_hyphenate(st.line_breaks(lines, ["doc_id", "block"]), vocab))
 
 
