@@ -365,13 +365,17 @@ def markdown_line(row: Column) -> Column:
     return F.concat(F.lit("|"), F.array_join(cells, "|"), F.lit("|"))
 
 
-def markdown(rows: Column) -> Column:
-    """A grid as a markdown table, its first row the header."""
+def markdown_lines(rows: Column) -> Column:
+    """The lines of a grid as a markdown table: its first row, a rule, the rest."""
     head = F.get(rows, F.lit(0))
     rule = F.concat(F.lit("|"), F.array_join(F.transform(head, lambda _: F.lit("---")), "|"), F.lit("|"))
-    body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), markdown_line)
-    lines = F.concat(F.array(markdown_line(head), rule), body)
-    return F.when(F.size(rows) == 0, "").otherwise(F.array_join(lines, "\n"))
+    lines = tx.bind(F.transform(rows, markdown_line), lambda each: F.concat(F.slice(each, 1, 1), F.array(rule), F.slice(each, 2, F.greatest(F.size(each), F.lit(1)))))
+    return F.when(F.size(rows) == 0, F.array().cast("array<string>")).otherwise(lines)
+
+
+def markdown(rows: Column) -> Column:
+    """A grid as a markdown table, its first row the header."""
+    return F.array_join(markdown_lines(rows), "\n")
 
 
 # -- labels and sections ----------------------------------------------------
