@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, worker_cache
+from .common import returning, small_batches, worker_cache
 
 #: Bytes of a window, in training and in prediction.
 WINDOW = 256
@@ -222,4 +222,4 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.clip(sure, 0, 1))], schema.names)
 
-    return given.mapInArrow(apply, schema)
+    return given.mapInArrow(returning(apply), schema)

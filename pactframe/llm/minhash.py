@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, key_filter, may_contain, save, same, small_batches, worker_cache
+from .common import WHITE, key_filter, may_contain, returning, save, same, small_batches, worker_cache
 from .graph import components
 
 #: 40 bands of 6 coordinates: at a similarity of exactly 0.8 a pair shares no
@@ -119,7 +119,7 @@ def describe(docs: DataFrame, width: int, seed: int = 11) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(n), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), lists(bands), lists(sketch)],
                 schema.names)
 
-    return given.mapInArrow(apply, schema)
+    return given.mapInArrow(returning(apply), schema)
 
 
 def read_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -138,7 +138,7 @@ def read_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), batch.column(1),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], schema.names)
 
-    sets = near.mapInArrow(apply, schema)
+    sets = near.mapInArrow(returning(apply), schema)
     return (sets.join(wanted, same(sets, wanted, "doc_id", "h")).select("node", "shingles").dropDuplicates(["node"]))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save, small_batches
+from .common import returning, save, small_batches
 from .tokens import tokenizer_path, word_ids
 
 CAPACITY = 4096
@@ -57,7 +57,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 1, pat
             [names.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()),
              pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(returning(cut, lambda: word_ids(file).forget()), schema)
 
 
 def fill(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -68,6 +68,11 @@ class WordIds:
 
         self.words, self.runs = Words(), Runs()
 
+    def forget(self) -> None:
+        """Lets go of the cached ids; the tokenizer stays."""
+        self.words.clear()
+        self.runs.clear()
+
     def encode(self, text: str) -> bytes:
         """What the tokenizer itself gives."""
         return b"".join([i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids])
@@ -80,6 +85,6 @@ class WordIds:
 
 
 def word_ids(path: str) -> WordIds:
-    """The tokenizer of this worker, with the caches earlier tasks filled."""
+    """The tokenizer of this worker, with what its caches still hold."""
     return worker_cache(("ids", path), lambda: WordIds(path))
 

@@ -131,3 +131,20 @@ def test_derived_edits_keep_exact_counts(spark):
     rows = editcount.apply_edits(editcount.index(docs), editcount.edits_of(docs)).collect()
     assert len(rows) == docs.count() and all(r.n_edits == 3 and r.n_tokens == len(encoded(r.text)) for r in rows)
     assert word_ids(tokenizer_path()) is word_ids(tokenizer_path())
+
+
+def test_workers_keep_no_ids_after_a_task(spark):
+    """Workers wait beside the executor: what a task cached must not stay charged to its memory."""
+    docs = spark.range(0, 64, 1, 8).selectExpr("id AS doc_id", "concat('word', id, ' and some more of text ', id) AS text")
+    assert packing.token_pieces(docs).count() == 64
+
+    def held(batches):
+        import sys
+
+        import pyarrow as pa
+
+        kept = getattr(sys.modules.get("_pactframe_llm_cache"), "kept", {})
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(v.runs) + len(v.words) for v in kept.values() if hasattr(v, "runs"))])], ["n"])
+
+    assert [r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()] == [0] * 8
