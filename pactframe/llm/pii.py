@@ -167,7 +167,7 @@ def most_texts(n: Column, n_e: Column, share: float) -> Column:
     return F.exp((F.log(n) * (1 - share) + F.log(n_e) * share) * (1 + 1e-12)) + 1e-6
 
 
-def contexts(found: DataFrame, held: DataFrame, often: DataFrame, words_in: DataFrame) -> DataFrame:
+def contexts(docs: DataFrame, held: DataFrame, often: DataFrame, words_in: DataFrame) -> DataFrame:
     """``k1, k2, entity, n_e, term, n_t``: words of each distinct text that holds an entity, wherever they stand.
 
     Exact copies of a text are one: copying a document teaches nothing new
@@ -177,26 +177,27 @@ def contexts(found: DataFrame, held: DataFrame, often: DataFrame, words_in: Data
     """
     by_text = held.join(often, "entity").groupBy("k1", "k2").agg(
         F.max("most").alias("most"), F.collect_list(F.struct("entity", "n_e", F.col("most").alias("upto"))).alias("entities"))
-    words = words_of(found.filter(F.size("spans") > 0))
-    hit = may_contain(words, key_filter(by_text.select(F.col("k1").alias("k"))), "k1", "hit").filter("hit")
-    once = hit.groupBy("k1", "k2").agg(F.first("words").alias("words"))
+    # The patterns run on the wanted texts only: a computed column would not move behind the join.
+    hit = may_contain(keyed(docs), key_filter(by_text.select(F.col("k1").alias("k"))), "k1", "hit").filter("hit")
+    once = words_of(base_spans(hit)).groupBy("k1", "k2").agg(F.first("words").alias("words"))
     terms = once.select("k1", "k2", F.explode("words").alias("term")).join(words_in, "term")
     met = terms.join(by_text, ["k1", "k2"]).filter(F.col("n_t") <= F.col("most"))
     each = met.select("k1", "k2", "term", "n_t", F.explode("entities").alias("e"))
     return each.filter(F.col("n_t") <= F.col("e.upto")).select("k1", "k2", "e.entity", "e.n_e", "term", "n_t")
 
 
-def texts_with(scanned: DataFrame, found: DataFrame) -> DataFrame:
+def texts_with(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``term, n_t``: in how many distinct texts a word stands.
 
     Words of texts that occur once are counted where they are read, so only
     partial counts are shuffled; of repeated texts one row each is counted.
     """
     twice = key_filter(found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("k1").alias("k")))
-    words = may_contain(words_of(scanned), twice, "k1", "hit")
-    once = words.filter("hit").groupBy("k1", "k2").agg(F.first("words").alias("words"))
-    every = words.filter("not hit").select("words").unionByName(once.select("words"))
-    return every.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    split = may_contain(keyed(docs), twice, "k1", "hit")  # before the patterns, so that each text meets them once
+    once = words_of(base_spans(split.filter("hit"))).groupBy("k1", "k2").agg(F.first("words").alias("words"))
+    every = words_of(base_spans(split.filter("not hit"))).select("words").unionByName(once.select("words"))
+    # An outer explode: for an inner one the planner would work out the words a second time, to leave out texts without any.
+    return every.select(F.explode_outer("words").alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
 def disclosures(docs: DataFrame, generalise_at: float = GENERALISE_AT, least_texts: int = LEAST_TEXTS,
@@ -210,16 +211,15 @@ def disclosures(docs: DataFrame, generalise_at: float = GENERALISE_AT, least_tex
     in ``least_texts`` of them are counted there. Words in fewer texts than that,
     or in more than any entity's bound, never meet an entity at all.
     """
-    scanned = base_spans(docs)
-    found = scanned if found is None else found
+    found = base_spans(docs) if found is None else found
     held = holders(found) if held is None else held
     total = found.select("k1", "k2").distinct().agg(F.count(F.lit(1)).alias("n"))
     often = often_held(held, least_texts).crossJoin(F.broadcast(total))
     often = save(often.withColumn("most", most_texts(F.col("n"), F.col("n_e"), generalise_at)), "pii-entities")
     widest = often.agg(F.max("most").alias("widest"))  # one row
-    words_in = texts_with(scanned, found).filter(F.col("n_t") >= least_texts)
+    words_in = texts_with(docs, found).filter(F.col("n_t") >= least_texts)
     words_in = save(words_in.crossJoin(F.broadcast(widest)).filter(F.col("n_t") <= F.col("widest")).select("term", "n_t"), "pii-words")
-    met = contexts(scanned, held, often.select("entity", "n_e", "most"), words_in)
+    met = contexts(docs, held, often.select("entity", "n_e", "most"), words_in)
     pairs = met.groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= least_texts)
     told = pairs.crossJoin(F.broadcast(total))
     share = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))

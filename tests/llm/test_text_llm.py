@@ -334,3 +334,20 @@ def test_spanning_cells_stand_in_their_columns():
         widths = {c: max(len(w) for w, (_, x) in place.items() if x == c) for c in columns}
         want = ["  ".join(next((w for w, at in place.items() if at == (r, c)), "").ljust(widths[c]) for c in columns).rstrip() for r in range(len(rows))]
         assert lines == [line for line in want if line]
+
+
+def test_words_are_sought_behind_the_choice_of_texts(spark, tmp_path):
+    """Each branch runs the patterns on its own texts: never below the join that marks them."""
+    rows = [(i, f"mail anna@x.org about zorblatt {i % 7}") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    pii.base_spans(docs).select("doc_id", "k1", "k2", "spans").write.parquet(f"{tmp_path}/found")
+    counted = pii.texts_with(docs, spark.read.parquet(f"{tmp_path}/found"))
+    assert {r.term: r.n_t for r in counted.collect()} == {"mail": 7, "about": 7, "zorblatt": 7, **{str(i): 1 for i in range(7)}}
+    plan = counted._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(re.match(r"[\s:|+-]*", line)[0]) for line in plan]
+    for i, line in enumerate(plan):
+        if "Join " in line:
+            below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            assert not any("regexp_extract_all" in x for x in plan[i + 1:below])
+    assert any("regexp_extract_all" in x for x in plan)
