@@ -168,3 +168,12 @@ def test_files_logs_criteria(spark, tmp_path):
     (tmp_path / "bad.json").write_text(json.dumps([{**item, "sub_requirements": item["sub_requirements"] * 2}]))
     with pytest.raises(ValueError):
         read_criteria(spark, str(tmp_path / "bad.json"))
+
+
+def test_distinctive_terms_join_nothing(spark):
+    """Counts alone tell a criterion's own terms; exploded terms are shuffled once."""
+    df = spark.createDataFrame([("c", "a", "green paint", "paint"), ("c", "b", "green door", ""), ("d", "a", None, None)],
+                               "criterion_id string, sub_id string, requirement string, criterion_requirement string")
+    found = assess.distinctive_terms(df)
+    assert "Join " not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.criterion_id, r.sub_id): r.terms for r in found.collect()}[("c", "b")] == ["door"]
