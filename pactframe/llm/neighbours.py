@@ -16,6 +16,8 @@ from .common import save
 QUERY_ROWS, CANDIDATE_ROWS = 1024, 8192
 #: Query rows whose distances are in memory at once, and pairs recomputed at once.
 STRIP, PAIRS = 128, 1 << 15
+#: Candidate blocks of one slot at most, and their bytes: what a task keeps while query blocks stream by.
+SLOT_BLOCKS, SLOT_BYTES = 8, 32 << 20
 #: Dimensions whose int8 products add up exactly in 32-bit floats.
 EXACT_DIMS = 1024
 BLOCKS = "dim int, ids binary, vectors binary"
@@ -30,7 +32,11 @@ def usable(vector: Column) -> Column:
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """The rows of every partition as blocks of at most ``size`` vectors of one dimension."""
+    """The rows of every partition as blocks of at most ``size`` vectors of one dimension.
+
+    Components keep the width they are stored in: 32 bits hold a float exactly.
+    """
+    wide = width(rows)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -45,7 +51,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1)
             ends = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(wide)
             dims = np.diff(ends)
             for dim in np.unique(dims):
                 rows_ = np.flatnonzero(dims == dim)
@@ -57,7 +63,36 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         for dim in list(held):
             yield emit(dim)
 
-    return rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(pack, BLOCKS)
+    stored = "array<float>" if wide == np.float32 else "array<double>"
+    return rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast(stored)).mapInArrow(pack, BLOCKS)
+
+
+def width(rows: DataFrame) -> type:
+    """The numpy type of the components of a table's vectors."""
+    return np.float32 if rows.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+
+
+def fuller(packed: DataFrame, size: int) -> DataFrame:
+    """Blocks of few rows put together, up to ``size`` rows: a scan task that finds few rows makes a small block."""
+    rows = packed.agg(F.sum(F.length("ids")) / 8).first()[0] or 0
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
+
+        def emit(dim: int) -> pa.RecordBatch:
+            parts = held.pop(dim)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([dim], pa.int32()), *(pa.array([b"".join(p[i] for p in parts)], pa.binary()) for i in (0, 1))], ["dim", "ids", "vectors"])
+
+        for batch in batches:
+            for dim, ids, vectors in zip(*(c.to_pylist() for c in batch.columns)):
+                if sum(len(p[0]) for p in held.get(dim, [])) + len(ids) > 8 * size and dim in held:
+                    yield emit(dim)
+                held.setdefault(dim, []).append((ids, vectors))
+        for dim in list(held):
+            yield emit(dim)
+
+    return packed.repartition(max(1, -(-int(rows) // size))).mapInArrow(merge, BLOCKS)
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +116,7 @@ def first_copies(ids: np.ndarray, vectors: np.ndarray, most: int) -> tuple[np.nd
     """Of equal vectors only the ``most`` smallest ids; further ones cannot be among the nearest."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
-    _, group = np.unique(vectors.view(np.dtype((np.void, vectors.shape[1] * 8))).ravel(), return_inverse=True)
+    _, group = np.unique(vectors.view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel(), return_inverse=True)
     by_group = np.lexsort((ids, group))
     g, i = group[by_group], ids[by_group]
     new = np.concatenate([[True], (g[1:] != g[:-1]) | (i[1:] != i[:-1])])  # a repeated row counts once
@@ -129,9 +164,11 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Each query's ``k`` nearest candidates by cosine: ``query_id, rank, vec_id, score``.
 
     Both tables have ``vec_id`` and ``embedding``. Candidates are packed into
-    blocks; query blocks are sent once to each slot of candidate blocks, so a
-    task holds one block of either side whatever the tables' sizes. Every tile
-    keeps ``k`` per query, and heaps merge the tiles.
+    blocks; query blocks are sent once to each slot of a few candidate blocks, so
+    a task holds one slot and one query block whatever the tables' sizes. The
+    copies of query blocks are shuffled and never broadcast: their number grows
+    with both tables, while Spark's size estimate knows the queries alone. Every
+    tile keeps ``k`` per query, and heaps merge the tiles.
 
     Defined results: vectors that are null, zero, or hold a null or non-finite
     component take no part, nor do rows without an id; vectors of different
@@ -141,17 +178,22 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     take = lambda df: df.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     right = save(blocks(take(candidates), CANDIDATE_ROWS).withColumn("uid", F.monotonically_increasing_id()), "candidates")
-    slots = max(1, right.count())
+    count, most = right.agg(F.count(F.lit(1)), F.max(F.length("vectors"))).first()
+    cores = right.sparkSession.sparkContext.defaultParallelism
+    together = max(1, min(SLOT_BLOCKS, SLOT_BYTES // (most or 1), count // (2 * cores)))
+    slots = max(1, -(-count // together))
     right = right.withColumn("slot", F.pmod(F.xxhash64("uid"), F.lit(slots))).withColumnsRenamed({"ids": "c_ids", "vectors": "c"}).drop("uid")
-    left = save(blocks(take(queries), QUERY_ROWS), "queries").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    tiles = left.join(right, ["slot", "dim"]).select("dim", "ids", "vectors", "c_ids", "c")
+    left = fuller(save(blocks(take(queries), QUERY_ROWS), "queries"), QUERY_ROWS)
+    left = left.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    tiles = left.join(right.hint("merge"), ["slot", "dim"]).select("dim", "ids", "vectors", "c_ids", "c")
+    wide = {2: width(queries), 4: width(candidates)}
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 dim = batch.column(0)[row].as_py()
-                raw = [np.frombuffer(batch.column(n)[row].as_buffer(), np.float64 if n in (2, 4) else np.int64) for n in range(1, 5)]
-                a, b, s = tile(raw[0], raw[1].reshape(-1, dim), raw[2], raw[3].reshape(-1, dim), k)
+                raw = [np.frombuffer(batch.column(n)[row].as_buffer(), wide.get(n, np.int64)) for n in range(1, 5)]
+                a, b, s = tile(raw[0], raw[1].reshape(-1, dim).astype(np.float64), raw[2], raw[3].reshape(-1, dim).astype(np.float64), k)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["query_id", "vec_id", "score"])
 
     parts = tiles.mapInArrow(compare, "query_id long, vec_id long, score double")

@@ -133,6 +133,33 @@ def test_nearest_matches_brute_force(spark):
         assert [c for c, _ in got[q]] == [c for c, _ in want[q]]
 
 
+def test_nearest_never_broadcasts_copies_of_query_blocks(spark, monkeypatch):
+    """A query table under the broadcast limit is copied to every slot: at 6 GB the copies broke the driver."""
+    monkeypatch.setattr(neighbours, "CANDIDATE_ROWS", 64)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(1500)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = neighbours.nearest(table, table.filter(F.col("vec_id") % 50 == 0), 5)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    e = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    e /= np.sqrt((e * e).sum(1))[:, None]
+    for q in range(0, 1500, 50):
+        score = e @ e[q]
+        score[q] = -2
+        assert got[q] == sorted(range(1500), key=lambda c: (-score[c], c))[:5]
+
+
+def test_fuller_blocks_keep_every_row(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0, 2.0] if i % 3 else [float(i), 1.0]) for i in range(1, 200)], "vec_id long, embedding array<double>").repartition(40)
+    whole = neighbours.fuller(neighbours.blocks(rows, 64), 64).collect()
+    ids = [i for r in whole for i in np.frombuffer(r.ids, np.int64)]
+    assert sorted(ids) == list(range(1, 200)) and all(len(r.ids) <= 64 * 8 and len(r.vectors) == len(r.ids) * r.dim for r in whole)
+    assert len(whole) < 20
+
+
 def test_nearest_of_empty_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     some = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], none.schema)
