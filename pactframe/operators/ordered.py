@@ -161,8 +161,8 @@ def islands(
     return running_sum(near, keys, order, segment, flag, out).drop(*previous)
 
 
-def stepwise(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str | Column], start: Callable[[], Any],
-             step: Callable[..., tuple], out: dict[str, str]) -> DataFrame:
+def stepwise(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str | Column], start: Callable[..., Any],
+             step: Callable[..., tuple], out: dict[str, str], given: DataFrame | None = None) -> DataFrame:
     """Columns that depend on all rows of a key before this one, by one pass in order.
 
     For what no window can say, because a row's value decides the next one's.
@@ -170,25 +170,44 @@ def stepwise(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: S
     changes the state and returns the values of ``out``. Rows stream through in
     Arrow batches and only the inputs become Python values: time is linear in the
     rows, and memory holds a batch and the state of one key.
+
+    ``given`` are facts about the first of the ``keys``, in columns of their own.
+    They pass the same shuffle in front of its rows, so nothing is joined to
+    these; ``start`` gets them as a list of tuples. The rows of that first key
+    then pass one task.
     """
     names = [f"_in{i}" for i in range(len(inputs))]
-    given = df.withColumns({n: F.col(c) if isinstance(c, str) else c for n, c in zip(names, inputs)})
     kept = [*df.columns]
-    rows = given.repartition(*keys).sortWithinPartitions(*keys, *order)
+    facts = [c for c in given.columns if c != keys[0]] if given is not None else []
+    rows, lead = df, []
+    if given is not None:
+        rows, lead = df.withColumn("_row", F.lit(1)).unionByName(given.withColumn("_row", F.lit(0)), allowMissingColumns=True), ["_row"]
+    rows = rows.repartition(*(keys[:1] if lead else keys)).sortWithinPartitions(keys[0], *lead, *keys[1:], *order)
+    # The inputs are worked out behind the shuffle, which carries the rows alone.
+    rows = rows.withColumns({n: F.col(c) if isinstance(c, str) else c for n, c in zip(names, inputs)})
     added = StructType.fromDDL(", ".join(f"{n} {kind}" for n, kind in out.items()))
-    schema = StructType([*[given.schema[c] for c in kept], *added.fields])
+    schema = StructType([*[df.schema[c] for c in kept], *added.fields])
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
+        about, known = None, []
         for batch in batches:
-            at = {n: batch.column(n).to_pylist() for n in [*keys, *names]}
+            at = {n: batch.column(n).to_pylist() for n in [*keys, *names, *facts]}
+            own = batch.column("_row").to_pylist() if lead else [1] * batch.num_rows
+            told = zip(*[at[c] for c in facts]) if facts else [()] * batch.num_rows
             found: list[tuple] = []
-            for key, values in zip(zip(*[at[k] for k in keys]), zip(*[at[n] for n in names])):
+            for key, values, fact, row in zip(zip(*[at[k] for k in keys]), zip(*[at[n] for n in names]), told, own):
+                if lead and about != key[:1]:
+                    about, known, state = key[:1], [], None
+                if not row:
+                    known.append(fact)
+                    continue
                 if state is None or key != current:
-                    current, state = key, start()
+                    current, state = key, start(known) if lead else start()
                 found.append(step(state, *values))
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], schema.names)
+            rest = batch.filter(pa.array(own, pa.int32()).cast(pa.bool_())) if lead else batch
+            yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in kept], *columns], schema.names)
 
     return rows.mapInArrow(walk, schema)

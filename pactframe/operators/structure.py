@@ -11,9 +11,17 @@ from __future__ import annotations
 
 import re
 import string
+from collections import Counter
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions import labels as lb
 from ..functions import text as tx
@@ -153,36 +161,125 @@ def boilerplate_lines(lines: DataFrame, least: int = REPEAT_MIN) -> DataFrame:
 
 
 def vocabulary(lines: DataFrame) -> DataFrame:
-    """(doc_id, word, n, hyphenated): tokens and hyphenated compounds, case folded.
+    """(doc_id, word, n, hyphenated): tokens and hyphenated compounds, case folded, the words of a document together.
 
     The lines are searched once, for tokens and compounds together; the tokens of
-    a compound are its parts.
+    a compound are its parts. A task counts the lines of a document it reads, and
+    one text with its words and their counts leaves it, not a row for each.
     """
     found = F.regexp_extract_all(F.lower("line"), F.lit(f"({tx.TOKEN}(?:-{tx.TOKEN})*)"), F.lit(1))
-    entry = lambda w, h: F.struct(w.alias("word"), F.lit(h).alias("h"))
-    run = F.col("run")
-    parts = F.concat(F.array(entry(run, 1)), F.transform(F.split(run, "-"), lambda w: entry(w, 0)))
-    entries = F.when(F.contains(run, F.lit("-")), parts).otherwise(F.array(entry(run, 0)))
-    words = lines.select("doc_id", F.explode(found).alias("run")).select("doc_id", F.explode(entries).alias("w")).select("doc_id", "w.word", "w.h")
-    return words.groupBy("doc_id", "word").agg(F.sum(1 - F.col("h")).alias("n"), F.sum("h").alias("hyphenated"))
+    doc = f"doc_id {lines.schema['doc_id'].dataType.simpleString()}"
+
+    def searched(total: Counter, runs: list[str] | None) -> None:
+        total.update(runs or ())
+
+    def parted(doc_id: Any, total: Counter) -> Iterator[tuple]:
+        for run in [r for r in total if "-" in r]:
+            for word in run.split("-"):
+                total[word] += total[run]
+        return _listed(doc_id, total)
+
+    def spelt(doc_id: Any, counts: Counter) -> Iterator[tuple]:
+        for word, n in counts.items():
+            yield (doc_id, word, 0, n) if "-" in word else (doc_id, word, n, 0)
+
+    counted = lines.select("doc_id", found.alias("runs")).mapInArrow(_by_document(searched, parted, f"{doc}, known string"), f"{doc}, known string")
+    together = counted.repartition("doc_id").sortWithinPartitions("doc_id")
+    schema = f"{doc}, word string, n long, hyphenated long"
+    return together.mapInArrow(_by_document(_add, spelt, schema), schema)
+
+
+def _listed(doc_id: Any, counts: Counter) -> Iterator[tuple]:
+    """A document's words and counts as one text."""
+    if counts:
+        yield doc_id, " ".join(f"{word} {n}" for word, n in counts.items())
+
+
+def _entries(known: str) -> Iterator[tuple[str, int]]:
+    """The words and counts of such a text."""
+    parts = known.split(" ")
+    return zip(parts[::2], map(int, parts[1::2]))
+
+
+def _add(total: Counter, known: str) -> None:
+    """Add the counts of such a text."""
+    if not total:
+        total.update(dict(_entries(known)))
+        return
+    for word, n in _entries(known):
+        total[word] += n
+
+
+def _by_document(count: Callable[..., None], rows: Callable[[Any, Counter], Iterator[tuple]], schema: str) -> Callable[[Iterator], Iterator]:
+    """What ``count`` sums up over neighbouring rows of one document, written out as ``rows`` of ``schema``; one document is in memory."""
+    fields = StructType.fromDDL(schema)
+    kinds, names = [to_arrow_type(f.dataType) for f in fields], fields.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total, out = None, Counter(), []
+
+        def written() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * len(names)
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for doc_id, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                if doc_id != of:
+                    out.extend(rows(of, total))
+                    of, total = doc_id, Counter()
+                    if len(out) >= 10_000:
+                        yield written()
+                count(total, *values)
+        out.extend(rows(of, total))
+        yield written()
+
+    return run
+
+
+def _known(vocab: DataFrame) -> DataFrame:
+    """(doc_id, known): the words of a document with their counts as one text; a few texts where its rows are apart.
+
+    A word with a hyphen is a compound, so one count says either.
+    """
+    n = F.when(F.contains("word", F.lit("-")), F.col("hyphenated")).otherwise(F.col("n"))
+    rows = vocab.where("doc_id IS NOT NULL").select("doc_id", F.concat_ws(" ", "word", n.cast("string")).alias("entry"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, n = batch.column(0), batch.num_rows
+            if n:
+                changes = pc.not_equal(doc.slice(1), doc.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+                starts = np.concatenate([[0], np.flatnonzero(changes) + 1])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, n), pa.int32()), batch.column(1).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(starts)), pc.binary_join(lists, " ")], ["doc_id", "known"])
+
+    return rows.mapInArrow(pack, f"doc_id {vocab.schema['doc_id'].dataType.simpleString()}, known string")
 
 
 def line_breaks(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(head, tail) of every line that ends in a hyphen and its successor."""
-    pairs = ordered.neighbour(
-        lines, keys, ["line_no"], None, {"next_line": F.col("line")}, following=True)
-    head = F.regexp_extract("line", r"([A-Za-z0-9]+)-$", 1)
-    tail = F.regexp_extract("next_line", r"^([A-Za-z0-9]+)", 1)
-    return pairs.select(*keys, "line_no", head.alias("head"), tail.alias("tail")).where(
-        (F.col("head") != "") & (F.col("tail") != ""))
+    """(head, tail) of every line that ends in a hyphen and its successor; only the ends of lines are put in order."""
+    ends = lines.select(*keys, "line_no", F.regexp_extract("line", r"([A-Za-z0-9]+)-$", 1).alias("head"), F.regexp_extract("line", r"^([A-Za-z0-9]+)", 1).alias("_opens"))
+    pairs = ordered.neighbour(ends, keys, ["line_no"], None, {"tail": F.col("_opens")}, following=True)
+    return pairs.select(*keys, "line_no", "head", "tail").where((F.col("head") != "") & (F.col("tail") != ""))
 
 
 def breaks_hyphenate(breaks: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Whether a document hyphenates at line ends: merged words beat compounds. Both are looked up in one join."""
-    form = lambda w, h: F.struct(F.lower(w).alias("word"), F.lit(h).alias("h"))
-    forms = breaks.select("doc_id", F.explode(F.array(form(F.concat("head", "tail"), 0), form(F.concat_ws("-", "head", "tail"), 1))).alias("f")).select("doc_id", "f.*")
-    total = forms.join(vocab.select("doc_id", "word", "n", "hyphenated"), ["doc_id", "word"], "left").groupBy("doc_id").agg(
-        F.count(F.when((F.col("h") == 0) & (F.col("n") > 0), 1)).alias("merged"), F.count(F.when((F.col("h") == 1) & (F.col("hyphenated") > 0), 1)).alias("compound"))
+    """Whether a document hyphenates at line ends: merged words beat compounds. Both are looked up in the document's words, one row a side."""
+    own = breaks.groupBy("doc_id").agg(F.collect_list(F.concat_ws("-", F.lower("head"), F.lower("tail"))).alias("breaks"))
+    words = _known(vocab).groupBy("doc_id").agg(F.collect_list("known").alias("known"))
+    schema = f"doc_id {breaks.schema['doc_id'].dataType.simpleString()}, merged long, compound long"
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: list[tuple[int, int]] = []
+            for pairs, texts in zip(batch.column("breaks").to_pylist(), batch.column("known").to_pylist()):
+                known = {word for text in texts or () for word, n in _entries(text) if n > 0}
+                counts.append((sum(p.replace("-", "") in known for p in pairs), sum(p in known for p in pairs)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1))], ["doc_id", "merged", "compound"])
+
+    total = own.join(words, "doc_id", "left").select("doc_id", "breaks", "known").mapInArrow(look_up, schema)
     return total.withColumn("breaks_hyphenate", F.col("merged") > F.col("compound"))
 
 
@@ -569,141 +666,157 @@ def page_label(printed: Column, page: Column) -> Column:
 # -- lines into text ---------------------------------------------------------
 
 _WHOLE_RUN = re.compile(r"[A-Za-z0-9]+-?")
+_RUNS, _LETTERS = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[A-Za-z]+")
 _RUN = string.ascii_letters + string.digits
 _DOTS = re.compile(DOT_LEADER)
 #: How two lines meet: one word, a compound, one word without a hyphen between, or two words.
 _MERGED, _COMPOUND, _GLUED = "m", "k", "g"
 
 
-class _Ends:
-    """The runs of letters and digits that the text of a block may end in so far.
-
-    A line of more than one run decides its end alone. A line that is a single
-    run may have been joined to what stood before, so all joins are possible ends.
-    """
-
-    def __init__(self) -> None:
-        self.runs: list[str] = []
-        self.hyphen = False
-
-    def before(self, line: str, longest: int) -> tuple[list[str], bool]:
-        found = self.runs, self.hyphen
-        own = end_run(line)
-        longer = [r + own for r in self.runs if len(r) + len(own) <= longest] if own and _WHOLE_RUN.fullmatch(line) else []
-        self.runs, self.hyphen = ([own, *longer] if own else []), line.endswith("-")
-        return found
-
-
 def end_run(line: str) -> str:
     """The run a line ends in, a last hyphen aside; looked for from the end, so that long lines cost no more."""
     body = line.removesuffix("-")
     return body[len(body.rstrip(_RUN)):]
 
 
+class _Words:
+    """The words and compounds of a document with their counts, and whether it hyphenates at line ends."""
+
+    def __init__(self, facts: list[tuple[str | None, bool | None]]) -> None:
+        self.counts: Counter = Counter()
+        self.merges = False
+        for known, merges in facts:
+            self.merges = self.merges or bool(merges)
+            for word, n in _entries(known) if known else ():
+                self.counts[word] += n
+
+    def verdict(self, left: str, hyphen: bool, line: str) -> str | None:
+        """How a line meets a text that ends in the run ``left``, None for a space.
+
+        A hyphen at the break is kept where the document writes the compound and
+        not the word, between a digit and a letter, or where neither the word nor
+        the document's habit speaks for merging. Without a hyphen two halves are
+        one word where the document has that word more often than the longer half.
+        """
+        if hyphen:
+            right = _RUNS.match(line)
+            if not left or not right:
+                return None
+            whole = self.counts.get((left + right[0]).lower(), 0) > 0
+            written = self.counts.get(f"{left}-{right[0]}".lower(), 0) > 0
+            mixed = left[-1].isdigit() != right[0][0].isdigit()
+            return _COMPOUND if mixed or not whole and (written or not self.merges) else _MERGED
+        tail, head = left[len(left.rstrip(string.ascii_letters)):], _LETTERS.match(line)
+        if not tail or not head:
+            return None
+        longer = tail if len(tail) >= len(head[0]) else head[0]
+        return _GLUED if self.counts.get((tail + head[0]).lower(), 0) > self.counts.get(longer.lower(), 0) else None
+
+
 class _Text:
-    """The end of the text built so far."""
+    """The end of the text built so far, in the words of its document."""
 
-    def __init__(self) -> None:
-        self.run = ""
+    def __init__(self, words: _Words) -> None:
+        self.words = words
+        self.run, self.hyphen = "", False
 
-    def join(self, line: str, verdicts: list[tuple[str, str]] | None) -> str | None:
+    def join(self, line: str) -> str | None:
         """How ``line`` meets the text, None for a space; the text then ends as the line does."""
-        told = dict(verdicts or ())
-        how = told.get(self.run) or (told.get("-0" if self.run[-1].isdigit() else "-a") if self.run else None)
+        how = self.words.verdict(self.run, self.hyphen, line)
         own = end_run(line)
         self.run = self.run + own if how in (_MERGED, _GLUED) and _WHOLE_RUN.fullmatch(line) else own
+        self.hyphen = line.endswith("-")
         return how
 
 
-def line_verdicts(lines: DataFrame, vocab: DataFrame, keys: list[str], order: list[str], line: str, merges: Column) -> DataFrame:
-    """``lines`` with ``how``: for each run the text before may end in, how the line meets it (-0 and -a: any other
-    run ending in a digit or a letter).
+class _Once:
+    """The facts of a document made up once for all of its blocks, which come one after the other."""
 
-    A hyphen at the break is kept where the document writes the compound and not
-    the word, between a digit and a letter, or where neither the word nor the
-    document's habit speaks for merging. Without a hyphen two halves are one word
-    where the document has that word more often than the longer half. Each word
-    asked for is one look-up in the document's vocabulary, an equi-join.
+    def __init__(self, make: Callable[[list[tuple]], Any]) -> None:
+        self.make, self.of, self.made = make, None, None
+
+    def __call__(self, facts: list[tuple]) -> Any:
+        if self.of is not facts:
+            self.of, self.made = facts, self.make(facts)
+        return self.made
+
+
+def joined_text(rows: DataFrame, keys: list[str], order: list[str], line: Callable[[Column], Column], met: str, **more: Column) -> DataFrame:
+    """The text of each key from its lines and how each one meets the text before; ``more`` are further aggregates.
+
+    ``line`` is what of ``text`` stands in the paragraph; it is worked out behind the shuffle.
     """
-    longest = vocab.groupBy("doc_id").agg(F.max(F.char_length("word")).alias("_longest"))
-    given = lines.join(longest, "doc_id", "left").withColumn("_longest", F.coalesce("_longest", F.lit(0)))
-    ends = ordered.stepwise(given, keys, order, [line, "_longest"], _Ends, _Ends.before, {"_ends": "array<string>", "_hyphen": "boolean"})
-    ends = materialize(ends.drop("_longest").withColumn("_row", F.monotonically_increasing_id()), "line-ends")
-
-    left, right = F.col("left"), F.regexp_extract(line, "^[A-Za-z0-9]+", 0)
-    tail, head = F.regexp_extract("left", "[A-Za-z]+$", 0), F.regexp_extract(line, "^[A-Za-z]+", 0)
-    breaks = ends.select("_row", "doc_id", line, merges.alias("merges"), "_hyphen", F.explode("_ends").alias("left"))
-    asked = breaks.select("_row", "doc_id", "left", "merges", "_hyphen", right.alias("right"), tail.alias("tail"), head.alias("head")).where(
-        F.when(F.col("_hyphen"), F.col("right") != "").otherwise((F.col("tail") != "") & (F.col("head") != "")))
-    longer = F.when(F.char_length("tail") >= F.char_length("head"), F.col("tail")).otherwise(F.col("head"))
-    word = lambda role, w: F.struct(F.lit(role).alias("role"), F.lower(w).alias("word"))
-    words = F.when(F.col("_hyphen"), F.array(word("word", F.concat("left", "right")), word("compound", F.concat(left, F.lit("-"), F.col("right"))))).otherwise(
-        F.array(word("word", F.concat("tail", "head")), word("half", longer)))
-    known = vocab.select("doc_id", "word", "n", "hyphenated")
-    counted = asked.withColumn("w", F.explode(words)).select("*", "w.role", "w.word").drop("w").join(known, ["doc_id", "word"], "left")
-    of = lambda role, column: F.coalesce(F.max(F.when(F.col("role") == role, F.col(column))), F.lit(0))
-    each = counted.groupBy("_row", "left", "right", "merges", "_hyphen").agg(
-        of("word", "n").alias("whole"), of("compound", "hyphenated").alias("written"), of("half", "n").alias("half"))
-    digit = lambda c: c.rlike("[0-9]")
-    mixed = digit(F.substring("left", -1, 1)) != digit(F.substring("right", 1, 1))
-    compound = ((F.col("written") > 0) & (F.col("whole") == 0)) | mixed | ((F.col("whole") == 0) & ~F.col("merges"))
-    how = F.when(F.col("_hyphen"), F.when(compound, _COMPOUND).otherwise(_MERGED)).when(F.col("whole") > F.col("half"), _GLUED)
-    told = each.withColumn("how", how).where(F.col("how").isNotNull()).groupBy("_row").agg(
-        F.map_from_entries(F.collect_list(F.struct("left", "how"))).alias("how"))
-    # A run longer than any word of the document is none of its words: its last character and the habit decide.
-    unknown = lambda digit_left: F.when((digit(F.substring(right, 1, 1)) != F.lit(digit_left)) | ~merges, _COMPOUND).otherwise(_MERGED)
-    none = F.create_map().cast("map<string,string>")
-    rest = F.when(F.col("_hyphen") & (right != ""), F.create_map(F.lit("-0"), unknown(True), F.lit("-a"), unknown(False))).otherwise(none)
-    joined = ends.join(told, "_row", "left")
-    return joined.withColumn("how", F.map_concat(F.coalesce("how", none), rest)).drop("_ends", "_hyphen", "_row")
-
-
-def joined_text(rows: DataFrame, keys: list[str], order: list[str], line: str, met: str, **more: Column) -> DataFrame:
-    """The text of each key from its lines and how each one meets the text before; ``more`` are further aggregates."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    body = F.when(F.lead(met).over(w) == _MERGED, F.regexp_replace(line, "-$", "")).otherwise(F.col(line))
-    gap = F.when((F.row_number().over(w) == 1) | F.col(met).isNotNull(), "").otherwise(" ")
-    pieces = rows.withColumns({"_piece": F.concat(gap, body), "_at": F.struct(*order)})
-    return pieces.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_piece"))), lambda p: p["_piece"]), "").alias("text"),
-        F.count(F.lit(1)).alias("_lines"), *[c.alias(n) for n, c in more.items()])
+    found = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(met).alias("_met"), F.col("text")))).alias("_found"),
+        *[c.alias(n) for n, c in more.items()])
+
+    def piece(row: Column, i: Column) -> Column:
+        own = line(row["text"])
+        body = F.when(F.get(F.col("_found"), i + 1)["_met"] == _MERGED, F.regexp_replace(own, "-$", "")).otherwise(own)
+        return F.concat(F.when((i == 0) | row["_met"].isNotNull(), "").otherwise(" "), body)
+
+    return found.select("*", F.size("_found").alias("_lines"), F.array_join(F.transform("_found", piece), "").alias("text"))
 
 
 def join_lines(lines: DataFrame, vocab: DataFrame, habits: DataFrame) -> DataFrame:
     """Paragraph text per (doc_id, block) from its lines.
 
-    What each break can be is worked out from the neighbouring lines and the
-    vocabulary; one pass in order then only follows which end the text really has.
+    A document's words and habit come in front of its lines, in one pass in order.
     """
-    rows = lines.join(habits.select("doc_id", F.col("breaks_hyphenate").alias("merges")), "doc_id", "left").select(
-        "doc_id", "block", "line_no", tx.collapse(F.col("line")).alias("line"), F.coalesce("merges", F.lit(False)).alias("merges"))
+    rows = lines.select("doc_id", "block", "line_no", F.col("line").alias("text"))
     keys = ["doc_id", "block"]
-    told = line_verdicts(rows, vocab, keys, ["line_no"], "line", F.col("merges"))
-    met = ordered.stepwise(told, keys, ["line_no"], ["line", "how"], _Text, lambda text, line, how: (text.join(line, how),), {"met": "string"})
-    return joined_text(met, keys, ["line_no"], "line", "met").select("doc_id", "block", tx.collapse(F.col("text")).alias("text"))
+    facts = _known(vocab).withColumn("merges", F.lit(None).cast("boolean")).unionByName(
+        habits.where("doc_id IS NOT NULL").select("doc_id", F.lit(None).cast("string").alias("known"), F.col("breaks_hyphenate").alias("merges")))
+    words = _Once(_Words)
+    met = ordered.stepwise(rows, keys, ["line_no"], [tx.collapse(F.col("text"))], lambda facts: _Text(words(facts)), lambda text, line: (text.join(line),), {"met": "string"}, facts)
+    return joined_text(met, keys, ["line_no"], tx.collapse, "met").select("doc_id", "block", tx.collapse(F.col("text")).alias("text"))
+
+
+class _Layout(_Words):
+    """The words of a document, the edges of its text and the elements that open a clause."""
+
+    def __init__(self, facts: list[tuple]) -> None:
+        super().__init__([f[:2] for f in facts])
+        self.profiled, self.opens = False, set()
+        self.left = self.right = self.indent = None
+        for _, _, left, right, indent, opens, profiled in facts:
+            if opens is not None:
+                self.opens.add(opens)
+            if profiled:
+                self.profiled, self.left, self.right, self.indent = True, left, right, indent
+
+    def edges(self, no: int, kind: str | None, x0: float | None, x1: float | None) -> tuple[bool, bool, bool]:
+        """Whether an element can start a paragraph, can go on with one, and fills its line."""
+        text = kind == "paragraph" and bool(self.left) and x0 is not None
+        offset = abs(x0 - self.left) if text else 0.0
+        slack = self.indent + INDENT_SLACK if self.indent and self.indent > 0 else FLUSH
+        full = bool(self.right) and x1 is not None and abs(x1 - self.right) <= TOLERANCE
+        return text and offset <= slack, text and offset <= FLUSH and no not in self.opens, full
 
 
 class _Paragraph(_Text):
     """The paragraph that lines are being added to."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, layout: _Layout) -> None:
+        super().__init__(layout)
         self.no, self.starts, self.full, self.dots = -1, False, False, False
         self.size, self.tail, self.first = 0, "", None
         self.opened, self.page, self.bottom, self.box = None, None, 0.0, True
 
-    def place(self, text: str, line: str, verdicts: list | None, page: int, y0: float, y1: float, starts: bool, follows: bool, full: bool, dots: bool) -> tuple:
+    def place(self, text: str, line: str, no: int, kind: str | None, page: int, x0: float, y0: float, x1: float, y1: float, dots: bool) -> tuple:
         """Whether a line goes on with the paragraph, how it meets it, and whether it is on the page the paragraph's box is on."""
+        if not self.words.profiled:
+            return None, None, None
+        starts, follows, full = self.words.edges(no, kind, x0, x1)
         near = page != self.opened or y0 - self.bottom <= MAX_LINE_GAP
         goes_on = (self.no >= 0 and follows and self.starts and self.full and not (self.dots or dots) and near
                    and self.size + len(text) <= MAX_PARAGRAPH)
         if not goes_on:
             self.no += 1
             self.starts, self.full, self.dots = starts, full, dots
-            self.size, self.tail, self.run = len(text), text[-8:], end_run(text)
+            self.size, self.tail, self.run, self.hyphen = len(text), text[-8:], end_run(text), line.endswith("-")
             self.opened, self.page, self.bottom, self.box, self.first = page, page, y1, True, line
             return self.no, None, True
-        how = self.join(line, verdicts)
+        how = self.join(line)
         if self.first is not None:  # the first line's own white space counts until it is joined
             self.size, self.tail, self.first = len(self.first), self.first[-8:], None
         kept = self.tail[:-1] if how == _MERGED else self.tail
@@ -721,34 +834,33 @@ class _Paragraph(_Text):
 def join_wrapped_lines(elements: DataFrame, profiles: DataFrame, opens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Paragraphs rebuilt from lines a layout hands out as separate blocks.
 
-    What a line and its break decide by themselves (flush left, indented, full
-    width, opens a proven clause, dot leader, how it meets the line before) are
-    columns; one pass in order keeps the paragraph's length and last edge, and
-    paragraphs are aggregates of their lines. ``opens`` lists (doc_id, ord) that
-    start a clause.
+    A document's words, the edges of its text and the clauses it opens come in
+    front of its elements; one pass in order says which lines a paragraph takes
+    and how they meet, and paragraphs are aggregates of their lines. ``opens``
+    lists (doc_id, ord) that start a clause.
     """
-    p = profiles.select("doc_id", "body_left", "body_right", "paragraph_indent", "breaks_hyphenate")
-    lead = opens.select("doc_id", "ord", F.lit(True).alias("opens"))
-    offset = F.abs(F.col("x0") - F.col("body_left"))
-    slack = F.when(F.col("paragraph_indent") > 0, F.col("paragraph_indent") + INDENT_SLACK).otherwise(FLUSH)
-    in_text = (F.col("type") == "paragraph") & (F.col("body_left") != 0)
-    rows = elements.join(p, "doc_id").join(lead, ["doc_id", "ord"], "left").select(
-        "doc_id", "ord", "type", "text", "page", "x0", "y0", "x1", "y1", "breaks_hyphenate", tx.collapse(F.col("text")).alias("line"),
-        (in_text & (offset <= slack)).alias("can_start"),
-        (in_text & (offset <= FLUSH) & F.col("opens").isNull()).alias("can_follow"),
-        ((F.col("body_right") != 0) & (F.abs(F.col("x1") - F.col("body_right")) <= TOLERANCE)).alias("full"),
-        F.col("text").rlike(DOT_LEADER).alias("dots"))
-    told = line_verdicts(rows, vocab, ["doc_id"], ["ord"], "line", F.coalesce("breaks_hyphenate", F.lit(False)))
+    facts = {"known": "string", "merges": "boolean", "body_left": "double", "body_right": "double", "paragraph_indent": "double",
+             "opens": elements.schema["ord"].dataType.simpleString(), "profiled": "boolean"}
+
+    def about(df: DataFrame, **columns: Column) -> DataFrame:
+        return df.select("doc_id", *[columns.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in facts.items()])
+
+    given = about(_known(vocab), known=F.col("known")).unionByName(
+        about(profiles, merges=F.col("breaks_hyphenate"), profiled=F.lit(True), **{c: F.col(c) for c in ("body_left", "body_right", "paragraph_indent")})).unionByName(
+        about(opens, opens=F.col("ord")))
+    rows = elements.where("doc_id IS NOT NULL").select("doc_id", "ord", "type", "text", "page", "x0", "y0", "x1", "y1")
+    text = F.col("text")
+    layout = _Once(_Layout)
     placed = ordered.stepwise(
-        told, ["doc_id"], ["ord"], ["text", "line", "how", "page", "y0", "y1", "can_start", "can_follow", "full", "dots"], _Paragraph, _Paragraph.place,
-        {"_no": "int", "_met": "string", "_box": "boolean"})
-    own = F.struct("ord", "type", "text", "page", "x0", "y0", "x1", "y1")
+        rows, ["doc_id"], ["ord"], ["text", tx.collapse(text), "ord", "type", "page", "x0", "y0", "x1", "y1", text.rlike(DOT_LEADER)],
+        lambda facts: _Paragraph(layout(facts)), _Paragraph.place, {"_no": "int", "_how": "string", "_box": "boolean"}, given.where("doc_id IS NOT NULL")).where("_no IS NOT NULL")
+    own = F.struct("ord", "type", "page", "x0", "y0", "x1", "y1")
     in_box = lambda c: F.when(F.col("_box"), F.col(c))
     folded = joined_text(
-        placed, ["doc_id", "_no"], ["ord"], "line", "_met", first=F.min_by(own, "ord"), last_page=F.max_by("page", "ord"),
+        placed, ["doc_id", "_no"], ["ord"], tx.collapse, "_how", first=F.min_by(own, "ord"), last_page=F.max_by("page", "ord"),
         left=F.min(in_box("x0")), right=F.max(in_box("x1")), bottom=F.max_by("y1", F.when(F.col("_box"), F.col("ord"))), over=F.min(F.col("_box").cast("int")))
-    one = F.col("_lines") == 1
+    alone = F.get("_found", F.lit(0))["text"]
     return folded.select(
-        "doc_id", "first.ord", "first.type", F.when(one, F.col("first.text")).otherwise(tx.collapse(F.col("text"))).alias("text"), F.col("first.page").cast("long").alias("page"),
+        "doc_id", "first.ord", "first.type", F.when(F.col("_lines") == 1, alone).otherwise(tx.collapse(text)).alias("text"), F.col("first.page").cast("long").alias("page"),
         F.when(F.col("over") == 0, F.col("last_page")).cast("long").alias("page_end"),
         F.col("left").cast("double").alias("x0"), F.col("first.y0").cast("double").alias("y0"), F.col("right").cast("double").alias("x1"), F.col("bottom").cast("double").alias("y1"))
