@@ -8,8 +8,11 @@ keyword side stay global under a scope.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K, CANDIDATES, TOP_K = 60, 20, 6
 SECTION_LIMIT, HISTORY_TURNS, MAX_PANELS, EVIDENCE_CAP = 20, 8, 4, 12_000
 MODES = ("hybrid", "vector", "keyword")
+#: Distinct words a task holds at once.
+WORDS_HELD = 500_000
 NEEDS_VECTORS = ("hybrid", "vector")
 
 
@@ -64,6 +69,25 @@ def stem_terms(rows: DataFrame) -> DataFrame:
     return rows.join(stems, "term").drop("term").withColumnRenamed("stem", "term")
 
 
+def distinct_words(chunks: DataFrame) -> DataFrame:
+    """(word): every word of the chunks once.
+
+    A chunk is cut into words once, and a task puts the words of its chunks
+    together before any row is made of one; it holds ``WORDS_HELD`` at most.
+    """
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
+        for batch in batches:
+            held.update(pc.unique(batch.column(0).flatten()).to_pylist())
+            if len(held) >= WORDS_HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["word"])
+                held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["word"])
+
+    return chunks.select(index_words(F.col("content")).alias("words")).mapInArrow(together, "word string").distinct()
+
+
 def stem_phrases(asked: DataFrame) -> DataFrame:
     """Phrases with the stems of their words, worked out once per distinct phrase."""
     each = asked.select(F.array_join("words", " ").alias("_said"), F.posexplode("words").alias("p", "term")).distinct()
@@ -117,7 +141,7 @@ def _parts(phrases: DataFrame, chunks: DataFrame, stemmed: bool) -> DataFrame:
     units = F.col("words") if stemmed else F.when(n == 1, F.col("words")).otherwise(pairs)
     each = phrases.where(n > 0).select("phrase", units.alias("units")).select("phrase", F.size("units").alias("need"), F.posexplode("units").alias("off", "unit"))
     if stemmed:
-        said = chunks.select(F.explode(index_words(F.col("content"))).alias("word")).distinct().withColumn("unit", porter_stem("word"))
+        said = distinct_words(chunks).withColumn("unit", porter_stem("word"))
         each = said.join(each, "unit").drop("unit").withColumnRenamed("word", "unit")
     return materialize(each, "asked-parts")
 
