@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import embed, keyword_index, ordered
 from ..operators import retrieval as rt
-from ..session import work_dir
+from ..session import materialize, work_dir
 from .registry import plan
 
 DIM = 64
@@ -182,12 +182,16 @@ hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c
 RANKS = "array_join(transform(array_sort(map_keys(ranks)), k -> concat(k, '=', CAST(ranks[k] AS STRING))), ';')"
 
 
-def _retrieve(src, mode: str, top: int = 6):
-    chunks = _chunks(src)
-    vectors = embed.hashed_vectors(chunks, "chunk_id", "content", DIM)
+def _embedded(src):
+    """The chunks' vectors and the questions with theirs, written once: a search reads them several times."""
+    vectors = materialize(embed.hashed_vectors(_chunks(src), "chunk_id", "content", DIM), "hashed-vectors")
     asked = _questions(src)
-    asked = asked.join(embed.hashed_vectors(asked, "query_id", "question", DIM), "query_id")
-    return rt.retrieve(asked, chunks, vectors, mode=mode, top=top, index=_index(src) if mode != "vector" else None)
+    return vectors, materialize(asked.join(embed.hashed_vectors(asked, "query_id", "question", DIM), "query_id"), "hashed-questions")
+
+
+def _retrieve(src, mode: str, top: int = 6, embedded=None):
+    vectors, asked = embedded or _embedded(src)
+    return rt.retrieve(asked, _chunks(src), vectors, mode=mode, top=top, index=_index(src) if mode != "vector" else None)
 
 
 @plan("r8_fusion", sql=f"WITH {HYBRID} SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM hy")
@@ -200,9 +204,9 @@ WITH {HYBRID} SELECT 'hybrid' AS mode, query_id, chunk_id, rank, round(score, 6)
 UNION ALL SELECT 'keyword', query_id, chunk_id, rank, round(score, 6) FROM kwd WHERE rank <= 6
 UNION ALL SELECT 'vector', query_id, chunk_id, rank, round(greatest(0, least(1, c)), 6) FROM vec WHERE rank <= 6""")
 def r9(src):
-    out = None
+    out, embedded = None, _embedded(src)
     for mode in rt.MODES:
-        part = _retrieve(src, mode).select(F.lit(mode).alias("mode"), "query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+        part = _retrieve(src, mode, embedded=embedded).select(F.lit(mode).alias("mode"), "query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
         out = part if out is None else out.unionByName(part)
     return out
 
