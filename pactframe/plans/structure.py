@@ -142,7 +142,8 @@ SELECT doc_id, block, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM r
 def p11(src):
     lines = materialize(src.view("wrapped"), "wrapped")
     vocab = materialize(st.vocabulary(lines), "vocabulary")
-    return st.join_lines(lines, vocab, st.breaks_hyphenate(st.line_breaks(lines, ["doc_id", "block"]), vocab))
+    habits = materialize(st.breaks_hyphenate(st.line_breaks(lines, ["doc_id", "block"]), vocab), "habits")
+    return st.join_lines(lines, vocab, habits)
 
 
 CLASSIFY_SQL = rf"""{INDENT}, {BANDS}, {FURNITURE.split(' HAVING')[0].replace('GROUP BY 1, 2', 'GROUP BY 1, 2')}""".rstrip()
@@ -336,7 +337,8 @@ def p23(src):
     lines = src.view("lines")
     vocab = materialize(st.vocabulary(lines), "vocabulary")
     habits = st.breaks_hyphenate(st.line_breaks(lines, ["doc_id"]), vocab)
-    profiles = st.profile(blocks).join(habits.select("doc_id", "breaks_hyphenate"), "doc_id", "left").na.fill({"breaks_hyphenate": False})
+    profiles = materialize(
+        st.profile(blocks).join(habits.select("doc_id", "breaks_hyphenate"), "doc_id", "left").na.fill({"breaks_hyphenate": False}), "profiles")
     proven = materialize(st.corroborated(st.label_candidates(elements)), "labels")
     start = elements.withColumn("label", lb.label_at_start(F.col("text"))["label"])
     opens = start.join(proven, ["doc_id", "label"], "left_semi").select("doc_id", "ord")
